@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import splitting
+from folioforge.llm import shared_spans, splitting
 from folioforge.runtime import table
 
 
@@ -22,8 +22,20 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a span of at least 200 characters that another one has."""
+    return shared_spans.shared(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """How many characters of each document are shared; 0 where none are."""
+    docs = table(spark, folder, "documents")
+    shares = shared_spans.shared(docs).select("doc_id", "shared_chars", "spans")
+    return docs.select("doc_id", F.length("text").alias("n_chars")).join(shares, "doc_id", "left").na.fill(0, ["shared_chars", "spans"])
+
+
 def queries() -> dict:
-    return {"p7_found": p7_found, "p7_pieces": p7_pieces}
+    return {"p7_found": p7_found, "p7_pieces": p7_pieces, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {
