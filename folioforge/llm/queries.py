@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import shared_spans, splitting
+from folioforge.llm import leakage, shared_spans, splitting
 from folioforge.runtime import table
 
 
@@ -22,6 +22,11 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least 12 consecutive words of an item."""
+    return leakage.search(table(spark, folder, "documents"), table(spark, folder, "eval_items")).where("exact").select("doc_id", "item_id")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a span of at least 200 characters that another one has."""
     return shared_spans.shared(table(spark, folder, "documents")).select("doc_id").distinct()
@@ -35,7 +40,7 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p7_found": p7_found, "p7_pieces": p7_pieces, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {
