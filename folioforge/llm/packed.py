@@ -50,12 +50,23 @@ class Powers:
 def prefix(codes: np.ndarray) -> np.ndarray:
     """Prefix sums of the polynomial hash over code points; one longer than ``codes``."""
     up, _ = Powers.upto(len(codes) + 1)
-    terms = mixed(codes.astype(np.uint64) + np.uint64(0x51_7C_C1)) * up[: len(codes)]
+    terms = _values(codes)
+    terms *= up[: len(codes)]
     out = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(terms, out=out[1:])
     return out
 
 
+#: The random value of each code point of the first plane.
+VALUES = mixed(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x51_7C_C1))
+
+
+def _values(codes: np.ndarray) -> np.ndarray:
+    if len(codes) and codes.max() >= len(VALUES):
+        return mixed(codes.astype(np.uint64) + np.uint64(0x51_7C_C1))
+    return VALUES.take(codes)
+
+
 def windows(sums: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the windows of ``width`` code points that start at ``at``."""
     _, down = Powers.upto(len(sums))
@@ -137,7 +148,7 @@ class Hashes:
 
     def __init__(self, hashes: np.ndarray, documents: np.ndarray, bucket_bits: int):
         keys = hashes >> np.uint64(64 - LOW_BITS - bucket_bits)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, documents = keys[order], documents[order]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         self.values, self.bits = keys[start], bucket_bits
@@ -177,7 +188,7 @@ def repeated(df: DataFrame) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         blobs = [unpack(x) for x in rows.column("blob").to_pylist()]
         every = np.concatenate(blobs)
-        order = np.argsort(every, kind="stable")
+        order = np.argsort(every)
         sorted_ = every[order]
         same = sorted_[1:] == sorted_[:-1]
         twice = np.zeros(len(every), bool)

@@ -46,15 +46,16 @@ PERIOD, COVER = 73, np.array([0, 1, 3, 7, 15, 31, 36, 54, 63], np.int64)
 
 def _anchors(block, span: int, period: int, places: np.ndarray):
     """(hash, document, text, place) of every window that starts on the cover."""
-    width, got = span - period + 1, []
-    table = np.zeros(period, bool)
-    table[places] = True
+    width, got, ladder = span - period + 1, [], np.zeros(0, np.int64)
     for first, codes, starts, ends in block.chunks():
-        sums = prefix(codes)
-        text = np.repeat(np.arange(len(starts)), ends - starts)
-        place = np.arange(len(codes)) - starts[text]
-        at = np.flatnonzero(table[place % period] & (np.arange(len(codes)) + width <= ends[text]))
-        got.append((windows(sums, at, width), block.number[first + text[at]], first + text[at], place[at]))
+        room = ends - starts - width
+        if len(room) and room.max() >= len(ladder) // len(places) * period:
+            turns = int(room.max()) // period + 1
+            ladder = (np.arange(turns)[:, None] * period + np.sort(places)).ravel()
+        counts = np.searchsorted(ladder, room, side="right")
+        place = np.concatenate([ladder[:n] for n in counts])
+        text = np.repeat(np.arange(len(starts)), counts)
+        got.append((windows(prefix(codes), starts[text] + place, width), block.number[first + text], first + text, place))
     return _joined(got)
 
 
