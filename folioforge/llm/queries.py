@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import leakage, shared_spans, splitting
+from folioforge.llm import leakage, lookalikes, shared_spans, splitting
 from folioforge.runtime import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of text boxes of one document, and of whole records, that look the same but differ."""
+    boxes = table(spark, folder, "text_boxes").select("doc_id", "id", "text")
+    records = table(spark, folder, "documents_out").select("doc_id", "markdown").where(F.trim("markdown") != "")
+    counts = lookalikes.code_points(boxes, ["text"])
+    for c, n in lookalikes.code_points(records, ["markdown"]).items():
+        counts[c] = counts.get(c, 0) + n
+    rules = lookalikes.rewriting(counts)
+    return lookalikes.pairs(boxes, rules, "id", "text", "doc_id").unionByName(lookalikes.pairs(records, rules, "doc_id", "markdown"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records whose markdown had to be cut."""
     pieces = splitting.split(table(spark, folder, "documents_out"))
@@ -40,7 +51,7 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p2_found": p2_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {
