@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import leakage, lookalikes, shared_spans, splitting
+from folioforge.llm import encodings, leakage, lookalikes, shared_spans, splitting
 from folioforge.runtime import table
 
 
@@ -20,6 +20,26 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.pairs(boxes, rules, "id", "text", "doc_id").unionByName(lookalikes.pairs(records, rules, "doc_id", "markdown"))
 
 
+def _garbled(spark: SparkSession, folder: str) -> DataFrame:
+    """``tbl, doc_id, page_number, item_no, restored`` of every wrongly decoded record."""
+    records = table(spark, folder, "documents_out").select("doc_id", F.col("markdown").alias("text")).where(F.trim("text") != "")
+    items = table(spark, folder, "raw_items").select("doc_id", "page_number", "item_no", "text").where(F.trim("text") != "")
+    known = encodings.garbled_table([records, items])
+    whole = encodings.damaged(records, known, ["doc_id"], "text")
+    parts = encodings.damaged(items, known, ["doc_id", "page_number", "item_no"], "text", "doc_id")
+    return whole.select(F.lit("documents_out").alias("tbl"), "doc_id", F.lit(0).alias("page_number"), F.lit(0).alias("item_no"), "restored").unionByName(parts.withColumn("tbl", F.lit("raw_items")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that were decoded with another charset than they had."""
+    return _garbled(spark, folder).select("tbl", "doc_id", "page_number", "item_no").distinct()
+
+
+def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The original text of those records, null where it is lost."""
+    return _garbled(spark, folder)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records whose markdown had to be cut."""
     pieces = splitting.split(table(spark, folder, "documents_out"))
@@ -51,7 +71,7 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p4_restored": p4_restored, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {
