@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.runtime import cut
+
 # Letters that most typefaces draw alike, Cyrillic or Greek first, Latin second.
 LETTERS = (
     "аa еe оo рp сc уy хx іi јj ѕs һh ԁd ԛq ԝw ѵv ӏl "
@@ -109,8 +111,8 @@ def rewriting(counts: dict[str, int]) -> dict[str, str]:
         elif " " in members:
             best = " "
         else:
-            # The most frequent; of equals the shortest, then the least code point.
-            best = min(members, key=lambda m: (-min(counts.get(c, 0) for c in m) if len(m) == 1 else 0, len(m), m))
+            # The most frequent, a string at most as its rarest sign; of equals the shortest, then the least.
+            best = min(members, key=lambda m: (-min(counts.get(c, 0) for c in m), len(m), m))
         out |= {m: best for m in members if m and m != best}
     return out
 
@@ -201,7 +203,8 @@ def pairs(df: DataFrame, table: dict[str, str], key: str, text: str, scope: str
     copies is never paired with itself.
     """
     rows = df.select((F.col(scope).cast("string") if scope else F.lit("")).alias("scope"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    prints = _prints(rows, table, "text").select("key", "raw", F.xxhash64("scope", "form").alias("g1"), F.xxhash64("form", "scope", F.lit(1)).alias("g2"))
+    # Read twice, and far smaller than the texts: written once, so that no text is rewritten again.
+    prints = cut(_prints(rows, table, "text").select("key", "raw", F.xxhash64("scope", "form").alias("g1"), F.xxhash64("form", "scope", F.lit(1)).alias("g2")))
     mixed = prints.groupBy("g1", "g2").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("g1", "g2")
     some = prints.join(mixed, ["g1", "g2"], "left_semi").where("key is not null").distinct()
     a, b = some.alias("a"), some.alias("b")
