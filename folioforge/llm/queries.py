@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import encodings, leakage, lookalikes, shared_spans, splitting
+from folioforge.llm import boilerplate, encodings, leakage, lookalikes, shared_spans, splitting
 from folioforge.runtime import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of web pages outside the main body."""
+    pages = boilerplate.pages(table(spark, folder, "documents_out"), table(spark, folder, "documents_in"))
+    return boilerplate.boilerplate_lines(pages.where("web")).distinct()
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of text boxes of one document, and of whole records, that look the same but differ."""
     boxes = table(spark, folder, "text_boxes").select("doc_id", "id", "text")
@@ -71,7 +77,7 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p4_restored": p4_restored, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_restored": p4_restored, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {
