@@ -71,6 +71,9 @@ LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)\)")
 LOGO, NAME = re.compile(r"^\[!\[[^\]]*\]\([^)]*\)\]\([^)]*\)$"), re.compile(r"^(?:\*\*)?[^\W\d_a-zß-ÿ][\w-]*(?:\*\*)?$")
 HEAD, ITEM, TABLE = re.compile(r"^#{1,6}\s"), re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+"), re.compile(r"^\s*\|.*\|\s*$")
 
+#: Figures of errors and words of messages, which recur on a site without being its furniture.
+STATED = re.compile(r"(?i)\b[45]\d\d\b|error|erreur|fehler|expir|denied|denegado|refus|verweigert|found|request|back soon|maint|wartung|disponi|erreichbar|human|\[object|undefined|placeholder|click to|text|titre|título")
+
 #: Costs, in units of one clear sign. Positive speaks for boilerplate.
 CHROME, PROSE, PLAIN = 6.0, -5.0, -0.6
 #: Ties of neighbours: in one block, in one list or below its heading, across a blank line, and between siblings one line apart.
@@ -200,7 +203,7 @@ def furniture(text: str, host_: str | None = None, often: frozenset[int] = froze
             value, kind = PROSE, "code"
         elif fenced:
             value, kind = PROSE, "code"
-        elif often and kind in ("plain", "item", "links") and len(line) <= LONGEST_LINE and line_key(line) in often:
+        elif often and kind in ("plain", "item", "links") and len(line) <= LONGEST_LINE and not STATED.search(line) and line_key(line) in often:
             value += 2.0
         if kind == "plain" and not begun and NAME.match(line.strip()):
             value, kind = CHROME / 3, "chrome"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import boilerplate, encodings, leakage, lookalikes, shared_spans, splitting
+from folioforge.llm import boilerplate, encodings, leakage, lookalikes, residue, shared_spans, splitting
 from folioforge.runtime import table
 
 
@@ -26,6 +26,17 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.pairs(boxes, rules, "id", "text", "doc_id").unionByName(lookalikes.pairs(records, rules, "doc_id", "markdown"))
 
 
+def p3_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """What each record without real content holds instead."""
+    pages = boilerplate.pages(table(spark, folder, "documents_out"), table(spark, folder, "documents_in"))
+    return residue.judged(pages).where("evidence is not null").distinct()
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with placeholders, filler, an error message or a demand for scripts."""
+    return p3_evidence(spark, folder).select("doc_id").distinct()
+
+
 def _garbled(spark: SparkSession, folder: str) -> DataFrame:
     """``tbl, doc_id, page_number, item_no, restored`` of every wrongly decoded record."""
     records = table(spark, folder, "documents_out").select("doc_id", F.col("markdown").alias("text")).where(F.trim("text") != "")
@@ -77,7 +88,7 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_restored": p4_restored, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {
