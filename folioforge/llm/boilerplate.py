@@ -84,6 +84,8 @@ SAME_BLOCK, SAME_LIST, NEXT_BLOCK, SIBLING = 1.0, 3.0, 0.3, 0.5
 def cost(line: str, names: tuple[str, ...]) -> tuple[float, str]:
     """(evidence for boilerplate, kind) of one line by itself; ``names`` are the site's."""
     s = line.strip()
+    if len(s) > 300 and "](" not in s and s[0] not in "|#*-+>`":
+        return PROSE, "prose"
     bare = skeleton(LINK.sub(r"\1", LINK.sub(r"\1", s)))
     words = bare.split()
     if ONLY_CHROME.match(bare + " "):
@@ -238,12 +240,20 @@ def furniture(text: str, host_: str | None = None, often: frozenset[int] = froze
 
 
 def pages(documents: DataFrame, sources: DataFrame) -> DataFrame:
-    """``doc_id, markdown, host``: each converted record once (its first row), host null where no URL is known."""
+    """``doc_id, markdown, host, web, recurring``: each converted record once (its first row).
+
+    ``web`` says whether a URL is known, ``host`` is its host, and ``recurring`` the
+    keys of the lines that recur on that host. A record's list is looked up beside
+    its small row, so that the texts are shuffled once, by record and never by host:
+    a host may hold any share of them.
+    """
     rows = documents.where(F.trim("markdown") != "").select("doc_id", "markdown", "converted_at")
     first = rows.groupBy("doc_id").agg(F.min("converted_at").alias("first"))
     urls = sources.groupBy("doc_id").agg(F.min("url").alias("url"))
     known = first.join(urls, "doc_id", "left").select(F.col("doc_id").alias("id"), "first", host("url").alias("host"), F.col("url").isNotNull().alias("web"))
-    return rows.join(known, (F.col("doc_id") == F.col("id")) & F.col("converted_at").eqNullSafe(F.col("first"))).select("doc_id", "markdown", "host", "web")
+    on = (F.col("doc_id") == F.col("id")) & F.col("converted_at").eqNullSafe(F.col("first"))
+    often = recurring(rows.join(known.where("web"), on).select("host", "markdown"))
+    return rows.join(known.join(often, "host", "left"), on).select("doc_id", "markdown", "host", "web", "recurring")
 
 
 def boilerplate_lines(pages_: DataFrame) -> DataFrame:
@@ -251,11 +261,7 @@ def boilerplate_lines(pages_: DataFrame) -> DataFrame:
 
     ``pages_`` as :func:`pages` gives it. Null and blank texts have no lines;
     repeated rows count once; a page without a host is judged by its lines alone.
-    A host may hold any share of all pages: what recurs there is counted map-side
-    and joined to the page's small record, never to a group of texts.
     """
-    often = recurring(pages_)
-    rich = pages_.join(often, "host", "left")
 
     def run(batches):
         for batch in batches:
@@ -266,4 +272,4 @@ def boilerplate_lines(pages_: DataFrame) -> DataFrame:
                 no += found
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(no, pa.int32())], names=["doc_id", "line_no"])
 
-    return rich.select("doc_id", "markdown", "host", "recurring").mapInArrow(run, "doc_id string, line_no int")
+    return pages_.select("doc_id", "markdown", "host", "recurring").mapInArrow(run, "doc_id string, line_no int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import boilerplate, encodings, leakage, lookalikes, residue, shared_spans, splitting
+from folioforge.llm import boilerplate, encodings, leakage, lookalikes, prose, residue, shared_spans, splitting
 from folioforge.runtime import table
 
 
@@ -57,6 +57,18 @@ def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
     return _garbled(spark, folder)
 
 
+def p5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and verdict of every record."""
+    pages = boilerplate.pages(table(spark, folder, "documents_out"), table(spark, folder, "documents_in"))
+    return prose.quality(pages, table(spark, folder, "common_words")).dropDuplicates(["doc_id"])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose main body is mainly a list, a table or junk."""
+    pages = boilerplate.pages(table(spark, folder, "documents_out"), table(spark, folder, "documents_in"))
+    return prose.quality(pages, table(spark, folder, "common_words")).where("not prose").select("doc_id").distinct()
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records whose markdown had to be cut."""
     pieces = splitting.split(table(spark, folder, "documents_out"))
@@ -88,7 +100,7 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {
