@@ -9,13 +9,14 @@ stands beside it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.boilerplate import furniture
-from folioforge.llm.sites import folded, recurring, skeleton
+from folioforge.llm.sites import folded, skeleton
 
 # Names that templates give their fields.
 FIELDS = (
@@ -106,13 +107,15 @@ def evidence(lines: list[str]) -> str | None:
         return None
     if any(placeholder(x) and not symbols(x) and not x.lstrip().startswith("|") for x in lines):
         return "placeholder"
-    bones = [skeleton(x).strip("#*_>- \t") for x in lines]
+    # Prompts and messages are short; longer lines are text and need no skeleton.
+    bones = [skeleton(x).strip("#*_>- \t") if len(x) < 160 else "" for x in lines]
     heads = [x.lstrip().startswith("#") for x in lines]
     prompt = [b in PROMPTS for b in bones]
     if any(prompt) and _real(lines, heads, prompt) <= REAL:
         return "prompt"
     if filler([x for x, h in zip(lines, heads) if not h] or lines):
         return "filler"
+    # Messages have few lines.
     if len(lines) > 12:
         return None
     said = [bool(ERROR.search(b)) and len(b) < 160 for b in bones]
@@ -131,13 +134,17 @@ def _real(lines: list[str], heads: list[bool], mine: list[bool]) -> int:
 
 
 def filler(lines: list[str]) -> bool:
-    words = [w for x in lines for w in WORDS.findall(x.lower())]
-    if len(words) < 4:
+    words = Counter(WORDS.findall("\n".join(lines).lower()))
+    size = words.total()
+    if size < 4:
         return False
-    if sum(w in LOREM for w in words) >= MOSTLY * len(words) or sum(w in KEYS for w in words) >= MOSTLY * len(words):
+    if any(sum(words[w] for w in known if w in words) >= MOSTLY * size for known in (LOREM, KEYS)):
         return True
+    # One phrase over and over has next to no vocabulary.
+    if len(words) > max(6, size // 4):
+        return False
     said = [s.strip().lower() for x in lines for s in re.split(r"(?<=[.!?])\s+", x) if s.strip()]
-    return len(said) >= 4 and len(set(said)) <= max(1, len(said) // 4) and all(len(s.split()) <= 6 for s in said)
+    return len(said) >= 4 and len(set(said)) <= max(1, len(said) // 4) and all(len(s.split()) <= 6 and s[-1] in ".!?" for s in said)
 
 
 def judged(pages: DataFrame) -> DataFrame:
@@ -146,8 +153,6 @@ def judged(pages: DataFrame) -> DataFrame:
     Null and blank texts give no row, repeated rows repeated ones. Furniture is
     subtracted only from records with a URL; any host may hold any share of them.
     """
-    rich = pages.join(recurring(pages.where("web")), "host", "left")
-
     def run(batches):
         for batch in batches:
             kinds = []
@@ -155,4 +160,4 @@ def judged(pages: DataFrame) -> DataFrame:
                 kinds.append(evidence(residual(text, host, web, frozenset(keys or ()))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kinds, pa.string())], names=["doc_id", "evidence"])
 
-    return rich.where(F.trim("markdown") != "").select("doc_id", "markdown", "host", "web", "recurring").mapInArrow(run, "doc_id string, evidence string")
+    return pages.where(F.trim("markdown") != "").select("doc_id", "markdown", "host", "web", "recurring").mapInArrow(run, "doc_id string, evidence string")
