@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import boilerplate, encodings, leakage, lookalikes, prose, residue, shared_spans, splitting
+from folioforge.llm import boilerplate, encodings, leakage, lookalikes, prose, residue, scans, shared_spans, splitting
 from folioforge.runtime import table
 
 
@@ -69,6 +69,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return prose.quality(pages, table(spark, folder, "common_words")).where("not prose").select("doc_id").distinct()
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of PDF records with furniture, words broken for the line, or misread words."""
+    records = table(spark, folder, "documents_out").where(F.trim("markdown") != "")
+    pdf = records.where("converter = 'pdf'").select("doc_id", "markdown").distinct()
+    found, _ = scans.noise(pdf, table(spark, folder, "text_boxes"), records.select(F.col("markdown").alias("text")))
+    return found
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records whose markdown had to be cut."""
     pieces = splitting.split(table(spark, folder, "documents_out"))
@@ -100,7 +108,7 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {
