@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import boilerplate, encodings, leakage, lookalikes, prose, residue, scans, shared_spans, splitting
+from folioforge.llm import boilerplate, encodings, leakage, lookalikes, packing, prose, residue, scans, shared_spans, splitting
 from folioforge.runtime import table
 
 
@@ -90,6 +90,11 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of 2,048 tokens or less that each document, or part of one, goes to."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold at least 12 consecutive words of an item."""
     return leakage.search(table(spark, folder, "documents"), table(spark, folder, "eval_items")).where("exact").select("doc_id", "item_id")
@@ -108,7 +113,7 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {
