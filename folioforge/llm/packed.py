@@ -195,7 +195,7 @@ def repeated(df: DataFrame) -> DataFrame:
         twice[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         ends = np.cumsum([len(x) for x in blobs])
         bits = [np.packbits(twice[e - len(x) : e]).tobytes() if twice[e - len(x) : e].any() else None for x, e in zip(blobs, ends)]
-        keep = [i for i, x in enumerate(bits) if x is not None]
-        return pa.table({"block": rows.column("block").take(keep), "bucket": rows.column("bucket").take(keep), "bits": pa.array([bits[i] for i in keep], pa.binary())})
+        keep = pa.array([i for i, x in enumerate(bits) if x is not None], pa.int64())
+        return pa.table({"block": rows.column("block").take(keep), "bucket": rows.column("bucket").take(keep), "bits": pa.array([bits[i] for i in keep.to_pylist()], pa.binary())})
 
     return df.groupBy("bucket").applyInArrow(run, "block int, bucket int, bits binary")
