@@ -281,14 +281,21 @@ def _judged(text: str, hits: list[tuple[str, tuple]]) -> tuple[bool, list[int],
     lost, chains = LOST in text, [c for _, (_, c, strong, _) in hits if strong]
     if not hits and not lost:
         return False, [], None
-    new, swaps = text, {t: o for t, (o, _, _, _) in hits}
+    swaps = {t: o for t, (o, _, _, _) in hits}
     main = max(set(chains), key=lambda c: (chains.count(c), -c)) if chains else None
-    if main is not None:
-        for t in set(tokens(text)) - set(swaps):
-            if strange(t) and (r := restore(t, CHAINS[main])) and not strange(r):
-                swaps[t] = r
-    for t in sorted(swaps, key=len, reverse=True):
-        new = new.replace(t, swaps[t])
+    out = []
+    for line in text.split("\n"):
+        mine = tokens(line)
+        here = {t: swaps[t] for t in mine if t in swaps}
+        if main is not None and len(here) < len(mine):
+            back = {t: r for t in mine if t not in here and (r := restore(t, CHAINS[main])) and not strange(r)}
+            # A line is garbled as a whole, unless some token of it can't be.
+            whole = bool(here) and len(here) + len(back) == len(set(mine))
+            here |= {t: r for t, r in back.items() if whole or strange(t)}
+        for t in sorted(here, key=len, reverse=True):
+            line = line.replace(t, here[t])
+        out.append(line)
+    new = "\n".join(out)
     return True, chains, None if LOST in new else new
 
 
