@@ -247,7 +247,7 @@ def pages(documents: DataFrame, sources: DataFrame) -> DataFrame:
     its small row, so that the texts are shuffled once, by record and never by host:
     a host may hold any share of them.
     """
-    rows = documents.where(F.trim("markdown") != "").select("doc_id", "markdown", "converted_at")
+    rows = documents.where(F.col("markdown").rlike(r"\S")).select("doc_id", "markdown", "converted_at")
     first = rows.groupBy("doc_id").agg(F.min("converted_at").alias("first"))
     urls = sources.groupBy("doc_id").agg(F.min("url").alias("url"))
     known = first.join(urls, "doc_id", "left").select(F.col("doc_id").alias("id"), "first", host("url").alias("host"), F.col("url").isNotNull().alias("web"))

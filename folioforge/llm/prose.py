@@ -39,7 +39,7 @@ STRUCTURES = {
 }
 #: Weights of the three divergences: characters, function words, line shapes.
 WEIGHTS = (1.0, 0.5, 1.5)
-WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
+HAS_LETTER = re.compile(r"[^\W\d_]")
 END = re.compile(r"[.!?…:;][\"'”»’)\]]*$")
 MARK = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
 PAIR = re.compile(r"^[^\s:][^:]{0,40}:\s\S{0,30}(?:\s\S{1,20})?$")
@@ -88,6 +88,8 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def shape(line: str) -> str:
     """The shape of one line by itself; a piece of running text is 'run'."""
     s = line.strip()
+    if len(s) > 100 and s[0].isalpha() and s[-1] in ".!?" and "|" not in s and "\t" not in s and s.count(" ") > len(s) / 16:
+        return "run"
     tight = s.replace(" ", "")
     signs = sum(map(len, ASCII_SIGNS.findall(tight)))
     if signs > 0.6 * len(tight):
@@ -98,7 +100,7 @@ def shape(line: str) -> str:
         return "fields"
     if LOG.search(s):
         return "log"
-    if len(SIGNS.findall(s)) > 0.1 * len(s) and not s.startswith(("[", "!")) and len(SIGNS.findall(s)) > 6:
+    if (marks := len(SIGNS.findall(s))) > 6 and marks > 0.1 * len(s) and not s.startswith(("[", "!")):
         return "code" if re.search(r"[(){};=]", s) and "](" not in s else "words" if " / " in s else "run"
     words = s.split()
     if len(s) > 40 and len(s) > 30 * len(words) and s.isascii():
@@ -123,8 +125,8 @@ def shapes(lines: list[str], common: frozenset[str]) -> np.ndarray:
             return
         text = " ".join(block)
         size, words = len(text), text.split()
-        stops = len(re.findall(r"[.!?…][\"'”»’)\]]*(?:\s|$)", text))
-        if stops and len(words) >= 4 * stops and len(words) >= 6 or END.search(text) and len(words) >= 4:
+        stops = text.count(". ") + text.count("! ") + text.count("? ") + bool(END.search(text[-8:]))
+        if stops and len(words) >= 4 * stops and len(words) >= 6 or END.search(text[-8:]) and len(words) >= 4:
             out[0] += size
         elif len(words) >= 6:
             known = sum(w.lower().strip(",;:()") in common for w in words)
@@ -159,6 +161,15 @@ def body(text: str, host: str | None, web: bool, often: frozenset[int]) -> list[
     return ["" if no in gone else line for no, line in enumerate(text.split("\n"))]
 
 
+def worded(text: str) -> tuple[Counter, int]:
+    """What stands between spaces, in lower case, with counts, and how many of that are words: pieces with a letter.
+
+    Signs stay at their words. Function words seldom have any.
+    """
+    sums = Counter(text.lower().split())
+    return sums, sum(n for t, n in sums.items() if t[0].isalpha() or HAS_LETTER.search(t))
+
+
 def spoken(words: Counter, common: dict[str, frozenset[str]]) -> dict[str, int]:
     """How many of ``words`` are common ones of each language."""
     return {lang: sum(words[w] for w in known if w in words) for lang, known in common.items()}
@@ -168,21 +179,21 @@ def counted(lines: list[str], common: dict[str, frozenset[str]], every: frozense
     """Basic counts of one body and its distributions."""
     kept = [x for x in lines if x and not x.isspace()]
     text = "\n".join(kept)
-    words = WORD.findall(text.lower())
-    sums = Counter(words)
+    sums, words = worded(text)
     hits = spoken(sums, common)
     lang = max(hits, key=lambda k: (hits[k], k)) if hits and max(hits.values()) else None
     chars = classes(text)
     return {
-        "words": len(words),
-        "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
+        "words": words,
+        "mean_word_length": float(chars[LETTER]) / words if words else 0.0,
         "symbol_ratio": float(chars[SYMBOL] / max(chars.sum(), 1)),
-        "ended_lines": sum(bool(END.search(x.strip())) for x in kept) / len(kept) if kept else 0.0,
-        "common_words": sum(sums[w] for w in every if w in sums) / len(words) if words else 0.0,
+        "ended_lines": sum(bool(END.search(x[-8:].rstrip())) for x in kept) / len(kept) if kept else 0.0,
+        "common_words": sum(sums[w] for w in every if w in sums) / words if words else 0.0,
         "lang": lang,
-        "function": hits[lang] / len(words) if lang else 0.0,
+        "function": hits[lang] / words if lang and words else 0.0,
         "chars": chars,
         "shapes": shapes(lines, every),
+        "sums": sums,
     }
 
 
@@ -223,12 +234,12 @@ def prose_profiles(pages: DataFrame, common: dict[str, frozenset[str]]) -> dict[
                 if not lines:
                     continue
                 joined = "\n".join(lines)
-                words = WORD.findall(joined.lower())
-                hits = spoken(Counter(words), common)
+                sums, n = worded(joined)
+                hits = spoken(sums, common)
                 lang = max(hits, key=lambda k: (hits[k], k))
                 # Garbled text and word lists have too few common words to speak for a language.
-                if hits[lang] >= 0.15 * len(words):
-                    total[lang] = total.get(lang, np.zeros(len(names))) + np.array([*classes(joined), len(words), hits[lang]])
+                if n and hits[lang] >= 0.15 * n:
+                    total[lang] = total.get(lang, np.zeros(len(names))) + np.array([*classes(joined), n, hits[lang]])
         rows = list(total.items())
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), *(pa.array([float(v[i]) for _, v in rows], pa.float64()) for i in range(len(names)))], names=["lang", *names])
 
@@ -264,13 +275,13 @@ def quality(pages: DataFrame, common_words: DataFrame) -> DataFrame:
                 lines = body(text, host, web, often)
                 found = counted(lines, by, every)
                 name, d = profiles.nearest(found)
-                proof = evidence(unfenced(lines))
+                proof = evidence(unfenced(lines), found["sums"])
                 verdict = None if proof or name == "empty" else name.startswith("prose")
                 rows.append((found["words"], found["mean_word_length"], found["symbol_ratio"], found["ended_lines"], found["common_words"], found["lang"], name, d, proof, verdict))
             c = list(zip(*rows)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(c, types))], names=names)
 
-    return pages.where(F.trim("markdown") != "").select("doc_id", "markdown", "host", "web", "recurring").mapInArrow(run, kinds)
+    return pages.where(F.col("markdown").rlike(r"\S")).select("doc_id", "markdown", "host", "web", "recurring").mapInArrow(run, kinds)
 
 
 def unfenced(lines: list[str]) -> list[str]:

@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of text boxes of one document, and of whole records, that look the same but differ."""
     boxes = table(spark, folder, "text_boxes").select("doc_id", "id", "text")
-    records = table(spark, folder, "documents_out").select("doc_id", "markdown").where(F.trim("markdown") != "")
+    records = table(spark, folder, "documents_out").select("doc_id", "markdown").where(F.col("markdown").rlike(r"\S"))
     counts = lookalikes.code_points(boxes, ["text"])
     for c, n in lookalikes.code_points(records, ["markdown"]).items():
         counts[c] = counts.get(c, 0) + n
@@ -39,8 +39,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _garbled(spark: SparkSession, folder: str) -> DataFrame:
     """``tbl, doc_id, page_number, item_no, restored`` of every wrongly decoded record."""
-    records = table(spark, folder, "documents_out").select("doc_id", F.col("markdown").alias("text")).where(F.trim("text") != "")
-    items = table(spark, folder, "raw_items").select("doc_id", "page_number", "item_no", "text").where(F.trim("text") != "")
+    records = table(spark, folder, "documents_out").select("doc_id", F.col("markdown").alias("text")).where(F.col("text").rlike(r"\S"))
+    items = table(spark, folder, "raw_items").select("doc_id", "page_number", "item_no", "text").where(F.col("text").rlike(r"\S"))
     known = encodings.garbled_table([records, items])
     whole = encodings.damaged(records, known, ["doc_id"], "text")
     parts = encodings.damaged(items, known, ["doc_id", "page_number", "item_no"], "text", "doc_id")
@@ -71,7 +71,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of PDF records with furniture, words broken for the line, or misread words."""
-    records = table(spark, folder, "documents_out").where(F.trim("markdown") != "")
+    records = table(spark, folder, "documents_out").where(F.col("markdown").rlike(r"\S"))
     pdf = records.where("converter = 'pdf'").select("doc_id", "markdown").distinct()
     found, _ = scans.noise(pdf, table(spark, folder, "text_boxes"), records.select(F.col("markdown").alias("text")))
     return found

@@ -63,8 +63,10 @@ CODE_FENCE, INLINE = re.compile(r"^\s*(?:```|~~~)"), re.compile(r"`[^`\n]*`")
 WORDS = re.compile(r"[^\W\d_]{2,}")
 #: Words of real text beside which a message is only a notice.
 REAL = 12
+#: Words beyond which no record is a prompt or a message.
+MOST_WORDS = 400
 #: The share of a residual that filler must make up.
-MOSTLY = 0.6
+MOSTLY = 0.5
 
 
 def residual(text: str, host: str | None, web: bool, often: frozenset[int] = frozenset()) -> list[str]:
@@ -101,20 +103,27 @@ def symbols(line: str) -> bool:
     return letters < 0.3 * len(line.replace(" ", ""))
 
 
-def evidence(lines: list[str]) -> str | None:
-    """What makes a residual no real content: placeholder, prompt, filler, error or demand; None for real content."""
+def evidence(lines: list[str], words: Counter | None = None) -> str | None:
+    """What makes a residual no real content: placeholder, prompt, filler, error or demand; None for real content.
+
+    ``words`` are the counts of what stands between spaces, where they are known.
+    """
     if not lines:
         return None
     if any(placeholder(x) and not symbols(x) and not x.lstrip().startswith("|") for x in lines):
         return "placeholder"
-    # Prompts and messages are short; longer lines are text and need no skeleton.
+    if words is None:
+        words = Counter("\n".join(lines).lower().split())
+    if filler([x for x in lines if not x.lstrip().startswith("#")] or lines, words):
+        return "filler"
+    # Prompts and messages are short and stand alone; longer lines are text and need no skeleton.
+    if words.total() > MOST_WORDS:
+        return None
     bones = [skeleton(x).strip("#*_>- \t") if len(x) < 160 else "" for x in lines]
     heads = [x.lstrip().startswith("#") for x in lines]
     prompt = [b in PROMPTS for b in bones]
     if any(prompt) and _real(lines, heads, prompt) <= REAL:
         return "prompt"
-    if filler([x for x, h in zip(lines, heads) if not h] or lines):
-        return "filler"
     # Messages have few lines.
     if len(lines) > 12:
         return None
@@ -133,8 +142,8 @@ def _real(lines: list[str], heads: list[bool], mine: list[bool]) -> int:
     return sum(len(WORDS.findall(x)) for x, h, m in zip(lines, heads, mine) if not m and not h and not x.lstrip().startswith(("- ", "* ", "[")))
 
 
-def filler(lines: list[str]) -> bool:
-    words = Counter(WORDS.findall("\n".join(lines).lower()))
+def filler(lines: list[str], words: Counter) -> bool:
+    """Whether filler vocabulary or one repeated phrase makes up most of the text; signs at a word's end cost a few matches."""
     size = words.total()
     if size < 4:
         return False
@@ -160,4 +169,4 @@ def judged(pages: DataFrame) -> DataFrame:
                 kinds.append(evidence(residual(text, host, web, frozenset(keys or ()))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kinds, pa.string())], names=["doc_id", "evidence"])
 
-    return pages.where(F.trim("markdown") != "").select("doc_id", "markdown", "host", "web", "recurring").mapInArrow(run, "doc_id string, evidence string")
+    return pages.where(F.col("markdown").rlike(r"\S")).select("doc_id", "markdown", "host", "web", "recurring").mapInArrow(run, "doc_id string, evidence string")
