@@ -2,18 +2,529 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioforge.formats.markdown import html_to_markdown
+from folioforge.formats.registry import PLAIN
+from folioforge.functions import text as T
+from folioforge.functions import urls as U
+from folioforge.operators import convert, evaluation, layout, routing
+from folioforge.runtime import table
+from folioforge.streaming import ingest
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return add
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    from folioforge.runtime import table
+    """Route all sources and convert those whose content is at hand."""
+    return converted_sources(spark, folder)
+
+
+# ---------------------------------------------------------------- routing and addresses
+
+OOXML = "application/vnd.openxmlformats-officedocument."
+ROUTE = f"""CASE
+  WHEN extension = '.pdf' OR mimetype LIKE 'application/pdf%' OR mimetype LIKE 'application/x-pdf%' THEN 'pdf'
+  WHEN extension = '.docx' OR mimetype LIKE '{OOXML}wordprocessingml.document%' THEN 'docx'
+  WHEN extension = '.pptx' OR mimetype LIKE '{OOXML}presentationml.presentation%' THEN 'pptx'
+  WHEN extension = '.xlsx' OR mimetype LIKE '{OOXML}spreadsheetml.sheet%' THEN 'xlsx'
+  WHEN extension = '.epub' OR mimetype LIKE 'application/epub%' OR mimetype LIKE 'application/x-epub+zip%' THEN 'epub'
+  WHEN extension = '.ipynb' THEN 'ipynb'
+  WHEN extension IN ('.pages', '.key', '.numbers') THEN 'iwork'
+  WHEN regexp_matches(url, '^https?://(github\\.com|www\\.github\\.com|gist\\.github\\.com)(:[0-9]+)?/[^/?#]') THEN 'github'
+  WHEN regexp_matches(url, '^https?://([a-z]{{2,3}}\\.)?wikipedia\\.org/') THEN 'wikipedia'
+  WHEN extension IN ('.rss', '.atom', '.xml') OR mimetype LIKE 'application/rss%' OR mimetype LIKE 'application/atom%' OR mimetype LIKE 'text/xml%' OR mimetype LIKE 'application/xml%' THEN 'rss'
+  WHEN extension IN ('.csv', '.tsv') OR mimetype LIKE 'text/csv%' OR mimetype LIKE 'text/tab-separated-values%' THEN 'csv'
+  WHEN extension = '.json' OR mimetype LIKE 'application/json%' THEN 'json'
+  WHEN extension IN ('.yaml', '.yml') OR mimetype LIKE 'text/yaml%' OR mimetype LIKE 'application/x-yaml%' THEN 'yaml'
+  WHEN extension IN ('.jpg', '.jpeg', '.png', '.gif', '.webp', '.tiff', '.tif', '.bmp', '.svg') OR mimetype LIKE 'image/%' THEN 'image'
+  WHEN extension IN ('.mp3', '.wav', '.m4a', '.mp4', '.ogg', '.flac', '.aac', '.wma') OR mimetype LIKE 'audio/%' OR mimetype = 'video/mp4' THEN 'audio'
+  WHEN extension = '.zip' OR mimetype LIKE 'application/zip%' OR mimetype LIKE 'application/x-zip-compressed%' THEN 'zip'
+  WHEN extension IN ('.xml', '.svg') THEN 'xml'
+  WHEN extension IN ('.html', '.htm') OR mimetype LIKE 'text/html%' OR mimetype LIKE 'application/xhtml%' THEN 'html'
+  WHEN extension IN ({", ".join(f"'{e}'" for e in PLAIN.split())}) OR mimetype LIKE 'text/%' OR (extension IS NULL AND mimetype IS NULL) THEN 'plain-text' END"""
+
+
+@query(f"SELECT doc_id, received_at, {ROUTE} AS route FROM documents_in")
+def route_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The first converter that takes each source."""
+    return routing.routed(table(spark, folder, "documents_in")).select("doc_id", "received_at", "route")
+
+
+@query(f"SELECT route, count(*) AS sources, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, {ROUTE} AS route FROM documents_in) GROUP BY route")
+def route_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources and documents by route."""
+    return routing.routed(table(spark, folder, "documents_in")).groupBy("route").agg(F.count("*").alias("sources"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, received_at, url, regexp_extract(url, '^(https?)://([^/?#]*)([^?#]*)', 3) AS raw FROM documents_in WHERE url IS NOT NULL),
+    q AS (SELECT *, CASE WHEN raw = '' THEN '/' ELSE raw END AS path FROM p)
+    SELECT doc_id, received_at, path, regexp_extract(path, '([^/]*)$', 1) AS basename, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\\.[^.]*)$', 1)) AS extension,
+    nullif(regexp_extract(url, '^(https?://[^/?#]*)/?(?:[?#].*)?$', 1), '') AS root_origin FROM q"""
+)
+def url_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of addresses."""
+    u = F.col("url")
+    return table(spark, folder, "documents_in").where("url is not null").select("doc_id", "received_at", U.path(u).alias("path"), U.basename(u).alias("basename"), U.extension(u).alias("extension"), U.root_origin(u).alias("root_origin"))
+
+
+@query(
+    """SELECT DISTINCT doc_id, href, CASE WHEN href LIKE 'https://%' THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^(https?):', 1) || ':' || href
+    WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/]*)', 1) || href
+    ELSE regexp_extract(url, '^(https?://[^/]*)', 1) || CASE WHEN regexp_extract(url, '^https?://[^/]*(.*)$', 1) LIKE '%/%' THEN regexp_extract(regexp_extract(url, '^https?://[^/]*(.*)$', 1), '^(.*/)[^/]*$', 1) ELSE '/' END || regexp_replace(href, '^\\./', '') END AS resolved
+    FROM documents_in, (SELECT unnest(['https://a.example/x', '//b.example/y', '/c/d.md', './e.md', 'f/g.md']) AS href) WHERE url IS NOT NULL"""
+)
+def resolved_links(spark: SparkSession, folder: str) -> DataFrame:
+    """U4: links as seen from each page."""
+    hrefs = F.explode(F.array(*map(F.lit, ("https://a.example/x", "//b.example/y", "/c/d.md", "./e.md", "f/g.md"))))
+    rows = table(spark, folder, "documents_in").where("url is not null").select("doc_id", "url", hrefs.alias("href"))
+    return rows.select("doc_id", "href", U.resolved(F.col("href"), F.col("url")).alias("resolved")).distinct()
+
+
+@query(
+    """SELECT DISTINCT doc_id, CASE WHEN length(url) % 3 = 0 THEN regexp_extract(url, '^(https?://[^/]*)', 1) || '/raw/' || doc_id || '.md'
+    WHEN length(url) % 3 = 1 AND NOT regexp_matches(regexp_extract(regexp_extract(url, '^(https?)://([^/?#]*)([^?#]*)', 3), '([^/]*)$', 1), '\\.[^.]*$') THEN regexp_replace(url, '/$', '') || '.md' END AS source
+    FROM documents_in WHERE url IS NOT NULL"""
+)
+def markdown_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the Markdown of a page is to be had."""
+    html = (
+        F.when(F.length("url") % 3 == 0, F.concat(F.lit('<html><LINK class="x" rel="alternate" type="text/markdown" href="/raw/'), "doc_id", F.lit('.md"></html>')))
+        .when(F.length("url") % 3 == 1, F.lit('<div id="VPContent"></div>'))
+        .otherwise(F.lit("<p>plain</p>"))
+    )
+    return table(spark, folder, "documents_in").where("url is not null").select("doc_id", U.markdown_source(html, F.col("url")).alias("source")).distinct()
+
+
+@query("SELECT lower(trim(split_part(mimetype, ';', 1))) AS media_type, count(*) AS n FROM documents_in GROUP BY 1")
+def media_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Media types without parameters."""
+    return table(spark, folder, "documents_in").groupBy(U.media_type(F.col("mimetype")).alias("media_type")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, received_at, sha256(content) AS digest, octet_length(content) AS bytes FROM documents_in WHERE content IS NOT NULL")
+def content_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of what was received."""
+    return table(spark, folder, "documents_in").where("content is not null").select("doc_id", "received_at", F.sha2("content", 256).alias("digest"), F.octet_length("content").cast("bigint").alias("bytes"))
+
+
+@query()
+def converted_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Every source with content, converted."""
+    sources = table(spark, folder, "documents_in").where("content is not null")
+    return convert.convert(sources).select("doc_id", "converter", "markdown", "title", convert.failure_message().alias("failure")).distinct()
+
+
+@query("SELECT DISTINCT doc_id FROM documents_in WHERE content IS NULL")
+def sources_without_content(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that report what is missing instead of failing the job."""
+    sources = table(spark, folder, "documents_in").where("content is null")
+    return convert.convert(sources).where("markdown is null and size(errors) = 1").select("doc_id").distinct()
+
+
+# ---------------------------------------------------------------- text
+
+@query("SELECT doc_id, converted_at, md5(trim(regexp_replace(markdown, '[\\s\\p{Z}]+', ' ', 'g'))) AS digest, length(markdown) AS chars FROM documents_out WHERE markdown IS NOT NULL")
+def normalized_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Text with single spaces."""
+    rows = table(spark, folder, "documents_out").where("markdown is not null")
+    return rows.select("doc_id", "converted_at", F.md5(T.one_space(F.col("markdown"))).alias("digest"), F.length("markdown").cast("bigint").alias("chars"))
+
+
+@query(f"SELECT doc_id, converted_at, md5(translate(markdown, '{T.WIDE}', '{T.NARROW.replace(chr(39), chr(39) * 2)}')) AS digest FROM documents_out WHERE markdown IS NOT NULL")
+def half_width_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Full-width forms as plain ones."""
+    return table(spark, folder, "documents_out").where("markdown is not null").select("doc_id", "converted_at", F.md5(T.half_width(F.col("markdown"))).alias("digest"))
+
+
+@query("SELECT doc_id, page_number, seq, text, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html, regexp_replace(replace(text, '|', '\\|'), '\\r?\\n', '<br>', 'g') AS cell FROM (SELECT DISTINCT * FROM text_boxes) WHERE NOT regexp_matches(text, '[！-～]')")
+def table_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Text for cells."""
+    rows = table(spark, folder, "text_boxes").distinct().where(~F.col("text").rlike("[！-～]"))
+    return rows.select("doc_id", "page_number", "seq", "text", T.html_cell(F.col("text")).alias("html"), T.cell(F.col("text")).alias("cell"))
+
+
+# ---------------------------------------------------------------- pages
+
+BOXES = "b AS (SELECT DISTINCT * REPLACE (trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) AS text) FROM (SELECT DISTINCT * FROM text_boxes)), bx AS (SELECT * FROM b WHERE text <> '')"
+HEADS = f"""{BOXES}, g AS (SELECT DISTINCT doc_id, page_number, page_height FROM page_geometry),
+    o AS (SELECT DISTINCT doc_id, text, page_number FROM bx JOIN g USING (doc_id, page_number) WHERE y_bottom > 0.88 * page_height OR y_top < 0.12 * page_height),
+    r AS (SELECT doc_id, text, page_number - row_number() OVER (PARTITION BY doc_id, text ORDER BY page_number) AS island FROM o),
+    t AS (SELECT doc_id, text, sum(n) AS pages, max(n) AS longest FROM (SELECT doc_id, text, island, count(*) AS n FROM r GROUP BY ALL) GROUP BY doc_id, text),
+    s AS (SELECT doc_id, count(DISTINCT page_number) AS n FROM g GROUP BY doc_id),
+    heads AS (SELECT doc_id, text, pages, longest FROM t JOIN s USING (doc_id) WHERE n >= 5 AND (pages >= greatest(3, n // 5) OR longest >= 8))"""
+LINES = f"""{BOXES}, d AS (SELECT *, coalesce((lag(y_bottom) OVER w - y_bottom > 3.0)::int, 0) AS step FROM bx WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY y_bottom DESC, x_left, seq)),
+    n AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, page_number ORDER BY y_bottom DESC, x_left, seq RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS line FROM d),
+    ln AS (SELECT doc_id, page_number, line, string_agg(text, ' ' ORDER BY x_left, seq) AS text, max(y_top) AS top, min(y_bottom) AS bottom, max(font_size) AS font_size, bool_and(is_bold) AS is_bold FROM n GROUP BY ALL)"""
+BODY = "sz AS (SELECT doc_id, page_number, seq, round(font_size, 1) AS size FROM (SELECT DISTINCT * FROM text_boxes)), c AS (SELECT doc_id, size, count(*) AS n, min(page_number * 1000000 + seq) AS first FROM sz WHERE size >= 7 GROUP BY ALL), body AS (SELECT doc_id, size AS body FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) = 1)"
+MARK = "CASE WHEN font_size / body >= 2 THEN '# ' WHEN font_size / body >= 1.4 THEN '## ' WHEN font_size / body >= 1.1 AND is_bold THEN '### ' ELSE '' END"
+
+
+def _boxes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "text_boxes")
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "page_geometry")
+
+
+@query(f"WITH {HEADS} SELECT doc_id, text, pages, longest FROM heads")
+def running_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """A5: texts that recur in the margins of a document's pages."""
+    return layout.running_heads(_boxes(spark, folder), _pages(spark, folder))
+
+
+@query(
+    f"""WITH {HEADS}, x AS (SELECT bx.* , page_height FROM bx JOIN g USING (doc_id, page_number))
+    SELECT doc_id, page_number, count(*) AS boxes FROM x WHERE NOT ((y_bottom > 0.88 * page_height OR y_top < 0.12 * page_height) AND EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = x.doc_id AND h.text = x.text)) GROUP BY ALL"""
+)
+def boxes_without_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes left on each page."""
+    return layout.without_heads(_boxes(spark, folder), _pages(spark, folder)).groupBy("doc_id", "page_number").agg(F.count("*").alias("boxes"))
+
+
+@query(f"WITH {BODY} SELECT doc_id, body FROM body")
+def modal_size(spark: SparkSession, folder: str) -> DataFrame:
+    """The commonest type size."""
+    return layout.modal_size(_boxes(spark, folder))
+
+
+@query("WITH s AS (SELECT doc_id, font_size, row_number() OVER (PARTITION BY doc_id ORDER BY font_size) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT * FROM text_boxes) WHERE font_size > 0) SELECT doc_id, font_size AS median FROM s WHERE k = n // 2")
+def median_size(spark: SparkSession, folder: str) -> DataFrame:
+    """The upper median of type sizes."""
+    return layout.median_size(_boxes(spark, folder))
+
+
+@query(f"WITH {LINES} SELECT doc_id, page_number, line, text, top, bottom, font_size, is_bold FROM ln")
+def page_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes as lines."""
+    return layout.lines(_boxes(spark, folder)).drop("gap")
+
+
+@query(f"WITH {LINES}, {BODY} SELECT doc_id, page_number, line, text, {MARK} AS mark FROM ln JOIN body USING (doc_id) WHERE {MARK} <> ''")
+def heading_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that are headings."""
+    boxes = _boxes(spark, folder)
+    return layout.headings(layout.lines(boxes), layout.modal_size(boxes)).where("mark <> ''").select("doc_id", "page_number", "line", "text", "mark")
+
+
+@query(
+    f"""WITH {LINES}, {BODY}, m AS (SELECT *, {MARK} AS mark FROM ln JOIN body USING (doc_id)),
+    k AS (SELECT *, CASE WHEN lag(mark) OVER w = mark AND lag(bottom) OVER w - top <= greatest(3 * body, 30.0) THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY line)),
+    h AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_number ORDER BY line) AS heading FROM k)
+    SELECT doc_id, page_number, heading, mark, string_agg(text, ' ' ORDER BY line) AS text FROM h WHERE mark <> '' GROUP BY ALL"""
+)
+def merged_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings set over several lines."""
+    boxes = _boxes(spark, folder)
+    body = layout.modal_size(boxes)
+    return layout.merged_headings(layout.headings(layout.lines(boxes), body), body)
+
+
+@query(f"WITH {LINES} SELECT doc_id, page_number, md5(string_agg(text, chr(10) ORDER BY line)) AS digest, count(*) AS lines FROM ln GROUP BY ALL")
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages put together from their lines."""
+    rows = layout.lines(_boxes(spark, folder))
+    return layout.page_text(rows).select("doc_id", "page_number", F.md5("text").alias("digest"), (F.regexp_count("text", F.lit("\n")) + 1).cast("bigint").alias("lines"))
+
+
+@query(
+    f"""WITH {BOXES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y_top, seq DESC) AS k FROM bx)
+    SELECT doc_id, page_number, seq, text FROM k WHERE k <= 3 AND y_top <= 120 AND regexp_replace(text, '^[\\s—-]+|[\\s—-]+$', '', 'g') = page_number::varchar"""
+)
+def foot_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Page numbers at the foot."""
+    return layout.foot_numbers(_boxes(spark, folder)).select("doc_id", "page_number", "seq", "text")
+
+
+@query(f"WITH {BOXES} SELECT doc_id, page_number, seq, text FROM bx WHERE regexp_matches(trim(text), '{'|'.join(f'(?:{p})' for p in T.CHROME).replace(chr(39), chr(39) * 2)}')")
+def chrome_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that look like furniture."""
+    return layout.chrome(_boxes(spark, folder)).select("doc_id", "page_number", "seq", "text")
+
+
+@query(
+    """WITH i AS (SELECT DISTINCT * FROM raw_items), r AS (SELECT *, x + coalesce(width, 0.0) AS rgt FROM i),
+    s AS (SELECT *, coalesce((lag(y) OVER w - y > 2.0)::int, 0) AS step FROM r WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY y DESC, x, item_no)),
+    l AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, page_number ORDER BY y DESC, x, item_no) AS line FROM s),
+    g AS (SELECT *, x - lag(rgt) OVER (PARTITION BY doc_id, page_number, line ORDER BY x, item_no) AS gap FROM l),
+    n AS (SELECT *, CASE WHEN gap IS NULL OR gap > least(greatest(0.6 * font_size, 6.0), 14.0) THEN 1 ELSE 0 END AS new FROM g),
+    w AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_number ORDER BY line, x, item_no) AS word FROM n)
+    SELECT doc_id, page_number, word, string_agg(CASE WHEN new = 0 AND gap > 0.1 * font_size THEN ' ' ELSE '' END || text, '' ORDER BY x, item_no) AS text, min(x) AS x_left, max(rgt) AS x_right FROM w GROUP BY ALL"""
+)
+def merged_items(spark: SparkSession, folder: str) -> DataFrame:
+    """A1: fragments merged into runs of text."""
+    return layout.words(table(spark, folder, "raw_items"))
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT doc_id, page_number, x_left, x_right FROM text_boxes), m AS (SELECT *, max(x_right) OVER (PARTITION BY doc_id, page_number ORDER BY x_left, x_right ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b),
+    i AS (SELECT *, sum(CASE WHEN before IS NULL OR x_left > before + 10.0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_number ORDER BY x_left, x_right ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
+    SELECT doc_id, page_number, island, min(x_left) AS low, max(x_right) AS high FROM i GROUP BY ALL"""
+)
+def width_islands(spark: SparkSession, folder: str) -> DataFrame:
+    """Extents of text across each page."""
+    return layout.islands(_boxes(spark, folder).select("doc_id", "page_number", "x_left", "x_right").distinct(), ["doc_id", "page_number"], "x_left", "x_right")
+
+
+@query("SELECT DISTINCT i.doc_id, i.page_number, i.item_no, b.id FROM raw_items i JOIN text_boxes b ON i.doc_id = b.doc_id AND i.page_number = b.page_number AND i.x BETWEEN b.x_left AND b.x_right AND i.y BETWEEN b.y_bottom AND b.y_top")
+def items_in_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """The boxes in which fragments lie."""
+    return layout.placed(table(spark, folder, "raw_items"), _boxes(spark, folder))
+
+
+@query(
+    """WITH i AS (SELECT DISTINCT doc_id, page_number, item_no, x, y FROM raw_items), b AS (SELECT DISTINCT * FROM text_boxes),
+    m AS (SELECT i.doc_id, i.page_number, i.item_no, b.id, round(greatest(b.y_bottom - i.y, i.y - b.y_top, 0.0), 4) AS distance, NOT (i.x BETWEEN b.x_left AND b.x_right) AS beside, b.seq FROM i JOIN b ON i.doc_id = b.doc_id AND i.page_number = b.page_number)
+    SELECT doc_id, page_number, item_no, id, distance FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, page_number, item_no ORDER BY beside, distance, seq) = 1"""
+)
+def nearest_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """The box nearest to each fragment."""
+    return layout.nearest(table(spark, folder, "raw_items"), _boxes(spark, folder))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT doc_id, page_number, seq AS r, floor(x_left / 100) AS col, text FROM text_boxes), a AS (SELECT doc_id, page_number, count(DISTINCT r) AS rows, count(DISTINCT col) AS columns, count(CASE WHEN trim(text) <> '' THEN 1 END) AS f, count(DISTINCT CASE WHEN trim(text) <> '' THEN text END) AS d FROM c GROUP BY ALL)
+    SELECT doc_id, page_number, rows, columns, round(f / (rows * columns), 6) AS filled, round(1 - d / greatest(f, 1), 6) AS repeated, columns > 25 OR f / (rows * columns) < 0.25 AS is_diagram FROM a"""
+)
+def grid_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """G11, AG6: how full grids are."""
+    cells = _boxes(spark, folder).select("doc_id", "page_number", F.col("seq").alias("r"), F.floor(F.col("x_left") / 100).alias("col"), "text").distinct()
+    return layout.fill(cells, ["doc_id", "page_number"], "r", "col", "text").withColumns({c: F.round(c, 6) for c in ("filled", "repeated")})
+
+
+@query("WITH f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY item_no) - 1 AS k FROM (SELECT DISTINCT doc_id, page_number, item_no, width, font_size FROM raw_items) WHERE trunc(coalesce(width, 0)) * trunc(font_size) >= 500) SELECT doc_id, page_number, item_no, 'p' || page_number || '-i' || k AS id FROM f")
+def sized_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """Regions of some size, numbered on their page."""
+    rows = table(spark, folder, "raw_items").select("doc_id", "page_number", "item_no", "width", "font_size").distinct()
+    big = rows.where(F.floor(F.coalesce("width", F.lit(0.0))) * F.floor("font_size") >= 500)
+    k = F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("item_no")) - 1
+    return big.select("doc_id", "page_number", "item_no", F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("-i"), k.cast("string")).alias("id"))
+
+
+@query("SELECT n_regionkey, '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey")
+def markdown_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """C4, C11: rows as Markdown tables."""
+    return layout.markdown_table(table(spark, folder, "nation"), ["n_regionkey"], ["n_nationkey"], ["n_nationkey", "n_name"])
+
+
+@query(
+    """WITH t AS (SELECT n_regionkey, '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS m FROM nation GROUP BY n_regionkey)
+    SELECT string_agg('## ' || r_name || chr(10) || chr(10) || m, chr(10) || chr(10) ORDER BY r_regionkey) AS markdown FROM t JOIN region ON n_regionkey = r_regionkey"""
+)
+def sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """C4, C3, AG7: titled tables put together in order."""
+    tables = markdown_tables(spark, folder).join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return layout.sections(tables, [], ["r_regionkey"], F.col("r_name"), F.col("markdown"))
+
+
+@query()
+def html_to_markdown_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """M1: court decisions set as HTML and brought back to Markdown."""
+    @F.pandas_udf("string")
+    def back(html: pd.Series) -> pd.Series:
+        return html.map(html_to_markdown, na_action="ignore")
+
+    safe = T.html_cell(F.regexp_replace("text", "\n{2,}", "\u0001"))
+    html = F.concat(F.lit("<html><body><h1>"), "source", F.lit("</h1><p>"), F.replace(safe, F.lit("\u0001"), F.lit("</p>\n<p>")), F.lit("</p></body></html>"))
+    return table(spark, folder, "documents").select("doc_id", back(html).alias("markdown"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+TEXTS = "t AS (SELECT DISTINCT doc_id, converter, markdown FROM documents_out WHERE markdown IS NOT NULL)"
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents_out").where("markdown is not null").select("doc_id", "converter", "markdown").distinct()
+
+
+@query(
+    f"""WITH {TEXTS} SELECT doc_id, length(markdown) AS chars, len(regexp_extract_all(markdown, '(?m)^#{{1,6}} ')) AS headings, len(regexp_extract_all(markdown, '(?m)^\\|.*\\|[ ]*$')) AS table_rows,
+    len(regexp_extract_all(markdown, '(?m)^[ ]*(?:[-*+]|[0-9]+\\.) ')) AS list_items, len(regexp_extract_all(markdown, '\\[[^\\]\\n]*\\]\\([^)\\n]*\\)')) AS links, len(regexp_extract_all(markdown, '\\[\\^[^\\]\\n]+\\]')) AS footnotes FROM t"""
+)
+def structure_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """AG14, E5: what texts are made of."""
+    counted = evaluation.structure(_texts(spark, folder), "markdown").drop("markdown", "converter")
+    return counted.select("doc_id", *(F.col(c).cast("bigint").alias(c) for c in counted.columns if c != "doc_id"))
+
+
+WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, docket, text, {WORDS.format("text")} AS w FROM documents WHERE docket IS NOT NULL),
+    s AS (SELECT doc_id, docket, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d)
+    SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN len(a.g) > 0 THEN round(len(list_intersect(a.g, b.g)) / len(a.g), 4) END AS a_in_b, CASE WHEN len(b.g) > 0 THEN round(len(list_intersect(a.g, b.g)) / len(b.g), 4) END AS b_in_a
+    FROM s a JOIN s b ON a.docket = b.docket AND a.doc_id < b.doc_id"""
+)
+def trigram_containment(spark: SparkSession, folder: str) -> DataFrame:
+    """AG15, AG11, J17: how much of each version of a decision another one holds."""
+    docs = table(spark, folder, "documents").where("docket is not null")
+    pairs = evaluation.ordered_pairs(docs, ["docket"], "doc_id")
+    texts = docs.select("doc_id", "text")
+    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta_"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb_"}), "b")
+    return evaluation.containment(both, "ta_", "tb_").select("a", "b", "a_in_b", "b_in_a")
+
+
+NORMAL = "trim(regexp_replace(lower(regexp_replace({0}, '[®™]', '', 'g')), '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH o AS (SELECT DISTINCT doc_id, coalesce(converter, 'none') AS tool, markdown AS text FROM documents_out), k AS (SELECT DISTINCT doc_id, title FROM documents_out WHERE title IS NOT NULL),
+    c AS (SELECT doc_id, 'contains' AS type, title AS value FROM k UNION ALL SELECT doc_id, 'min_chars', '500' FROM k UNION ALL SELECT doc_id, 'min_table_rows', '3' FROM k UNION ALL SELECT doc_id, 'not_contains', 'lorem ipsum' FROM k UNION ALL SELECT doc_id, 'regex', '^# ' FROM k),
+    m AS (SELECT c.doc_id, tool, coalesce(CASE type WHEN 'contains' THEN contains({NORMAL.format("coalesce(text, '')")}, {NORMAL.format("value")}) WHEN 'not_contains' THEN NOT contains({NORMAL.format("coalesce(text, '')")}, {NORMAL.format("value")})
+      WHEN 'min_chars' THEN length(coalesce(text, '')) >= try_cast(value AS int) WHEN 'min_table_rows' THEN len(regexp_extract_all(coalesce(text, ''), '(?m)^\\|.*\\|[ ]*$')) >= try_cast(value AS int) WHEN 'regex' THEN regexp_matches(coalesce(text, ''), '(?im)^# ') END, false) AS ok FROM c JOIN o USING (doc_id)),
+    d AS (SELECT tool, doc_id, count_if(ok) AS passed, count(*) AS total FROM m GROUP BY ALL)
+    SELECT tool, sum(passed) AS passed, sum(total) AS total, round(sum(passed) / sum(total), 4) AS score, count_if(passed = total) AS complete, count(*) AS documents FROM d GROUP BY tool"""
+)
+def assertion_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """J16, AG9, E4: assertions by converter."""
+    outputs = table(spark, folder, "documents_out").select("doc_id", F.coalesce("converter", F.lit("none")).alias("tool"), F.col("markdown").alias("text")).distinct()
+    titled = table(spark, folder, "documents_out").where("title is not null").select("doc_id", "title").distinct()
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("type"), v.alias("value")) for k, v in (("contains", F.col("title")), ("min_chars", F.lit("500")), ("min_table_rows", F.lit("3")), ("not_contains", F.lit("lorem ipsum")), ("regex", F.lit("^# "))))))
+    checks = titled.select("doc_id", kinds.alias("c")).select("doc_id", "c.*")
+    mine = checks.join(outputs, "doc_id").withColumn("ok", F.coalesce(evaluation.passes(F.col("type"), F.col("value"), F.col("text")), F.lit(False)))
+    by_doc = mine.groupBy("tool", "doc_id").agg(F.count_if("ok").alias("passed"), F.count("*").alias("total"))
+    return by_doc.groupBy("tool").agg(
+        F.sum("passed").alias("passed"), F.sum("total").alias("total"), F.round(F.sum("passed") / F.sum("total"), 4).alias("score"), F.count_if(F.col("passed") == F.col("total")).alias("complete"), F.count("*").alias("documents")
+    )
+
+
+@query(
+    """SELECT coalesce(converter, 'none') AS tool, count(*) AS runs, count_if(markdown IS NOT NULL) AS passed, count_if(markdown IS NULL) AS failed, round(median(CASE WHEN markdown IS NOT NULL THEN length(markdown) END), 3) AS median, sum(CASE WHEN markdown IS NOT NULL THEN length(markdown) END)::double AS total
+    FROM documents_out GROUP BY 1"""
+)
+def converter_report(spark: SparkSession, folder: str) -> DataFrame:
+    """AG13, E2: runs, failures, median and total by converter."""
+    rows = table(spark, folder, "documents_out").withColumn("tool", F.coalesce("converter", F.lit("none")))
+    return evaluation.run_report(rows, "tool", F.col("markdown").isNotNull(), F.length("markdown").cast("double"))
+
+
+@query("WITH x AS (SELECT unnest(errors) AS err FROM documents_out) SELECT err.converter AS failed, err.message AS message, count(*) AS n FROM x GROUP BY ALL")
+def error_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors by converter and message."""
+    rows = table(spark, folder, "documents_out").select(F.explode("errors").alias("e"))
+    return rows.groupBy(F.col("e.converter").alias("failed"), F.col("e.message").alias("message")).agg(F.count("*").alias("n"))
+
+
+@query("WITH m AS (SELECT lang, source, avg(n_chars) AS m FROM documents GROUP BY ALL) SELECT lang, round(avg(m), 4) AS macro FROM m GROUP BY lang")
+def macro_average(spark: SparkSession, folder: str) -> DataFrame:
+    """AG10, E11: means of means."""
+    return evaluation.macro_average(table(spark, folder, "documents"), ["lang"], "source", "n_chars")
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT doc_id FROM documents_in), b AS (SELECT DISTINCT doc_id FROM documents_out WHERE markdown IS NOT NULL)
+    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL"""
+)
+def manifest_difference(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources without a result and results without a source."""
+    expected = table(spark, folder, "documents_in").select("doc_id").distinct().withColumn("digest", F.lit(""))
+    found = table(spark, folder, "documents_out").where("markdown is not null").select("doc_id").distinct().withColumn("digest", F.lit(""))
+    return evaluation.manifest_difference(expected, found)
+
+
+@query("SELECT doc_id, count(*) AS runs, count(DISTINCT md5(coalesce(markdown, ''))) <= 1 AS deterministic FROM documents_out GROUP BY doc_id HAVING count(*) > 1")
+def repeated_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """AG12: whether repeated conversions agree."""
+    return evaluation.deterministic(table(spark, folder, "documents_out"), ["doc_id"], F.md5(F.coalesce("markdown", F.lit("")))).where("runs > 1")
+
+
+@query("SELECT DISTINCT doc_id FROM documents_in WHERE doc_id NOT IN (SELECT doc_id FROM documents_out WHERE markdown IS NOT NULL)")
+def remaining_work(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources still to convert."""
+    return evaluation.remaining(table(spark, folder, "documents_in").select("doc_id").distinct(), table(spark, folder, "documents_out").where("markdown is not null"), ["doc_id"])
+
+
+@query(
+    """WITH p AS (SELECT doc_id, max(page_number) AS pages FROM page_geometry GROUP BY doc_id) SELECT doc_id, share, greatest(1, least(round_even(pages * share, 0), pages))::int AS page
+    FROM p, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]::double[]) AS share)"""
+)
+def quantile_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages at shares of a document."""
+    sizes = _pages(spark, folder).groupBy("doc_id").agg(F.max("page_number").alias("pages"))
+    return evaluation.quantile_pages(sizes, "doc_id", "pages")
+
+
+@query(
+    f"""WITH b AS (SELECT DISTINCT doc_id, page_number, seq, text FROM text_boxes), w AS (SELECT *, {WORDS.format("text")} AS w FROM b),
+    f AS (SELECT *, array_to_string(w[(len(w) - 7) // 2 + 1:(len(w) - 7) // 2 + 7], ' ') AS anchor FROM w WHERE len(w) BETWEEN 7 AND 30 AND len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{L}}+$'))) >= 5),
+    s AS (SELECT anchor, count(DISTINCT doc_id) AS g FROM f GROUP BY anchor)
+    SELECT doc_id, anchor, g = 1 AS "unique" FROM f JOIN s USING (anchor) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY g > 1, abs(len(w) - 12), page_number, seq) = 1"""
+)
+def anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """E8, AG8: a phrase that finds each document again."""
+    lines_ = _boxes(spark, folder).select("doc_id", "page_number", "seq", "text").distinct()
+    return evaluation.anchors(lines_, ["doc_id"], [F.col("page_number"), F.col("seq")])
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 4000 THEN substring(text, 1, 4000) || chr(10) || '[...]' ELSE text END) AS digest FROM documents")
+def clipped_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts clipped for a judge."""
+    return table(spark, folder, "documents").select("doc_id", F.md5(evaluation.clipped(F.col("text"), 4000)).alias("digest"))
+
+
+@query("SELECT doc_id, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 3")
+def longest_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest texts of each source; a top-k report."""
+    w = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
+    return table(spark, folder, "documents").withColumn("k", F.row_number().over(w)).where("k <= 3").select("doc_id", "source", "n_chars")
+
+
+@query("SELECT event_type, try_cast(json_extract_string(props, '$.k') AS int) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def json_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """C12, JSON functions: a field of JSON text."""
+    k = F.get_json_object("props", "$.k").try_cast("int").alias("k")
+    return table(spark, folder, "events").groupBy("event_type", k).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT doc_id, to_json({'success': markdown IS NOT NULL, 'source': doc_id, 'length': length(markdown)}) AS envelope FROM (SELECT DISTINCT doc_id, markdown FROM documents_out WHERE markdown IS NOT NULL)")
+def json_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Results as JSON, without the fields that have no value."""
+    rows = table(spark, folder, "documents_out").where("markdown is not null").select("doc_id", "markdown").distinct()
+    return rows.select("doc_id", F.to_json(F.struct(F.col("markdown").isNotNull().alias("success"), F.col("doc_id").alias("source"), F.length("markdown").alias("length"))).alias("envelope"))
+
+
+@query("SELECT doc_id, converter, converted_at FROM documents_out QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY converted_at DESC NULLS LAST) = 1")
+def latest_results(spark: SparkSession, folder: str) -> DataFrame:
+    """The last result of each document."""
+    return evaluation.latest(table(spark, folder, "documents_out").select("doc_id", "converter", "converted_at"), ["doc_id"], ["converted_at"])
+
+
+@query("SELECT 'both' AS side, count(*) AS n FROM (SELECT doc_id FROM documents_in INTERSECT SELECT doc_id FROM documents_out) UNION ALL SELECT 'in', count(*) FROM (SELECT doc_id FROM documents_in EXCEPT SELECT doc_id FROM documents_out) UNION ALL SELECT 'out', count(*) FROM (SELECT doc_id FROM documents_out EXCEPT SELECT doc_id FROM documents_in)")
+def set_operations(spark: SparkSession, folder: str) -> DataFrame:
+    """2.14: intersection and differences of ids."""
+    a, b = table(spark, folder, "documents_in").select("doc_id"), table(spark, folder, "documents_out").select("doc_id")
+    count = lambda name, df: df.agg(F.lit(name).alias("side"), F.count("*").alias("n"))
+    return count("both", a.intersect(b)).unionByName(count("in", a.subtract(b))).unionByName(count("out", b.subtract(a)))
+
 
-    return table(spark, folder, "documents_out").groupBy("converter").count()
+@query("SELECT coalesce(converter, 'none') AS converter, count(*) AS n, count(DISTINCT doc_id) AS documents FROM documents_out GROUP BY 1")
+def streamed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Incremental ingestion: the results table read as a stream gives the same counts."""
+    return ingest.counted(spark, f"{folder}/documents_out.parquet")
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
