@@ -101,6 +101,18 @@ RULES = (
     Rule("plain-text", tuple(PLAIN.split()), ("text/",), unknown=True, convert=text.plain),
 )
 BY_NAME = {r.name: r for r in RULES}
+#: Converters of the user's own; they come first.
+EXTRA: list[Rule] = []
+
+
+def rules() -> tuple[Rule, ...]:
+    """All converters in the order in which they are tried."""
+    return (*EXTRA, *RULES)
+
+
+def named(name: str) -> Rule:
+    return next(r for r in rules() if r.name == name)
+
 
 # The formats as users are told of them.
 FORMATS = (
@@ -111,9 +123,11 @@ FORMATS = (
 )
 
 
-def convert(data: bytes | None, info: dict, only: str | None = None) -> dict:
+def convert(data: bytes | None, info: dict, only: str | None = None, extra: list[Rule] | None = None) -> dict:
     """The record of one document: converter, markdown, title and the errors on the way.
 
+    ``extra`` are the user's own converters, where another process has registered them.
+
     The first accepting converter that succeeds wins. Failures are data: a document
     that nothing converts has null converter and markdown, and says why in ``errors``.
     """
@@ -122,8 +136,8 @@ def convert(data: bytes | None, info: dict, only: str | None = None) -> dict:
         return {"converter": None, "markdown": None, "title": None, "errors": [{"converter": "", "message": "no content"}]}
     if info.get("extension") is None and info.get("mimetype") is None and data[:5] == b"%PDF-":
         info = {**info, "mimetype": "application/pdf"}
-    for rule in [BY_NAME[only]] if only else RULES:
-        if not only and not rule.accepts(info):
+    for rule in (*(EXTRA if extra is None else extra), *RULES):
+        if rule.name != only if only else not rule.accepts(info):
             continue
         try:
             markdown, title = rule.convert(data, info)

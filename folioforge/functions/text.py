@@ -55,10 +55,13 @@ def dehyphenated(text: Column) -> Column:
     return F.regexp_replace(text, r"([\p{L}\p{N}_])-\n\n(?=[a-zß-ÿ])", "$1")
 
 
-@F.pandas_udf("string")
-def escaped(text: pd.Series) -> pd.Series:
+def escaped(text: Column) -> Column:
     """Text that Markdown shows as it is."""
-    return text.map(layout.escaped, na_action="ignore")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(layout.escaped, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def utf16_units(text: Column) -> Column:

@@ -46,11 +46,14 @@ def convert(documents: DataFrame, only: str | None = None) -> DataFrame:
 
 
 def _in_python(rows: DataFrame, only: str | None) -> DataFrame:
+    # The workers know the registry's converters, not those registered here.
+    extra = list(registry.EXTRA)
+
     def run(batches):
         for batch in batches:
             # One document after the other: a batch's contents are held once, its results as they come.
             described_ = batch.select(list(INFO)).to_pylist()
-            found = [registry.convert(c.as_py(), i, only) for c, i in zip(batch.column("content"), described_)]
+            found = [registry.convert(c.as_py(), i, only, extra) for c, i in zip(batch.column("content"), described_)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array([f[k] for f in found], pa.string()) for k in ("converter", "markdown", "title")), pa.array([f["errors"] for f in found], ERROR)],
                 names=["doc_id", "converter", "markdown", "title", "errors"],
@@ -61,7 +64,7 @@ def _in_python(rows: DataFrame, only: str | None) -> DataFrame:
 
 def convert_with(documents: DataFrame, converter: str) -> DataFrame:
     """All documents by the named converter."""
-    if converter not in registry.BY_NAME:
+    if converter not in {r.name for r in registry.rules()}:
         raise ValueError(f"no converter is called {converter}")
     return convert(documents, converter)
 

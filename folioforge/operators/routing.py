@@ -12,12 +12,12 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.formats.registry import BY_NAME, FORMATS, RULES, Rule
+from folioforge.formats.registry import FORMATS, Rule, named, rules
 
 
 def accepts(rule: Rule | str, extension: Column, mimetype: Column, url: Column) -> Column:
     """Whether a converter takes a document; never null."""
-    rule = BY_NAME[rule] if isinstance(rule, str) else rule
+    rule = named(rule) if isinstance(rule, str) else rule
     tests = [extension.isin(*rule.extensions)] if rule.extensions else []
     tests += [mimetype.startswith(t) for t in rule.types]
     tests += [mimetype.isin(*rule.exact)] if rule.exact else []
@@ -33,7 +33,7 @@ def sniffed(content: Column, extension: Column, mimetype: Column) -> Column:
 
 def candidates(extension: Column, mimetype: Column, url: Column) -> Column:
     """Names of the converters that take a document, in the order they are tried."""
-    return F.filter(F.array(*(F.when(accepts(r, extension, mimetype, url), r.name) for r in RULES)), lambda c: c.isNotNull())
+    return F.filter(F.array(*(F.when(accepts(r, extension, mimetype, url), r.name) for r in rules())), lambda c: c.isNotNull())
 
 
 def routed(documents: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def routed(documents: DataFrame) -> DataFrame:
 
 def converter_names(spark: SparkSession) -> DataFrame:
     """``position, name`` of the converters."""
-    return spark.createDataFrame([(k, r.name) for k, r in enumerate(RULES, 1)], "position int, name string")
+    return spark.createDataFrame([(k, r.name) for k, r in enumerate(rules(), 1)], "position int, name string")
 
 
 def formats(spark: SparkSession) -> DataFrame:
