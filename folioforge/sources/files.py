@@ -24,7 +24,7 @@ def described_files(raw: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """The files below ``folder`` as documents."""
+    """The files below ``folder`` as documents; as in all file sources, names that begin with a dot or underscore are hidden."""
     return described_files(prepare(spark).read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder))
 
 
