@@ -117,6 +117,15 @@ def queries() -> dict:
 
 
 SQL = {
+    "p9_found": r"""WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+    ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM i, unnest(range(1, len(w) - 10)) AS r(k)), dg AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS r(k))
+    SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p10_found": """WITH w AS (SELECT doc_id, hash(substring(text, k, 200)) AS h FROM documents, unnest(range(1, length(text) - 198)) AS r(k)), s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
+    SELECT DISTINCT doc_id FROM w SEMI JOIN s USING (h)""",
+    "p10_coverage": """WITH w AS (SELECT doc_id, k, hash(substring(text, k, 200)) AS h FROM documents, unnest(range(1, length(text) - 198)) AS r(k)), s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+    m AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM w SEMI JOIN s USING (h)),
+    c AS (SELECT doc_id, sum(CASE WHEN before IS NULL THEN 200 ELSE least(k - before, 200) END) AS shared_chars, count_if(before IS NULL OR k - before > 200) AS spans FROM m GROUP BY doc_id)
+    SELECT doc_id, length(text) AS n_chars, coalesce(shared_chars, 0)::bigint AS shared_chars, coalesce(spans, 0)::bigint AS spans FROM documents LEFT JOIN c USING (doc_id)""",
     "p7_found": "SELECT DISTINCT doc_id FROM documents_out WHERE length(markdown) > 6000",
 }
 
