@@ -12,16 +12,85 @@ FULLWIDTH = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 SENTENCE_END = re.compile(r"[.!?:;。！？]['\"”’)\]]*$")
 
 
+#: Spacing accents that PDF files set over a letter, and their combining forms.
+OVERLAID = {"´": "\u0301", "`": "\u0300", "ˆ": "\u0302", "˜": "\u0303", "¨": "\u0308", "˚": "\u030a", "¸": "\u0327", "ˇ": "\u030c", "¯": "\u0304", "˘": "\u0306"}
+PRESENTED = re.compile("[\ufb1d-\ufdff\ufe70-\ufefc]")
+LEFT_TO_RIGHT = re.compile(r"[A-Za-z0-9][A-Za-z0-9.,:/%+-]*(?: +[A-Za-z0-9][A-Za-z0-9.,:/%+-]*)*")
+
+
 def clean(text: str) -> str:
-    """Ligatures, full-width forms and overlaid accents brought to plain text."""
+    """Ligatures, full-width forms and overlaid accents brought to plain text, lines of right-to-left glyphs to reading order."""
+    if text.isascii():
+        return text
     for a, b in LIGATURES.items():
         text = text.replace(a, b)
     text = text.translate(FULLWIDTH)
-    return text if text.isascii() else unicodedata.normalize("NFC", text)
+    for a, b in OVERLAID.items():
+        if a in text:
+            # An accent stands before or after its letter, whichever takes it.
+            text = re.sub(rf"{re.escape(a)}([A-Za-zı])", lambda m, b=b: unicodedata.normalize("NFC", m.group(1).replace("ı", "i") + b), text)
+    return right_to_left(unicodedata.normalize("NFC", text))
+
+
+def right_to_left(text: str) -> str:
+    """Text set in presentation forms, from the order of the eye to that of reading; words and figures from the left keep theirs."""
+    if not PRESENTED.search(text):
+        return text
+    turned = unicodedata.normalize("NFKC", text[::-1])
+    return LEFT_TO_RIGHT.sub(lambda m: m.group(0)[::-1], turned)
+
+
+# Signs of formulas in LaTeX.
+LATEX = {
+    "∑": "\\sum", "∫": "\\int", "∏": "\\prod", "√": "\\sqrt", "∞": "\\infty", "∂": "\\partial", "∇": "\\nabla", "≤": "\\leq", "≥": "\\geq", "≠": "\\neq", "≈": "\\approx", "≡": "\\equiv", "∈": "\\in",
+    "∉": "\\notin", "⊂": "\\subset", "⊆": "\\subseteq", "∪": "\\cup", "∩": "\\cap", "∀": "\\forall", "∃": "\\exists", "→": "\\to", "⇒": "\\Rightarrow", "×": "\\times", "·": "\\cdot", "±": "\\pm", "−": "-",
+    "α": "\\alpha", "β": "\\beta", "γ": "\\gamma", "δ": "\\delta", "ε": "\\epsilon", "θ": "\\theta", "λ": "\\lambda", "μ": "\\mu", "π": "\\pi", "ρ": "\\rho", "σ": "\\sigma", "τ": "\\tau", "φ": "\\phi", "ψ": "\\psi",
+    "ω": "\\omega", "Γ": "\\Gamma", "Δ": "\\Delta", "Θ": "\\Theta", "Λ": "\\Lambda", "Σ": "\\Sigma", "Φ": "\\Phi", "Ψ": "\\Psi", "Ω": "\\Omega",
+}
+STRONG = frozenset("∑∫∏√∞∂∇≤≥≠≈≡∈∉⊂⊆∪∩∀∃⇒")
+SCRIPT = re.compile("\ue000(.*?)\ue001|\ue002(.*?)\ue003")
+WEAK = re.compile(r"^(?:[A-Za-z]|[0-9.,]+|[-+=<>/()|^*!,;:\[\]{}−×·±→]+|[A-Za-z0-9()+-]*\ue000.*?\ue001[A-Za-z0-9()+=-]*|[A-Za-z0-9()+-]*\ue002.*?\ue003[A-Za-z0-9()+=-]*)$")
+
+
+def with_formulas(text: str) -> str:
+    """Runs of formula signs as LaTeX between dollars.
+
+    A run is made of single letters, figures and signs; it needs two signs that
+    only formulas have, or one and a raised or lowered part. Other raised and
+    lowered parts lose their marks.
+    """
+    out, run = [], []
+
+    def close() -> None:
+        joined = " ".join(run)
+        strong = sum(c in STRONG for c in joined)
+        greek = sum(c in LATEX and c not in STRONG for c in joined)
+        if strong >= 2 or strong + greek >= 2 and len(run) >= 3 or SCRIPT.search(joined) and strong + greek >= 1:
+            inner = SCRIPT.sub(lambda m: f"^{{{m.group(1)}}}" if m.group(1) is not None else f"_{{{m.group(2)}}}", joined)
+            for sign, command in LATEX.items():
+                inner = re.sub(re.escape(sign) + r"(?=[A-Za-z])", lambda m, c=command: c + " ", inner).replace(sign, command)
+            out.append(f"${inner}$")
+        else:
+            out.extend(run)
+        run.clear()
+
+    for token in text.split(" "):
+        if token and (WEAK.match(token) or any(c in LATEX for c in token) and len(token) <= 12):
+            run.append(token)
+        else:
+            close()
+            out.append(token)
+    close()
+    return SCRIPT.sub(lambda m: m.group(1) if m.group(1) is not None else m.group(2), " ".join(out))
 
 
 def escaped(text: str) -> str:
     """Text that Markdown shows as it is; citations by number stay."""
+    if "$" in text:
+        # Formulas stay as they are.
+        parts = re.split(r"(\$[^$]+\$)", text)
+        if len(parts) > 1:
+            return "".join(p if k % 2 else escaped(p) for k, p in enumerate(parts))
     text = re.sub(r"([\\`*_<>&])", r"\\\1", text)
     text = re.sub(r"\[(?!\d+(?:[,;–-]\s*\d+)*\])([^\]]*)\]", r"\\[\1\\]", text)
     return re.sub(r"^(\s*)(#{1,6}\s|[-+]\s|\d+\.\s)", lambda m: m.group(1) + ("\\" + m.group(2) if not m.group(2)[0].isdigit() else m.group(2).replace(".", "\\.")), text)
@@ -31,7 +100,8 @@ def boxes_of(items: list[dict]) -> list[dict]:
     """Items merged into boxes: one line, gaps below a cap that follows the type size, spaces where gaps show."""
     rows: list[list[dict]] = []
     for item in sorted(items, key=lambda i: (-i["y"], i["x"])):
-        if rows and abs(rows[-1][0]["y"] - item["y"]) <= SAME_LINE:
+        near = max(SAME_LINE, 0.45 * rows[-1][0]["size"] if rows and item["size"] < 0.8 * rows[-1][0]["size"] else 0)
+        if rows and abs(rows[-1][0]["y"] - item["y"]) <= near:
             rows[-1].append(item)
         else:
             rows.append([item])
@@ -44,16 +114,21 @@ def boxes_of(items: list[dict]) -> list[dict]:
             cap = min(max(0.6 * item["size"], 6.0), 14.0)
             gap = item["x"] - box["right"] if box else None
             if box is None or gap > cap or gap < -2 * item["size"]:
-                out.append({"row": row, "text": item["text"], "left": item["x"], "right": item["x"] + item["width"], "bottom": item["y"], "top": item["y"] + item["size"], "font": item["size"], "bold": item["bold"]})
+                out.append({"row": row, "text": item["text"], "left": item["x"], "right": item["x"] + item["width"], "bottom": item["y"], "top": item["y"] + item["size"], "font": item["size"], "size": item["size"], "bold": item["bold"]})
                 continue
+            text_ = item["text"]
+            base = box["size"]
+            if 0.3 * base < item["size"] < 0.8 * base and text_.strip() and abs(item["y"] - box["bottom"]) > 0.08 * base:
+                # Raised and lowered parts carry marks until the line is whole.
+                text_ = ("\ue000" + text_ + "\ue001") if item["y"] > box["bottom"] else ("\ue002" + text_ + "\ue003")
             glue = " " if gap > (limit if limit is not None else 0.18 * item["size"]) and not box["text"].endswith(" ") and not item["text"].startswith(" ") else ""
-            box["text"] += glue + item["text"]
+            box["text"] = (box["text"] + glue + text_).replace("\ue001\ue000", "").replace("\ue003\ue002", "")
             box["right"] = max(box["right"], item["x"] + item["width"])
             box["top"], box["font"] = max(box["top"], item["y"] + item["size"]), max(box["font"], item["size"])
             box["bold"] = box["bold"] and item["bold"]
     for box in out:
-        del box["row"]
-        box["text"] = clean(re.sub(r"\s+", " ", box["text"]).strip())
+        del box["row"], box["size"]
+        box["text"] = with_formulas(clean(re.sub(r"\s+", " ", box["text"]).strip()))
     return [b for b in out if b["text"]]
 
 
@@ -138,13 +213,34 @@ def ruled_tables(boxes: list[dict], rules: list[tuple]) -> tuple[list[tuple[floa
         rows, width = len(ys) - 1, len(xs) - 1
         if len(cells) < max(2, 0.25 * rows * width):
             continue
+        if is_prose([[" ".join(b["text"] for b in cells.get((r, c), [])) for c in range(width)] for r in range(rows)], len(flat)):
+            continue
         used = {id(b) for c in cells.values() for b in c}
         grid = [[" ".join(b["text"] for b in sorted(cells.get((r, c), []), key=lambda b: (-b["top"], b["left"]))) for c in range(width)] for r in range(rows)]
-        found.append((ys[-1], [r for r in grid if any(r)]))
+        found.append((ys[-1], pruned(grid)))
         rest = [b for b in rest if id(b) not in used]
     return found, rest
 
 
+def is_prose(rows: list[list[str]], rules: int) -> bool:
+    """Whether a ruled area holds running text: far more rows than rules, and sentences in most."""
+    texts = [" ".join(c for c in r if c) for r in rows]
+    return len(rows) > 3 * max(rules, 1) and sum(len(t.split()) >= 6 for t in texts) > 0.6 * len(texts)
+
+
+def pruned(rows: list[list[str]]) -> list[list[str]]:
+    """A grid without its empty rows and columns, in order."""
+    keep = [c for c in range(max(map(len, rows), default=0)) if any(c < len(r) and r[c] for r in rows)]
+    return [[r[c] if c < len(r) else "" for c in keep] for r in rows if any(r)]
+
+
+def html_table(rows: list[list[tuple[str, int, int]]]) -> str:
+    """An HTML table of (text, rows, columns) cells, for grids that Markdown can't show."""
+    safe = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("\n", "<br>")
+    span = lambda r, c: (f' rowspan="{r}"' if r > 1 else "") + (f' colspan="{c}"' if c > 1 else "")
+    return "<table>\n" + "\n".join("<tr>" + "".join(f"<td{span(r, c)}>{safe(t)}</td>" for t, r, c in row) + "</tr>" for row in rows) + "\n</table>"
+
+
 def merged(values: list[float], near: float = 2.0) -> list[float]:
     out: list[float] = []
     for v in sorted(values):

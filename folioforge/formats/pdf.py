@@ -756,6 +756,44 @@ def cmap(data: bytes) -> tuple[dict[int, str], int]:
     return out, wide
 
 
+def glyph_map(data: bytes) -> dict[int, str]:
+    """Glyph number -> text of a TrueType font, from its own character map turned round."""
+    import struct
+
+    out: dict[int, str] = {}
+    try:
+        count = struct.unpack_from(">H", data, 4)[0]
+        tables = {data[12 + 16 * k : 16 + 16 * k]: struct.unpack_from(">I", data, 20 + 16 * k)[0] for k in range(min(count, 64))}
+        base = tables[b"cmap"]
+        places = [struct.unpack_from(">HHI", data, base + 4 + 8 * k) for k in range(struct.unpack_from(">H", data, base + 2)[0])]
+        for _, _, offset in sorted(places, key=lambda p: (p[0] != 3, p[1] not in (10, 1))):
+            at = base + offset
+            kind = struct.unpack_from(">H", data, at)[0]
+            if kind == 4:
+                n = struct.unpack_from(">H", data, at + 6)[0] // 2
+                ends, starts, deltas, ranges = (struct.unpack_from(f">{n}H", data, at + 14 + 2 * n * k + (2 if k else 0)) for k in range(4))
+                for i in range(n):
+                    for code in range(starts[i], min(ends[i], 0xFFFE) + 1):
+                        if ranges[i]:
+                            place = at + 16 + 6 * n + 2 * i + ranges[i] + 2 * (code - starts[i])
+                            glyph = struct.unpack_from(">H", data, place)[0] if place + 2 <= len(data) else 0
+                            glyph = (glyph + deltas[i]) & 0xFFFF if glyph else 0
+                        else:
+                            glyph = (code + deltas[i]) & 0xFFFF
+                        if glyph:
+                            out.setdefault(glyph, chr(code - 0xF000 if 0xF000 <= code < 0xF100 else code))
+            elif kind == 12:
+                for k in range(min(struct.unpack_from(">I", data, at + 12)[0], 10_000)):
+                    first, last, glyph = struct.unpack_from(">III", data, at + 16 + 12 * k)
+                    for code in range(first, min(last, first + 70_000) + 1):
+                        out.setdefault(glyph + code - first, chr(code))
+            if out:
+                break
+    except (struct.error, KeyError, ValueError):
+        pass
+    return out
+
+
 class Font:
     """Decodes shown bytes to (text, width in thousandths, whether it is a single space byte)."""
 
@@ -774,6 +812,10 @@ class Font:
             self.default = float(get(below.get("DW")) or 1000)
             self.cid_widths(doc, get(below.get("W")) or [])
             descriptor = get(below.get("FontDescriptor")) or {}
+            program = get(descriptor.get("FontFile2"))
+            if isinstance(program, Stream) and not isinstance(get(meta.get("ToUnicode")), Stream):
+                # Codes are glyph numbers where nothing maps them.
+                self.text |= glyph_map(doc.decoded(program))
         else:
             descriptor = get(meta.get("FontDescriptor")) or {}
             self.simple(doc, meta, descriptor)
@@ -814,6 +856,12 @@ class Font:
                 self.text[c] = bytes([c]).decode(codec)
             except UnicodeDecodeError:
                 continue
+        program = get(descriptor.get("FontFile"))
+        if encoding is None and isinstance(program, Stream):
+            # The program's own encoding stands in its clear part.
+            for m in re.finditer(rb"dup\s+(\d+)\s*/(\S+)\s+put", doc.decoded(program).split(b"eexec")[0]):
+                if text := glyph_text(m.group(2).decode("latin-1")):
+                    self.text[int(m.group(1))] = text
         if isinstance(encoding, dict):
             code = 0
             for item in get(encoding.get("Differences")) or []:
@@ -1044,5 +1092,71 @@ def extract(data: bytes, password: bytes = b"") -> list[dict]:
     return out
 
 
+MOST_PIXELS = 64_000_000
+
+
+def png(width: int, height: int, bits: int, kind: int, rows: bytes) -> bytes:
+    """A PNG file of packed rows."""
+    stride = len(rows) // height
+    raw = b"".join(b"\0" + rows[k * stride : (k + 1) * stride] for k in range(height))
+    chunk = lambda name, body: len(body).to_bytes(4, "big") + name + body + zlib.crc32(name + body).to_bytes(4, "big")
+    head = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([bits, kind, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def picture(doc: Document, stream: Stream) -> tuple[str, bytes] | None:
+    """(extension, bytes) of a picture: JPEG and JPEG 2000 as they are, bitmaps as PNG; None for what can't be read."""
+    get = doc.get
+    names = get(stream.meta.get("Filter"))
+    last = (names[-1] if isinstance(names, list) and names else names) if names else None
+    width, height, bits = get(stream.meta.get("Width")), get(stream.meta.get("Height")), get(stream.meta.get("BitsPerComponent")) or 1
+    if not isinstance(width, int) or not isinstance(height, int) or not 0 < width * height <= MOST_PIXELS:
+        return None
+    if last in ("DCTDecode", "DCT", "JPXDecode"):
+        if isinstance(names, list) and len(names) > 1:
+            return None
+        return ("jp2" if last == "JPXDecode" else "jpg"), stream.raw
+    try:
+        data = doc.decoded(stream)
+    except PdfError:
+        return None
+    space = get(stream.meta.get("ColorSpace"))
+    name = get(space[0]) if isinstance(space, list) and space else space
+    colors = {"DeviceRGB": 3, "CalRGB": 3, "DeviceCMYK": 4, "Indexed": 1, "I": 1}.get(str(name), 1)
+    if name == "ICCBased":
+        profile = get(space[1])
+        colors = get(profile.meta.get("N")) if isinstance(profile, Stream) else 3
+    stride = (width * colors * bits + 7) // 8
+    if bits not in (1, 2, 4, 8) or len(data) < stride * height:
+        return None
+    data = data[: stride * height]
+    if name in ("Indexed", "I") and bits == 8:
+        base, table = get(space[1]), get(space[3])
+        table = doc.decoded(table) if isinstance(table, Stream) else table
+        n = 3 if "RGB" in str(base) or isinstance(base, list) else 1
+        if isinstance(table, bytes):
+            blank = bytes(n)
+            data, colors = b"".join(table[n * c : n * c + n] or blank for c in data), n
+    if colors == 4 and bits == 8:
+        data = bytes(v for k in range(0, len(data), 4) for v in ((255 - data[k]) * (255 - data[k + 3]) // 255, (255 - data[k + 1]) * (255 - data[k + 3]) // 255, (255 - data[k + 2]) * (255 - data[k + 3]) // 255))
+        colors = 3
+    return "png", png(width, height, bits, 2 if colors == 3 else 0, data)
+
+
+def pictures(data: bytes, password: bytes = b"") -> list[tuple[int, str, bytes]]:
+    """(page, extension, bytes) of the pictures that the pages hold directly, each object once for a page."""
+    doc, out = Document(data, password), []
+    for number, page in enumerate(doc.pages(), 1):
+        resources = doc.get(page.get("Resources")) or {}
+        seen = set()
+        for value in (doc.get(resources.get("XObject")) or {}).values():
+            stream = doc.get(value)
+            if isinstance(stream, Stream) and doc.get(stream.meta.get("Subtype")) == "Image" and id(stream) not in seen:
+                seen.add(id(stream))
+                if found := picture(doc, stream):
+                    out.append((number, *found))
+    return out
+
+
 def convert(data: bytes, info: dict) -> tuple[str, str | None]:
     return render_pages(extract(data, (info.get("password") or "").encode())), None

@@ -162,3 +162,55 @@ def latest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """The last row of each group."""
     w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc_nulls_last() for c in by))
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def judge_tasks(outputs: DataFrame, tool: str = "tool") -> DataFrame:
+    """``task_id, doc_id, a, b``: all ordered pairs of tools on each document, with an id that its inputs determine."""
+    a, b = (outputs.select("doc_id", F.col(tool).alias(n), F.md5("text").alias("h" + n)) for n in ("a", "b"))
+    pairs = a.join(b, "doc_id").where("a <> b")
+    # Fields in the order of their names, so that the id does not depend on how they are written.
+    task = F.sha2(F.to_json(F.struct("a", "b", "doc_id", "ha", "hb")), 256)
+    return pairs.select(task.alias("task_id"), "doc_id", "a", "b")
+
+
+def log_scores(logs: DataFrame, text: str = "text") -> DataFrame:
+    """``tool, score, interval, category, value`` from run logs: a line of the mean and its interval, and lines of categories."""
+    mean = lambda k: F.regexp_extract(text, r"(?i)(?:average|overall) score:?\s*([0-9.]+)\s*%?\s*(?:±|\+/-)\s*([0-9.]+)", k).try_cast("double")
+    rows = F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(r"(?m)^\s*([a-z_]+)\s*:\s*([0-9.]+)\s*%"), F.lit(0)))
+    each = logs.select("tool", mean(1).alias("score"), mean(2).alias("interval"), rows.alias("row"))
+    return each.select("tool", "score", "interval", F.regexp_extract("row", r"^\s*([a-z_]+)", 1).alias("category"), F.regexp_extract("row", r":\s*([0-9.]+)", 1).try_cast("double").alias("value"))
+
+
+def timed(spark, tools: dict, files: list[tuple[str, bytes]], iterations: int = 3, warm_ups: int = 1) -> DataFrame:
+    """``tool, file, bytes, ok, timings_ms, hashes, error``: functions timed on the driver, file by file, in turning order.
+
+    A measuring tool for single conversions; failures are rows.
+    """
+    import hashlib
+    import time
+
+    rows, names = [], sorted(tools)
+    for k, (name, data) in enumerate(files):
+        # The order turns from file to file, so that no tool always comes first.
+        for tool in names[k % len(names) :] + names[: k % len(names)]:
+            took, hashes, error = [], [], None
+            try:
+                for n in range(warm_ups + iterations):
+                    began = time.perf_counter()
+                    result = tools[tool](data)
+                    if n >= warm_ups:
+                        took.append((time.perf_counter() - began) * 1000)
+                        hashes.append(hashlib.sha256(result.encode()).hexdigest())
+            except Exception as e:  # noqa: BLE001 failures are rows
+                error = str(e) or type(e).__name__
+            rows.append((tool, name, len(data), error is None, took, hashes, error))
+    return spark.createDataFrame(rows, "tool string, file string, bytes bigint, ok boolean, timings_ms array<double>, hashes array<string>, error string")
+
+
+def normalized_words(text: Column) -> Column:
+    """Words for comparison: entities and simple TeX written out, broken words joined, lower case, one space between."""
+    plain = F.regexp_replace(text, r"([\p{L}])-\n([\p{Ll}])", "$1$2")
+    for entity, sign in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
+        plain = F.replace(plain, F.lit(entity), F.lit(sign))
+    plain = F.regexp_replace(plain, r"\\[a-zA-Z]+|[{}$^_\\]", " ")
+    return F.array_join(lowered_words(plain), " ")

@@ -183,3 +183,73 @@ def sections(rows: DataFrame, keys: list[str], order: list[str], title: Column,
     """``keys, markdown``: titled sections of each group in order, a blank line between."""
     part = F.concat(F.lit("## "), title, F.lit("\n\n"), body)
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, part.alias("part")))), lambda r: r["part"]), "\n\n").alias("markdown"))
+
+
+def segments(boxes: DataFrame) -> DataFrame:
+    """``doc_id, page_number, seq, x1, y1, x2, y2``: the lower edges of boxes, as ruling lines to work with where a table has none."""
+    return boxes.distinct().select(*PAGE, "seq", F.col("x_left").alias("x1"), F.col("y_bottom").alias("y1"), F.col("x_right").alias("x2"), F.col("y_bottom").alias("y2"))
+
+
+def classified(rules: DataFrame, slack: float = 0.8) -> DataFrame:
+    """``rules`` with ``kind``: 'h' or 'v' for lines along an axis of some length, null for others."""
+    w, h = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
+    return rules.withColumn("kind", F.when((h <= slack) & (w > slack), "h").when((w <= slack) & (h > slack), "v"))
+
+
+def line_positions(rules: DataFrame, at: str, tolerance: float = 2.0) -> DataFrame:
+    """``doc_id, page_number, position, rules``: places of parallel lines, those within ``tolerance`` of the one before merged."""
+    w = Window.partitionBy(*PAGE).orderBy(at)
+    new = F.coalesce((F.col(at) - F.lag(at).over(w) > tolerance).cast("int"), F.lit(1))
+    numbered = rules.withColumn("new", new).withColumn("k", F.sum("new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*PAGE, "k").agg(F.min(at).alias("position"), F.count("*").alias("rules")).drop("k")
+
+
+def overlapping(rules: DataFrame, groups: DataFrame, margin: float = 10.0) -> DataFrame:
+    """``doc_id, page_number, seq, group``: the groups (left, right, bottom, top) whose extent, widened by ``margin``, a line meets.
+
+    An overlap join in both axes within the page.
+    """
+    r, g = rules.alias("r"), groups.alias("g")
+    on = (
+        (F.col("r.doc_id") == F.col("g.doc_id"))
+        & (F.col("r.page_number") == F.col("g.page_number"))
+        & (F.greatest("r.x1", "r.x2") >= F.col("g.left") - margin)
+        & (F.least("r.x1", "r.x2") <= F.col("g.right") + margin)
+        & (F.greatest("r.y1", "r.y2") >= F.col("g.bottom") - margin)
+        & (F.least("r.y1", "r.y2") <= F.col("g.top") + margin)
+    )
+    return r.join(g, on).select("r.doc_id", "r.page_number", "r.seq", "g.group").distinct()
+
+
+def pruned(cells: DataFrame, table: list[str], row: str, column: str, text: str) -> DataFrame:
+    """The cells of grids without empty rows and columns, numbered anew in order."""
+    full = F.trim(F.coalesce(F.col(text), F.lit(""))) != ""
+    rows = cells.where(full).select(*table, row).distinct().withColumn("r", F.row_number().over(Window.partitionBy(*table).orderBy(row)) - 1)
+    columns = cells.where(full).select(*table, column).distinct().withColumn("c", F.row_number().over(Window.partitionBy(*table).orderBy(column)) - 1)
+    return cells.join(rows, [*table, row]).join(columns, [*table, column]).select(*table, "r", "c", text)
+
+
+def paragraphs(lines_: DataFrame, body: DataFrame) -> DataFrame:
+    """``doc_id, page_number, paragraph, text``: wrapped lines of body text joined.
+
+    A line goes on where the one before it is longer than 25 UTF-16 units, does not
+    end a sentence, and lies within two body sizes above; what a paragraph has
+    gathered decides, so each page is read in order by a function.
+    """
+    import pandas as pd
+
+    from folioforge.formats.layout import SENTENCE_END, joined
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for r in page.sort_values("line").itertuples():
+            last = out[-1] if out else None
+            if last and not r.mark and not last[2] and 0 < last[1] - r.top <= 2 * r.body and len(last[0].encode("utf-16-le")) // 2 > 25 and not SENTENCE_END.search(last[0]):
+                last[0], last[1] = joined(last[0], r.text), r.bottom
+            else:
+                out.append([r.text, r.bottom, r.mark])
+        first = page.iloc[0]
+        return pd.DataFrame({"doc_id": first.doc_id, "page_number": first.page_number, "paragraph": range(len(out)), "text": [o[2] + o[0] for o in out]})
+
+    marked = headings(lines_, body).join(body, "doc_id")
+    return marked.groupBy(*PAGE).applyInPandas(run, "doc_id string, page_number int, paragraph int, text string")

@@ -346,6 +346,57 @@ def html_to_markdown_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", back(html).alias("markdown"))
 
 
+@query(
+    """WITH s AS (SELECT DISTINCT doc_id, page_number, y_bottom AS y FROM text_boxes), n AS (SELECT *, coalesce((y - lag(y) OVER (PARTITION BY doc_id, page_number ORDER BY y) > 2.0)::int, 1) AS new FROM s),
+    k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_number ORDER BY y) AS k FROM n) SELECT doc_id, page_number, min(y) AS position, count(*) AS rules FROM k GROUP BY doc_id, page_number, k"""
+)
+def line_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of level lines, near ones merged."""
+    flat = layout.classified(layout.segments(_boxes(spark, folder))).where("kind = 'h'").select("doc_id", "page_number", "y1").distinct()
+    return layout.line_positions(flat, "y1")
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT * FROM text_boxes), g AS (SELECT doc_id, page_number, floor(seq / 10)::int AS grp, min(x_left) AS l, max(x_right) AS r, min(y_bottom) AS bo, max(y_top) AS t FROM b GROUP BY ALL)
+    SELECT DISTINCT b.doc_id, b.page_number, b.seq, g.grp AS "group" FROM b JOIN g ON b.doc_id = g.doc_id AND b.page_number = g.page_number AND greatest(x_left, x_right) >= l - 10 AND least(x_left, x_right) <= r + 10 AND y_bottom >= bo - 10 AND y_bottom <= t + 10"""
+)
+def lines_of_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that meet the extent of groups of boxes."""
+    boxes = _boxes(spark, folder).distinct()
+    groups = boxes.groupBy("doc_id", "page_number", F.floor(F.col("seq") / 10).cast("int").alias("group")).agg(F.min("x_left").alias("left"), F.max("x_right").alias("right"), F.min("y_bottom").alias("bottom"), F.max("y_top").alias("top"))
+    return layout.overlapping(layout.segments(boxes), groups)
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT doc_id, page_number, seq AS r0, floor(x_left / 50)::bigint AS c0, text FROM text_boxes), f AS (SELECT * FROM c WHERE trim(text) <> ''),
+    r AS (SELECT doc_id, page_number, r0, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY r0) - 1 AS r FROM (SELECT DISTINCT doc_id, page_number, r0 FROM f)), k AS (SELECT doc_id, page_number, c0, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY c0) - 1 AS c FROM (SELECT DISTINCT doc_id, page_number, c0 FROM f))
+    SELECT doc_id, page_number, r, c, text FROM c JOIN r USING (doc_id, page_number, r0) JOIN k USING (doc_id, page_number, c0)"""
+)
+def pruned_grids(spark: SparkSession, folder: str) -> DataFrame:
+    """Grids without empty rows and columns."""
+    cells = _boxes(spark, folder).select("doc_id", "page_number", F.col("seq").alias("r0"), F.floor(F.col("x_left") / 50).alias("c0"), "text").distinct()
+    return layout.pruned(cells, ["doc_id", "page_number"], "r0", "c0", "text")
+
+
+@query()
+def page_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Wrapped lines joined to paragraphs."""
+    boxes = _boxes(spark, folder)
+    return layout.paragraphs(layout.lines(boxes), layout.modal_size(boxes))
+
+
+@query(f"SELECT position, name FROM (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in enumerate('pdf docx pptx xlsx epub ipynb iwork github wikipedia rss csv json yaml image audio zip xml html plain-text'.split(), 1))}) AS v(position, name)")
+def converter_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The converters in order."""
+    return routing.converter_names(spark)
+
+
+@query("SELECT 23 AS formats, 23 AS builtin")
+def known_formats(spark: SparkSession, folder: str) -> DataFrame:
+    """The formats that are told of."""
+    return routing.formats(spark).agg(F.count("*").cast("int").alias("formats"), F.count_if("builtin").cast("int").alias("builtin"))
+
+
 # ---------------------------------------------------------------- evaluation
 
 TEXTS = "t AS (SELECT DISTINCT doc_id, converter, markdown FROM documents_out WHERE markdown IS NOT NULL)"
@@ -502,6 +553,16 @@ def json_envelopes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.to_json(F.struct(F.col("markdown").isNotNull().alias("success"), F.col("doc_id").alias("source"), F.length("markdown").alias("length"))).alias("envelope"))
 
 
+@query(
+    """WITH o AS (SELECT DISTINCT doc_id, docket, version::varchar AS tool, md5(text) AS h FROM documents WHERE docket IS NOT NULL AND version IS NOT NULL)
+    SELECT sha256(to_json({'a': x.tool, 'b': y.tool, 'doc_id': x.docket, 'ha': x.h, 'hb': y.h})::varchar) AS task_id, x.docket AS doc_id, x.tool AS a, y.tool AS b FROM o x JOIN o y ON x.docket = y.docket AND x.tool <> y.tool"""
+)
+def judge_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """Ordered pairs to judge, with ids that their inputs determine."""
+    outputs = table(spark, folder, "documents").where("docket is not null and version is not null").select(F.col("docket").alias("doc_id"), F.col("version").cast("string").alias("tool"), "text", F.col("doc_id").alias("k")).distinct()
+    return evaluation.judge_tasks(outputs.drop("k"))
+
+
 @query("SELECT doc_id, converter, converted_at FROM documents_out QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY converted_at DESC NULLS LAST) = 1")
 def latest_results(spark: SparkSession, folder: str) -> DataFrame:
     """The last result of each document."""

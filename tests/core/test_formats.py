@@ -256,3 +256,34 @@ def test_ciphers_and_filters():
 def test_registry():
     assert [r.name for r in RULES][:3] == ["pdf", "docx", "pptx"] and RULES[-1].name == "plain-text" and len(RULES) == 19 and len(FORMATS) == 23
     assert extension("a/b.TAR.GZ") == ".gz" and extension(".env") is None and extension("x") is None
+
+
+def test_layout_text():
+    from folioforge.formats import layout
+
+    assert layout.clean("caf´e ﬁn Ａ") == "café fin A"
+    assert layout.right_to_left("ﺔﻴﺑﺮﻌﻟﺍ 12") == "12 العربية"
+    assert layout.with_formulas("so x2 ≤ y and more") == "so $x^{2} \\leq y$ and more"
+    assert layout.with_formulas("word1 next") == "word1 next"
+    assert layout.escaped("a_b $x_{1}$ c*d") == "a\\_b $x_{1}$ c\\*d"
+    assert layout.pruned([["", "a"], ["", ""], ["", "b"]]) == [["a"], ["b"]]
+    assert layout.html_table([[("a&", 2, 1), ("b", 1, 1)]]) == '<table>\n<tr><td rowspan="2">a&amp;</td><td>b</td></tr>\n</table>'
+    assert not layout.is_prose([["a", "b"]] * 3, 3)
+
+
+def test_running_heads_leave():
+    from folioforge.formats import layout
+
+    item = lambda t, y: {"text": t, "x": 72.0, "y": y, "width": 6.0 * len(t), "size": 11.0, "bold": False}
+    pages = [{"page_number": n, "page_width": 600.0, "page_height": 800.0, "items": [item("Annual report", 780), item(f"Text of page {n} stands here.", 600), item(str(n), 30)], "rules": [], "images": [(0, 0, 100, 100), (0, 0, 9, 9)]} for n in range(1, 7)]
+    text = layout.render_pages(pages)
+    assert "Annual" not in text and "Text of page 3" in text and "\n\n3\n" not in text
+    assert text.count("<!-- image") == 6
+
+
+def test_pictures():
+    raw = bytes([255, 0, 0, 0, 255, 0])
+    image = b"<< /Type /XObject /Subtype /Image /Width 2 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceRGB /Length 6 >>\nstream\n" + raw + b"\nendstream"
+    data = document(PAGE).replace(b"/F2 6 0 R >> >> >>", b"/F2 6 0 R >> /XObject << /I 7 0 R >> >> >>") + b"\n7 0 obj\n" + image + b"\nendobj\n"
+    found = pdf.pictures(data)
+    assert [(p, e) for p, e, _ in found] == [(1, "png")] and found[0][2] == pdf.png(2, 1, 8, 2, raw)
