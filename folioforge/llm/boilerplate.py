@@ -218,11 +218,15 @@ def furniture(text: str, host_: str | None = None, often: frozenset[int] = froze
         gap = False
     if not any(r[3] > 0 for r in runs):
         return []
-    edges = []
+    edges, listed = [], False
     for i in range(1, len(runs)):
         a, b = runs[i - 1], runs[i]
+        # A list of related pages goes on over blank lines until something else comes.
+        listed = b[0] in ("item", "links") and (listed or a[0] == "related")
         if a[0] == "related" and b[0] in ("item", "links", "plain"):
             weight = SAME_LIST * 2
+        elif listed:
+            weight = SAME_LIST
         elif b[4]:
             weight = NEXT_BLOCK
         elif a[0] in ("item", "links") and b[0] in ("item", "links"):

@@ -16,6 +16,8 @@ PAGE = f"Minetan\n* [Home](/home)\n* [Help](/help)\n\nWe use cookies to measure
 def test_page():
     gone = {0, 1, 2, 4, 5, 14, 20, 21, 22, 23, 24}
     assert set(furniture(PAGE, "minetan.test")) == gone
+    # Related pages go on over blank lines.
+    assert set(furniture(f"# H\n\n{TEXT}\n\n- one\n- two\n\n## Read next\n[A](/a) (5)\n\n- A map near Dorlia\n\n[B](/b)", "a.b")) == {7, 8, 10, 12}
     assert furniture("", "a.b") == [] and furniture("\n \n", None) == []
     assert furniture("Access denied\n\nYou do not have permission to view this resource.", "a.b") == []
 
