@@ -69,12 +69,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return prose.quality(pages, table(spark, folder, "common_words")).where("not prose").select("doc_id").distinct()
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of PDF records with furniture, words broken for the line, or misread words."""
+def _scans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     records = table(spark, folder, "documents_out").where(F.col("markdown").rlike(r"\S"))
     pdf = records.where("converter = 'pdf'").select("doc_id", "markdown").distinct()
-    found, _ = scans.noise(pdf, table(spark, folder, "text_boxes"), records.select(F.col("markdown").alias("text")))
-    return found
+    return pdf, scans.noise(pdf, table(spark, folder, "text_boxes"), records.select(F.col("markdown").alias("text")))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of PDF records with furniture, words broken for the line, or misread words."""
+    _, found = _scans(spark, folder)
+    return found.where("noise <> 'kept'").select("tbl", "doc_id", "page_number", "line_no", "noise").distinct()
+
+
+def p6_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The readable paragraphs of scanned records."""
+    return scans.repaired(*_scans(spark, folder))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +122,7 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {
