@@ -52,7 +52,7 @@ ERROR = re.compile(
     r"|error \d{3} del|p\*gina no encontrada|servicio no disponible|acceso denegado|sesi\*n ha caducado|en mantenimiento"
 )
 ADVICE = re.compile(
-    r"request id|^refer[ae]n[cz](?:ia|e|)\b|^r\*f\*rence|handler\.\w+ \(line|try again|tell the administrator|permission to view|may be mistyped|file was removed"
+    r"request id|^vorgang\W|^refer[ae]n[cz](?:ia|e|)\b|^r\*f\*rence|handler\.\w+ \(line|try again|tell the administrator|permission to view|may be mistyped|file was removed"
     r"|contactez l|v\*rifiez l|revenez plus tard|pr\*fen sie|wenden sie sich|sp\*ter|avise a la|compruebe la|vuelva m\*s tarde|^ref(?:erenz|erencia|erence)?\W"
 )
 DEMAND = re.compile(
@@ -119,7 +119,7 @@ def evidence(lines: list[str], words: Counter | None = None) -> str | None:
     # Prompts and messages are short and stand alone; longer lines are text and need no skeleton.
     if words.total() > MOST_WORDS:
         return None
-    bones = [skeleton(x).strip("#*_>- \t") if len(x) < 160 else "" for x in lines]
+    bones = [skeleton(x.strip("#*_>- \t")) if len(x) < 160 else "" for x in lines]
     heads = [x.lstrip().startswith("#") for x in lines]
     prompt = [b in PROMPTS for b in bones]
     if any(prompt) and _real(lines, heads, prompt) <= REAL:
@@ -130,7 +130,7 @@ def evidence(lines: list[str], words: Counter | None = None) -> str | None:
     said = [bool(ERROR.search(b)) and len(b) < 160 for b in bones]
     asked = [bool(DEMAND.search(b)) and len(b) < 160 for b in bones]
     more = [bool(ADVICE.search(b)) and len(b) < 160 for b in bones]
-    if any(said) or any(asked) or sum(more) >= 2:
+    if any(said) or any(asked) or sum(more) >= 2 or all(more):
         mine = [a or b or c for a, b, c in zip(said, asked, more)]
         if _real(lines, heads, mine) <= REAL:
             return "demand" if any(asked) and not any(said) else "error"
@@ -147,7 +147,11 @@ def filler(lines: list[str], words: Counter) -> bool:
     size = words.total()
     if size < 4:
         return False
-    if any(sum(words[w] for w in known if w in words) >= MOSTLY * size for known in (LOREM, KEYS)):
+    if size < 60:
+        # Short texts count without headings and exactly.
+        words = Counter(WORDS.findall("\n".join(lines).lower()))
+        size = words.total()
+    if size and any(sum(words[w] for w in known if w in words) >= MOSTLY * size for known in (LOREM, KEYS)):
         return True
     # One phrase over and over has next to no vocabulary.
     if len(words) > max(6, size // 4):

@@ -58,6 +58,9 @@ CASES = {
     "x4": ("prompt", "# TITLE_PLACEHOLDER\n\nClick to add title"),
     "x5": ("filler", "# Ledgers\n\nLorem ipsum dolor sit amet, sed magna nulla velit quis. Tempor porta nibh massa elit urna."),
     "x6": ("filler", "Sample text. " * 20),
+    "xc": ("error", "## Accès refusé\n\nVérifiez l’adresse ou revenez plus tard."),
+    "xd": ("error", "Wenden Sie sich an die Verwaltung, falls der Fehler bleibt."),
+    "xe": ("filler", "# Spare turbines with help from Pelley\n\nLorem lectus amet nibh urna. Ipsum tempor dolor amet nibh."),
     "x7": (None, "# Templates\n\n" + TEXT + "\n\n```\nHello ${name}, your total is {{sum}}\n```\n\nA template engine swaps the marked fields."),
     "x8": (None, TEXT + " The page said: error 404, page not found.\n\n" + TEXT),
     "x9": (None, "- heating plan\n- signal lamps\n- heating plan\n- signal lamps"),
