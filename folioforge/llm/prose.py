@@ -130,7 +130,7 @@ def shapes(lines: list[str], common: frozenset[str]) -> np.ndarray:
             out[0] += size
         elif len(words) >= 6:
             known = sum(w.lower().strip(",;:()") in common for w in words)
-            out[0 if known >= 0.12 * len(words) or not text.isascii() and known == 0 and stops else 8] += size
+            out[0 if known >= 0.5 * len(words) or not text.isascii() and known == 0 and stops else 8] += size
         else:
             out[9] += size
         block.clear()
