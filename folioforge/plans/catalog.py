@@ -166,11 +166,11 @@ BOXES = "b AS (SELECT DISTINCT * REPLACE (trim(regexp_replace(text, '[\\s\\p{Z}]
 HEADS = f"""{BOXES}, g AS (SELECT DISTINCT doc_id, page_number, page_height FROM page_geometry),
     o AS (SELECT DISTINCT doc_id, text, page_number FROM bx JOIN g USING (doc_id, page_number) WHERE y_bottom > 0.88 * page_height OR y_top < 0.12 * page_height),
     r AS (SELECT doc_id, text, page_number - row_number() OVER (PARTITION BY doc_id, text ORDER BY page_number) AS island FROM o),
-    t AS (SELECT doc_id, text, sum(n) AS pages, max(n) AS longest FROM (SELECT doc_id, text, island, count(*) AS n FROM r GROUP BY ALL) GROUP BY doc_id, text),
+    t AS (SELECT doc_id, text, sum(n)::BIGINT AS pages, max(n) AS longest FROM (SELECT doc_id, text, island, count(*) AS n FROM r GROUP BY ALL) GROUP BY doc_id, text),
     s AS (SELECT doc_id, count(DISTINCT page_number) AS n FROM g GROUP BY doc_id),
     heads AS (SELECT doc_id, text, pages, longest FROM t JOIN s USING (doc_id) WHERE n >= 5 AND (pages >= greatest(3, n // 5) OR longest >= 8))"""
 LINES = f"""{BOXES}, d AS (SELECT *, coalesce((lag(y_bottom) OVER w - y_bottom > 3.0)::int, 0) AS step FROM bx WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY y_bottom DESC, x_left, seq)),
-    n AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, page_number ORDER BY y_bottom DESC, x_left, seq RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS line FROM d),
+    n AS (SELECT *, (sum(step) OVER (PARTITION BY doc_id, page_number ORDER BY y_bottom DESC, x_left, seq RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS line FROM d),
     ln AS (SELECT doc_id, page_number, line, string_agg(text, ' ' ORDER BY x_left, seq) AS text, max(y_top) AS top, min(y_bottom) AS bottom, max(font_size) AS font_size, bool_and(is_bold) AS is_bold FROM n GROUP BY ALL)"""
 BODY = "sz AS (SELECT doc_id, page_number, seq, round(font_size, 1) AS size FROM (SELECT DISTINCT * FROM text_boxes)), c AS (SELECT doc_id, size, count(*) AS n, min(page_number * 1000000 + seq) AS first FROM sz WHERE size >= 7 GROUP BY ALL), body AS (SELECT doc_id, size AS body FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) = 1)"
 MARK = "CASE WHEN font_size / body >= 2 THEN '# ' WHEN font_size / body >= 1.4 THEN '## ' WHEN font_size / body >= 1.1 AND is_bold THEN '### ' ELSE '' END"
@@ -227,7 +227,7 @@ def heading_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {LINES}, {BODY}, m AS (SELECT *, {MARK} AS mark FROM ln JOIN body USING (doc_id)),
     k AS (SELECT *, CASE WHEN lag(mark) OVER w = mark AND lag(bottom) OVER w - top <= greatest(3 * body, 30.0) THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY line)),
-    h AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_number ORDER BY line) AS heading FROM k)
+    h AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id, page_number ORDER BY line))::BIGINT AS heading FROM k)
     SELECT doc_id, page_number, heading, mark, string_agg(text, ' ' ORDER BY line) AS text FROM h WHERE mark <> '' GROUP BY ALL"""
 )
 def merged_headings(spark: SparkSession, folder: str) -> DataFrame:
@@ -265,7 +265,7 @@ def chrome_lines(spark: SparkSession, folder: str) -> DataFrame:
     l AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, page_number ORDER BY y DESC, x, item_no) AS line FROM s),
     g AS (SELECT *, x - lag(rgt) OVER (PARTITION BY doc_id, page_number, line ORDER BY x, item_no) AS gap FROM l),
     n AS (SELECT *, CASE WHEN gap IS NULL OR gap > least(greatest(0.6 * font_size, 6.0), 14.0) THEN 1 ELSE 0 END AS new FROM g),
-    w AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_number ORDER BY line, x, item_no) AS word FROM n)
+    w AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id, page_number ORDER BY line, x, item_no))::BIGINT AS word FROM n)
     SELECT doc_id, page_number, word, string_agg(CASE WHEN new = 0 AND gap > 0.1 * font_size THEN ' ' ELSE '' END || text, '' ORDER BY x, item_no) AS text, min(x) AS x_left, max(rgt) AS x_right FROM w GROUP BY ALL"""
 )
 def merged_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -275,7 +275,7 @@ def merged_items(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """WITH b AS (SELECT DISTINCT doc_id, page_number, x_left, x_right FROM text_boxes), m AS (SELECT *, max(x_right) OVER (PARTITION BY doc_id, page_number ORDER BY x_left, x_right ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b),
-    i AS (SELECT *, sum(CASE WHEN before IS NULL OR x_left > before + 10.0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_number ORDER BY x_left, x_right ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
+    i AS (SELECT *, (sum(CASE WHEN before IS NULL OR x_left > before + 10.0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_number ORDER BY x_left, x_right ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS island FROM m)
     SELECT doc_id, page_number, island, min(x_left) AS low, max(x_right) AS high FROM i GROUP BY ALL"""
 )
 def width_islands(spark: SparkSession, folder: str) -> DataFrame:
@@ -443,7 +443,7 @@ NORMAL = "trim(regexp_replace(lower(regexp_replace({0}, '[®™]', '', 'g')), '[
     m AS (SELECT c.doc_id, tool, coalesce(CASE type WHEN 'contains' THEN contains({NORMAL.format("coalesce(text, '')")}, {NORMAL.format("value")}) WHEN 'not_contains' THEN NOT contains({NORMAL.format("coalesce(text, '')")}, {NORMAL.format("value")})
       WHEN 'min_chars' THEN length(coalesce(text, '')) >= try_cast(value AS int) WHEN 'min_table_rows' THEN len(regexp_extract_all(coalesce(text, ''), '(?m)^\\|.*\\|[ ]*$')) >= try_cast(value AS int) WHEN 'regex' THEN regexp_matches(coalesce(text, ''), '(?im)^# ') END, false) AS ok FROM c JOIN o USING (doc_id)),
     d AS (SELECT tool, doc_id, count_if(ok) AS passed, count(*) AS total FROM m GROUP BY ALL)
-    SELECT tool, sum(passed) AS passed, sum(total) AS total, round(sum(passed) / sum(total), 4) AS score, count_if(passed = total) AS complete, count(*) AS documents FROM d GROUP BY tool"""
+    SELECT tool, sum(passed)::BIGINT AS passed, sum(total)::BIGINT AS total, round(sum(passed) / sum(total), 4) AS score, count_if(passed = total)::BIGINT AS complete, count(*) AS documents FROM d GROUP BY tool"""
 )
 def assertion_scores(spark: SparkSession, folder: str) -> DataFrame:
     """J16, AG9, E4: assertions by converter."""
@@ -459,7 +459,7 @@ def assertion_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT coalesce(converter, 'none') AS tool, count(*) AS runs, count_if(markdown IS NOT NULL) AS passed, count_if(markdown IS NULL) AS failed, round(median(CASE WHEN markdown IS NOT NULL THEN length(markdown) END), 3) AS median, sum(CASE WHEN markdown IS NOT NULL THEN length(markdown) END)::double AS total
+    """SELECT coalesce(converter, 'none') AS tool, count(*) AS runs, count_if(markdown IS NOT NULL)::BIGINT AS passed, count_if(markdown IS NULL)::BIGINT AS failed, round(median(CASE WHEN markdown IS NOT NULL THEN length(markdown) END), 3) AS median, sum(CASE WHEN markdown IS NOT NULL THEN length(markdown) END)::double AS total
     FROM documents_out GROUP BY 1"""
 )
 def converter_report(spark: SparkSession, folder: str) -> DataFrame:
