@@ -152,7 +152,7 @@ def minimum_cut(keep: list[float], drop: list[float], edges: list[tuple[int, int
             if end >= 0:
                 break
         if end < 0:
-            return [i not in back and excess[i] < -1e-9 or i not in back and keep[i] > drop[i] or (i not in back and _drained(i, caps, excess)) for i in range(n)]
+            return [i not in back and (keep[i] > drop[i] or _drained(i, caps, excess)) for i in range(n)]
         path, v = [], end
         while back[v] >= 0:
             path.append((back[v], v))

@@ -37,6 +37,8 @@ STRUCTURES = {
     "symbols": ((0.02, 0.01, 0.12, 0.10, 0.08, 0.04, 0.63), 0.01),
     "words": ((0.78, 0.00, 0.16, 0.00, 0.01, 0.01, 0.04), 0.04),
 }
+#: Common words that every task may receive.
+MOST_COMMON = 100_000
 #: Weights of the three divergences: characters, function words, line shapes.
 WEIGHTS = (1.0, 0.5, 1.5)
 HAS_LETTER = re.compile(r"[^\W\d_]")
@@ -256,9 +258,12 @@ def quality(pages: DataFrame, common_words: DataFrame) -> DataFrame:
     evidence or without a main body. Null and blank texts give no row, repeated
     rows repeated ones.
     """
-    # Common words are a fixed, short list for each language.
+    # Common words are a fixed, short list for each language; a table that is none is refused, not cut.
+    rows = common_words.where("lang is not null and word is not null").distinct().limit(MOST_COMMON + 1).collect()
+    if len(rows) > MOST_COMMON:
+        raise ValueError("too many common words to send to every task")
     common: dict[str, set[str]] = {}
-    for r in common_words.where("lang is not null and word is not null").distinct().limit(100_000).collect():
+    for r in rows:
         common.setdefault(r.lang, set()).add(r.word.lower())
     by = {k: frozenset(v) for k, v in common.items()}
     every = frozenset().union(*by.values())
