@@ -31,8 +31,9 @@ def query(sql: str | None = None):
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Route all sources and convert those whose content is at hand."""
-    return converted_sources(spark, folder)
+    """All sources, converted where their content is at hand, and why not where it isn't."""
+    results = convert.convert(table(spark, folder, "documents_in"))
+    return results.select("doc_id", "converter", "markdown", "title", convert.failure_message().alias("failure")).distinct()
 
 
 # ---------------------------------------------------------------- routing and addresses
