@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +41,9 @@ ENDED = re.compile(r"[.!?…:;,][\"'”»’)\]]*$")
 
 #: Words sent to every task as known; beyond them the lookup is a join.
 MOST_KNOWN = 200_000
-#: Records in which a word must stand to be a candidate, and the share of them that a misreading may reach.
+#: Distinct texts in which a word must stand to be a candidate, and the share of them that a misreading may reach.
 LEAST_DF, RARE = 5, 0.05
-#: Records in which a word must stand to train the ranking.
+#: Distinct texts in which a word must stand to train the ranking.
 SURE_DF = 30
 #: Words of the vocabulary drawn, by hash, to train the ranking; pages drawn to train the furniture model.
 SAMPLE_WORDS, SAMPLE_PAGES = 3000, 800
@@ -100,7 +101,10 @@ def vocabulary_form(token: str) -> str:
 
 
 def lexicon(texts: DataFrame) -> DataFrame:
-    """``word, df``: in how many texts each word stands, in lower case, without the halves of words broken over lines."""
+    """``word, df``: in how many distinct texts each word stands, in lower case, without the halves of words broken over lines.
+
+    Copies of a text count once, else what is misread in it would be as frequent as a word.
+    """
 
     def run(batches):
         form = Memo(vocabulary_form)
@@ -124,7 +128,7 @@ def lexicon(texts: DataFrame) -> DataFrame:
             df.pop("", None)
             yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["word", "df"])
 
-    return texts.where("text is not null").select("text").mapInArrow(run, "word string, df bigint").groupBy("word").agg(F.sum("df").alias("df"))
+    return texts.where("text is not null").select("text").distinct().mapInArrow(run, "word string, df bigint").groupBy("word").agg(F.sum("df").alias("df"))
 
 
 # ---------------------------------------------------------------- furniture
@@ -169,12 +173,16 @@ def unnested(column: pa.ListArray) -> list[tuple[list, list, list, list]]:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """``doc_id, page_number, key, title``: keys of the outer lines of each page, and of its title where one is set larger."""
+    """``doc_id, page_number, key, title, mark``: keys of the outer lines of each page, and of its title where one is set larger.
+
+    ``mark`` is a hash of the page's number and text, on one row of the page only.
+    """
 
     def run(batches):
         for batch in batches:
-            at, keys, titles = [], [], []
-            for k, (_, texts, fonts, _) in enumerate(unnested(batch.column("lines"))):
+            at, keys, titles, marks = [], [], [], []
+            for k, ((_, texts, fonts, _), page) in enumerate(zip(unnested(batch.column("lines")), batch.column("page_number").to_pylist())):
+                mark = xxhash.xxh3_64_intdigest("\n".join([str(page), *texts])) - (1 << 63)
                 big = 1.3 * statistics.median(fonts)
                 title = next((t for t, f in zip(texts[:6], fonts) if f > big > 0), None)
                 n = len(texts)
@@ -184,20 +192,22 @@ def page_edges(pages: DataFrame) -> DataFrame:
                     at.append(k)
                     keys.append(key)
                     titles.append(key_of(title) if title else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), batch.column("page_number").take(pa.array(at, pa.int64())), pa.array(keys, pa.string()), pa.array(titles, pa.string())], names=["doc_id", "page_number", "key", "title"])
+                    marks.append(mark)
+                    mark = None
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), batch.column("page_number").take(pa.array(at, pa.int64())), pa.array(keys, pa.string()), pa.array(titles, pa.string()), pa.array(marks, pa.int64())], names=["doc_id", "page_number", "key", "title", "mark"])
 
-    return pages.mapInArrow(run, "doc_id string, page_number int, key string, title string")
+    return pages.mapInArrow(run, "doc_id string, page_number int, key string, title string, mark bigint")
 
 
 def with_document(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``size`` (pages of the document), ``heads`` (keys that recur at its page edges) and ``title``.
+    """``pages`` with ``size`` (pages of the document), ``heads`` (keys that recur at its page edges), ``title`` and ``mark`` (alike for copies of a document).
 
     A key counts from two pages and a twentieth of them, which bounds the list
     however long a document is; small rows of pages meet it first, so that no
     document's pages are brought together.
     """
     edges = cut(page_edges(pages))
-    size = edges.groupBy("doc_id").agg(F.count_distinct("page_number").alias("size"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("page_number"))).alias("title"))
+    size = edges.groupBy("doc_id").agg(F.count_distinct("page_number").alias("size"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("page_number"))).alias("title"), F.bit_xor("mark").alias("mark"))
     often = edges.where("key <> ''").groupBy("doc_id", "key").agg(F.count_distinct("page_number").alias("n"))
     heads = often.join(size, "doc_id").where((F.col("n") >= 2) & (F.col("n") >= 0.05 * F.col("size"))).groupBy("doc_id").agg(F.collect_set("key").alias("heads"))
     small = edges.select("doc_id", "page_number").distinct().join(size.join(heads, "doc_id", "left"), "doc_id")
@@ -534,12 +544,12 @@ def misread_at(seen: str, true: str) -> int:
     return k
 
 
-ITEM = "tbl string, doc_id string, page_number int, line_no int, kind string, a string, b string, page2 int, line2 int"
+ITEM = "tbl string, doc_id string, page_number int, line_no int, kind string, a string, b string, page2 int, line2 int, mark bigint"
 
 
 def _items(rows: list[tuple]) -> pa.RecordBatch:
-    c = list(zip(*rows)) or [()] * 9
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+    c = list(zip(*rows)) or [()] * 10
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=[x.split()[0] for x in ITEM.split(", ")])
 
 
@@ -579,41 +589,41 @@ def noise(documents: DataFrame, boxes: DataFrame, corpus: DataFrame) -> DataFram
         unknown = Memo(suspicious)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("markdown").to_pylist()):
+            for doc, text, mark in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "markdown", "mark"))):
                 lines = text.split("\n")
                 if not scanned(lines):
                     continue
                 gone = text_furniture(lines, flat)
-                rows += [("documents_out", doc, 0, i, "furniture", None, None, None, None) for i, g in enumerate(gone) if g]
+                rows += [("documents_out", doc, 0, i, "furniture", None, None, None, None, None) for i, g in enumerate(gone) if g]
                 items, _, head = examined([(i, x) for i, (x, g) in enumerate(zip(lines, gone)) if not g and x], unknown)
-                rows += [("documents_out", doc, 0, no, kind, a, b, 0, to) for kind, no, a, b, to in items]
+                rows += [("documents_out", doc, 0, no, kind, a, b, 0, to, mark) for kind, no, a, b, to in items]
                 if head and odd(head[1], known):
-                    rows.append(("documents_out", doc, 0, head[0], "word", head[1], "", 0, 0))
+                    rows.append(("documents_out", doc, 0, head[0], "word", head[1], "", 0, 0, mark))
             yield _items(rows)
 
     def of_pages(batches):
         unknown = Memo(suspicious)
         for batch in batches:
             rows = []
-            for (numbers, texts, fonts, bolds), doc, page, heads, title in zip(unnested(batch.column("lines")), *(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "heads", "title"))):
+            for (numbers, texts, fonts, bolds), doc, page, heads, title, mark in zip(unnested(batch.column("lines")), *(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "heads", "title", "mark"))):
                 gone = page_furniture(texts, fonts, bolds, set(heads or ()), title or "", edged)
-                rows += [("text_boxes", doc, page, no, "furniture", None, None, None, None) for no, g in zip(numbers, gone) if g]
+                rows += [("text_boxes", doc, page, no, "furniture", None, None, None, None, None) for no, g in zip(numbers, gone) if g]
                 items, left, head = examined([(no, x) for no, x, g in zip(numbers, texts, gone) if not g], unknown)
-                rows += [("text_boxes", doc, page, no, kind, a, b, page, to) for kind, no, a, b, to in items]
+                rows += [("text_boxes", doc, page, no, kind, a, b, page, to, mark) for kind, no, a, b, to in items]
                 if left:
-                    rows.append(("text_boxes", doc, page, left[0], "open", left[1], None, page + 1, None))
+                    rows.append(("text_boxes", doc, page, left[0], "open", left[1], None, page + 1, None, mark))
                 if head:
-                    rows.append(("text_boxes", doc, page, head[0], "head", head[1], None, None, None))
+                    rows.append(("text_boxes", doc, page, head[0], "head", head[1], None, None, None, mark))
             yield _items(rows)
 
-    found = documents.where("markdown is not null").select("doc_id", "markdown").mapInArrow(of_text, ITEM)
-    every = cut(found.unionByName(pages.select("doc_id", "page_number", "lines", "heads", "title").mapInArrow(of_pages, ITEM)).distinct())
+    found = documents.where("markdown is not null").select("doc_id", "markdown", F.xxhash64("markdown").alias("mark")).mapInArrow(of_text, ITEM)
+    every = cut(found.unionByName(pages.select("doc_id", "page_number", "lines", "heads", "title", "mark").mapInArrow(of_pages, ITEM)).distinct())
     # A word broken over pages meets the head of the next page; other heads are words of their own.
     opens = every.where("kind = 'open'").select("doc_id", F.col("page_number").alias("p"), F.col("line_no").alias("l"), "a", "page2")
-    heads_ = every.where("kind = 'head'").select("doc_id", F.col("page_number").alias("page2"), F.col("line_no").alias("line2"), F.col("a").alias("b"))
+    heads_ = every.where("kind = 'head'").select("doc_id", F.col("page_number").alias("page2"), F.col("line_no").alias("line2"), F.col("a").alias("b"), "mark")
     met = heads_.join(opens, ["doc_id", "page2"], "left")
-    over = met.where("a is not null").select(F.lit("text_boxes").alias("tbl"), "doc_id", F.col("p").alias("page_number"), F.col("l").alias("line_no"), F.lit("pair").alias("kind"), "a", "b", "page2", "line2")
-    lone = met.where("a is null and b <> ''").select(F.lit("text_boxes").alias("tbl"), "doc_id", F.col("page2").alias("page_number"), F.col("line2").alias("line_no"), F.lit("word").alias("kind"), F.col("b").alias("a"), F.lit("").alias("b"), "page2", F.lit(0).alias("line2"))
+    over = met.where("a is not null").select(F.lit("text_boxes").alias("tbl"), "doc_id", F.col("p").alias("page_number"), F.col("l").alias("line_no"), F.lit("pair").alias("kind"), "a", "b", "page2", "line2", "mark")
+    lone = met.where("a is null and b <> ''").select(F.lit("text_boxes").alias("tbl"), "doc_id", F.col("page2").alias("page_number"), F.col("line2").alias("line_no"), F.lit("word").alias("kind"), F.col("b").alias("a"), F.lit("").alias("b"), "page2", F.lit(0).alias("line2"), "mark")
     items = cut(every.where("kind in ('word', 'pair')").unionByName(over).unionByName(lone))
     joined = F.lower(F.concat("a", "b"))
     items = items.withColumn("whole", F.when(F.col("kind") == "pair", joined).otherwise(F.lower("a"))).withColumn("kept", F.when(F.col("kind") == "pair", F.lower(F.concat("a", F.lit("-"), "b"))))
@@ -622,8 +632,10 @@ def noise(documents: DataFrame, boxes: DataFrame, corpus: DataFrame) -> DataFram
     looked = items.join(plain, "whole", "left").join(hyphened, "kept", "left").na.fill(0, ["df_whole", "df_kept"])
     # What no vocabulary explains is a suspect; the head of a page may be a word of the vocabulary.
     unknown = F.col("df_kept") < LEAST_DF
-    open_ = looked.where(unknown & (F.length("whole") <= 40)).select("doc_id", "df_whole", F.explode(F.array("whole", "kept")).alias("word")).where("word is not null")
-    suspects = open_.groupBy("word").agg(F.greatest(F.count_distinct("doc_id"), F.max("df_whole")).alias("n"))
+    open_ = looked.where(unknown & (F.length("whole") <= 40)).select("tbl", "mark", "df_whole", F.explode(F.array("whole", "kept")).alias("word")).where("word is not null")
+    # As in the vocabulary, copies count once; a record mostly stands in both tables, so these are not added up.
+    seen = open_.groupBy("word", "tbl").agg(F.count_distinct("mark").alias("n"), F.max("df_whole").alias("df_whole"))
+    suspects = seen.groupBy("word").agg(F.greatest(F.max("n"), F.max("df_whole")).alias("n"))
     best = cut(corrections(cut(suspects), vocabulary, model).where("p >= 0.5"))
     judged = looked.join(best.select(F.col("word").alias("whole"), "true", "cost"), "whole", "left")
     other = best.where(F.col("true").contains("-")).select(F.col("word").alias("kept"), F.col("true").alias("true_kept"), F.col("cost").alias("cost_kept"))

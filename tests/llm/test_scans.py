@@ -46,6 +46,21 @@ def test_noise(spark):
     assert found.count() == 0
 
 
+def test_copies_make_no_misreading_a_word(spark):
+    rng = random.Random(4)
+    clean = lambda: " ".join(rng.choice(WORDS) for _ in range(8))
+    lines = [clean() for _ in range(10)]
+    lines[4] = "the stor@ge " + lines[4]
+    text = "\n".join(lines)
+    whole = spark.createDataFrame([(t,) for t in corpus() + [text] * 30], "text string")
+    assert {r.word: r.df for r in scans.lexicon(whole).collect()}["station"] <= 61
+    docs = spark.createDataFrame([(f"m{k}", text) for k in range(30)], "doc_id string, markdown string")
+    rows = [(f"m{k}", 1, no, x, 10.0, False) for k in range(30) for no, x in enumerate(lines)]
+    boxes = spark.createDataFrame(rows, "doc_id string, page_number int, seq int, text string, font_size double, is_bold boolean")
+    found = {(r.tbl, r.doc_id, r.line_no) for r in scans.noise(docs, boxes, whole).where("noise = 'misread'").collect()}
+    assert found == {(t, f"m{k}", 4) for t in ("documents_out", "text_boxes") for k in range(30)}
+
+
 def test_confusion_cost():
     assert scans.confusion_cost("cl@ss", "class") == 0.25
     assert scans.confusion_cost("srnall", "small") == 0.25
