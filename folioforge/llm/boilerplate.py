@@ -252,12 +252,16 @@ def pages(documents: DataFrame, sources: DataFrame) -> DataFrame:
     a host may hold any share of them.
     """
     rows = documents.where(F.col("markdown").rlike(r"\S")).select("doc_id", "markdown", "converted_at")
-    first = rows.groupBy("doc_id").agg(F.min("converted_at").alias("first"))
+    text = F.xxhash64("markdown").alias("text")
+    earliest = F.struct(F.col("converted_at").isNull(), "converted_at", "text")
+    first = rows.select("doc_id", "converted_at", text).groupBy("doc_id").agg(F.min("converted_at").alias("first"), F.min_by("text", earliest).alias("text"))
     urls = sources.groupBy("doc_id").agg(F.min("url").alias("url"))
-    known = first.join(urls, "doc_id", "left").select(F.col("doc_id").alias("id"), "first", host("url").alias("host"), F.col("url").isNotNull().alias("web"))
+    known = first.join(urls, "doc_id", "left").select(F.col("doc_id").alias("id"), "first", "text", host("url").alias("host"), F.col("url").isNotNull().alias("web"))
     on = (F.col("doc_id") == F.col("id")) & F.col("converted_at").eqNullSafe(F.col("first"))
-    often = recurring(rows.join(known.where("web"), on).select("host", "markdown"))
-    return rows.join(known.join(often, "host", "left"), on).select("doc_id", "markdown", "host", "web", "recurring")
+    # Of a host's copies of one text, the small rows choose the one that is counted.
+    single = known.where("host is not null").groupBy("host", "text").agg(F.min(F.struct("id", "first")).alias("one")).select("host", "text", "one.*")
+    often = recurring(rows.join(single, on).select("host", "markdown", "text"))
+    return rows.join(known.drop("text").join(often, "host", "left"), on).select("doc_id", "markdown", "host", "web", "recurring")
 
 
 def boilerplate_lines(pages_: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from folioforge.llm import boilerplate, prose, residue
 from folioforge.llm.boilerplate import furniture, minimum_cut
+from folioforge.llm.sites import line_key
 
 TEXT = "The harbour office measured the northern fence on 3 May 1999, so that the market could open again, and the results were kept in a drawer."
 PAGE = f"Minetan\n* [Home](/home)\n* [Help](/help)\n\nWe use cookies to measure visits.\n[Accept all](#) [Reject](#)\n\n# Northern fence\n\n{TEXT}\n\n- storage shelves\n- signal lamps\n\nAdvertisement\n\n{TEXT}\n\n- [A source](https://other.example/5)\n\n### Read next\n- A faded map near Dorlia\n- [Reading room](/reading-room)\n© 2019 Minetan — Imprint\n[Sitemap](/sitemap)"
@@ -51,6 +52,18 @@ def test_lines_and_empty_tables(spark):
     assert boilerplate.boilerplate_lines(boilerplate.pages(docs.limit(0), urls)).count() == 0
 
 
+def test_copies_do_not_recur(spark):
+    own = f"# Northern fence\n\n{TEXT}\n\nstorage shelves here\n\nsignal lamps there\n\n{TEXT}"
+    other = lambda k: f"# Fence {k}\n\n{TEXT}\n\nRead me now\n\nentry {'abcdefghij'[k]}{'xyz' * (k + 1)}\n\n{TEXT}"
+    docs, urls = frames(spark, {f"c{k}": own for k in range(5)} | {f"o{k}": other(k) for k in range(6)})
+    docs = docs.unionByName(docs)
+    got = {r.doc_id: set(r.recurring or ()) for r in boilerplate.pages(docs, urls).collect()}
+    keys = got["c0"]
+    assert line_key("Read me now") in keys and not keys & {line_key(x) for x in ("storage shelves here", "signal lamps there", "# Northern fence")}
+    lines = {(r.doc_id, r.line_no) for r in boilerplate.boilerplate_lines(boilerplate.pages(docs, urls)).collect()}
+    assert {d for d, _ in lines} == {f"o{k}" for k in range(6)}
+
+
 CASES = {
     "x1": ("placeholder", "Dear {{name}},\n\nWe write about your order.\n\n" + TEXT),
     "x2": ("error", "**Page not found (404)**\n\nTry again in a few minutes."),
