@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.boilerplate import furniture
-from folioforge.llm.residue import evidence
+from folioforge.llm.residue import evidence, outside_code
 
 #: Character classes.
 CLASSES = ("letter", "digit", "space", "sentence", "quote", "line", "symbol")
@@ -157,10 +157,9 @@ def shapes(lines: list[str], common: frozenset[str]) -> np.ndarray:
     return out
 
 
-def body(text: str, host: str | None, web: bool, often: frozenset[int]) -> list[str]:
+def body(lines: list[str], gone: set[int]) -> list[str]:
     """The lines of the main body, blank ones kept as borders of paragraphs."""
-    gone = set(furniture(text, host, often)) if web else ()
-    return ["" if no in gone else line for no, line in enumerate(text.split("\n"))]
+    return ["" if no in gone else line for no, line in enumerate(lines)]
 
 
 def worded(text: str) -> tuple[Counter, int]:
@@ -196,6 +195,7 @@ def counted(lines: list[str], common: dict[str, frozenset[str]], every: frozense
         "chars": chars,
         "shapes": shapes(lines, every),
         "sums": sums,
+        "lines": len(kept),
     }
 
 
@@ -276,25 +276,16 @@ def quality(pages: DataFrame, common_words: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text, host, web, keys in zip(*(batch.column(c).to_pylist() for c in ("markdown", "host", "web", "recurring"))):
-                often = frozenset(keys or ())
-                lines = body(text, host, web, often)
-                found = counted(lines, by, every)
+                lines = text.split("\n")
+                gone = set(furniture(text, host, frozenset(keys or ()))) if web else set()
+                found = counted(body(lines, gone), by, every)
                 name, d = profiles.nearest(found)
-                proof = evidence(unfenced(lines), found["sums"])
+                # Problem 3's residual; the counts are its own where there is no code.
+                plain = outside_code(lines, gone)
+                proof = evidence(plain, found["sums"] if len(plain) == found["lines"] else None)
                 verdict = None if proof or name == "empty" else name.startswith("prose")
                 rows.append((found["words"], found["mean_word_length"], found["symbol_ratio"], found["ended_lines"], found["common_words"], found["lang"], name, d, proof, verdict))
             c = list(zip(*rows)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(c, types))], names=names)
 
     return pages.where(F.col("markdown").rlike(r"\S")).select("doc_id", "markdown", "host", "web", "recurring").mapInArrow(run, kinds)
-
-
-def unfenced(lines: list[str]) -> list[str]:
-    """``lines`` without code and blank ones."""
-    out, fenced = [], False
-    for x in lines:
-        if x.lstrip().startswith(("```", "~~~")):
-            fenced = not fenced
-        elif not fenced and x and not x.isspace():
-            out.append(x)
-    return out

@@ -63,17 +63,21 @@ CODE_FENCE, INLINE = re.compile(r"^\s*(?:```|~~~)"), re.compile(r"`[^`\n]*`")
 WORDS = re.compile(r"[^\W\d_]{2,}")
 #: Words of real text beside which a message is only a notice.
 REAL = 12
-#: Words beyond which no record is a prompt or a message.
-MOST_WORDS = 400
+#: Characters from which a line is text, neither prompt nor message; and those of the longest prompt.
+LONG, LONGEST_PROMPT = 160, max(map(len, PROMPTS))
 #: The share of a residual that filler must make up.
 MOSTLY = 0.5
 
 
 def residual(text: str, host: str | None, web: bool, often: frozenset[int] = frozenset()) -> list[str]:
     """The lines of ``text`` without its site's furniture and without code."""
-    gone = set(furniture(text, host, often)) if web else set()
+    return outside_code(text.split("\n"), set(furniture(text, host, often)) if web else set())
+
+
+def outside_code(lines: list[str], gone: set[int]) -> list[str]:
+    """``lines`` without those of the numbers ``gone``, without code and blank ones."""
     out, fenced = [], False
-    for no, line in enumerate(text.split("\n")):
+    for no, line in enumerate(lines):
         if CODE_FENCE.match(line):
             fenced = not fenced
         elif not fenced and no not in gone and line and not line.isspace():
@@ -106,7 +110,7 @@ def symbols(line: str) -> bool:
 def evidence(lines: list[str], words: Counter | None = None) -> str | None:
     """What makes a residual no real content: placeholder, prompt, filler, error or demand; None for real content.
 
-    ``words`` are the counts of what stands between spaces, where they are known.
+    ``words`` are the counts of what stands between spaces in ``lines``, where they are known.
     """
     if not lines:
         return None
@@ -116,30 +120,38 @@ def evidence(lines: list[str], words: Counter | None = None) -> str | None:
         words = Counter("\n".join(lines).lower().split())
     if filler([x for x in lines if not x.lstrip().startswith("#")] or lines, words):
         return "filler"
-    # Prompts and messages are short and stand alone; longer lines are text and need no skeleton.
-    if words.total() > MOST_WORDS:
-        return None
-    bones = [skeleton(x.strip("#*_>- \t")) if len(x) < 160 else "" for x in lines]
-    heads = [x.lstrip().startswith("#") for x in lines]
-    prompt = [b in PROMPTS for b in bones]
-    if any(prompt) and _real(lines, heads, prompt) <= REAL:
+    if prompted(lines):
         return "prompt"
-    # Messages have few lines.
-    if len(lines) > 12:
+    # Messages have few lines; longer lines are text and need no skeleton.
+    if len(lines) > 12 or _real(lines, [len(x) < LONG for x in lines]) > REAL:
         return None
-    said = [bool(ERROR.search(b)) and len(b) < 160 for b in bones]
-    asked = [bool(DEMAND.search(b)) and len(b) < 160 for b in bones]
-    more = [bool(ADVICE.search(b)) and len(b) < 160 for b in bones]
+    bones = [skeleton(x.strip("#*_>- \t")) if len(x) < LONG else "" for x in lines]
+    said = [bool(ERROR.search(b)) and len(b) < LONG for b in bones]
+    asked = [bool(DEMAND.search(b)) and len(b) < LONG for b in bones]
+    more = [bool(ADVICE.search(b)) and len(b) < LONG for b in bones]
     if any(said) or any(asked) or sum(more) >= 2 or all(more):
-        mine = [a or b or c for a, b, c in zip(said, asked, more)]
-        if _real(lines, heads, mine) <= REAL:
+        if _real(lines, [a or b or c for a, b, c in zip(said, asked, more)]) <= REAL:
             return "demand" if any(asked) and not any(said) else "error"
     return None
 
 
-def _real(lines: list[str], heads: list[bool], mine: list[bool]) -> int:
+def prompted(lines: list[str]) -> bool:
+    """Whether there are prompts and at most REAL words of text beside them; ends as soon as there are more."""
+    found, real = False, 0
+    for x in lines:
+        s = x.strip("#*_>- \t")
+        if len(x) < LONG and not (len(s) > LONGEST_PROMPT and s.isascii()) and skeleton(s) in PROMPTS:
+            found = True
+        else:
+            real += _real([x], [False])
+            if real > REAL:
+                return False
+    return found
+
+
+def _real(lines: list[str], mine: list[bool]) -> int:
     """Words of text that are neither headings nor the evidence itself; short lines beside it, as of lists, count too."""
-    return sum(len(WORDS.findall(x)) for x, h, m in zip(lines, heads, mine) if not m and not h and not x.lstrip().startswith(("- ", "* ", "[")))
+    return sum(len(WORDS.findall(x)) for x, m in zip(lines, mine) if not m and not x.lstrip().startswith(("#", "- ", "* ", "[")))
 
 
 def filler(lines: list[str], words: Counter) -> bool:

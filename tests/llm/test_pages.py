@@ -89,6 +89,21 @@ def test_evidence(spark):
     assert web == "error"
 
 
+def test_long_records_are_judged_alike_in_3_and_5(spark):
+    texts = {
+        "xdeck": "\n\n".join(["Click to add title", "Click to add text"] * 80),
+        "xtalk": "\n\n".join(["Click to add title", "Click to add text"] * 80 + [TEXT]),
+        "xcode": "Lorem ipsum dolor sit amet, sed magna nulla velit quis. " * 8 + "\n\n```\n" + "total = total + price\n" * 200 + "```",
+        "xtext": (TEXT + "\n\n") * 30,
+    }
+    docs, urls = frames(spark, texts)
+    pages = boilerplate.pages(docs, urls)
+    common = spark.createDataFrame([("en", w, i) for i, w in enumerate("the a an and of to in on so that were".split())], "lang string, word string, word_rank int")
+    want = {"xdeck": "prompt", "xtalk": None, "xcode": "filler", "xtext": None}
+    assert {r.doc_id: r.evidence for r in residue.judged(pages).collect()} == want
+    assert {r.doc_id: r.evidence for r in prose.quality(pages, common).collect()} == want
+
+
 def test_quality(spark):
     table = "| a | b |\n| --- | --- |\n" + "| 12 | n/a |\n" * 20
     bodies = {
