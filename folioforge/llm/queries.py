@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import boilerplate, encodings, leakage, lookalikes, packing, prose, residue, scans, shared_spans, splitting
-from folioforge.runtime import table
+from folioforge.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,8 +82,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    """The readable paragraphs of scanned records."""
-    return scans.repaired(*_scans(spark, folder))
+    """The readable paragraphs of scanned records, and of each page of text boxes."""
+    pdf, found = _scans(spark, folder)
+    return scans.repaired(pdf, cut(found), table(spark, folder, "text_boxes"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -559,13 +559,13 @@ def cased(seen: str, true: str) -> str:
 
 
 def noise(documents: DataFrame, boxes: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``tbl, doc_id, page_number, line_no, noise, seen, fixed`` of scanned text.
+    """``tbl, doc_id, page_number, line_no, noise, seen, fixed, next_page`` of scanned text.
 
     ``documents`` has ``doc_id, markdown`` of PDF records, ``boxes`` the text boxes,
     ``corpus`` a column ``text`` from which the vocabulary is counted. ``noise`` is
     'furniture', 'hyphen' or 'misread', or 'kept' for a line that ends at a hyphen
     which stays; ``fixed`` is what takes the place of ``seen``: a word, or for a
-    broken one the whole word. Null texts have no rows, repeated boxes count once, a
+    broken one the whole word, whose second half stands on ``next_page``. Null texts have no rows, repeated boxes count once, a
     box without a document is left out.
     """
     counted = cut(lexicon(corpus).where("df >= 2"))
@@ -652,7 +652,7 @@ def noise(documents: DataFrame, boxes: DataFrame, corpus: DataFrame) -> DataFram
                 at = (r["tbl"], r["doc_id"], r["page_number"], r["line_no"])
                 if r["kind"] == "word":
                     if true and true != seen:
-                        rows.append((*at, "misread", r["a"], cased(r["a"], true)))
+                        rows.append((*at, "misread", r["a"], cased(r["a"], true), None))
                     continue
                 stay = stays[id(r)]
                 if stay:
@@ -660,26 +660,28 @@ def noise(documents: DataFrame, boxes: DataFrame, corpus: DataFrame) -> DataFram
                     seen, true = r["kept"], r["true_kept"]
                 wrong = bool(true) and true != seen
                 whole = cased(r["a"], true) if wrong else r["a"] + ("-" if stay else "") + r["b"]
-                rows.append((*at, "kept" if stay else "hyphen", r["a"], whole))
+                rows.append((*at, "kept" if stay else "hyphen", r["a"], whole, r["page2"]))
                 if wrong:
                     # The sign that differs lies on this line or on the next.
                     here = misread_at(seen, true) < len(r["a"])
-                    rows.append((*at, "misread", r["a"], whole) if here else (r["tbl"], r["doc_id"], r["page2"], r["line2"], "misread", r["b"], whole))
-            c = list(zip(*rows)) or [()] * 7
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=["tbl", "doc_id", "page_number", "line_no", "noise", "seen", "fixed"])
+                    rows.append((*at, "misread", r["a"], whole, None) if here else (r["tbl"], r["doc_id"], r["page2"], r["line2"], "misread", r["b"], whole, None))
+            c = list(zip(*rows)) or [()] * 8
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=["tbl", "doc_id", "page_number", "line_no", "noise", "seen", "fixed", "next_page"])
 
     result = judged.select("tbl", "doc_id", "page_number", "line_no", "kind", "a", "b", "page2", "line2", "whole", "kept", "true", "cost", "true_kept", "cost_kept", "df_whole", "df_kept")
-    result = result.mapInArrow(decide, "tbl string, doc_id string, page_number int, line_no int, noise string, seen string, fixed string")
+    result = result.mapInArrow(decide, "tbl string, doc_id string, page_number int, line_no int, noise string, seen string, fixed string, next_page int")
     none = F.lit(None).cast("string")
-    furniture = every.where("kind = 'furniture'").select("tbl", "doc_id", "page_number", "line_no", F.lit("furniture").alias("noise"), none.alias("seen"), none.alias("fixed"))
+    furniture = every.where("kind = 'furniture'").select("tbl", "doc_id", "page_number", "line_no", F.lit("furniture").alias("noise"), none.alias("seen"), none.alias("fixed"), none.cast("int").alias("next_page"))
     return result.unionByName(furniture).distinct()
 
 
-def mended(lines: list[str], fixes: list[dict]) -> str:
+def mended(lines: list[str], fixes: list[dict], carry: str | None = None, over: bool = False) -> str:
     """Paragraphs from the lines of a page or text: furniture gone, misread words put right, broken ones and lines joined.
 
-    Blank lines part paragraphs, except where they stand beside furniture.
+    Blank lines part paragraphs, except where they stand beside furniture. ``carry``
+    is the whole word whose second half begins the text; ``over`` says that the next
+    page gets the word that is broken at its end.
     """
     gone, swaps, ends = set(), {}, {}
     for f in fixes:
@@ -689,7 +691,7 @@ def mended(lines: list[str], fixes: list[dict]) -> str:
             swaps.setdefault(f["line_no"], []).append((f["seen"], f["fixed"]))
         else:
             ends[f["line_no"]] = (f["seen"], f["fixed"])
-    paragraphs, now, carry = [], [], None
+    paragraphs, now = [], []
     text_lines = [no for no, line in enumerate(lines) if no not in gone and line.strip()]
     wide = max((len(lines[no]) for no in text_lines), default=0)
     # The first line is a title where it is short, ends no sentence and a new one follows.
@@ -721,24 +723,75 @@ def mended(lines: list[str], fixes: list[dict]) -> str:
         if no == title and now:
             paragraphs.append(" ".join(now))
             now = []
-    if carry is not None:
+    if carry is not None and not over:
         now.append(carry)
     if now:
         paragraphs.append(" ".join(now))
     return "\n\n".join(paragraphs)
 
 
-def repaired(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """``doc_id, text``: the readable paragraphs of converted scans.
-
-    ``documents`` has ``doc_id, markdown``, ``found`` is :func:`noise` of them. A
-    text's fixes are as many as its lines and words, so they meet it as one row.
+def parted(rows: list[dict]) -> tuple[list[str], dict[int, int]]:
+    """(lines, place of each seq) of one page: blank lines stand where the space above a line is wider than most, and around larger lines."""
+    steps = [a["top"] - b["top"] for a, b in zip(rows, rows[1:]) if a["top"] is not None and b["top"] is not None]
+    down = [x for x in steps if x > 0]
+    usual, size = statistics.median(down) if down else 0.0, statistics.median(r["font"] for r in rows)
+    lines, at = [], {}
+    for k, r in enumerate(rows):
+        if k:
+            last = rows[k - 1]
+            wide = usual and r["top"] is not None and last["top"] is not None and last["top"] - r["top"] > 1.3 * usual
+            if wide or (r["font"] > 1.3 * size > 0) != (last["font"] > 1.3 * size > 0):
+                lines.append("")
+        at[r["seq"]] = len(lines)
+        lines.append(r["text"])
+    return lines, at
+
+
+def repaired(documents: DataFrame, found: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
+    """``tbl, doc_id, page_number, text``: the readable paragraphs of converted scans, and of each page of ``boxes``.
+
+    ``documents`` has ``doc_id, markdown``, ``found`` is :func:`noise` of both. Scans
+    and pages without noise come out too, their lines joined; texts that are no scans
+    do not, nor pages of nothing but furniture. A page number is 0 for a document. A word broken over pages
+    stands on the later one. Fixes are as many as lines and words of a text or page,
+    so they meet it as one row, and a document of any length spreads over tasks.
     """
-    fixes = found.where("tbl = 'documents_out'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "noise", "seen", "fixed"))).alias("fixes"))
+    fix = F.sort_array(F.collect_list(F.struct("line_no", "noise", "seen", "fixed", "next_page"))).alias("fixes")
+    kind = "tbl string, doc_id string, page_number int, text string"
 
-    def run(batches):
+    def rows_of(batch, tbl, pages, texts):
+        kept = pa.array([k for k, t in enumerate(texts) if t], pa.int64())
+        columns = [pa.array([tbl] * len(texts), pa.string()), batch.column("doc_id"), pages, pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays([c.take(kept) for c in columns], names=["tbl", "doc_id", "page_number", "text"])
+
+    def of_text(batches):
         for batch in batches:
-            texts = [mended(t.split("\n"), f) for t, f in zip(batch.column("markdown").to_pylist(), batch.column("fixes").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            texts = []
+            for text, fixes in zip(batch.column("markdown").to_pylist(), batch.column("fixes").to_pylist()):
+                lines = text.split("\n")
+                texts.append(mended(lines, fixes or []) if scanned(lines) else "")
+            yield rows_of(batch, "documents_out", pa.array([0] * len(texts), pa.int32()), texts)
+
+    fixes = found.where("tbl = 'documents_out'").groupBy("doc_id").agg(fix)
+    out = documents.where("markdown is not null").select("doc_id", "markdown").join(fixes, "doc_id", "left").mapInArrow(of_text, kind)
+    if boxes is None:
+        return out
 
-    return documents.select("doc_id", "markdown").join(fixes, "doc_id").mapInArrow(run, "doc_id string, text string")
+    def of_pages(batches):
+        for batch in batches:
+            texts = []
+            for page, rows, fixes, carry in zip(*(batch.column(c).to_pylist() for c in ("page_number", "lines", "fixes", "carry"))):
+                lines, at = parted(rows)
+                fixes = fixes or []
+                over = any(f["next_page"] is not None and f["next_page"] > page for f in fixes)
+                texts.append(mended(lines, [f | {"line_no": at[f["line_no"]]} for f in fixes], carry, over))
+            yield rows_of(batch, "text_boxes", batch.column("page_number"), texts)
+
+    found = found.where("tbl = 'text_boxes'")
+    fixes = found.groupBy("doc_id", "page_number").agg(fix)
+    carried = found.where("next_page > page_number").groupBy("doc_id", F.col("next_page").alias("page_number")).agg(F.min("fixed").alias("carry"))
+    top = F.col("y_top") if "y_top" in boxes.columns else F.lit(None).cast("double")
+    line = F.struct("seq", "text", F.coalesce("font_size", F.lit(0.0)).alias("font"), top.alias("top"))
+    pages = boxes.where("doc_id is not null and text is not null").groupBy("doc_id", "page_number").agg(F.sort_array(F.collect_set(line)).alias("lines"))
+    joined = pages.join(fixes, ["doc_id", "page_number"], "left").join(carried, ["doc_id", "page_number"], "left")
+    return out.unionByName(joined.select("doc_id", "page_number", "lines", "fixes", "carry").mapInArrow(of_pages, kind))

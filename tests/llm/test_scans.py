@@ -46,6 +46,28 @@ def test_noise(spark):
     assert found.count() == 0
 
 
+def test_paragraphs_of_pages_and_of_scans_without_noise(spark):
+    lines = ["The harbour office measured the northern", "fence and the market results were kept", "by the station in the storage shelves."]
+    docs = spark.createDataFrame([("clean", "\n".join(lines)), ("list", "- a\n- b\n- c"), ("empty", "")], "doc_id string, markdown string")
+    page = lambda doc, no, texts: [(doc, no, k, t, 700.0 - 12 * k - 9 * (k > 2), 10.0) for k, t in enumerate(texts)]
+    rows = page("reg", 1, ["Northern fence 4", "The stor@ge shelves of the", "market were seen.", "Then it was mea-"]) + page("reg", 2, ["sured, at last."]) + page("other", 1, lines)
+    boxes = spark.createDataFrame(rows, "doc_id string, page_number int, seq int, text string, y_top double, font_size double")
+    none = None
+    found = [
+        ("text_boxes", "reg", 1, 0, "furniture", none, none, none),
+        ("text_boxes", "reg", 1, 1, "misread", "stor@ge", "storage", none),
+        ("text_boxes", "reg", 1, 3, "hyphen", "mea", "measured", 2),
+    ]
+    frame = spark.createDataFrame(found, "tbl string, doc_id string, page_number int, line_no int, noise string, seen string, fixed string, next_page int")
+    got = {(r.tbl, r.doc_id, r.page_number): r.text for r in scans.repaired(docs, frame, boxes).collect()}
+    assert got == {
+        ("documents_out", "clean", 0): " ".join(lines),
+        ("text_boxes", "reg", 1): "The storage shelves of the market were seen.\n\nThen it was",
+        ("text_boxes", "reg", 2): "measured, at last.",
+        ("text_boxes", "other", 1): " ".join(lines),
+    }
+
+
 def test_copies_make_no_misreading_a_word(spark):
     rng = random.Random(4)
     clean = lambda: " ".join(rng.choice(WORDS) for _ in range(8))
