@@ -1,9 +1,10 @@
 """Packed text blocks and packed hash sets, the carriers of the span search.
 
-Texts travel as compressed blocks and hashes as sorted, delta-coded arrays, one
-row for each block and bucket. A row of Spark thus holds thousands of hashes, a
-hash occurs at most once for each block however often the block repeats it, and
-the answer to "does another block have it?" returns as one bit a hash.
+Texts travel as compressed blocks of a bounded size and hashes as sorted,
+delta-coded arrays, one row for each block and bucket. A row of Spark thus holds
+thousands of hashes, a hash occurs at most once for each block however often the
+block repeats it, and the answer to "does another record have it?" returns as one
+bit a hash.
 """
 
 from __future__ import annotations
@@ -12,12 +13,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a hash kept inside its bucket. A collision costs a candidate, never a result row of its own.
-LOW_BITS = 40
+from folioforge.runtime import cut, partitions
+
+#: Bytes of text that a block aims at, and bytes of text whose hashes share a bucket: what one task holds at a time.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
+#: Sizes of texts are summed by so many hash classes of keys; also the most blocks.
+CLASSES = 1 << 24
+#: A block of more than so many times the aim holds a hot key and is spread by its texts.
+HOT = 4
+#: Bits by which hashes exceed those of the texts' total length: of anchors, whose collisions only cost candidates, and of windows.
+SPARE = (8, 28)
 #: Characters hashed at once, which bounds the tables of powers.
 CHUNK = 1 << 20
 MIX_A, MIX_B, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0xD6E8FEB86659FD93
@@ -74,23 +84,69 @@ def windows(sums: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit values, as 32-bit gaps where they fit."""
+    """Sorted distinct values as gaps, in as many bytes as the widest needs."""
     gaps = np.diff(values, prepend=np.uint64(0))
-    if len(gaps) and gaps.max() < 1 << 32:
-        return b"g" + gaps.astype("<u4").tobytes()
-    return b"v" + values.astype("<u8").tobytes()
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    if blob[:1] == b"g":
-        return np.cumsum(np.frombuffer(blob, "<u4", offset=1), dtype=np.uint64)
-    return np.frombuffer(blob, "<u8", offset=1).astype(np.uint64)
+    parts = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
+    gaps = np.zeros((len(parts), 8), np.uint8)
+    gaps[:, : blob[0]] = parts
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def owner(key: str | None) -> int:
+    """A hash of a record's key; null is a record of its own."""
+    return 0 if key is None else xxhash.xxh3_64_intdigest(key) | 1
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How much is in a block and a bucket, from the bytes of all texts."""
+
+    blocks: int
+    bucket_bits: int
+    #: Bits of the hashes that travel: of anchors, and of windows of the full length.
+    widths: tuple[int, int]
+    #: Blocks of hot keys: the first of their sub-blocks and how many.
+    hot: dict[int, tuple[int, int]]
+
+    @property
+    def last(self) -> int:
+        """One more than the number of the last block."""
+        return self.blocks + sum(n for _, n in self.hot.values())
+
+
+def laid_out(df: DataFrame, key: str, text: str, shortest: int, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> Layout:
+    """The layout of ``df``: one pass that sums the texts' bytes by hash classes of their keys.
+
+    A class of blocks has at most ``HOT`` times its aim but where a key holds more;
+    such blocks are at most a quarter of all, and only their numbers reach the driver.
+    """
+    sized = df.where(F.length(text) >= shortest).groupBy(F.pmod(F.xxhash64(key), F.lit(CLASSES)).alias("m")).agg(F.sum(F.octet_length(text)).alias("bytes"))
+    sized = cut(sized)
+    total = sized.agg(F.sum("bytes")).first()[0] or 0
+    power = lambda n: 1 << max(0, int(n) - 1).bit_length()
+    blocks = min(CLASSES, power(max(-(-total // block_bytes), partitions(df.sparkSession))))
+    buckets = power(max(-(-total // bucket_bytes), 4 * partitions(df.sparkSession)))
+    heavy = sized.groupBy(F.pmod("m", F.lit(blocks)).alias("b")).agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > HOT * max(block_bytes, total // blocks)).orderBy("b").collect()
+    hot, at = {}, blocks
+    for r in heavy:
+        parts = -(-r.bytes // block_bytes)
+        hot[r.b] = (at, parts)
+        at += parts
+    bits = max(buckets.bit_length() - 1, 1)
+    length = max(1, int(total)).bit_length()
+    return Layout(blocks, bits, tuple(min(64, max(length + s, bits + 8)) for s in SPARE), hot)
 
 
 @dataclass
 class Block:
     """The documents of one block, in the order of their ids."""
 
+    number_of_block: int
     ids: list
     #: Number of each text's document; equal ids are one document.
     number: np.ndarray
@@ -110,16 +166,21 @@ class Block:
             at = end
 
 
-def blocks(df: DataFrame, key: str, text: str, count: int, shortest: int = 0) -> DataFrame:
-    """``block int, blob binary``: all texts of at least ``shortest`` characters, by the hash of their key."""
-    source = df.select(F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias("block"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    source = source.where(F.length("text") >= shortest)
-    out = pa.schema([("block", pa.int32()), ("blob", pa.binary())])
+def blocks(df: DataFrame, key: str, text: str, layout: Layout, shortest: int = 0) -> DataFrame:
+    """``block int, blob binary``: all texts of at least ``shortest`` characters, by the hash of their key, those of hot keys by their own hash too."""
+    home = F.pmod(F.pmod(F.xxhash64(key), F.lit(CLASSES)), F.lit(layout.blocks)).cast("int")
+    source = df.select(home.alias("block"), F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where(F.length("text") >= shortest)
+    out, hot = pa.schema([("block", pa.int32()), ("blob", pa.binary())]), layout.hot
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             home = batch.column("block").to_numpy()
+            if hot:
+                home = home.copy()
+                for i in np.flatnonzero(np.isin(home, list(hot))):
+                    first, parts = hot[int(home[i])]
+                    home[i] = first + xxhash.xxh3_64_intdigest(batch.column("text")[int(i)].as_py()) % parts
             for b in np.unique(home):
                 part = batch.take(pa.array(np.flatnonzero(home == b))).select(["key", "text"])
                 sink = pa.BufferOutputStream()
@@ -127,7 +188,8 @@ def blocks(df: DataFrame, key: str, text: str, count: int, shortest: int = 0) ->
                     to.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([press.compress(sink.getvalue())], pa.binary())], schema=out)
 
-    return source.mapInArrow(run, "block int, blob binary")
+    # As many partitions as blocks, however few the session shuffles to: a task's share does not grow with the texts.
+    return source.mapInArrow(run, "block int, blob binary").repartition(max(partitions(df.sparkSession), layout.last), "block")
 
 
 def opened(rows: pa.Table) -> Block:
@@ -140,46 +202,59 @@ def opened(rows: pa.Table) -> Block:
     order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or "", texts[i]))
     ids = [keys[i] for i in order]
     number = np.cumsum([k > 0 and ids[k] != ids[k - 1] for k in range(len(ids))]).astype(np.int64)
-    return Block(ids, number, [texts[i] for i in order])
+    return Block(rows.column("block")[0].as_py(), ids, number, [texts[i] for i in order])
 
 
 class Hashes:
     """The distinct hashes of a block, cut to the bits that travel."""
 
-    def __init__(self, hashes: np.ndarray, documents: np.ndarray, bucket_bits: int):
-        keys = hashes >> np.uint64(64 - LOW_BITS - bucket_bits)
+    def __init__(self, block: Block, hashes: np.ndarray, documents: np.ndarray, layout: Layout, stage: int):
+        self.block, self.buckets, width = block, layout.bucket_bits, layout.widths[stage - 1]
+        self.low = np.uint64(width - layout.bucket_bits)
+        keys = hashes >> np.uint64(64 - width)
         order = np.argsort(keys)
         keys, documents = keys[order], documents[order]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        self.values, self.bits = keys[start], bucket_bits
+        self.values = keys[start]
         size = np.diff(np.append(start, len(keys)))
         self.inverse = np.empty(len(keys), np.int64)
         self.inverse[order] = np.repeat(np.arange(len(start)), size)
+        least, most = (np.minimum.reduceat(documents, start), np.maximum.reduceat(documents, start)) if len(start) else (np.zeros(0, np.int64),) * 2
         #: Whether two documents of this block have the hash.
-        self.local = (np.minimum.reduceat(documents, start) != np.maximum.reduceat(documents, start)) if len(start) else np.zeros(0, bool)
-
-    def rows(self, block: int) -> pa.Table:
-        home = self.values >> np.uint64(LOW_BITS)
-        edges = np.searchsorted(home, np.arange((1 << self.bits) + 1, dtype=np.uint64))
-        some = [b for b in range(1 << self.bits) if edges[b] < edges[b + 1]]
-        low = self.values & np.uint64((1 << LOW_BITS) - 1)
+        self.local = least != most
+        # Records of a hot key lie in several blocks, so their hashes name their owner; others are known by their block.
+        self.owners = np.array([owner(block.ids[i]) for i in np.unique(block.number, return_index=True)[1]], np.uint64)[least] if block.number_of_block >= layout.blocks and len(start) else None
+        self.home = self.values >> self.low
+        self.edges = np.searchsorted(self.home, np.arange((1 << self.buckets) + 1, dtype=np.uint64))
+
+    def rows(self) -> pa.Table:
+        some = np.flatnonzero(np.diff(self.edges)).tolist()
+        low = self.values & ((np.uint64(1) << self.low) - np.uint64(1))
+        part = [slice(self.edges[b], self.edges[b + 1]) for b in some]
+        names = [None] * len(some) if self.owners is None else [self.owners[p].astype("<u8").tobytes() for p in part]
         return pa.table(
-            {"block": pa.array([block] * len(some), pa.int32()), "bucket": pa.array(some, pa.int32()), "blob": pa.array([pack(low[edges[b] : edges[b + 1]]) for b in some], pa.binary())}
+            {
+                "block": pa.array([self.block.number_of_block] * len(some), pa.int32()),
+                "bucket": pa.array(some, pa.int32()),
+                "blob": pa.array([pack(low[p]) for p in part], pa.binary()),
+                "owners": pa.array(names, pa.binary()),
+            }
         )
 
     def shared(self, replies: dict[int, bytes]) -> np.ndarray:
         """For each hash as it was given: whether another document has it."""
-        home = self.values >> np.uint64(LOW_BITS)
-        edges = np.searchsorted(home, np.arange((1 << self.bits) + 1, dtype=np.uint64))
         flags = self.local.copy()
         for b, bits in replies.items():
-            n = edges[b + 1] - edges[b]
-            flags[edges[b] : edges[b + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+            n = self.edges[b + 1] - self.edges[b]
+            flags[self.edges[b] : self.edges[b + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
         return flags[self.inverse] if len(self.inverse) else np.zeros(0, bool)
 
 
-def repeated(df: DataFrame) -> DataFrame:
-    """``block, bucket, bits``: which hashes of each packed row stand in another block's row too.
+PACKED = "block int, bucket int, blob binary, owners binary"
+
+
+def repeated(df: DataFrame, layout: Layout) -> DataFrame:
+    """``block, bucket, bits``: which hashes of each packed row another record has too, in another block.
 
     One group for each bucket. A hash stands once in a row, so a hash that a third
     of all texts repeat has one entry for each block, not for each text.
@@ -187,15 +262,22 @@ def repeated(df: DataFrame) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         blobs = [unpack(x) for x in rows.column("blob").to_pylist()]
+        sizes = np.array([len(x) for x in blobs])
         every = np.concatenate(blobs)
+        # A block's own number stands for its records, which no other block has.
+        who = np.repeat(rows.column("block").to_numpy().astype(np.uint64) << np.uint64(1), sizes)
+        ends = np.cumsum(sizes)
+        for k, names in enumerate(rows.column("owners").to_pylist()):
+            if names is not None:
+                who[ends[k] - sizes[k] : ends[k]] = np.frombuffer(names, "<u8")
         order = np.argsort(every)
-        sorted_ = every[order]
-        same = sorted_[1:] == sorted_[:-1]
+        sorted_, who = every[order], who[order]
+        start = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        several = np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start)
         twice = np.zeros(len(every), bool)
-        twice[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        ends = np.cumsum([len(x) for x in blobs])
-        bits = [np.packbits(twice[e - len(x) : e]).tobytes() if twice[e - len(x) : e].any() else None for x, e in zip(blobs, ends)]
+        twice[order] = np.repeat(several, np.diff(np.append(start, len(every))))
+        bits = [np.packbits(twice[e - n : e]).tobytes() if twice[e - n : e].any() else None for n, e in zip(sizes, ends)]
         keep = pa.array([i for i, x in enumerate(bits) if x is not None], pa.int64())
         return pa.table({"block": rows.column("block").take(keep), "bucket": rows.column("bucket").take(keep), "bits": pa.array([bits[i] for i in keep.to_pylist()], pa.binary())})
 
-    return df.groupBy("bucket").applyInArrow(run, "block int, bucket int, bits binary")
+    return df.repartition(max(partitions(df.sparkSession), 1 << layout.bucket_bits), "bucket").groupBy("bucket").applyInArrow(run, "block int, bucket int, bits binary")

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.packed import Hashes, blocks, opened, prefix, repeated, windows
-from folioforge.runtime import partitions
+from folioforge.llm.packed import BLOCK_BYTES, BUCKET_BYTES, PACKED, Hashes, blocks, laid_out, opened, prefix, repeated, windows
 
 SPAN = 200
 
@@ -85,7 +84,7 @@ def _extended(block, span: int, period: int, text: np.ndarray, place: np.ndarray
     return _joined(got)
 
 
-def shared(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, period: int = PERIOD, places: np.ndarray | None = None, spread: int = 4) -> DataFrame:
+def shared(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, period: int = PERIOD, places: np.ndarray | None = None, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """How much of every text stands, character for character, in another record.
 
     Returns one row for each text of at least ``span`` characters that shares a
@@ -97,21 +96,25 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = S
     key is a record of its own. Other columns are ignored.
 
     Work grows in proportion to the text: hashes travel packed, once for each
-    block that has them, and no pairs are built. Spans are compared by 64-bit
-    hashes of which ``40 + log2(buckets)`` bits travel.
+    block that has them, and no pairs are built. Blocks have about ``block_bytes`` of
+    text and buckets the hashes of about ``bucket_bytes``, whatever the number of
+    texts; a key that alone holds more is spread over blocks of its own.
+
+    Windows are compared by hashes, not by their text: hashes have 28 bits more than
+    the number of all bytes (64 at most), so that a window that no other record has
+    is taken for a shared one with a chance below 1 in 2**28.
     """
     places = np.asarray(places if places is not None else COVER if period == PERIOD else cover(period))
     if not 1 <= period <= span:
         raise ValueError("the period must lie between 1 and the span")
-    bits = max(1, (spread * partitions(df.sparkSession) - 1).bit_length())
     kind = df.schema[key].dataType.simpleString()
-    texts = blocks(df, key, text, 1 << bits, span)
-    packed = "block int, bucket int, blob binary"
+    layout = laid_out(df, key, text, span, block_bytes, bucket_bytes)
+    texts = blocks(df, key, text, layout, span)
 
     def first(rows: pa.Table) -> pa.Table:
         block = opened(rows)
         h, doc, _, _ = _anchors(block, span, period, places)
-        return Hashes(h, doc, bits).rows(rows.column("block")[0].as_py())
+        return Hashes(block, h, doc, layout, 1).rows()
 
     def replies(rows: pa.Table, stage: int) -> dict[int, bytes]:
         mine = rows.filter(pa.compute.equal(rows.column("stage"), stage))
@@ -120,37 +123,34 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = S
     def candidates(rows: pa.Table, answers: pa.Table):
         block = opened(rows)
         h, doc, at_text, place = _anchors(block, span, period, places)
-        hit = Hashes(h, doc, bits).shared(replies(answers, 1))
+        hit = Hashes(block, h, doc, layout, 1).shared(replies(answers, 1))
         return block, _extended(block, span, period, at_text[hit], place[hit])
 
     def second(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-        _, (h, doc, _, _) = candidates(rows, answers)
-        return Hashes(h, doc, bits).rows(rows.column("block")[0].as_py())
+            return pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("owners", pa.binary())]).empty_table()
+        block, (h, doc, _, _) = candidates(rows, answers)
+        return Hashes(block, h, doc, layout, 2).rows()
 
     def last(rows: pa.Table, answers: pa.Table) -> pa.Table:
         out = {"key": [], "n_chars": [], "shared_chars": [], "spans": []}
         if rows.num_rows:
             block, (h, doc, at_text, start) = candidates(rows, answers)
-            hit = Hashes(h, doc, bits).shared(replies(answers, 2))
+            hit = Hashes(block, h, doc, layout, 2).shared(replies(answers, 2))
             at_text, start = at_text[hit], start[hit]
-            fresh = np.ones(len(at_text), bool)
-            reach = np.minimum(np.diff(start), span)
-            inside = (at_text[1:] == at_text[:-1]) & (np.diff(start) <= span)
+            fresh, added = np.ones(len(at_text), bool), np.full(len(at_text), span, np.int64)
+            step = np.diff(start)
+            inside = (at_text[1:] == at_text[:-1]) & (step <= span)
             fresh[1:] = ~inside
-            added = np.full(len(at_text), span, np.int64)
-            added[1:][inside] = reach[inside]
-            for t in np.unique(at_text):
-                mine = at_text == t if len(at_text) < 1000 else slice(*np.searchsorted(at_text, [t, t + 1]))
-                out["key"].append(block.ids[t])
-                out["n_chars"].append(len(block.texts[t]))
-                out["shared_chars"].append(int(added[mine].sum()))
-                out["spans"].append(int(fresh[mine].sum()))
+            added[1:][inside] = step[inside]
+            heads = np.flatnonzero(np.concatenate([[True], at_text[1:] != at_text[:-1]])) if len(at_text) else np.zeros(0, np.int64)
+            if len(heads):
+                mine = at_text[heads].tolist()
+                out = {"key": [block.ids[t] for t in mine], "n_chars": [len(block.texts[t]) for t in mine], "shared_chars": np.add.reduceat(added, heads), "spans": np.add.reduceat(fresh.astype(np.int64), heads)}
         return pa.table({"key": pa.array(out["key"], pa.string()), **{c: pa.array(out[c], pa.int64()) for c in list(out)[1:]}})
 
-    one = repeated(texts.groupBy("block").applyInArrow(first, packed)).withColumn("stage", F.lit(1))
-    two = texts.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(second, packed)
-    answers = one.unionByName(repeated(two).withColumn("stage", F.lit(2)))
+    one = repeated(texts.groupBy("block").applyInArrow(first, PACKED), layout).withColumn("stage", F.lit(1))
+    two = texts.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(second, PACKED)
+    answers = one.unionByName(repeated(two, layout).withColumn("stage", F.lit(2)))
     found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, "key string, n_chars bigint, shared_chars bigint, spans bigint")
     return found.select(F.col("key").cast(kind).alias(key), "n_chars", "shared_chars", "spans")

@@ -51,6 +51,42 @@ def test_edges(spark):
     assert shared_spans.shared(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(2_000, 3_000), (200, 500)])
+def test_one_key_with_a_third_of_all_rows(spark, sizes):
+    rng = random.Random(7)
+    rows = []
+    for k in range(90):
+        text = "".join(rng.choice("abcdé ") for _ in range(rng.randint(40, 300)))
+        if rows and rng.random() < 0.7:
+            other = rng.choice(rows)[1]
+            at = rng.randint(0, len(other) - 1)
+            text = text[:50] + other[at : at + rng.randint(10, 90)] + text[50:]
+        rows.append((k if k % 3 else 0 if k % 2 else None, text))
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = sorted((str(r.doc_id), r.n_chars, r.shared_chars) for r in shared_spans.shared(df, span=40, period=13, block_bytes=sizes[0], bucket_bytes=sizes[1]).collect())
+    homes = {}
+    for key, text in rows:
+        for i in range(len(text) - 39):
+            homes.setdefault(text[i : i + 40], set()).add(key)
+    want = []
+    for key, text in rows:
+        inside = {c for i in range(len(text) - 39) if len(homes[text[i : i + 40]]) > 1 for c in range(i, i + 40)}
+        want += [(str(key), len(text), len(inside))] if inside else []
+    assert got == sorted(want)
+
+
+def test_collisions_of_anchors_cost_nothing(spark, monkeypatch):
+    from folioforge.llm import packed
+
+    # Hashes of next to no bits collide all the time; the windows around them are compared again.
+    monkeypatch.setattr(packed, "SPARE", (-4, 28))
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("abcdefgh") for _ in range(400))) for k in range(30)]
+    rows += [(50, rows[0][1][100:300] + "z" * 90)]
+    got = {r.doc_id: r.shared_chars for r in shared_spans.shared(spark.createDataFrame(rows, "doc_id int, text string"), span=60, period=13).collect()}
+    assert got == brute(rows, 60)
+
+
 @pytest.mark.parametrize("period", [1, 2, 5, 13, 50, 73, 101])
 def test_cover_meets_every_residue(period):
     places = shared_spans.cover(period)
