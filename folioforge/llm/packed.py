@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from folioforge.runtime import cut, partitions
 
 #: Bytes of text that a block aims at, and bytes of text whose hashes share a bucket: what one task holds at a time.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 #: Sizes of texts are summed by so many hash classes of keys; also the most blocks.
 CLASSES = 1 << 24
 #: A block of more than so many times the aim holds a hot key and is spread by its texts.
@@ -84,17 +84,22 @@ def windows(sums: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted distinct values as gaps, in as many bytes as the widest needs."""
+    """Sorted distinct values as gaps, in as many bits as the widest needs: whole bytes first, then the bits that are left."""
     gaps = np.diff(values, prepend=np.uint64(0))
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    width = int(gaps.max()).bit_length() if len(gaps) else 0
+    parts, (whole, rest) = gaps.astype("<u8").view(np.uint8).reshape(-1, 8), divmod(width, 8)
+    bits = np.unpackbits(parts[:, whole : whole + 1], axis=1, bitorder="little")[:, :rest] if rest else parts[:0]
+    return len(gaps).to_bytes(4, "little") + bytes([width]) + parts[:, :whole].tobytes() + np.packbits(bits).tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    parts = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
-    gaps = np.zeros((len(parts), 8), np.uint8)
-    gaps[:, : blob[0]] = parts
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+    n, (whole, rest) = int.from_bytes(blob[:4], "little"), divmod(blob[4], 8)
+    parts = np.zeros((n, 8), np.uint8)
+    parts[:, :whole] = np.frombuffer(blob, np.uint8, n * whole, 5).reshape(n, whole)
+    if rest:
+        bits = np.unpackbits(np.frombuffer(blob, np.uint8, offset=5 + n * whole), count=n * rest).reshape(n, rest)
+        parts[:, whole] = np.packbits(bits, axis=1, bitorder="little")[:, 0] if n else 0
+    return np.cumsum(parts.view("<u8").ravel(), dtype=np.uint64)
 
 
 def owner(key: str | None) -> int:
@@ -130,7 +135,7 @@ def laid_out(df: DataFrame, key: str, text: str, shortest: int, block_bytes: int
     total = sized.agg(F.sum("bytes")).first()[0] or 0
     power = lambda n: 1 << max(0, int(n) - 1).bit_length()
     blocks = min(CLASSES, power(max(-(-total // block_bytes), partitions(df.sparkSession))))
-    buckets = power(max(-(-total // bucket_bytes), 4 * partitions(df.sparkSession)))
+    buckets = power(max(-(-total // bucket_bytes), partitions(df.sparkSession)))
     heavy = sized.groupBy(F.pmod("m", F.lit(blocks)).alias("b")).agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > HOT * max(block_bytes, total // blocks)).orderBy("b").collect()
     hot, at = {}, blocks
     for r in heavy:
@@ -188,8 +193,8 @@ def blocks(df: DataFrame, key: str, text: str, layout: Layout, shortest: int = 0
                     to.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([press.compress(sink.getvalue())], pa.binary())], schema=out)
 
-    # As many partitions as blocks, however few the session shuffles to: a task's share does not grow with the texts.
-    return source.mapInArrow(run, "block int, blob binary").repartition(max(partitions(df.sparkSession), layout.last), "block")
+    # One partition a block, however few the session shuffles to: a task's share does not grow with the texts.
+    return source.mapInArrow(run, "block int, blob binary").repartitionById(layout.last, "block")
 
 
 def opened(rows: pa.Table) -> Block:
@@ -280,4 +285,4 @@ def repeated(df: DataFrame, layout: Layout) -> DataFrame:
         keep = pa.array([i for i, x in enumerate(bits) if x is not None], pa.int64())
         return pa.table({"block": rows.column("block").take(keep), "bucket": rows.column("bucket").take(keep), "bits": pa.array([bits[i] for i in keep.to_pylist()], pa.binary())})
 
-    return df.repartition(max(partitions(df.sparkSession), 1 << layout.bucket_bits), "bucket").groupBy("bucket").applyInArrow(run, "block int, bucket int, bits binary")
+    return df.repartitionById(1 << layout.bucket_bits, "bucket").groupBy("bucket").applyInArrow(run, "block int, bucket int, bits binary")

@@ -150,7 +150,7 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = S
         return pa.table({"key": pa.array(out["key"], pa.string()), **{c: pa.array(out[c], pa.int64()) for c in list(out)[1:]}})
 
     one = repeated(texts.groupBy("block").applyInArrow(first, PACKED), layout).withColumn("stage", F.lit(1))
-    two = texts.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(second, PACKED)
-    answers = one.unionByName(repeated(two, layout).withColumn("stage", F.lit(2)))
+    two = texts.groupBy("block").cogroup(one.repartitionById(layout.last, "block").groupBy("block")).applyInArrow(second, PACKED)
+    answers = one.unionByName(repeated(two, layout).withColumn("stage", F.lit(2))).repartitionById(layout.last, "block")
     found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, "key string, n_chars bigint, shared_chars bigint, spans bigint")
     return found.select(F.col("key").cast(kind).alias(key), "n_chars", "shared_chars", "spans")

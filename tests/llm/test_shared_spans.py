@@ -94,6 +94,6 @@ def test_cover_meets_every_residue(period):
 
 
 def test_pack_round_trip():
-    for values in ([], [0], [5, 6, 1 << 39], list(range(0, 10**12, 10**10 + 7))):
+    for values in ([], [0], [7], [255, 511], [5, 6, 1 << 39], [1 << 63, (1 << 64) - 1], list(range(0, 10**12, 10**10 + 7)), list(range(3, 9000, 3))):
         array = np.array(values, np.uint64)
         assert (unpack(pack(array)) == array).all()
