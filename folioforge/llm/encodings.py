@@ -19,12 +19,21 @@ from folioforge.runtime import cut
 
 #: Single-byte charsets a text may have been written or read in.
 SINGLE = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "iso8859-5", "cp866", "mac_roman", "cp850", "cp437")
-#: Written in the first, read in the second; some twice over.
+#: More of them, and charsets of two bytes a sign, which are taken with UTF-8 and the Western ones only.
+RARER = ("cp1253", "cp1254", "cp1257", "iso8859-7", "iso8859-9", "iso8859-15")
+DOUBLE = ("gbk", "big5", "shift_jis", "euc_jp", "euc_kr", "utf-16-le", "utf-16-be")
+WESTERN = ("cp1252", "latin-1")
+#: Written in the first, read in the second; some twice over. What latin-1 writes, cp1252 reads alike.
 CHAINS = tuple(
     [("utf-8", c) for c in SINGLE]
     + [("utf-8", c, "utf-8", c) for c in ("cp1252", "latin-1", "cp1250", "mac_roman", "cp1251")]
     + [(a, b) for a in SINGLE for b in SINGLE if a != b and {a, b} != {"cp1252", "latin-1"}]
     + [(a, "utf-8?") for a in ("cp1252", "cp1250", "cp1251", "mac_roman", "cp850", "koi8-r")]
+    + [("cp1252", "latin-1")]
+    + [("utf-8", c) for c in RARER + DOUBLE]
+    + [("utf-8", c, "utf-8", c) for c in ("cp1254", "iso8859-15", "cp437", "cp850")]
+    + [pair for c in RARER for w in WESTERN for pair in ((c, w), (w, c))]
+    + [pair for c in DOUBLE[:5] for w in WESTERN for pair in ((c, w), (w, c))]
 )
 LOST = "�"
 QUOTES = "’‘“”„«»‹›‚"
@@ -52,6 +61,11 @@ def byte_table(charset: str) -> tuple[str, dict[str, int]]:
 def write(text: str, charset: str) -> bytes | None:
     if charset == "utf-8":
         return text.encode("utf-8", "surrogatepass")
+    if charset in DOUBLE:
+        try:
+            return text.encode(charset)
+        except UnicodeEncodeError:
+            return None
     back = byte_table(charset)[1]
     try:
         return bytes([back[c] for c in text])
@@ -62,9 +76,9 @@ def write(text: str, charset: str) -> bytes | None:
 def read(data: bytes, charset: str) -> str | None:
     if charset == "utf-8?":
         return data.decode("utf-8", "replace")
-    if charset == "utf-8":
+    if charset == "utf-8" or charset in DOUBLE:
         try:
-            return data.decode("utf-8")
+            return data.decode(charset)
         except UnicodeDecodeError:
             return None
     chars = byte_table(charset)[0]
@@ -244,15 +258,17 @@ def damaged(df: DataFrame, table: DataFrame, keys: list[str], text: str, group:
     tokens into clean ones: short fragments share their document's fate.
     """
     rows = df.select(*keys, F.col(text).alias("text")).where("text is not null").where(~F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    if table.count() <= MOST_SENT:
-        known = {r.token: (r.original, r.chain, r.strong, r.lost) for r in table.collect()}
-        direct = _looked_up(rows, keys, known)
+    sent = table.limit(MOST_SENT + 1).collect()
+    if len(sent) <= MOST_SENT:
+        direct = _looked_up(rows, keys, {r.token: (r.original, r.chain, r.strong, r.lost) for r in sent})
     else:
         direct = _joined(rows, table, keys)
     if not group:
         return direct.where("hit").select(*keys, "restored").distinct()
     direct = cut(direct)
-    chains = direct.select(group, F.explode("chains").alias("chain")).groupBy(group, "chain").count().where("count >= 2")
+    # A repeated row is no second proof.
+    proofs = direct.where("hit").select(*keys, "text", "chains").distinct()
+    chains = proofs.select(group, F.explode("chains").alias("chain")).groupBy(group, "chain").count().where("count >= 2")
     proof = chains.groupBy(group).agg(F.collect_set("chain").alias("proof"))
     rest = direct.where(~F.col("hit")).join(proof, group)
     kinds = ", ".join(f"{k} {direct.schema[k].dataType.simpleString()}" for k in keys)
@@ -299,25 +315,52 @@ def _judged(text: str, hits: list[tuple[str, tuple]]) -> tuple[bool, list[int],
     return True, chains, None if LOST in new else new
 
 
-def _looked_up(rows: DataFrame, keys: list[str], known: dict) -> DataFrame:
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+JUDGED = "text string, hit boolean, chains array<int>, restored string"
+
+
+def _rows(batch: pa.RecordBatch, keys: list[str], found: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*found)) or [()] * 3
+    return pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*keys, "text"]), pa.array(c[0], pa.bool_()), pa.array(c[1], pa.list_(pa.int32())), pa.array(c[2], pa.string())], names=[*keys, "text", "hit", "chains", "restored"])
+
+
+def _kinds(rows: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def _looked_up(rows: DataFrame, keys: list[str], table: dict) -> DataFrame:
+    """Rows as they are, with what is found of each by a table that every task receives."""
+    sent = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
+        known = sent.value
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                out.append(_judged(text, [(t, known[t]) for t in dict.fromkeys(tokens(text)) if t in known]))
-            c = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c[0], pa.bool_()), pa.array(c[1], pa.list_(pa.int32())), pa.array(c[2], pa.string())], names=[*keys, "text", "hit", "chains", "restored"])
+            yield _rows(batch, keys, [_judged(text, [(t, known[t]) for t in dict.fromkeys(tokens(text)) if t in known]) for text in batch.column("text").to_pylist()])
 
-    return rows.mapInArrow(run, f"{kinds}, text string, hit boolean, chains array<int>, restored string")
+    return rows.mapInArrow(run, f"{_kinds(rows, keys)}, {JUDGED}")
 
 
 def _joined(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """The same through a shuffled join, for tables of any size."""
-    rows = rows.distinct().withColumn("row", F.struct(*keys, "text"))
-    split = F.udf(lambda t: list(dict.fromkeys(tokens(t))), "array<string>")
-    met = rows.select(F.xxhash64("row").alias("h"), F.explode(split("text")).alias("token")).join(table, "token")
-    hits = met.groupBy("h").agg(F.collect_list(F.struct("token", "original", "chain", "strong", "lost")).alias("hits"))
-    judge = F.udf(lambda text, hits: _judged(text, [(h.token, (h.original, h.chain, h.strong, h.lost)) for h in hits or []]), "hit boolean, chains array<int>, restored string")
-    return rows.withColumn("h", F.xxhash64("row")).join(hits, "h", "left").withColumn("j", judge("text", "hits")).select(*keys, "text", "j.*")
+    """The same, repeated rows once, through a shuffled join, for tables of any size."""
+    # Tokens meet the table beside a hash of their row; texts are not carried along.
+    rows = rows.distinct().withColumn("h", F.xxhash64(*keys, "text"))
+
+    def split(batches):
+        for batch in batches:
+            at, out = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                mine = list(dict.fromkeys(tokens(text)))
+                at += [k] * len(mine)
+                out += mine
+            yield pa.RecordBatch.from_arrays([batch.column("h").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["h", "token"])
+
+    met = rows.select("h", "text").mapInArrow(split, "h bigint, token string").join(table, "token")
+    hits = met.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("token", "original", "chain", "strong", "lost"))).alias("hits"))
+
+    def judge(batches):
+        for batch in batches:
+            found = []
+            for text, mine in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist()):
+                found.append(_judged(text, [(m["token"], (m["original"], m["chain"], m["strong"], m["lost"])) for m in mine or ()]))
+            yield _rows(batch, keys, found)
+
+    return rows.join(hits, "h", "left").select(*keys, "text", "hits").mapInArrow(judge, f"{_kinds(rows, keys)}, {JUDGED}")

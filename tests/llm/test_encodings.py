@@ -37,6 +37,29 @@ def test_join_agrees_with_lookup(spark, monkeypatch):
     assert {(r.doc_id, r.restored) for r in E.damaged(df, table, ["doc_id"], "text").collect()} == sent == {("b", CLEAN)}
 
 
+def test_a_repeated_fragment_is_no_second_proof(spark, monkeypatch):
+    chain = ("cp1250", "cp1252")
+    words = "Spółdzielnia sprawdziła część ogrodzenia wzdłuż kanału ponieważ części się zużyły pęknięte zawory"
+    bad = [E.garble(w, chain) for w in words.split()]
+    strong = next(b for b in bad if E.strange(b))
+    weak = next(b for w, b in zip(words.split(), bad) if b != w and not E.strange(b))
+    rows = [("good", i, w) for i, w in enumerate(words.split() * 4)] + [("bad", i, b) for i, b in enumerate(bad)] + [("d", 0, strong), ("d", 0, strong), ("d", 1, weak)]
+    df = spark.createDataFrame(rows, "doc_id string, item int, text string")
+    table = E.garbled_table([df.where("doc_id <> 'd'")]).where("token <> '" + weak + "'")
+    found = lambda: {(r.doc_id, r.item) for r in E.damaged(df, table, ["doc_id", "item"], "text", "doc_id").collect()}
+    sent = found()
+    assert ("d", 0) in sent and ("d", 1) not in sent
+    monkeypatch.setattr(E, "MOST_SENT", -1)
+    assert found() == sent
+
+
+def test_western_text_read_without_its_quotes(spark):
+    bad = E.garble("l’école", ("cp1252", "latin-1"))
+    df = spark.createDataFrame([(str(i), "l’école a été fermée") for i in range(6)] + [("b", bad), ("c", E.garble("fermée", ("utf-8", "gbk")) or "x")], "doc_id string, text string")
+    got = {r.doc_id: r.restored for r in E.damaged(df, E.garbled_table([df]), ["doc_id"], "text").collect()}
+    assert got["b"] == "l’école" and set(got) <= {"b", "c"}
+
+
 def test_fragments_share_their_documents_fate(spark):
     chain = ("cp1250", "cp1252")
     words = "Spółdzielnia sprawdziła część ogrodzenia wzdłuż kanału ponieważ części się zużyły pęknięte zawory"
