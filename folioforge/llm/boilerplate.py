@@ -1,125 +1,214 @@
 """Problem 1: the main body of a page, apart from what its site puts around it.
 
-Minimum-cut labelling. Every line has a cost for being kept and one for being
-dropped, the terminal capacities of a network; neighbouring lines and lines near
-each other in the page's structure are tied by smoothness edges. The maximum
-flow's cut parts content from boilerplate.
+Minimum-cut labelling. A classifier of lines gives each a cost for being kept and
+one for being dropped, the terminal capacities of a network; neighbouring lines
+and lines that the page's structure ties together (a list, a list and its title,
+siblings) are joined by smoothness edges. The maximum flow's cut parts content
+from boilerplate.
+
+The classifier is fitted on a bounded sample of pages whose lines label
+themselves: what recurs on a site is furniture, sentences that do not are text.
+It knows words only from there, so it serves any language and vocabulary.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+import zlib
+from collections import Counter
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.sites import LONGEST_LINE, TARGET, host, line_key, recurring, skeleton
-
-# What sites call their own pages and controls.
-PLACES = (
-    "Home, Shop, Members, Contact, Gallery, Events, Help, Archive, Services, About us, About, Jobs, Library, News, Press, Sign in, Log in, Search, Blog, "
-    "Accueil, Boutique, Membres, Agenda, Aide, Archives, À propos, Emplois, Médiathèque, Galerie, Actualités, Presse, Connexion, "
-    "Startseite, Laden, Mitglieder, Kontakt, Termine, Hilfe, Archiv, Leistungen, Über uns, Stellen, Bücherei, Aktuelles, Anmelden, "
-    "Inicio, Tienda, Socios, Contacto, Ayuda, Archivo, Galería, Servicios, Quiénes somos, Empleo, Biblioteca, Noticias, Prensa, Entrar"
-)
-LEGAL = (
-    "All rights reserved, Privacy notice, Privacy policy, Privacy, Imprint, Accessibility, Terms of use, Sitemap, "
-    "Mentions légales, Tous droits réservés, Accessibilité, Confidentialité, Plan du site, Conditions d’utilisation, "
-    "Impressum, Datenschutz, Barrierefreiheit, Alle Rechte vorbehalten, Übersicht, Nutzungsbedingungen, "
-    "Aviso legal, Todos los derechos reservados, Accesibilidad, Privacidad, Mapa del sitio, Condiciones de uso"
-)
-CONTROLS = (
-    "Skip to main content, Skip to content, Toggle menu, Menu, Share, Print this page, Print, Back to top, Open search, Advertisement, Sponsored, Promoted content, "
-    "Accept all, Accept, I agree, Reject, Reject all, Only necessary, Manage preferences, "
-    "Aller au contenu, Partager, Imprimer, Haut de page, Ouvrir la recherche, Ouvrir le menu, Publicité, Contenu sponsorisé, Tout accepter, J’ai compris, Refuser, Personnaliser, "
-    "Zum Inhalt springen, Teilen, Drucken, Nach oben, Suche öffnen, Menü öffnen, Menü, Anzeige, Gesponsert, Werbung, Alle akzeptieren, Verstanden, Ablehnen, Einstellungen, Nur notwendige, "
-    "Saltar al contenido, Compartir, Imprimir, Volver arriba, Abrir búsqueda, Abrir menú, Publicidad, Contenido patrocinado, Aceptar todo, De acuerdo, Rechazar, Configurar"
-)
-RELATED = (
-    "Read next, Related stories, You may also like, Popular this week, More from this section, Most read, "
-    "À lire aussi, Sur le même sujet, Les plus lus, Vous aimerez aussi, "
-    "Mehr zum Thema, Meistgelesen, Auch interessant, Das könnte Sie auch interessieren, Lesen Sie auch, "
-    "Lo más leído, Más sobre el tema, También le puede interesar, Lea también"
-)
-# Words of notices about cookies, letters and scripts.
-CONSENT = r"\bcookies?\b|small files on your device|traceurs|kleine dateien|peque\*os archivos"
-LETTER = (
-    r"sign up .{0,60}leave anytime|subscribe to our|enter your e-?mail|newsletter|abonnez-vous|laissez votre adresse|abonnieren sie|rundbrief"
-    r"|tragen sie ihre adresse|suscr\*base|deje su correo|bolet\*n"
-)
-SCRIPTS = r"(?:some functions|certaines fonctions|einige funktionen|algunas funciones).{0,40}javascript|(?:scripts?|skripte)\b.{0,40}\b(?:map|carte|karte|mapa)\b|\b(?:map|karte)\b.{0,20}\bscripts?\b"
-
-
-def phrases(words: str) -> list[str]:
-    return sorted({skeleton(w) for w in words.split(", ")}, key=lambda w: (-len(w), w))
-
-
-def either(words: str) -> str:
-    return "(?:" + "|".join(re.escape(w) for w in phrases(words)) + ")"
-
-
-GAP = r"[\s·|/›»>—*\-\[\](){}#!,:•_]"
-ONLY_CHROME = re.compile(rf"^{GAP}*(?:{either(', '.join([PLACES, LEGAL, CONTROLS]))}{GAP}+)+$")
-TRAIL = re.compile(rf"^{either(PLACES)}\s*[›»>/*|]\s*(?:{either(PLACES)}\s*[›»>/*|]\s*)*[^.!?]{{1,60}}$")
-RELATED_LINE = re.compile(rf"^[\s#*_]*{either(RELATED)}[\s#*_:]*$")
-FOOT = re.compile(r"^[\s*_]*(?:\*|\(c\)|copyright)\s*(?:\(c\)\s*)?[^.]{0,80}\b(?:19|20)\d\d\b[^.]{0,120}$")
-NOTICE = re.compile(f"(?:{CONSENT}|{LETTER}|{SCRIPTS})")
+from folioforge.llm.sites import host, line_key, recurring, skeleton
+from folioforge.runtime import cut
+
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)\)")
-#: A linked picture alone on its line, and a lone capitalised word, which above all text is a site's name.
-LOGO, NAME = re.compile(r"^\[!\[[^\]]*\]\([^)]*\)\]\([^)]*\)$"), re.compile(r"^(?:\*\*)?[^\W\d_a-zß-ÿ][\w-]*(?:\*\*)?$")
 HEAD, ITEM, TABLE = re.compile(r"^#{1,6}\s"), re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+"), re.compile(r"^\s*\|.*\|\s*$")
+PIECE = re.compile(r"[^\W_]+|[^\w\s]")
+FIGURES = re.compile(r"\d+")
+ENDS = ".!?…”»\"'"
+
+#: Hashed features of a line: the table of weights has two to the power of this.
+BITS = 15
+#: The sample that the classifier is fitted on: so many hosts, pages of each and lines of each, drawn by hash.
+HOSTS, PAGES, LINES = 40, 60, 1500
+#: Pages with different texts that a host of the sample needs, and pages on which a line stands that recurs on it.
+LEAST_PAGES, LEAST = 5, 3
+#: Weight of words beside shapes, and of lines that may be either beside those whose label is sure.
+WORDS, UNSURE = 2.0, 0.1
+#: Added to every line's log-odds: lines that never recur are furniture too, and the sample knows them as text only.
+BIAS = 1.0
+#: Bounds of a line's evidence, what recurring on the host adds, and what a title that heads links to its site adds.
+MOST, RECURS, TITLE = 6.0, 2.0, 1.5
+#: What the entries of a list below such a title say for themselves at most, and entries without links from which a list behind a gap is another one.
+ENTRIES, OWN = 0.6, 4
+#: Ties: of lines of one kind in one block, of others in it, across blank lines, of a list, of a title and its list, of siblings one run apart.
+SAME_KIND, SAME_BLOCK, NEXT_BLOCK, SAME_LIST, TITLED, SIBLING = 2.5, 1.0, 0.3, 3.0, 24.0, 0.5
+#: Evidence of each line from which furniture ends a block as surely as a blank line does.
+CLEAR = 3.0
+
+
+def site_names(host_: str | None) -> tuple[str, ...]:
+    """What a site may call itself: the host and the label before its ending."""
+    if not host_:
+        return ()
+    parts = host_.lower().split(".")
+    return tuple(dict.fromkeys([host_.lower(), parts[-2] if len(parts) > 1 else parts[0]]))
 
-#: Figures of errors and words of messages, which recur on a site without being its furniture.
-STATED = re.compile(r"(?i)\b[45]\d\d\b|error|erreur|fehler|expir|denied|denegado|refus|verweigert|found|request|back soon|maint|wartung|disponi|erreichbar|human|\[object|undefined|placeholder|click to|text|titre|título")
 
-#: Costs, in units of one clear sign. Positive speaks for boilerplate.
-CHROME, PROSE, PLAIN = 6.0, -5.0, -0.6
-#: Ties of neighbours: in one block, in one list or below its heading, across a blank line, and between siblings one line apart.
-SAME_BLOCK, SAME_LIST, NEXT_BLOCK, SIBLING = 1.0, 3.0, 0.3, 0.5
+def slot(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
-@lru_cache(maxsize=100_000)
-def cost(line: str, names: tuple[str, ...]) -> tuple[float, str]:
-    """(evidence for boilerplate, kind) of one line by itself; ``names`` are the site's."""
+def step(n: float, edges: tuple) -> int:
+    return sum(n >= e for e in edges)
+
+
+@dataclass
+class Line:
+    """What one line is by itself."""
+
+    kind: str
+    shapes: list[int]
+    words: list[int]
+    #: Whether it links to its own site, and whether it reads as a sentence.
+    inside: bool
+    sentence: bool
+
+
+def seen(line: str, names: tuple[str, ...]) -> Line:
+    """Kind and features of a non-blank line. Every word counts, whatever the line's length."""
     s = line.strip()
-    if len(s) > 300 and "](" not in s and s[0] not in "|#*-+>`":
-        return PROSE, "prose"
-    bare = skeleton(LINK.sub(r"\1", LINK.sub(r"\1", s)))
-    words = bare.split()
-    if ONLY_CHROME.match(bare + " "):
-        return CHROME, "chrome"
-    if RELATED_LINE.match(bare):
-        return CHROME, "related"
-    if FOOT.match(bare) and len(words) < 25:
-        return CHROME, "chrome"
-    if len(words) <= 25 and NOTICE.search(bare):
-        return CHROME, "chrome"
-    if bare.strip("#*_[]()! ") in names and not HEAD.match(s):
-        return CHROME, "chrome"
-    if TABLE.match(s):
-        return PROSE, "table"
-    if HEAD.match(s):
-        return PROSE, "head"
-    if TRAIL.match(bare) and not LINK.search(s):
-        return CHROME, "chrome"
-    if LOGO.match(s):
-        return CHROME / 2, "chrome"
     links = LINK.findall(s)
+    plain = LINK.sub(r"\1", LINK.sub(r"\1", s)) if links else s
+    words = PIECE.findall(FIGURES.sub("0", skeleton(plain)))
+    if names:
+        own = {*names, *(x for n in names for x in n.split("-") if len(n) > 3)}
+        words = ["<site>" if w in own else w for w in words]
+    n = sum(w[0].isalnum() or w[0] == "<" for w in words)
+    head = HEAD.match(s)
+    if TABLE.match(s):
+        kind = "table"
+    elif head:
+        kind = "head"
+    elif ITEM.match(s):
+        kind = "item"
+    elif links and sum(len(t) for t, _ in links) >= 0.6 * len(plain) - 6:
+        kind = "links"
+    else:
+        kind = "prose" if len(s.split()) >= 8 else "plain"
+    look = f"h{min(3, s.index(' '))}" if head else "b" if s.startswith("**") else "p" if kind in ("prose", "plain", "links") else kind
+    shapes = [f"k={look}", f"n={step(n, (1, 2, 3, 4, 6, 8, 12, 18, 26, 40))}", f"kn={look}{step(n, (2, 4, 8, 14, 26))}", f"e={'a' if s[-1].isalnum() else s[-1]}{n >= 4}", f"c={s[0].isupper()}"]
+    inside = False
     if links:
-        linked = sum(len(t) for t, _ in links)
-        inside = sum(t.startswith(("/", "#")) or any(n in t for n in names) for _, t in links)
-        if linked >= 0.6 * len(LINK.sub(r"\1", s).strip("-*+ ")) - 6:
-            # A line of links: to the site itself furniture, to others sources.
-            return (2.5 if inside == len(links) else -2.5), "item" if ITEM.match(s) else "links"
-    if ITEM.match(s):
-        return (PROSE if len(words) > 12 else PLAIN), "item"
-    if len(words) >= 8:
-        return PROSE, "prose"
-    if s[-1:] in ".!?:;…”»\"'," and len(words) > 2 or s.startswith(("```", "    ", "\t", ">")):
-        return -2.5, "prose"
-    return PLAIN - 0.4, "plain"
+        shapes.append(f"ld={step(sum(len(t) for t, _ in links) / max(1, len(plain)), (0.3, 0.6, 0.9))}")
+        for _, target in links:
+            own = target[:1] in ("/", "#") or any(x in target for x in names)
+            inside |= own
+            shapes.append(f"u={'#' if target[:1] == '#' else 'in' if own else 'out'}{look}")
+    else:
+        shapes.append("nolink")
+    shapes.append(f"sep={min(3, sum(w in '·|/›»>—' for w in words))}")
+    sentence = len(s.split()) >= 8 and s[-1] in ENDS and not links and kind == "prose"
+    return Line(kind, [slot(x) for x in dict.fromkeys(shapes)], [slot(x) for x in {*("w=" + w for w in words), *(f"b={a} {b}" for a, b in zip(words, words[1:]))}], inside, sentence)
+
+
+def places(lines: list[str], at: list[int], mine: list[Line]) -> list[tuple[int, int, int]]:
+    """Features of where each of the non-blank lines ``at`` stands: counted from the nearer end, between which gaps, and on which side of heading and text."""
+    n, blank = len(at), [not x or x.isspace() for x in lines]
+    where = [step(q, (1, 2, 4, 8, 14)) if q < n - q else 10 + step(n - 1 - q, (1, 2, 4, 8, 14)) for q in range(n)]
+    text = [q for q, x in enumerate(mine) if x.sentence or x.kind == "head"]
+    first, last = (text[0], max([q for q in text if mine[q].sentence], default=n)) if text else (0, n)
+    side = ["above" if q < first else "below" if q > last else "in" for q in range(n)]
+    return [(slot(f"pos={w}"), slot(f"gap={int(k == 0 or blank[k - 1])}{int(k + 1 >= len(lines) or blank[k + 1])}"), slot(f"side={z}{x.kind}")) for w, k, z, x in zip(where, at, side, mine)]
+
+
+@dataclass
+class Classifier:
+    """Log-odds that a line is furniture, linear in hashed features; without a fit it knows shapes that all sites share."""
+
+    weights: np.ndarray = field(default_factory=lambda: prior())
+    start: float = -BIAS
+    memo: dict = field(default_factory=dict)
+
+    def __getstate__(self):
+        return {"weights": self.weights, "start": self.start, "memo": {}}
+
+    def line(self, line: str, names: tuple[str, ...]) -> tuple[Line, float]:
+        """The line and its log-odds but for its place; kept for the next page that has it."""
+        got = self.memo.get((line, names))
+        if got is None:
+            x = seen(line, names)
+            v = self.odds(x.shapes, x.words) - self.start
+            if len(self.memo) >= 100_000:
+                self.memo.clear()
+            got = self.memo[line, names] = (x, v)
+        return got
+
+    def odds(self, shapes: list[int], words: list[int]) -> float:
+        w = self.weights
+        return self.start + float(w[shapes].sum()) + (WORDS / len(words) ** 0.5 * float(w[words].sum()) if words else 0.0)
+
+    def fit(self, rows: list[tuple[list[int], list[int], float, float]], steps: int = 120, rate: float = 0.1, shrink: float = 1e-4) -> Classifier:
+        """Logistic regression on (shapes, words, label, weight), drawn towards the weights it starts from."""
+        if not rows or len({r[2] for r in rows}) < 2:
+            return self
+        size = 1 << BITS
+        row = np.repeat(np.arange(len(rows)), [len(r[0]) + len(r[1]) for r in rows])
+        col = np.array([i for r in rows for part in r[:2] for i in part], np.int64)
+        val = np.array([v for r in rows for v in [1.0] * len(r[0]) + [WORDS / max(1, len(r[1])) ** 0.5] * len(r[1])])
+        y, weight = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        w, b = self.weights.copy(), 0.0
+        m, v = np.zeros(size + 1), np.zeros(size + 1)
+        for t in range(1, steps + 1):
+            p = 1 / (1 + np.exp(-(np.bincount(row, val * w[col], len(rows)) + b)))
+            e = (p - y) * weight
+            g = np.append(np.bincount(col, val * e[row], size) / weight.sum() + shrink * (w - self.weights), e.sum() / weight.sum())
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            w, b = w - move[:-1], b - move[-1]
+        return Classifier(w, float(b))
+
+
+def prior() -> np.ndarray:
+    """Weights before any page is seen: links to the site itself speak for furniture, sentences, tables and first headings for text."""
+    w = np.zeros(1 << BITS)
+    for feature, value in {"k=h1": -3.0, "k=h2": -1.0, "k=table": -3.0, "u=inp": 2.0, "u=initem": 2.0, "u=#p": 3.0, "u=#item": 3.0, "u=outitem": -2.0, "u=outp": -1.0}.items():
+        w[slot(feature)] = value
+    for n in range(6, 11):
+        w[slot(f"n={n}")] = -1.0 * (n - 5)
+    return w
+
+
+def labelled(texts: list[str], names: tuple[str, ...]) -> list[tuple[list[int], list[int], float, float]]:
+    """(shapes, words, label, weight) of every line of one host's pages.
+
+    Lines on LEAST pages are furniture. Between the first sentence and the last that
+    do not recur lies the text: its lines are text but where they link to the
+    site or stand beside furniture. All others may be either and weigh little;
+    links to the site among them nothing.
+    """
+    count = Counter(k for text in texts for k in {line_key(x) for x in text.split("\n") if x and not x.isspace()})
+    out = []
+    for text in texts:
+        lines = text.split("\n")
+        at = [k for k, x in enumerate(lines) if x and not x.isspace()]
+        mine = [seen(lines[k], names) for k in at]
+        often = [count[line_key(lines[k])] >= LEAST for k in at]
+        core = [q for q, x in enumerate(mine) if x.sentence and not often[q]]
+        low, high = (core[0], core[-1]) if core else (1, 0)
+        while low > 0 and mine[low - 1].kind == "head":
+            low -= 1
+        for q, (x, place) in enumerate(zip(mine, places(lines, at, mine))):
+            sure = low <= q <= high and not x.inside and (x.sentence or not any(often[max(0, q - 3) : q + 2]))
+            weight = 1.0 if often[q] or sure else 0.0 if x.inside else UNSURE
+            if weight:
+                out.append((x.shapes + list(place), x.words, float(often[q]), weight))
+    return out
 
 
 def minimum_cut(keep: list[float], drop: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -178,106 +267,185 @@ def _drained(start: int, caps: list[dict[int, float]], excess: list[float]) -> b
     return False
 
 
-def site_names(host_: str | None) -> tuple[str, ...]:
-    """What a site may call itself: the host and the label before its ending."""
-    if not host_:
-        return ()
-    parts = host_.lower().split(".")
-    return tuple(dict.fromkeys([host_.lower(), parts[-2] if len(parts) > 1 else parts[0]]))
-
-
-def furniture(text: str, host_: str | None = None, often: frozenset[int] = frozenset()) -> list[int]:
+def furniture(text: str, host_: str | None = None, often: frozenset[int] = frozenset(), model: Classifier | None = None) -> list[int]:
     """Numbers of the non-blank lines of ``text`` that are not main body.
 
     Lines are what stands between line feeds and count from 0. ``often`` holds the
-    keys of lines that recur on the host. Null-free input; a blank text has none.
+    keys of lines that recur on the host, which speak for furniture whatever they
+    say. A page has a main body: where the cut leaves nothing but headings, the
+    neighbouring lines with the least evidence stay. A blank text has no lines.
     """
-    names = site_names(host_)
-    runs: list[list] = []  # kind, first line, lines, cost, first of its block
-    fenced, gap, begun = False, True, False
-    for no, line in enumerate(text.split("\n")):
-        if not line or line.isspace():
-            gap = True
-            continue
-        value, kind = cost(line, names)
-        if line.lstrip().startswith("```"):
-            fenced = not fenced
-            value, kind = PROSE, "code"
-        elif fenced:
-            value, kind = PROSE, "code"
-        elif often and kind in ("plain", "item", "links") and len(line) <= LONGEST_LINE and not STATED.search(line) and line_key(line) in often:
-            value += 2.0
-        if kind == "plain" and not begun and NAME.match(line.strip()):
-            value, kind = CHROME / 3, "chrome"
-        begun = begun or kind in ("prose", "head", "table", "code")
-        if runs and runs[-1][0] == kind and (runs[-1][3] > 0) == (value > 0) and (not gap or kind in ("chrome", "prose", "table", "code")):
-            runs[-1][2].append(no)
-            runs[-1][3] += value
+    model, names, lines = model or Classifier(), site_names(host_), text.split("\n")
+    at = [k for k, x in enumerate(lines) if x and not x.isspace()]
+    judged = [model.line(lines[k], names) for k in at]
+    found, fenced, weights = [], False, model.weights
+    for k, (x, v), place in zip(at, judged, places(lines, at, [x for x, _ in judged])):
+        v += float(sum(weights[p] for p in place)) + model.start + BIAS
+        fence = lines[k].lstrip().startswith("```")
+        fenced ^= fence
+        found.append((k, "code", -MOST, False, False) if fence or fenced else (k, x.kind, v, x.inside, bool(often) and line_key(lines[k]) in often))
+    gone = _cut(lines, found)
+    if gone and all(f[1] == "head" for f in found if f[0] not in gone):
+        gone -= _body(found, gone)
+    return sorted(gone)
+
+
+def _body(found: list[tuple], gone: set[int]) -> set[int]:
+    """The neighbouring lines of text or of one list of least evidence, those that do not recur and stand below a heading first; none where there are no such lines."""
+    groups: list[list[tuple]] = [[]]
+    for f in found:
+        if f[1] in ("plain", "prose", "item", "table") and not f[3]:
+            last = groups[-1][-1] if groups[-1] else None
+            if last and last[1] != "head" and (last[4], last[1] == "item") != (f[4], f[1] == "item"):
+                groups.append([])
+            groups[-1].append(f)
+        elif f[0] in gone or f[1] != "head":
+            groups.append([])
+        elif groups[-1]:
+            groups.append([(*f[:1], "head")])
         else:
-            runs.append([kind, no, [no], value, gap])
-        gap = False
-    if not any(r[3] > 0 for r in runs):
-        return []
-    edges, listed = [], False
+            groups[-1].append((*f[:1], "head"))
+    best = min(((any(f[1] != "head" and f[4] for f in g), not any(f[1] == "head" for f in g), sum(f[2] for f in g if f[1] != "head") / sum(f[1] != "head" for f in g), g[0][0], g) for g in groups if any(f[1] not in ("head", "item") for f in g) or sum(f[1] == "item" for f in g) >= OWN), default=None)
+    return {f[0] for f in best[4]} if best else set()
+
+
+def _cut(lines: list[str], found: list[tuple]) -> set[int]:
+    """The dropped ones of (line, kind, log-odds, links to the site, recurs) for all non-blank lines."""
+    runs: list[list] = []  # kind, lines, evidence, first of its block, lines that link to the site
+    before = -2
+    for q, (k, kind, v, inside, often) in enumerate(found):
+        v = max(-MOST, min(MOST, v))
+        if often:
+            v = max(v, RECURS) + RECURS
+        gap, before = k - before > 1, k
+        titles = kind == "head" or kind == "plain" and (lines[k].startswith("**") or q + 1 < len(found) and found[q + 1][1] in ("item", "links"))
+        if runs and runs[-1][0] == kind and (runs[-1][2] > 0) == (v > 0) and not gap and not titles:
+            runs[-1][1].append(k)
+            runs[-1][2] += v
+            runs[-1][4] += inside
+        else:
+            runs.append([kind, [k], v, gap, int(inside)])
+    under = _titled(lines, runs)
+    if not any(r[2] > 0 for r in runs):
+        return set()
+    edges = []
     for i in range(1, len(runs)):
         a, b = runs[i - 1], runs[i]
-        # A list of related pages goes on over blank lines until something else comes.
-        listed = b[0] in ("item", "links") and (listed or a[0] == "related")
-        if a[0] == "related" and b[0] in ("item", "links", "plain"):
-            weight = SAME_LIST * 2
-        elif listed:
+        lists = b[0] in ("item", "links")
+        if under[i]:
+            weight = SAME_LIST * 4 if under[i - 1] else TITLED
+        elif lists and (a[0] in ("item", "links") and not b[3] or a[0] == "head"):
             weight = SAME_LIST
-        elif b[4]:
+        elif b[3]:
             weight = NEXT_BLOCK
-        elif a[0] in ("item", "links") and b[0] in ("item", "links"):
-            weight = SAME_LIST
-        elif a[0] == "chrome" or b[0] == "chrome":
-            # A known line of furniture ends a block as surely as a blank line does.
+        elif (a[2] > 0) != (b[2] > 0) and max(a[2] / len(a[1]), b[2] / len(b[1])) > CLEAR:
             weight = NEXT_BLOCK
         else:
-            weight = SAME_BLOCK
+            weight = SAME_KIND if a[0] == b[0] else SAME_BLOCK
         edges.append((i - 1, i, weight))
-        if i > 1 and not b[4] and not a[4] and runs[i - 2][0] == b[0]:
+        if i > 1 and not b[3] and not a[3] and runs[i - 2][0] == b[0]:
             edges.append((i - 2, i, SIBLING))
-    dropped = minimum_cut([max(r[3], 0.0) for r in runs], [max(-r[3], 0.0) for r in runs], edges)
-    return [no for r, d in zip(runs, dropped) if d for no in r[2]]
+    dropped = minimum_cut([max(r[2], 0.0) for r in runs], [max(-r[2], 0.0) for r in runs], edges)
+    return {k for r, d in zip(runs, dropped) if d for k in r[1]}
 
 
-def pages(documents: DataFrame, sources: DataFrame) -> DataFrame:
-    """``doc_id, markdown, host, web, recurring``: each converted record once (its first row).
+def _titled(lines: list[str], runs: list[list]) -> list[bool]:
+    """Which runs are lists below a title of furniture; their entries say little for themselves, and a title of links to the site says more."""
+    under, i = [False] * len(runs), 0
+    while i < len(runs):
+        j = i
+        # A longer list without a link to the site is one of its own.
+        while j < len(runs) and runs[j][0] in ("item", "links") and not (j > i and runs[j][3] and len(runs[j][1]) >= OWN and not runs[j][4]):
+            j += 1
+        if j > i and i and runs[i - 1][0] in ("head", "plain") and not lines[runs[i - 1][1][-1]].startswith("# "):
+            title, size, inside = runs[i - 1], sum(len(r[1]) for r in runs[i:j]), sum(r[4] for r in runs[i:j])
+            if 4 * inside >= size:
+                title[2] += TITLE
+            if title[2] > 0 and (4 * inside >= size or not runs[i][3] or title[0] == "head"):
+                for q in range(i, j):
+                    under[q] = True
+                    runs[q][2] = max(runs[q][2], -ENTRIES)
+        i = max(j, i + 1)
+    return under
+
+
+@dataclass
+class Pages:
+    """Converted records with what their sites repeat, and the classifier fitted on a sample of them."""
+
+    rows: DataFrame
+    model: Classifier
+
+    def where(self, condition) -> Pages:
+        return Pages(self.rows.where(condition), self.model)
+
+
+def pages(documents: DataFrame, sources: DataFrame) -> Pages:
+    """``doc_id, markdown, host, web, recurring``: each distinct text of a converted record once (of repeats the first row).
 
     ``web`` says whether a URL is known, ``host`` is its host, and ``recurring`` the
     keys of the lines that recur on that host. A record's list is looked up beside
     its small row, so that the texts are shuffled once, by record and never by host:
     a host may hold any share of them.
     """
-    rows = documents.where(F.col("markdown").rlike(r"\S")).select("doc_id", "markdown", "converted_at")
-    text = F.xxhash64("markdown").alias("text")
-    earliest = F.struct(F.col("converted_at").isNull(), "converted_at", "text")
-    first = rows.select("doc_id", "converted_at", text).groupBy("doc_id").agg(F.min("converted_at").alias("first"), F.min_by("text", earliest).alias("text"))
+    text = F.xxhash64("markdown")
+    rows = documents.where(F.col("markdown").rlike(r"\S")).select("doc_id", "markdown", "converted_at", text.alias("text"))
+    first = rows.groupBy("doc_id", "text").agg(F.min(F.struct(F.col("converted_at").isNull().alias("none"), "converted_at")).alias("first"))
     urls = sources.groupBy("doc_id").agg(F.min("url").alias("url"))
-    known = first.join(urls, "doc_id", "left").select(F.col("doc_id").alias("id"), "first", "text", host("url").alias("host"), F.col("url").isNotNull().alias("web"))
-    on = (F.col("doc_id") == F.col("id")) & F.col("converted_at").eqNullSafe(F.col("first"))
+    known = cut(first.join(urls, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("text").alias("mark"), F.col("first.converted_at").alias("first"), host("url").alias("host"), F.col("url").isNotNull().alias("web")))
+    on = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text") == F.col("mark")) & F.col("converted_at").eqNullSafe(F.col("first"))
     # Of a host's copies of one text, the small rows choose the one that is counted.
-    single = known.where("host is not null").groupBy("host", "text").agg(F.min(F.struct("id", "first")).alias("one")).select("host", "text", "one.*")
+    single = known.where("host is not null").groupBy("host", "mark").agg(F.min(F.struct("id", "first")).alias("one")).select("host", "mark", "one.*")
     often = recurring(rows.join(single, on).select("host", "markdown", "text"))
-    return rows.join(known.drop("text").join(often, "host", "left"), on).select("doc_id", "markdown", "host", "web", "recurring")
+    met = rows.join(known.join(often, "host", "left"), on).select("doc_id", "markdown", "host", "web", "recurring")
+    return Pages(met, fitted(rows, single))
 
 
-def boilerplate_lines(pages_: DataFrame) -> DataFrame:
+def fitted(rows: DataFrame, single: DataFrame) -> Classifier:
+    """The classifier, from at most HOSTS hosts, PAGES pages of each and LINES lines of each, drawn by hash.
+
+    The small rows choose the pages, which the texts then meet by a broadcast of at
+    most HOSTS times PAGES rows.
+    """
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("id", "mark"), "id", "mark"))
+    # Pages of a hash class first, so that no window holds all pages of a host.
+    size = single.groupBy("host").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST_PAGES)
+    chosen = size.orderBy(F.xxhash64("host"), "host").limit(HOSTS)
+    share = F.pmod(F.xxhash64("mark", "id"), F.lit(1_000_003)) < F.lit(1_000_003.0) * 4 * PAGES / F.col("size")
+    drawn = single.join(F.broadcast(chosen), "host").where(share).withColumn("k", rank).where(F.col("k") <= PAGES).select("id", "mark", "first", F.col("host").alias("site"))
+    on = (F.col("doc_id") == F.col("id")) & (F.col("text") == F.col("mark")) & F.col("converted_at").eqNullSafe(F.col("first"))
+
+    def learn(batch: pa.Table) -> pa.Table:
+        site = batch.column("site")[0].as_py()
+        out = labelled(sorted(set(batch.column("markdown").to_pylist())), site_names(site))
+        if len(out) > LINES:
+            order = np.random.default_rng(len(out)).permutation(len(out))[:LINES]
+            out = [out[i] for i in sorted(order.tolist())]
+        return pa.table({"shapes": pa.array([r[0] for r in out], pa.list_(pa.int32())), "words": pa.array([r[1] for r in out], pa.list_(pa.int32())), "label": pa.array([r[2] for r in out], pa.float64()), "weight": pa.array([r[3] for r in out], pa.float64())})
+
+    got = rows.join(F.broadcast(drawn), on).select("site", "markdown").groupBy("site").applyInArrow(learn, "shapes array<int>, words array<int>, label double, weight double")
+    lines = sorted((list(r.shapes), sorted(r.words), r.label, r.weight) for r in got.collect())
+    # Lines that look like furniture but did not recur in the sample are no examples of text.
+    first = Classifier().fit(lines)
+    return Classifier().fit([r for r in lines if r[2] or first.odds(r[0], r[1]) < 0])
+
+
+def boilerplate_lines(found: Pages) -> DataFrame:
     """``doc_id, line_no`` of every non-blank line outside the main body of each page.
 
-    ``pages_`` as :func:`pages` gives it. Null and blank texts have no lines;
+    ``found`` as :func:`pages` gives it. Null and blank texts have no lines;
     repeated rows count once; a page without a host is judged by its lines alone.
     """
+    sent = found.rows.sparkSession.sparkContext.broadcast(found.model)
 
     def run(batches):
+        model = sent.value
         for batch in batches:
             at, no = [], []
             for k, (text, host_, keys) in enumerate(zip(batch.column("markdown").to_pylist(), batch.column("host").to_pylist(), batch.column("recurring").to_pylist())):
-                found = furniture(text, host_, frozenset(keys or ()))
-                at += [k] * len(found)
-                no += found
+                gone = furniture(text, host_, frozenset(keys or ()), model)
+                at += [k] * len(gone)
+                no += gone
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(no, pa.int32())], names=["doc_id", "line_no"])
 
-    return pages_.select("doc_id", "markdown", "host", "recurring").mapInArrow(run, "doc_id string, line_no int")
+    return found.rows.select("doc_id", "markdown", "host", "recurring").mapInArrow(run, "doc_id string, line_no int")

@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.boilerplate import furniture
+from folioforge.llm.boilerplate import Pages, furniture
 from folioforge.llm.residue import evidence, outside_code
+from folioforge.llm.sites import line_key
 
 #: Character classes.
 CLASSES = ("letter", "digit", "space", "sentence", "quote", "line", "symbol")
@@ -90,8 +91,6 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def shape(line: str) -> str:
     """The shape of one line by itself; a piece of running text is 'run'."""
     s = line.strip()
-    if len(s) > 100 and s[0].isalpha() and s[-1] in ".!?" and "|" not in s and "\t" not in s and s.count(" ") > len(s) / 16:
-        return "run"
     tight = s.replace(" ", "")
     signs = sum(map(len, ASCII_SIGNS.findall(tight)))
     if signs > 0.6 * len(tight):
@@ -249,8 +248,8 @@ def prose_profiles(pages: DataFrame, common: dict[str, frozenset[str]]) -> dict[
     return {r.lang: (np.array([r[n] for n in CLASSES]), r.function / r.words) for r in sums.collect() if r.words}
 
 
-def quality(pages: DataFrame, common_words: DataFrame) -> DataFrame:
-    """Statistics and verdict of each record of ``pages`` (see boilerplate.pages).
+def quality(found_: Pages, common_words: DataFrame) -> DataFrame:
+    """Statistics and verdict of each record of ``found_`` (see boilerplate.pages).
 
     Returns ``doc_id, words, mean_word_length, symbol_ratio, ended_lines,
     common_words, lang, profile, divergence, evidence, prose``. ``evidence`` is
@@ -267,25 +266,29 @@ def quality(pages: DataFrame, common_words: DataFrame) -> DataFrame:
         common.setdefault(r.lang, set()).add(r.word.lower())
     by = {k: frozenset(v) for k, v in common.items()}
     every = frozenset().union(*by.values())
-    profiles = Profiles(prose_profiles(pages, by) if by else {})
+    profiles = Profiles(prose_profiles(found_.rows, by) if by else {})
+    sent = found_.rows.sparkSession.sparkContext.broadcast((by, every, profiles, found_.model))
     kinds = "doc_id string, words bigint, mean_word_length double, symbol_ratio double, ended_lines double, common_words double, lang string, profile string, divergence double, evidence string, prose boolean"
     names = [k.split()[0] for k in kinds.split(", ")]
     types = [pa.int64(), *[pa.float64()] * 4, pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_()]
 
     def run(batches):
+        by, every, profiles, model = sent.value
         for batch in batches:
             rows = []
             for text, host, web, keys in zip(*(batch.column(c).to_pylist() for c in ("markdown", "host", "web", "recurring"))):
                 lines = text.split("\n")
-                gone = set(furniture(text, host, frozenset(keys or ()))) if web else set()
+                gone = set(furniture(text, host, frozenset(keys or ()), model)) if web else set()
                 found = counted(body(lines, gone), by, every)
                 name, d = profiles.nearest(found)
                 # Problem 3's residual; the counts are its own where there is no code.
                 plain = outside_code(lines, gone)
-                proof = evidence(plain, found["sums"] if len(plain) == found["lines"] else None)
+                often = frozenset(keys or ())
+                others = outside_code(lines, {k for k, x in enumerate(lines) if x and line_key(x) in often} if often else set())
+                proof = evidence(plain, others, found["sums"] if len(plain) == found["lines"] else None)
                 verdict = None if proof or name == "empty" else name.startswith("prose")
                 rows.append((found["words"], found["mean_word_length"], found["symbol_ratio"], found["ended_lines"], found["common_words"], found["lang"], name, d, proof, verdict))
             c = list(zip(*rows)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(c, types))], names=names)
 
-    return pages.where(F.col("markdown").rlike(r"\S")).select("doc_id", "markdown", "host", "web", "recurring").mapInArrow(run, kinds)
+    return found_.rows.where(F.col("markdown").rlike(r"\S")).select("doc_id", "markdown", "host", "web", "recurring").mapInArrow(run, kinds)

@@ -3,7 +3,8 @@
 What recurs on a site is counted by host and subtracted with the rest of its
 furniture; the residual of each record is then searched for evidence. Code is
 not evidence, and an error, filler or demand counts only where no real text
-stands beside it.
+stands beside it. Messages of unknown wording are known by their recurrence: they
+are all that is left of records of several hosts.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.boilerplate import furniture
-from folioforge.llm.sites import folded, skeleton
+from folioforge.llm.boilerplate import Classifier, Pages, furniture
+from folioforge.llm.sites import folded, line_key, skeleton
+from folioforge.runtime import cut
 
 # Names that templates give their fields.
 FIELDS = (
@@ -45,33 +48,37 @@ LOREM = frozenset(
 KEYS = frozenset("asdf qwer jkl jklö sdf dfg hjkl qwertz qwerty xxx xxxx bla blah foo bar baz test tests".split())
 # What servers and scripts say, in skeleton form.
 ERROR = re.compile(
-    r"\berror \d{3}\b|\b\d{3}\b.{0,3}(?:error|page not found|internal|forbidden|bad gateway)|page not found|internal server error|bad gateway|gateway time-?out|access denied|permission denied|forbidden"
+    r"\berror \d{3}\b|\b(?:http|status|code)\W{0,3}[45]\d\d\b|^\W*[45]\d\d\W+[a-z ]{3,30}$|something went wrong|could not be (?:loaded|found|reached)|unexpected error|\b\d{3}\b.{0,3}(?:error|page not found|internal|forbidden|bad gateway)|page not found|internal server error|bad gateway|gateway time-?out|access denied|permission denied|forbidden"
     r"|too many requests|session (?:has )?expired|error establishing|connection to the (?:data store|database)|moved or never existed|be back soon|under maintenance|cannot be reached|service unavailable|checking that you are human|are you a robot"
     r"|erreur \d{3}|page introuvable|service indisponible|acc\*s refus\*|session a expir\*|site en maintenance"
     r"|fehler \d{3}|seite nicht gefunden|nicht erreichbar|zugriff verweigert|sitzung ist abgelaufen|wartungsarbeiten"
     r"|error \d{3} del|p\*gina no encontrada|servicio no disponible|acceso denegado|sesi\*n ha caducado|en mantenimiento"
 )
 ADVICE = re.compile(
-    r"request id|^vorgang\W|^refer[ae]n[cz](?:ia|e|)\b|^r\*f\*rence|handler\.\w+ \(line|try again|tell the administrator|permission to view|may be mistyped|file was removed"
+    r"request id|please (?:reload|refresh)|^(?:nginx|apache|cloudflare|openresty)\b|^vorgang\W|^refer[ae]n[cz](?:ia|e|)\b|^r\*f\*rence|handler\.\w+ \(line|try again|tell the administrator|permission to view|may be mistyped|file was removed"
     r"|contactez l|v\*rifiez l|revenez plus tard|pr\*fen sie|wenden sie sich|sp\*ter|avise a la|compruebe la|vuelva m\*s tarde|^ref(?:erenz|erencia|erence)?\W"
 )
 DEMAND = re.compile(
-    r"(?:enable|turn on|switch on|allow|activate) (?:javascript|scripts?|scripting)|scripts are (?:blocked|disabled|required)|javascript (?:is|must be) |allow scripts"
+    r"(?:enable|turn on|switch on|allow|activate) (?:javascript|scripts?|scripting)|scripts are (?:blocked|disabled|required)|javascript (?:is|must be) |(?:does not|doesn.t) support javascript|allow scripts"
     r"|activez (?:javascript|les scripts)|exige que les scripts|aktivieren sie javascript|ohne skripte|skripte einschalten|active javascript|requiere que los scripts|habilite javascript"
 )
 CODE_FENCE, INLINE = re.compile(r"^\s*(?:```|~~~)"), re.compile(r"`[^`\n]*`")
 WORDS = re.compile(r"[^\W\d_]{2,}")
+SENTENCES = re.compile(r"(?<=[.!?])\s+")
+#: A greeting or label of a few words around a bracket.
+ADDRESSED = re.compile(r"^(?:[^\W\d_]+ ){1,3}[\[<«{][^\W\d_]+(?:[ _-][^\W\d_]+){0,3}[\]>»}][,:!]$")
 #: Words of real text beside which a message is only a notice.
 REAL = 12
-#: Characters from which a line is text, neither prompt nor message; and those of the longest prompt.
-LONG, LONGEST_PROMPT = 160, max(map(len, PROMPTS))
 #: The share of a residual that filler must make up.
 MOSTLY = 0.5
+#: Words of a residual that may be a message of unknown wording, and the texts and hosts that must be left with each of its lines.
+SHORT, LEAST_TEXTS, LEAST_HOSTS = 40, 5, 3
 
 
-def residual(text: str, host: str | None, web: bool, often: frozenset[int] = frozenset()) -> list[str]:
-    """The lines of ``text`` without its site's furniture and without code."""
-    return outside_code(text.split("\n"), set(furniture(text, host, often)) if web else set())
+def residual(text: str, host: str | None, web: bool, often: frozenset[int] = frozenset(), model: Classifier | None = None) -> tuple[list[str], list[str]]:
+    """The lines of ``text`` without its site's furniture and without code, and those that only do not recur on its site."""
+    lines = text.split("\n")
+    return outside_code(lines, set(furniture(text, host, often, model)) if web else set()), outside_code(lines, {k for k, x in enumerate(lines) if x and line_key(x) in often} if often else set())
 
 
 def outside_code(lines: list[str], gone: set[int]) -> list[str]:
@@ -97,7 +104,7 @@ def placeholder(line: str) -> bool:
     if not any(c in line for c in "{%@<[«_"):
         return False
     s = INLINE.sub("", folded(line))
-    if PLAIN_MARKS.search(s):
+    if PLAIN_MARKS.search(s) or ADDRESSED.match(s.strip()):
         return True
     return any(is_field(next(g for g in m.groups() if g)) for m in SHARED_MARKS.finditer(s) if any(m.groups()))
 
@@ -107,31 +114,49 @@ def symbols(line: str) -> bool:
     return letters < 0.3 * len(line.replace(" ", ""))
 
 
-def evidence(lines: list[str], words: Counter | None = None) -> str | None:
+def evidence(lines: list[str], others: list[str] | None = None, words: Counter | None = None) -> str | None:
     """What makes a residual no real content: placeholder, prompt, filler, error or demand; None for real content.
 
-    ``words`` are the counts of what stands between spaces in ``lines``, where they are known.
+    A placeholder counts in all lines that do not recur on the site, ``others``, where
+    they are given: no furniture that a page has for itself holds any. ``words`` are
+    the counts of what stands between spaces in ``lines``, where they are known.
     """
+    if any(placeholder(x) and not symbols(x) and not x.lstrip().startswith("|") for x in (others if others is not None else lines)):
+        return "placeholder"
     if not lines:
         return None
-    if any(placeholder(x) and not symbols(x) and not x.lstrip().startswith("|") for x in lines):
-        return "placeholder"
     if words is None:
         words = Counter("\n".join(lines).lower().split())
     if filler([x for x in lines if not x.lstrip().startswith("#")] or lines, words):
         return "filler"
     if prompted(lines):
         return "prompt"
-    # Messages have few lines; longer lines are text and need no skeleton.
-    if len(lines) > 12 or _real(lines, [len(x) < LONG for x in lines]) > REAL:
-        return None
-    bones = [skeleton(x.strip("#*_>- \t")) if len(x) < LONG else "" for x in lines]
-    said = [bool(ERROR.search(b)) and len(b) < LONG for b in bones]
-    asked = [bool(DEMAND.search(b)) and len(b) < LONG for b in bones]
-    more = [bool(ADVICE.search(b)) and len(b) < LONG for b in bones]
-    if any(said) or any(asked) or sum(more) >= 2 or all(more):
-        if _real(lines, [a or b or c for a, b, c in zip(said, asked, more)]) <= REAL:
-            return "demand" if any(asked) and not any(said) else "error"
+    return message(lines)
+
+
+def bone(line: str) -> str:
+    """A line's skeleton without the signs of Markdown around it."""
+    return skeleton(line.strip("#*_>- \t"))
+
+
+def message(lines: list[str]) -> str | None:
+    """Whether there are errors, demands or advice, and at most REAL words of text beside them; ends as soon as there are more.
+
+    Sentences are judged one by one: a long text that mentions an error has others.
+    """
+    errors = demands = advice = other = real = 0
+    for x in lines:
+        for part in SENTENCES.split(x):
+            b = bone(part)
+            error, demand, more = bool(ERROR.search(b)), bool(DEMAND.search(b)), bool(ADVICE.search(b))
+            errors, demands, advice = errors + error, demands + demand, advice + more
+            if not (error or demand or more):
+                other += 1
+                real += _real(part, x)
+                if real > REAL:
+                    return None
+    if errors or demands or advice >= 2 or advice and not other:
+        return "demand" if demands and not errors else "error"
     return None
 
 
@@ -139,19 +164,18 @@ def prompted(lines: list[str]) -> bool:
     """Whether there are prompts and at most REAL words of text beside them; ends as soon as there are more."""
     found, real = False, 0
     for x in lines:
-        s = x.strip("#*_>- \t")
-        if len(x) < LONG and not (len(s) > LONGEST_PROMPT and s.isascii()) and skeleton(s) in PROMPTS:
+        if bone(x) in PROMPTS:
             found = True
         else:
-            real += _real([x], [False])
+            real += _real(x, x)
             if real > REAL:
                 return False
     return found
 
 
-def _real(lines: list[str], mine: list[bool]) -> int:
-    """Words of text that are neither headings nor the evidence itself; short lines beside it, as of lists, count too."""
-    return sum(len(WORDS.findall(x)) for x, m in zip(lines, mine) if not m and not x.lstrip().startswith(("#", "- ", "* ", "[")))
+def _real(part: str, line: str) -> int:
+    """Words of ``part`` of a line of text, which is no heading and no entry of a list."""
+    return 0 if line.lstrip().startswith(("#", "- ", "* ", "[")) else len(WORDS.findall(part))
 
 
 def filler(lines: list[str], words: Counter) -> bool:
@@ -172,17 +196,41 @@ def filler(lines: list[str], words: Counter) -> bool:
     return len(said) >= 4 and len(set(said)) <= max(1, len(said) // 4) and all(len(s.split()) <= 6 and s[-1] in ".!?" for s in said)
 
 
-def judged(pages: DataFrame) -> DataFrame:
-    """``doc_id, evidence`` of each record of ``pages`` (see boilerplate.pages); null evidence means real content.
+def last_words(lines: list[str]) -> list[int] | None:
+    """Keys of the lines that are left of a record with nothing but a few words; None for lists, tables and any longer text."""
+    said = [x for x in lines if not x.lstrip().startswith("#")]
+    if not said or any(x.lstrip().startswith(("|", "- ", "* ", "+ ", "[")) or "\t" in x or x.lstrip()[:1].isdigit() for x in said) or sum(len(x.split()) for x in said) > SHORT:
+        return None
+    return sorted({line_key(x) for x in said})
+
+
+def judged(found: Pages) -> DataFrame:
+    """``doc_id, evidence`` of each record of ``found`` (see boilerplate.pages); null evidence means real content.
 
     Null and blank texts give no row, repeated rows repeated ones. Furniture is
     subtracted only from records with a URL; any host may hold any share of them.
+    Short records whose every line is left of LEAST_TEXTS texts on LEAST_HOSTS
+    hosts hold a message ('error') whatever its words.
     """
+    sent = found.rows.sparkSession.sparkContext.broadcast(found.model)
+
     def run(batches):
+        model = sent.value
         for batch in batches:
-            kinds = []
+            kinds, left, marks = [], [], []
             for text, host, web, keys in zip(*(batch.column(c).to_pylist() for c in ("markdown", "host", "web", "recurring"))):
-                kinds.append(evidence(residual(text, host, web, frozenset(keys or ()))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kinds, pa.string())], names=["doc_id", "evidence"])
-
-    return pages.where(F.col("markdown").rlike(r"\S")).select("doc_id", "markdown", "host", "web", "recurring").mapInArrow(run, "doc_id string, evidence string")
+                lines, others = residual(text, host, web, frozenset(keys or ()), model)
+                kinds.append(evidence(lines, others))
+                left.append(None if kinds[-1] or not web else last_words(lines))
+                marks.append(None if left[-1] is None else xxhash.xxh3_64_intdigest("\n".join(lines).encode("utf-8", "surrogatepass")) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), pa.array(kinds, pa.string()), pa.array(left, pa.list_(pa.int64())), pa.array(marks, pa.int64())], names=["doc_id", "host", "evidence", "left", "mark"])
+
+    rows = found.rows.where(F.col("markdown").rlike(r"\S")).select("doc_id", "markdown", "host", "web", "recurring").mapInArrow(run, "doc_id string, host string, evidence string, left array<bigint>, mark bigint")
+    rows = cut(rows)
+    # Few records are that short; copies of one on a host count once.
+    short = rows.where("left is not null").select("doc_id", "host", "left", "mark").distinct()
+    lines = short.select("host", "left", "mark").distinct().select("host", F.explode("left").alias("line"))
+    known = lines.groupBy("line").agg(F.count("*").alias("n"), F.count_distinct("host").alias("hosts"))
+    said = short.select("doc_id", F.explode("left").alias("line")).join(known, "line").groupBy("doc_id").agg((F.min("n") >= LEAST_TEXTS).alias("often"), F.min("hosts").alias("hosts"))
+    said = said.where(F.col("often") & (F.col("hosts") >= LEAST_HOSTS)).select("doc_id", F.lit("error").alias("said"))
+    return rows.join(said, "doc_id", "left").select("doc_id", F.coalesce("evidence", F.when(F.col("left").isNotNull(), F.col("said"))).alias("evidence"))

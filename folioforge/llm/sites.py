@@ -19,8 +19,6 @@ FOLD |= dict.fromkeys([0x00A0, 0x2007, 0x2009, 0x202F, 0x3000, *range(0x2000, 0x
 TARGET = re.compile(r"\]\([^)\s]*\)")
 BEYOND = re.compile(r"[^\x00-\x7f]+")
 DIGITS = re.compile(r"\d+")
-#: Longer lines are text and never recur as furniture of a site.
-LONGEST_LINE = 200
 
 
 def folded(line: str) -> str:
@@ -34,8 +32,10 @@ def skeleton(line: str) -> str:
 
 
 def line_key(line: str) -> int:
-    """A 64-bit key under which lines count as the same: no link targets, any figures, any case."""
-    return xxhash.xxh3_64_intdigest(DIGITS.sub("0", skeleton(TARGET.sub("]", line.strip())))) - (1 << 63)
+    """A 64-bit key under which lines count as the same: no link targets, any case, any mark-up around them, and any figures but in headings."""
+    bones = skeleton(TARGET.sub("]", line))
+    bones = bones if bones.startswith("#") else DIGITS.sub("0", bones)
+    return xxhash.xxh3_64_intdigest(bones.strip("#*_+-•>: \t\r")) - (1 << 63)
 
 
 def host(url: str | F.Column):
@@ -61,7 +61,7 @@ def recurring(pages: DataFrame, least: int = 3, share: float = 0.1) -> DataFrame
                     continue
                 met.add((h, mark))
                 seen[h, 0] = seen.get((h, 0), 0) + 1
-                for k in {line_key(x) for x in text.split("\n") if x and len(x) <= LONGEST_LINE and not x.isspace()}:
+                for k in {line_key(x) for x in text.split("\n") if x and not x.isspace()}:
                     seen[h, k] = seen.get((h, k), 0) + 1
             hosts, keys = zip(*seen) if seen else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "line", "n"])
