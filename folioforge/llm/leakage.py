@@ -26,15 +26,18 @@ RUN = 12
 
 @dataclass(frozen=True)
 class Setting:
-    """Parameters of the search; the bounds guard what is sent to every task."""
+    """Parameters of the search; items beyond the two bounds of what every task receives are searched in blocks."""
 
     run: int = RUN
     rank: int = 128
     oversample: int = 16
     least_cosine: float = 0.25
     item_stride: int = 4
-    max_item_words: int = 2_000_000
-    max_terms: int = 100_000
+    #: Cosine and share of a window's words in common order from which a passage may be a paraphrase.
+    close_cosine: float = 0.6
+    close_words: float = 0.5
+    max_item_words: int = 200_000
+    max_terms: int = 50_000
     seed: int = 7
 
 
@@ -55,17 +58,25 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def read_items(df: DataFrame, key: str, text: str, setting: Setting) -> Items:
-    """Items are a stated, bounded query set; ValueError says when they exceed the bounds."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("key").isNotNull()).distinct()
-    rows = rows.orderBy("key", "text").limit(setting.max_item_words + 1).collect()
+def item_blocks(df: DataFrame, setting: Setting) -> list[DataFrame]:
+    """``key, text`` of the distinct items in blocks within the setting's bounds; a larger item is a block of its own."""
+    rows = df.where("text is not null and key is not null").distinct()
+    # Words are at least one sign and one gap apart, so this bounds them and the terms from above.
+    sizes = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(1 << 20)).alias("m")).agg(F.sum((F.length("text") + 1) / 2).alias("words"))
+    blocks, bound = 1, min(setting.max_item_words, setting.max_terms * 4)
+    while blocks < 1 << 20 and sizes.groupBy(F.pmod("m", F.lit(blocks)).alias("b")).agg(F.sum("words").alias("words"), F.count("*").alias("n")).where((F.col("words") > bound) & (F.col("n") > 1)).limit(1).count():
+        blocks *= 2
+    if blocks == 1:
+        return [rows]
+    return [rows.where(F.pmod(F.pmod(F.xxhash64("key"), F.lit(1 << 20)), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def read_items(rows: DataFrame, setting: Setting) -> Items:
+    """One block of items, as every task receives it."""
     vocabulary: dict[str, int] = {}
-    ids, words, owners, parts, grams, figures, total = [], [], [], [], {}, [], 0
-    for key_, text_ in rows:
+    ids, words, owners, parts, grams, figures = [], [], [], [], {}, []
+    for key_, text_ in rows.orderBy("key", "text").collect():
         found = tokens(text_)
-        total += len(found)
-        if total > setting.max_item_words or len(vocabulary) > setting.max_terms:
-            raise ValueError("the items exceed the bound of what every task receives; search them in blocks")
         at, n = len(ids), np.array([vocabulary.setdefault(w, len(vocabulary)) for w in found], np.int32)
         ids.append(key_)
         words.append(n)
@@ -239,16 +250,25 @@ def search(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text:
 
     Returns ``doc_key, item_key, cosine, run_words, lcs_words, item_words, figures,
     exact``, one row a pair (the best passage): the longest common run and
-    subsequence of one passage, the share of the item's figures in it, and whether
-    at least ``setting.run`` consecutive words agree (``exact``). Null or empty
+    subsequence of one passage, the share of the item's figures in it (1 where it
+    has none), and whether at least ``setting.run`` consecutive words agree
+    (``exact``). Pairs that are not exact are passages close in the latent space
+    whose words stand in the item in the same order for the most part. Null or empty
     texts match nothing; an item shorter than the run can be no exact case; repeated
-    rows count once; null keys of documents give a row under null. Items must keep
-    within the setting's bounds, documents have none.
+    rows count once; null keys of documents give a row under null. Neither items nor
+    documents have a bound.
     """
-    spark, run = docs.sparkSession, setting.run
-    known = read_items(items, item_key, item_text, setting)
     kind, item_kind = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     columns = f"{doc_key} {kind}, {item_key} {item_kind}, cosine double, run_words int, lcs_words int, item_words int, figures double, exact boolean"
+    found = None
+    for block in item_blocks(items.select(F.col(item_key).alias("key"), F.col(item_text).alias("text")), setting):
+        part = _search(docs, read_items(block, setting), doc_key, doc_text, item_key, item_kind, columns, setting)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _search(docs: DataFrame, known: Items, doc_key: str, doc_text: str, item_key: str, item_kind: str, columns: str, setting: Setting) -> DataFrame:
+    spark, run = docs.sparkSession, setting.run
     if not known.vocabulary:
         return spark.createDataFrame([], columns)
     # Read three times and a small share of the text: written once, so that nothing is tokenised again.
@@ -266,19 +286,22 @@ def search(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text:
     order = np.argsort(known.passage_item, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], np.diff(known.passage_item[order]) != 0]))
     asked, owners = np.ascontiguousarray(asked[order].T), known.passage_item[order][heads]
-    grams, words, figures, ids, least = known.grams, [w.tolist() for w in known.words], known.figures, known.ids, setting.least_cosine
+    sent = spark.sparkContext.broadcast((known.grams, [w.tolist() for w in known.words], known.figures, known.ids, basis, idf, asked, owners, heads))
+    # As many windows at once as give some 64 MB of cosines.
+    step = max(16, min(4096, (1 << 24) // asked.shape[1]))
     item_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
 
     def look(batches):
+        grams, words, figures, ids, basis, idf, asked, owners, heads = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 terms = np.frombuffer(b"".join(part.column("terms").to_pylist()), "<i4").reshape(part.num_rows, -1)
                 low = _weighted(terms, idf, basis)
                 low /= np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-12)
                 best = np.maximum.reduceat(low @ asked, heads, axis=1)
                 rows = []
-                which, item_at = np.nonzero(best >= least)
+                which, item_at = np.nonzero(best >= setting.least_cosine)
                 exact: dict[int, set[int]] = {}
                 for p in np.unique(which):
                     t = terms[p]
@@ -287,13 +310,13 @@ def search(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text:
                     i, cosine = int(owners[c]), float(best[p, c])
                     hit = i in exact[p]
                     # Paraphrases are weighed only where the latent space puts them close.
-                    if not hit and cosine < 0.6:
+                    if not hit and cosine < setting.close_cosine:
                         continue
                     mine = terms[p].tolist()
                     lcs = common_subsequence(mine, words[i])
-                    if not hit and lcs < run // 2:
+                    if not hit and lcs < setting.close_words * min(2 * run, len(words[i])):
                         continue
-                    share = len(figures[i] & set(mine)) / len(figures[i]) if figures[i] else 0.0
+                    share = len(figures[i] & set(mine)) / len(figures[i]) if figures[i] else 1.0
                     rows.append((p, ids[i], cosine, common_run(mine, words[i]), lcs, len(words[i]), share, hit))
                 if rows:
                     c = list(zip(*rows))

@@ -110,6 +110,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.search(table(spark, folder, "documents"), table(spark, folder, "eval_items")).where("exact").select("doc_id", "item_id")
 
 
+def p9_paraphrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a passage that is close to an item, has its words in the same order and its figures, but no long common run."""
+    found = leakage.search(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.where("not exact and figures >= 0.5").select("doc_id", "item_id", "run_words", "lcs_words", "item_words", "figures")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a span of at least 200 characters that another one has."""
     return shared_spans.shared(table(spark, folder, "documents")).select("doc_id").distinct()
@@ -123,7 +129,7 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p9_found": p9_found, "p9_paraphrases": p9_paraphrases, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {

@@ -31,6 +31,48 @@ def test_all_planted_runs_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == expected
 
 
+def test_items_of_any_number_are_searched_in_blocks(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(30))) for k in range(40)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(30)) + " " + " ".join(items[k % 40][1].split()[5:20]) + " " + " ".join(rng.choice(words) for _ in range(20))) for k in range(60)]
+    d, i = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    small = leakage.Setting(max_item_words=600)
+    assert len(leakage.item_blocks(i.select(i.item_id.alias("key"), "text"), small)) > 1
+    pairs = [{(r.doc_id, r.item_id) for r in leakage.search(d, i, setting=s).where("exact").collect()} for s in (leakage.Setting(), small)]
+    assert pairs[0] == pairs[1] == {(k, k % 40) for k in range(60)}
+
+
+def test_paraphrases(spark):
+    """Items of which every fourth word or so is another one: no run of 12 is left, yet nearly all are found, as brute force finds them."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(40)]
+    special = [f"s{i}" for i in range(900)]
+    items = [(k, " ".join([str(100 + k)] + [rng.choice(special) if rng.random() < 0.6 else rng.choice(common) for _ in range(23)])) for k in range(40)]
+    docs = []
+    for k in range(120):
+        filler = [rng.choice(common) if rng.random() < 0.6 else rng.choice(special) for _ in range(rng.randint(20, 100))]
+        if k < 80:
+            other = [w if j % 4 or not j else rng.choice(special) for j, w in enumerate(items[k % 40][1].split())]
+            at = rng.randint(0, len(filler))
+            filler[at:at] = other
+        docs.append((k, " ".join(filler)))
+    found = leakage.search(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.where("not exact and figures >= 0.5").collect()}
+    true = {(k, k % 40) for k in range(80)}
+    assert len(got & true) >= 0.9 * len(true) and len(got - true) <= 0.1 * len(got)
+    brute, number = set(), {}
+    for d, text in docs:
+        words = [number.setdefault(w, len(number)) for w in tokens(text)]
+        for i, item in items:
+            w = [number.setdefault(w, len(number)) for w in tokens(item)]
+            for s in range(0, max(1, len(words) - 12), 12):
+                part = words[s : s + 24]
+                if w[0] in part and common_subsequence(part, w) >= 12 and common_run(part, w) < 12:
+                    brute.add((d, i))
+    assert len(got & brute) >= 0.9 * len(brute)
+
+
 def test_edges(spark):
     text = " ".join(f"word{i}" for i in range(14))
     items = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, None, "x"), (3, "", "x"), (None, text, "x"), (4, "too short", "x")], "item_id int, text string, cosine string")
