@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -23,21 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.sites import host, line_key, recurring, skeleton
+from folioforge.llm.sites import DIGITS, Memo, host, key_of, line_key, recurring, skeleton
 from folioforge.runtime import cut
 
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)\)")
 HEAD, ITEM, TABLE = re.compile(r"^#{1,6}\s"), re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+"), re.compile(r"^\s*\|.*\|\s*$")
-PIECE = re.compile(r"[^\W_]+|[^\w\s]")
-FIGURES = re.compile(r"\d+")
+#: Words and signs of a skeleton, which is ASCII.
+PIECE = re.compile(r"[a-z0-9]+|[^a-z0-9\s_]")
 ENDS = ".!?…”»\"'"
 
 #: Hashed features of a line: the table of weights has two to the power of this.
 BITS = 15
 #: The sample that the classifier is fitted on: so many hosts, pages of each and lines of each, drawn by hash.
-HOSTS, PAGES, LINES = 40, 60, 1500
+HOSTS, PAGES, LINES = 30, 50, 600
 #: Pages with different texts that a host of the sample needs, and pages on which a line stands that recurs on it.
 LEAST_PAGES, LEAST = 5, 3
+#: Words of lines in which pairs of neighbours count beside single words.
+PAIRED = 12
 #: Weight of words beside shapes, and of lines that may be either beside those whose label is sure.
 WORDS, UNSURE = 2.0, 0.1
 #: Added to every line's log-odds: lines that never recur are furniture too, and the sample knows them as text only.
@@ -64,57 +67,67 @@ def slot(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
+SLOTS = Memo(slot)
+
+
 def step(n: float, edges: tuple) -> int:
-    return sum(n >= e for e in edges)
+    return bisect_right(edges, n)
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     """What one line is by itself."""
 
     kind: str
-    shapes: list[int]
-    words: list[int]
+    shapes: list[str]
+    words: list[str]
     #: Whether it links to its own site, and whether it reads as a sentence.
     inside: bool
     sentence: bool
+    #: Its key among the lines of its site.
+    key: int
 
 
 def seen(line: str, names: tuple[str, ...]) -> Line:
     """Kind and features of a non-blank line. Every word counts, whatever the line's length."""
     s = line.strip()
-    links = LINK.findall(s)
+    links = LINK.findall(s) if "](" in s else ()
     plain = LINK.sub(r"\1", LINK.sub(r"\1", s)) if links else s
-    words = PIECE.findall(FIGURES.sub("0", skeleton(plain)))
+    bones = DIGITS.sub("0", skeleton(plain))
+    key = line_key(line) if links or s[0] == "#" else key_of(bones)
+    words = PIECE.findall(bones)
     if names:
         own = {*names, *(x for n in names for x in n.split("-") if len(n) > 3)}
-        words = ["<site>" if w in own else w for w in words]
-    n = sum(w[0].isalnum() or w[0] == "<" for w in words)
-    head = HEAD.match(s)
-    if TABLE.match(s):
+        if not own.isdisjoint(words):
+            words = ["<site>" if w in own else w for w in words]
+    n = sum(map(str.isalnum, words)) + words.count("<site>")
+    spaced = len(s.split()) >= 8
+    if s[0] == "|" and TABLE.match(s):
         kind = "table"
-    elif head:
+    elif s[0] == "#" and HEAD.match(s):
         kind = "head"
     elif ITEM.match(s):
         kind = "item"
     elif links and sum(len(t) for t, _ in links) >= 0.6 * len(plain) - 6:
         kind = "links"
     else:
-        kind = "prose" if len(s.split()) >= 8 else "plain"
-    look = f"h{min(3, s.index(' '))}" if head else "b" if s.startswith("**") else "p" if kind in ("prose", "plain", "links") else kind
+        kind = "prose" if spaced else "plain"
+    look = f"h{min(3, s.index(' '))}" if kind == "head" else "b" if s.startswith("**") else "p" if kind in ("prose", "plain", "links") else kind
     shapes = [f"k={look}", f"n={step(n, (1, 2, 3, 4, 6, 8, 12, 18, 26, 40))}", f"kn={look}{step(n, (2, 4, 8, 14, 26))}", f"e={'a' if s[-1].isalnum() else s[-1]}{n >= 4}", f"c={s[0].isupper()}"]
     inside = False
     if links:
         shapes.append(f"ld={step(sum(len(t) for t, _ in links) / max(1, len(plain)), (0.3, 0.6, 0.9))}")
         for _, target in links:
-            own = target[:1] in ("/", "#") or any(x in target for x in names)
-            inside |= own
-            shapes.append(f"u={'#' if target[:1] == '#' else 'in' if own else 'out'}{look}")
+            own_ = target[:1] in ("/", "#") or any(x in target for x in names)
+            inside |= own_
+            shapes.append(f"u={'#' if target[:1] == '#' else 'in' if own_ else 'out'}{look}")
     else:
         shapes.append("nolink")
-    shapes.append(f"sep={min(3, sum(w in '·|/›»>—' for w in words))}")
-    sentence = len(s.split()) >= 8 and s[-1] in ENDS and not links and kind == "prose"
-    return Line(kind, [slot(x) for x in dict.fromkeys(shapes)], [slot(x) for x in {*("w=" + w for w in words), *(f"b={a} {b}" for a, b in zip(words, words[1:]))}], inside, sentence)
+    shapes.append(f"sep={min(3, sum(map(words.count, '·|/›»>—')))}" if n < 40 else "sep=0")
+    told = {*words}
+    if len(words) <= PAIRED:
+        told.update(f"{a} {b}" for a, b in zip(words, words[1:]))
+    return Line(kind, list(dict.fromkeys(shapes)), list(told), inside, spaced and s[-1] in ENDS and not links and kind == "prose", key)
 
 
 def places(lines: list[str], at: list[int], mine: list[Line]) -> list[tuple[int, int, int]]:
@@ -124,7 +137,7 @@ def places(lines: list[str], at: list[int], mine: list[Line]) -> list[tuple[int,
     text = [q for q, x in enumerate(mine) if x.sentence or x.kind == "head"]
     first, last = (text[0], max([q for q in text if mine[q].sentence], default=n)) if text else (0, n)
     side = ["above" if q < first else "below" if q > last else "in" for q in range(n)]
-    return [(slot(f"pos={w}"), slot(f"gap={int(k == 0 or blank[k - 1])}{int(k + 1 >= len(lines) or blank[k + 1])}"), slot(f"side={z}{x.kind}")) for w, k, z, x in zip(where, at, side, mine)]
+    return [(SLOTS[f"pos={w}"], SLOTS[f"gap={int(k == 0 or blank[k - 1])}{int(k + 1 >= len(lines) or blank[k + 1])}"], SLOTS[f"side={z}{x.kind}"]) for w, k, z, x in zip(where, at, side, mine)]
 
 
 @dataclass
@@ -133,18 +146,24 @@ class Classifier:
 
     weights: np.ndarray = field(default_factory=lambda: prior())
     start: float = -BIAS
-    memo: dict = field(default_factory=dict)
 
-    def __getstate__(self):
-        return {"weights": self.weights, "start": self.start, "memo": {}}
+    def __post_init__(self):
+        self.known = Memo(lambda feature: float(self.weights[slot(feature)]))
+        self.place = self.weights.tolist()
+        self.memo: dict = {}
+
+    def __reduce__(self):
+        return Classifier, (self.weights, self.start)
 
     def line(self, line: str, names: tuple[str, ...]) -> tuple[Line, float]:
         """The line and its log-odds but for its place; kept for the next page that has it."""
         got = self.memo.get((line, names))
         if got is None:
-            x = seen(line, names)
-            v = self.odds(x.shapes, x.words) - self.start
-            if len(self.memo) >= 100_000:
+            x, known = seen(line, names), self.known
+            v = sum([known[f] for f in x.shapes])
+            if x.words:
+                v += WORDS / len(x.words) ** 0.5 * sum([known[w] for w in x.words])
+            if len(self.memo) >= 50_000:
                 self.memo.clear()
             got = self.memo[line, names] = (x, v)
         return got
@@ -153,7 +172,7 @@ class Classifier:
         w = self.weights
         return self.start + float(w[shapes].sum()) + (WORDS / len(words) ** 0.5 * float(w[words].sum()) if words else 0.0)
 
-    def fit(self, rows: list[tuple[list[int], list[int], float, float]], steps: int = 120, rate: float = 0.1, shrink: float = 1e-4) -> Classifier:
+    def fit(self, rows: list[tuple[list[int], list[int], float, float]], steps: int = 80, rate: float = 0.1, shrink: float = 1e-4) -> Classifier:
         """Logistic regression on (shapes, words, label, weight), drawn towards the weights it starts from."""
         if not rows or len({r[2] for r in rows}) < 2:
             return self
@@ -198,7 +217,7 @@ def labelled(texts: list[str], names: tuple[str, ...]) -> list[tuple[list[int],
         lines = text.split("\n")
         at = [k for k, x in enumerate(lines) if x and not x.isspace()]
         mine = [seen(lines[k], names) for k in at]
-        often = [count[line_key(lines[k])] >= LEAST for k in at]
+        often = [count[x.key] >= LEAST for x in mine]
         core = [q for q, x in enumerate(mine) if x.sentence and not often[q]]
         low, high = (core[0], core[-1]) if core else (1, 0)
         while low > 0 and mine[low - 1].kind == "head":
@@ -207,7 +226,7 @@ def labelled(texts: list[str], names: tuple[str, ...]) -> list[tuple[list[int],
             sure = low <= q <= high and not x.inside and (x.sentence or not any(often[max(0, q - 3) : q + 2]))
             weight = 1.0 if often[q] or sure else 0.0 if x.inside else UNSURE
             if weight:
-                out.append((x.shapes + list(place), x.words, float(often[q]), weight))
+                out.append(([slot(f) for f in x.shapes] + list(place), [slot(w) for w in x.words], float(often[q]), weight))
     return out
 
 
@@ -278,12 +297,12 @@ def furniture(text: str, host_: str | None = None, often: frozenset[int] = froze
     model, names, lines = model or Classifier(), site_names(host_), text.split("\n")
     at = [k for k, x in enumerate(lines) if x and not x.isspace()]
     judged = [model.line(lines[k], names) for k in at]
-    found, fenced, weights = [], False, model.weights
+    found, fenced, weights = [], False, model.place
     for k, (x, v), place in zip(at, judged, places(lines, at, [x for x, _ in judged])):
-        v += float(sum(weights[p] for p in place)) + model.start + BIAS
+        v += weights[place[0]] + weights[place[1]] + weights[place[2]] + model.start + BIAS
         fence = lines[k].lstrip().startswith("```")
         fenced ^= fence
-        found.append((k, "code", -MOST, False, False) if fence or fenced else (k, x.kind, v, x.inside, bool(often) and line_key(lines[k]) in often))
+        found.append((k, "code", -MOST, False, False) if fence or fenced else (k, x.kind, v, x.inside, x.key in often))
     gone = _cut(lines, found)
     if gone and all(f[1] == "head" for f in found if f[0] not in gone):
         gone -= _body(found, gone)

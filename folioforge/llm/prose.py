@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.boilerplate import Pages, furniture
-from folioforge.llm.residue import evidence, outside_code
-from folioforge.llm.sites import line_key
+from folioforge.llm.residue import evidence, outside_code, repeated
 
 #: Character classes.
 CLASSES = ("letter", "digit", "space", "sentence", "quote", "line", "symbol")
@@ -284,7 +283,7 @@ def quality(found_: Pages, common_words: DataFrame) -> DataFrame:
                 # Problem 3's residual; the counts are its own where there is no code.
                 plain = outside_code(lines, gone)
                 often = frozenset(keys or ())
-                others = outside_code(lines, {k for k, x in enumerate(lines) if x and line_key(x) in often} if often else set())
+                others = outside_code(lines, repeated(lines, host, often, model))
                 proof = evidence(plain, others, found["sums"] if len(plain) == found["lines"] else None)
                 verdict = None if proof or name == "empty" else name.startswith("prose")
                 rows.append((found["words"], found["mean_word_length"], found["symbol_ratio"], found["ended_lines"], found["common_words"], found["lang"], name, d, proof, verdict))

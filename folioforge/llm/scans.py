@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.boosting import Boosted
-from folioforge.llm.sites import skeleton
+from folioforge.llm.sites import Memo, skeleton
 from folioforge.runtime import cut
 
 # What optical recognition takes one sign for; true first, seen second.
@@ -72,20 +72,6 @@ def key_of(line: str) -> str:
     return plain if s.isascii() or 2 * len(plain) > len(s) else re.sub(r"[\W\d_]+", "", s)
 
 
-class Memo(dict):
-    """What a function gave for each argument, forgotten when it grows beyond a bound."""
-
-    def __init__(self, function, bound: int = 400_000):
-        super().__init__()
-        self.function, self.bound = function, bound
-
-    def __missing__(self, x):
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[x] = self.function(x)
-        return value
-
-
 def numbered(line: str) -> bool:
     """Whether a line is a page number: bare, between signs, or after the word for page."""
     s = line.strip()

@@ -26,18 +26,41 @@ def folded(line: str) -> str:
     return line if line.isascii() else unicodedata.normalize("NFC", line.translate(FOLD))
 
 
+class Memo(dict):
+    """What a function gave for each argument, forgotten when it grows beyond a bound."""
+
+    def __init__(self, function, bound: int = 200_000):
+        super().__init__()
+        self.function, self.bound = function, bound
+
+    def __missing__(self, x):
+        if len(self) >= self.bound:
+            self.clear()
+        value = self[x] = self.function(x)
+        return value
+
+
+#: Words with signs beyond ASCII, whole; a fold never reaches over an ASCII space.
+ODD_WORD = re.compile(r"[\x21-\x7e]*[^\x00-\x7f][^\x00-\x20\x7f]*")
+BONES = Memo(lambda word: BEYOND.sub("*", folded(word)))
+
+
 def skeleton(line: str) -> str:
     """Lower case, with each run of non-ASCII characters as one star: garbled and clean spellings agree."""
-    return BEYOND.sub("*", folded(line)).lower()
+    return line.lower() if line.isascii() else ODD_WORD.sub(lambda m: BONES[m[0]], line).lower()
 
 
-def line_key(line: str) -> int:
-    """A 64-bit key under which lines count as the same: no link targets, any case, any mark-up around them, and any figures but in headings."""
-    bones = skeleton(TARGET.sub("]", line))
+def key_of(bones: str) -> int:
+    """The key of a line from its skeleton without link targets."""
     bones = bones if bones.startswith("#") else DIGITS.sub("0", bones)
     return xxhash.xxh3_64_intdigest(bones.strip("#*_+-•>: \t\r")) - (1 << 63)
 
 
+def line_key(line: str) -> int:
+    """A 64-bit key under which lines count as the same: no link targets, any case, any mark-up around them, and any figures but in headings."""
+    return key_of(skeleton(TARGET.sub("]", line) if "](" in line else line))
+
+
 def host(url: str | F.Column):
     """The host of a URL column, in lower case; null where there is none."""
     return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
