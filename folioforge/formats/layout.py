@@ -142,12 +142,102 @@ def space_limit(row: list[dict]) -> float | None:
     return (low + high) / 2 if jump > 0.5 else None
 
 
+#: Private signs around raised and lowered parts of a line.
+SCRIPTS = "\ue000\ue001\ue002\ue003"
+#: Signs of decoration around a line.
+ORNAMENT = r"[\s\p{Z}|•·▪–—\-_=~*]+"
+# What only furniture of a page says, in lower case.
+LINKED = r"https?://|^www\.| www\.|doi:|doi\.org/"
+BANNER = r"please cite this article|contents lists available at|available online at|downloaded from|©|copyright |all rights reserved"
+FOLIO = r"^page [0-9]|^[0-9]{1,4}$"
+ROMAN = r"^m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$"
+VOLUME = r"(?:^|[^a-z0-9])(?:vol(?:ume)?[., ].*[0-9]|[vn]\. ?[0-9])"
+YEAR = r"(?:^|[^a-z0-9])(?:19|20)[0-9]{2}(?:$|[^a-z0-9])"
+RANGE, DATE_RANGE = r"[0-9]+ *[-–—] *[0-9]+", r"^(?:19|20)[0-9]{2} *[-–—] *[0-9]{1,2}$"
+CITED = r"[0-9]:[0-9]"
+AFTER_YEAR = r"\((?:19|20)[0-9]{2}\)\.? *[0-9]+, *[0-9]+"
+DATE_LINE = r"^[0-9]{1,2}\.? +\p{L}+\.? +(?:19|20)[0-9]{2}\.?$|^\p{L}+ +[0-9]{1,2}, +(?:19|20)[0-9]{2}\.?$"
+
+
+def chrome_line(text: str) -> bool:
+    """Whether a line is worded as a page's furniture; the same rule as functions.text.is_chrome."""
+    blank = ORNAMENT.replace(r"\p{Z}", "")
+    plain = re.sub(f"^{blank}|{blank}$", "", text.translate(dict.fromkeys(map(ord, SCRIPTS))))
+    low, size = plain.lower(), len(plain.encode())
+    if not plain:
+        return False
+    if re.search(f"{LINKED}|{BANNER}|{FOLIO}|{VOLUME}", low) or 2 <= size <= 7 and re.search(ROMAN, low) or size <= 80 and "et al" in low:
+        return True
+    ranges = any(not re.search(DATE_RANGE, r) for r in re.findall(RANGE, plain))
+    if size <= 120 and (re.search(YEAR, low) and (ranges or re.search(CITED, plain)) or re.search(AFTER_YEAR, plain)):
+        return True
+    return size <= 30 and bool(re.search(DATE_LINE.replace(r"\p{L}", r"[^\W\d_]"), plain))
+
+
+def folio(text: str) -> bool:
+    plain = text.strip()
+    return bool(re.fullmatch("[0-9]{1,4}", plain)) or 1 <= len(plain.encode()) <= 7 and bool(re.search(ROMAN, plain.lower()))
+
+
+def line_tops(tops: list[float], step: float = 3.0) -> list[float]:
+    """The tops of the lines that boxes with these tops make, from above."""
+    out: list[float] = []
+    for t in sorted(tops, reverse=True):
+        if not out or out[-1] - t > step:
+            out.append(t)
+    return out
+
+
+def page_furniture(boxes: list[dict], height: float, band: float = 0.15, edge: float = 0.1) -> set[int]:
+    """Places in ``boxes`` of one page's furniture, by place, distance and wording (see operators.layout.page_chrome)."""
+    gone: set[int] = set()
+    if height <= 0:
+        return gone
+    sizes = sorted(b["font"] for b in boxes if b["font"] > 0)
+    need = sizes[len(sizes) // 2] if sizes else 10.0
+    lines = len(line_tops([b["top"] for b in boxes]))
+    for side in ("top", "bottom"):
+        inside = [k for k, b in enumerate(boxes) if b["text"].strip() and (b["bottom"] >= height * (1 - band) if side == "top" else b["top"] <= height * band and not b["bottom"] >= height * (1 - band))]
+        inside.sort(key=lambda k: (-boxes[k]["top"], boxes[k]["left"], k))
+        groups: list[list[int]] = []
+        for k in inside:
+            if groups and boxes[groups[-1][-1]]["bottom"] - boxes[k]["top"] <= need:
+                groups[-1].append(k)
+            else:
+                groups.append([k])
+        for group in groups:
+            tops = line_tops([boxes[k]["top"] for k in group])
+            hits = sum(any(chrome_line(boxes[k]["text"]) and t - 3.0 <= boxes[k]["top"] <= t for k in group) for t in tops)
+            if not hits or len(tops) > 4 and 2 * hits < len(tops) or 2 * len(tops) > lines or any(len(boxes[k]["text"].strip().encode()) > 200 for k in group):
+                continue
+            low, high = min(boxes[k]["bottom"] for k in group), max(boxes[k]["top"] for k in group)
+            rest = [b for k, b in enumerate(boxes) if k not in group]
+            away = [low - b["top"] for b in rest if b["top"] < low] if side == "top" else [b["bottom"] - high for b in rest if b["bottom"] > high]
+            if min(away, default=need) >= need:
+                gone |= {*group}
+    if len(boxes) > 2:
+        for side in ("bottom", "top"):
+            left = [k for k in range(len(boxes)) if k not in gone]
+            if left:
+                k = min(left, key=lambda k: (boxes[k]["bottom"] if side == "bottom" else -boxes[k]["top"], k))
+                if folio(boxes[k]["text"]) and (boxes[k]["bottom"] <= height * edge if side == "bottom" else boxes[k]["top"] >= height * (1 - edge)):
+                    gone.add(k)
+    return gone
+
+
+def without_page_furniture(pages: list[dict]) -> None:
+    for page in pages:
+        gone = page_furniture(page["boxes"], page["page_height"])
+        page["boxes"] = [b for k, b in enumerate(page["boxes"]) if k not in gone]
+
+
 def without_running_heads(pages: list[dict]) -> None:
     """Texts of the outer 12 % that stand on a fifth of the pages, or on eight in a row, leave all pages."""
     if len(pages) < 5:
         return
     seen: dict[str, list[int]] = {}
-    margin = lambda p, b: b["bottom"] > 0.88 * p["page_height"] or b["top"] < 0.12 * p["page_height"]
+    far = lambda p: 0.12 * p["page_height"]
+    margin = lambda p, b: not far(p) < (b["top"] + b["bottom"]) / 2 < p["page_height"] - far(p)
     for k, page in enumerate(pages):
         for text in {b["text"] for b in page["boxes"] if margin(page, b)}:
             seen.setdefault(text, []).append(k)
@@ -282,13 +372,13 @@ def bare_tables(lines: list[list[dict]]) -> list[tuple[int, int, list[list[str]]
 
 
 def modal_size(boxes: list[dict]) -> float:
-    """The commonest type size, to a tenth, of at least 7; of equals the first seen."""
+    """The commonest type size, to a tenth, of at least 7 where there is one; of equals the first seen."""
     counts: dict[float, int] = {}
     for b in boxes:
         size = round(b["font"], 1)
-        if size >= 7:
+        if size > 0:
             counts[size] = counts.get(size, 0) + 1
-    return max(counts, key=counts.get) if counts else max((b["font"] for b in boxes), default=0.1) or 0.1
+    return max((s for s in counts if s >= 7), key=counts.get, default=None) or max(counts, key=counts.get, default=0.1)
 
 
 def heading_mark(size: float, bold: bool, body: float) -> str:
@@ -347,6 +437,7 @@ def render_pages(pages: list[dict]) -> str:
     for page in pages:
         page["boxes"] = boxes_of(page["items"])
     without_running_heads(pages)
+    without_page_furniture(pages)
     out = []
     for page in pages:
         body, blocks = modal_size(page["boxes"]), []
@@ -365,5 +456,15 @@ def render_pages(pages: list[dict]) -> str:
         texts += [f"<!-- image: p{page['page_number']}-i{k} (page {page['page_number']}, {round(i[2] - i[0])}x{round(i[3] - i[1])}pt) -->" for k, i in enumerate(shown)]
         if texts:
             out.append("\n\n".join(texts))
-    # Words broken over blocks.
-    return re.sub(r"(\w)-\n\n([a-zß-ÿ])", r"\1\2", "\n\n".join(out)).strip()
+    return dehyphenated("\n\n".join(out)).strip()
+
+
+def dehyphenated(text: str) -> str:
+    """Words broken over blocks joined; a word with another hyphen keeps this one (see functions.text.dehyphenated)."""
+    done, *parts = text.split("-\n\n")
+    for part in parts:
+        if not (done[-1:].isalpha() and part[:1].islower()):
+            done += "-\n\n" + part
+        else:
+            done += ("-" if re.search(r"-\S*$", done) else "") + part
+    return done

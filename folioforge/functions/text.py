@@ -38,21 +38,41 @@ def without_ligatures(text: Column) -> Column:
     return text
 
 
+#: Private signs around raised and lowered parts of a line, until it is whole.
+SCRIPTS = layout.SCRIPTS
+
+
+def without_scripts(text: Column) -> Column:
+    """Text without the marks of raised and lowered parts."""
+    return F.translate(text, SCRIPTS, "")
+
+
 def cell(text: Column) -> Column:
-    """Text for a Markdown table's cell."""
-    return F.regexp_replace(F.replace(half_width(text), F.lit("|"), F.lit("\\|")), "\r?\n", "<br>")
+    """Text for a Markdown table's cell: plain forms, no marks, pipes escaped, line ends as breaks."""
+    return F.replace(F.replace(half_width(without_scripts(text)), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
 
 
 def html_cell(text: Column) -> Column:
-    """Text for an HTML table's cell."""
+    """Text for an HTML table's cell, in plain forms and without marks."""
+    text = half_width(without_scripts(text))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return F.replace(text, F.lit("\n"), F.lit("<br>"))
 
 
 def dehyphenated(text: Column) -> Column:
-    """Words broken over blocks of a text, joined where the next begins in lower case."""
-    return F.regexp_replace(text, r"([\p{L}\p{N}_])-\n\n(?=[a-zß-ÿ])", "$1")
+    """Words broken over blocks of a text, joined where a letter stands before the hyphen and the next block begins in lower case.
+
+    A word that has another hyphen is a compound and keeps this one.
+    """
+    cut = "-\n\n"
+
+    def join(done: Column, part: Column) -> Column:
+        broken = done.rlike(r"[\p{L}\p{Nl}]$") & part.rlike(r"^\p{Ll}")
+        return F.concat(done, F.when(~broken, cut).when(done.rlike(r"-[^\s\p{Z}]*$"), "-").otherwise(""), part)
+
+    parts = F.split(text, cut)
+    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, 1), join)
 
 
 def escaped(text: Column) -> Column:
@@ -75,22 +95,30 @@ def heading_mark(size: Column, bold: Column, body: Column) -> Column:
     return F.when(ratio >= 2, "# ").when(ratio >= 1.4, "## ").when((ratio >= 1.1) & bold, "### ").otherwise("")
 
 
-# What stands at the edges of pages besides text.
-CHROME = (
-    r"(?i)^(?:https?://|www\.)\S+$|^doi:|^10\.\d{4,}/",
-    r"(?i)copyright|©|\(c\) ?(?:19|20)\d\d|all rights reserved",
-    r"(?i)^\W*(?:page|seite|p[áa]gina|p\.)?\W*\d{1,4}(?:\W*(?:of|/|von|de|sur)\W*\d{1,4})?\W*$",
-    r"^\W*[ivxlcIVXLC]{1,7}\W*$",
-    r"(?i)^vol(?:ume|\.)?\s*\d+",
-    r"(?i)\bet al\.",
-    r"^(?:19|20)\d\d$",
-    r"(?i)^\d{1,2}\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+(?:19|20)\d\d$",
-)
-
-
 def is_chrome(text: Column) -> Column:
-    """Whether a line looks like a page's furniture rather than its text."""
-    return F.coalesce(F.trim(text).rlike("|".join(f"(?:{p})" for p in CHROME)), F.lit(False))
+    """Whether a line looks like a page's furniture rather than its text; null and empty lines do not.
+
+    Addresses, banners, page numbers, volumes and running authors tell by themselves, citations by a year beside
+    a range of pages, a volume and page, or pages in line; the last ones only in short lines.
+    """
+    plain = F.regexp_replace(without_scripts(text), f"^{layout.ORNAMENT}|{layout.ORNAMENT}$", "")
+    low, size = F.lower(plain), F.octet_length(plain)
+    ranges = F.exists(F.regexp_extract_all(plain, F.lit(f"({layout.RANGE})"), F.lit(1)), lambda r: ~r.rlike(layout.DATE_RANGE))
+    cited = low.rlike(layout.YEAR) & (ranges | plain.rlike(layout.CITED)) | plain.rlike(layout.AFTER_YEAR)
+    found = (
+        low.rlike(f"{layout.LINKED}|{layout.BANNER}|{layout.FOLIO}|{layout.VOLUME}")
+        | (size.between(2, 7) & low.rlike(layout.ROMAN))
+        | ((size <= 80) & low.contains("et al"))
+        | ((size <= 120) & cited)
+        | ((size <= 30) & plain.rlike(layout.DATE_LINE))
+    )
+    return F.coalesce(found & (plain != ""), F.lit(False))
+
+
+def is_folio(text: Column) -> Column:
+    """Whether a line is a page's number and nothing else, in figures or roman."""
+    plain = F.trim(text)
+    return F.coalesce(plain.rlike("^[0-9]{1,4}$") | (F.octet_length(plain).between(1, 7) & F.lower(plain).rlike(layout.ROMAN)), F.lit(False))
 
 
 def masked_run(text: Column) -> Column:

@@ -79,9 +79,9 @@ def scored(checks: DataFrame, outputs: DataFrame, tool: str = "tool") -> DataFra
     ``checks``: doc_id, type, value; ``outputs``: tool, doc_id, text. A document
     that a tool lacks fails all its checks.
     """
-    # A handful of tools: each check is repeated for every one of them.
-    tools = [r[0] for r in outputs.select(tool).distinct().collect()]
-    asked = checks.withColumn(tool, F.explode(F.array(*map(F.lit, tools)))) if tools else checks.withColumn(tool, F.lit(None).cast("string")).limit(0)
+    # A handful of tools in one row: each check is repeated for every one of them.
+    tools = outputs.agg(F.collect_set(tool).alias("tools"))
+    asked = checks.join(F.broadcast(tools)).withColumn(tool, F.explode("tools")).drop("tools")
     met = asked.join(outputs.select(tool, "doc_id", "text"), [tool, "doc_id"], "left").withColumn("ok", F.coalesce(passes(F.col("type"), F.col("value"), F.col("text")), F.lit(False)))
     by_doc = met.groupBy(tool, "doc_id").agg(F.count_if("ok").alias("passed"), F.count("*").alias("total"))
     return by_doc.groupBy(tool).agg(
@@ -126,18 +126,40 @@ def quantile_pages(sizes: DataFrame, key: str, pages: str, shares: tuple[float,
     return sizes.select(key, pages, at.alias("share")).select(key, "share", F.greatest(F.lit(1), F.least(F.bround(F.col(pages) * F.col("share")), F.col(pages))).cast("int").alias("page"))
 
 
-def anchors(lines: DataFrame, keys: list[str], order: list[str], text: str = "text", size: int = 7) -> DataFrame:
-    """``keys, anchor, unique``: for each group the phrase of ``size`` words that finds it again.
+#: Words of phrases: letters and figures with an apostrophe inside, or figures with points.
+PHRASE_WORD = r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?)"
 
-    Taken from the middle of lines of 7 to 30 words, 5 of letters at least; phrases
-    that no other group has come first, then lines nearest to 12 words, then order.
+
+def phrase_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(PHRASE_WORD), F.lit(1))
+
+
+def anchors(lines: DataFrame, pages: DataFrame, titles: DataFrame, size: int = 7) -> DataFrame:
+    """``doc_id, page_number, anchor``: for each asked page the phrase of ``size`` words that finds it again.
+
+    ``lines``: doc_id, page_number, seq, text; ``pages``: doc_id, page_number; ``titles``: doc_id, title. Phrases
+    come from the middle of lines of 7 to 30 words, 5 with letters at least, under three
+    tenths of whose letters are written from the right, and which no cross-column
+    join has spoilt. Those that the asked pages have once come first, before all
+    those that share under six tenths of the title's words; then least of the title, length
+    nearest to 12 words, the middle of the page, and the phrase itself.
     """
-    worded = lines.withColumn("w", lowered_words(F.col(text))).where(F.size("w").between(7, 30) & (F.size(F.filter("w", lambda w: w.rlike(r"^\p{L}+$"))) >= 5))
+    asked = lines.join(pages.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"])
+    page = Window.partitionBy("doc_id", "page_number")
+    placed = asked.withColumn("at", F.row_number().over(page.orderBy("seq")) - 1).withColumn("half", F.count("*").over(page) / 2)
+    letters = F.regexp_count("text", F.lit(r"\p{L}"))
+    rtl = F.when(letters > 0, F.regexp_count("text", F.lit(r"[\u0590-\u08ff]")) / letters).otherwise(0.0)
+    sound = ~F.col("text").rlike(r"[a-z][A-Z][A-Za-z]*-|[\p{L}\p{N}_]-\s+[\p{L}\p{N}_]") & (rtl < 0.3)
+    worded = placed.where(sound).withColumn("w", phrase_words(F.col("text"))).where(F.size("w").between(7, 30) & (F.size(F.filter("w", lambda w: w.rlike(r"\p{L}"))) >= 5))
+    named = titles.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(phrase_words(F.col("title"))))).alias("t"))
+    worded = worded.join(named, "doc_id", "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
+    overlap = F.size(F.array_intersect(F.array_distinct("w"), F.col("t"))) / F.greatest(F.size("t"), F.lit(1))
     start = F.floor((F.size("w") - size) / 2).cast("int") + 1
-    phrased = worded.withColumn("anchor", F.array_join(F.slice("w", start, size), " "))
-    seen = phrased.select(*keys, "anchor").distinct().groupBy("anchor").agg(F.count("*").alias("groups"))
-    ranked = phrased.join(seen, "anchor").withColumn("rank", F.struct((F.col("groups") > 1).alias("common"), F.abs(F.size("w") - 12).alias("off"), *order))
-    return ranked.groupBy(*keys).agg(F.min_by(F.struct("anchor", (F.col("groups") == 1).alias("unique")), "rank").alias("best")).select(*keys, "best.anchor", "best.unique")
+    phrased = worded.withColumn("anchor", F.array_join(F.slice("w", start, size), " ")).withColumn("overlap", overlap)
+    often = F.count("*").over(Window.partitionBy("doc_id", "anchor")) > 1
+    level = F.when(often, 2).when(F.col("overlap") >= 0.6, 1).otherwise(0)
+    rank = F.struct("level", "overlap", F.abs(F.size("w") - 12).alias("off"), F.abs(F.col("at") - F.col("half")).alias("far"), "anchor")
+    return phrased.withColumn("level", level).groupBy("doc_id", "page_number").agg(F.min_by("anchor", rank).alias("anchor"))
 
 
 def clipped(text: Column, most: int = 40_000, mark: str = "\n[...]") -> Column:

@@ -12,14 +12,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import heading_mark, is_chrome, one_space
+from folioforge.functions.text import heading_mark, is_chrome, is_folio, one_space, utf16_units
 
 PAGE = ("doc_id", "page_number")
 
 
+KEY = ("doc_id", "page_number", "seq")
+
+
+def once(boxes: DataFrame) -> DataFrame:
+    """Each box once, by its key: repeats are exact copies. The pages' partitioning serves whatever comes next on a page."""
+    return boxes.repartition("doc_id", "page_number").dropDuplicates(list(KEY))
+
+
 def boxes_of_pages(boxes: DataFrame) -> DataFrame:
-    """The distinct boxes with text, their text with single spaces."""
-    return boxes.distinct().withColumn("text", one_space(F.col("text"))).where("text <> ''")
+    """Each box with text once, its text with single spaces."""
+    return once(boxes).withColumn("text", one_space(F.col("text"))).where("text <> ''")
+
+
+def middle() -> Column:
+    """The height of a box's middle."""
+    return (F.col("y_top") + F.col("y_bottom")) / 2
+
+
+def in_margin(margin: float) -> Column:
+    """Whether the middle of a box lies in the upper or lower ``margin`` of its page."""
+    return (middle() >= F.col("page_height") - margin * F.col("page_height")) | (middle() <= margin * F.col("page_height"))
+
+
+def _filed(anchors: Column, value: Column, gap: Column | float) -> Column:
+    """``anchors`` with ``value`` where it lies more than ``gap`` below the last of them."""
+    return F.when((F.size(anchors) == 0) | (F.element_at(anchors, -1) - value > gap), F.array_append(anchors, value)).otherwise(anchors)
 
 
 def running_heads(boxes: DataFrame, pages: DataFrame, margin: float = 0.12, least_pages: int = 5, least: int = 3, row: int = 8) -> DataFrame:
@@ -29,12 +52,12 @@ def running_heads(boxes: DataFrame, pages: DataFrame, margin: float = 0.12, leas
     margin on a fifth of them (``least`` at least) or on ``row`` in a row.
     """
     sized = pages.distinct().select(*PAGE, "page_height")
-    at = boxes_of_pages(boxes).join(sized, list(PAGE)).where((F.col("y_bottom") > (1 - margin) * F.col("page_height")) | (F.col("y_top") < margin * F.col("page_height")))
-    once = at.select("doc_id", "text", "page_number").distinct()
+    at = boxes_of_pages(boxes).join(sized, list(PAGE)).where(in_margin(margin))
+    single = at.select("doc_id", "text", "page_number").distinct()
     size = sized.groupBy("doc_id").agg(F.count_distinct("page_number").alias("n"))
     # Pages in a row share the difference of page number and rank.
     rank = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("page_number"))
-    runs = once.withColumn("island", F.col("page_number") - rank).groupBy("doc_id", "text", "island").agg(F.count("*").alias("length"))
+    runs = single.withColumn("island", F.col("page_number") - rank).groupBy("doc_id", "text", "island").agg(F.count("*").alias("length"))
     totals = runs.groupBy("doc_id", "text").agg(F.sum("length").alias("pages"), F.max("length").alias("longest"))
     kept = totals.join(size.where(F.col("n") >= least_pages), "doc_id")
     return kept.where((F.col("pages") >= F.greatest(F.lit(least), F.floor(F.col("n") / 5))) | (F.col("longest") >= row)).select("doc_id", "text", "pages", "longest")
@@ -44,7 +67,7 @@ def without_heads(boxes: DataFrame, pages: DataFrame, margin: float = 0.12, **ru
     """The boxes without the running heads in their margins."""
     heads = running_heads(boxes, pages, margin, **rule).select("doc_id", "text")
     sized = boxes_of_pages(boxes).join(pages.distinct().select(*PAGE, "page_height"), list(PAGE))
-    outer = (F.col("y_bottom") > (1 - margin) * F.col("page_height")) | (F.col("y_top") < margin * F.col("page_height"))
+    outer = in_margin(margin)
     inner = sized.where(~outer)
     return sized.where(outer).join(heads, ["doc_id", "text"], "left_anti").select(*inner.columns).unionByName(inner).drop("page_height")
 
@@ -54,48 +77,101 @@ def chrome(boxes: DataFrame) -> DataFrame:
     return boxes_of_pages(boxes).where(is_chrome(F.col("text")))
 
 
+def page_chrome(boxes: DataFrame, pages: DataFrame, band: float = 0.15, edge: float = 0.1, most_lines: int = 4, most_chars: int = 200, step: float = 3.0) -> DataFrame:
+    """``doc_id, page_number, seq`` of the furniture of single pages, by place, distance and wording.
+
+    In the upper and lower ``band`` of a page, boxes nearer to each other than the
+    median type size are one group. A group goes where a line of it is worded as
+    furniture (of more than ``most_lines`` half of them), it is at most half of the
+    page's lines, has no box of over ``most_chars`` bytes, and the next line of the page
+    lies a type size away. Of what is left, a page number that is outermost
+    within ``edge`` goes too, on pages of more than two boxes. Pages without a height have none.
+    """
+    sized = once(boxes).join(pages.distinct().select(*PAGE, "page_height").where("page_height > 0"), list(PAGE))
+    page = Window.partitionBy(*PAGE)
+    size = F.when(F.col("font_size") > 0, F.col("font_size"))
+    sizes = F.sort_array(F.collect_list(size).over(page))
+    rows = sized.withColumn("need", F.when(F.size(sizes) > 0, F.element_at(sizes, F.floor(F.size(sizes) / 2).cast("int") + 1)).otherwise(10.0)).withColumn("boxes", F.count("*").over(page))
+    tops = rows.groupBy(*PAGE).agg(F.reverse(F.sort_array(F.collect_list("y_top"))).alias("tops"))
+    line_count = lambda a: F.size(F.aggregate(a, F.array().cast("array<double>"), lambda x, y: _filed(x, y, step)))
+    rows = rows.join(tops.select(*PAGE, line_count(F.col("tops")).alias("page_lines")), list(PAGE))
+    side = F.when(F.col("y_bottom") >= F.col("page_height") * (1 - band), "top").when(F.col("y_top") <= F.col("page_height") * band, "bottom")
+    banded = rows.withColumn("side", side).withColumn("chrome", is_chrome(F.col("text")))
+    down = Window.partitionBy(*PAGE, "side").orderBy(F.col("y_top").desc(), "x_left", "seq")
+    edged = banded.where("side is not null and trim(text) <> ''").withColumn("new", F.coalesce((F.lag("y_bottom").over(down) - F.col("y_top") > F.col("need")).cast("int"), F.lit(1))).withColumn("g", F.sum("new").over(down))
+    lines_ = F.reverse(F.sort_array(F.collect_list("y_top")))
+    said = F.reverse(F.sort_array(F.collect_list(F.struct("y_top", "chrome"))))
+    anchors_ = F.aggregate(F.col("tops"), F.array().cast("array<double>"), lambda x, y: _filed(x, y, step))
+    # A line is worded as furniture where one of its boxes is.
+    hits = F.size(F.filter(F.col("anchors"), lambda a: F.exists("said", lambda b: b["chrome"] & (b["y_top"] <= a) & (b["y_top"] >= a - step))))
+    groups = edged.groupBy(*PAGE, "side", "g").agg(
+        lines_.alias("tops"), said.alias("said"), F.min("y_bottom").alias("low"), F.max("y_top").alias("high"), F.max(F.octet_length(F.trim("text"))).alias("chars"), F.first("need").alias("need"), F.first("page_lines").alias("page_lines"), F.collect_list("seq").alias("seqs")
+    ).withColumn("anchors", anchors_).withColumn("lines", F.size("anchors")).withColumn("hits", hits)
+    fit = groups.where((F.col("hits") > 0) & ((F.col("lines") <= most_lines) | (F.col("hits") * 2 >= F.col("lines"))) & (F.col("lines") * 2 <= F.col("page_lines")) & (F.col("chars") <= most_chars))
+    # The nearest box of the page on the text's side; groups are few, a page's boxes bound what meets.
+    other = rows.select(*PAGE, F.col("seq").alias("other"), F.col("y_top").alias("t"), F.col("y_bottom").alias("b"))
+    away = F.when(F.col("side") == "top", F.when(F.col("t") < F.col("low"), F.col("low") - F.col("t"))).otherwise(F.when(F.col("b") > F.col("high"), F.col("b") - F.col("high")))
+    met = fit.join(other, list(PAGE), "left").where(F.col("other").isNull() | ~F.array_contains("seqs", F.col("other"))).groupBy(*PAGE, "side", "g").agg(F.min(away).alias("away"))
+    alone = fit.join(met, [*PAGE, "side", "g"], "left").where(F.col("away").isNull() | (F.col("away") >= F.col("need")))
+    gone = alone.select(*PAGE, F.explode("seqs").alias("seq")).distinct()
+    left = rows.where("boxes > 2").join(gone, list(KEY), "left_anti")
+    low = left.groupBy(*PAGE).agg(F.min_by(F.struct("seq", "text", F.col("y_bottom").alias("at"), "page_height"), F.struct("y_bottom", "seq")).alias("o")).select(*PAGE, "o.*").where(is_folio(F.col("text")) & (F.col("at") <= F.col("page_height") * edge)).select(*KEY)
+    rest = left.join(low, list(KEY), "left_anti")
+    high = rest.groupBy(*PAGE).agg(F.min_by(F.struct("seq", "text", F.col("y_top").alias("at"), "page_height"), F.struct(-F.col("y_top"), "seq")).alias("o")).select(*PAGE, "o.*").where(is_folio(F.col("text")) & (F.col("at") >= F.col("page_height") * (1 - edge))).select(*KEY)
+    return gone.unionByName(low).unionByName(high)
+
+
 def modal_size(boxes: DataFrame, least: float = 7.0) -> DataFrame:
-    """``doc_id, body``: the commonest type size to a tenth; of equals the one seen first."""
-    sizes = boxes.distinct().withColumn("size", F.round("font_size", 1)).where(F.col("size") >= least)
-    counts = sizes.groupBy("doc_id", "size").agg(F.count("*").alias("n"), F.min(F.struct("page_number", "seq")).alias("first"))
-    return counts.groupBy("doc_id").agg(F.min_by("size", F.struct(-F.col("n"), "first")).alias("body"))
+    """``doc_id, page_number, body``: the commonest type size of each page to a tenth; of equals the one seen first.
+
+    Sizes below ``least`` count only where the page has no other.
+    """
+    sizes = once(boxes).withColumn("size", F.round("font_size", 1)).where("size > 0")
+    counts = sizes.groupBy(*PAGE, "size").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    return counts.groupBy(*PAGE).agg(F.min_by("size", F.struct(F.col("size") < least, -F.col("n"), "first")).alias("body"))
 
 
 def median_size(boxes: DataFrame) -> DataFrame:
-    """``doc_id, median``: the upper median of positive type sizes, from their counts."""
-    counts = boxes.distinct().where("font_size > 0").groupBy("doc_id", "font_size").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("doc_id")
+    """``doc_id, page_number, median``: the upper median of each page's positive type sizes, from their counts."""
+    counts = once(boxes).where("font_size > 0").groupBy(*PAGE, "font_size").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*PAGE)
     at = counts.withColumn("upto", F.sum("n").over(w.orderBy("font_size"))).withColumn("all", F.sum("n").over(w))
-    return at.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("doc_id").agg(F.min("font_size").alias("median"))
+    return at.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*PAGE).agg(F.min("font_size").alias("median"))
 
 
-def lines(boxes: DataFrame, band: float = 3.0) -> DataFrame:
-    """``doc_id, page_number, line, text, top, bottom, font_size, is_bold, gap``: boxes of one line, from the top.
+def lines(boxes: DataFrame, band: float = 3.0, wide: float = 30.0) -> DataFrame:
+    """``doc_id, page_number, line, text, top, font_size, is_bold, is_tabular``: boxes of one line, from the top.
 
-    A new line begins where a box lies more than ``band`` below the one before it.
-    ``gap`` is the widest space between neighbours of the line.
+    A line holds the boxes whose middle lies within ``band`` below that of its
+    highest box; ``top`` is the middle of its first box. Lines with a space over ``wide``
+    between neighbours are tabular.
     """
-    down = Window.partitionBy(*PAGE).orderBy(F.col("y_bottom").desc(), "x_left", "seq")
-    step = F.coalesce((F.lag("y_bottom").over(down) - F.col("y_bottom") > band).cast("int"), F.lit(0))
-    numbered = boxes_of_pages(boxes).withColumn("step", step).withColumn("line", F.sum("step").over(down))
+    rows = boxes_of_pages(boxes).withColumn("mid", middle())
+    heights = rows.groupBy(*PAGE).agg(F.reverse(F.sort_array(F.collect_set("mid"))).alias("mids"))
+    marks = heights.select(*PAGE, F.aggregate("mids", F.array().cast("array<double>"), lambda a, m: _filed(a, m, band)).alias("marks"))
+    numbered = rows.join(marks, list(PAGE)).withColumn("line", F.size(F.filter("marks", lambda m: m >= F.col("mid"))).cast("bigint") - 1)
     across = Window.partitionBy(*PAGE, "line").orderBy("x_left", "seq")
     spaced = numbered.withColumn("space", F.col("x_left") - F.lag("x_right").over(across))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x_left", "seq", "text"))), lambda b: b["text"]), " ")
-    return spaced.groupBy(*PAGE, "line").agg(text.alias("text"), F.max("y_top").alias("top"), F.min("y_bottom").alias("bottom"), F.max("font_size").alias("font_size"), F.bool_and("is_bold").alias("is_bold"), F.max("space").alias("gap"))
+    tabular = F.coalesce(F.max("space") > wide, F.lit(False))
+    return spaced.groupBy(*PAGE, "line").agg(text.alias("text"), F.min_by("mid", F.struct("x_left", "seq")).alias("top"), F.max("font_size").alias("font_size"), F.bool_or("is_bold").alias("is_bold"), tabular.alias("is_tabular"))
 
 
 def headings(lines_: DataFrame, body: DataFrame) -> DataFrame:
-    """``lines_`` with ``mark``, the heading mark that their type size earns beside the document's body."""
-    return lines_.join(body, "doc_id").withColumn("mark", heading_mark(F.col("font_size"), F.col("is_bold"), F.col("body"))).drop("body")
+    """``lines_`` with ``mark``, the heading mark that their type size earns beside the page's body, and ``body``; pages without one have no headings."""
+    return lines_.join(body, list(PAGE), "left").withColumn("mark", heading_mark(F.col("font_size"), F.col("is_bold"), F.col("body")))
 
 
-def merged_headings(marked: DataFrame, body: DataFrame) -> DataFrame:
-    """``doc_id, page_number, heading, mark, text``: neighbouring lines of one mark, closer than three body sizes (30 at least)."""
+def merged_headings(marked: DataFrame) -> DataFrame:
+    """``doc_id, page_number, heading, mark, text``: neighbouring lines of one mark within three body sizes (30 at least) of the first of them."""
     down = Window.partitionBy(*PAGE).orderBy("line")
-    near = F.lag("bottom").over(down) - F.col("top") <= F.greatest(3 * F.col("body"), F.lit(30.0))
-    new = F.when((F.lag("mark").over(down) == F.col("mark")) & near, 0).otherwise(1)
-    runs = marked.join(body, "doc_id").withColumn("new", new).withColumn("heading", F.sum("new").over(down)).where("mark <> ''")
-    return runs.groupBy(*PAGE, "heading", "mark").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text"))
+    runs = marked.withColumn("new", F.coalesce((F.lag("mark").over(down) != F.col("mark")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(down)).where("mark <> ''")
+    listed = runs.groupBy(*PAGE, "run", "mark").agg(F.sort_array(F.collect_list(F.struct("line", "top", "text"))).alias("rows"), F.first("body").alias("body"))
+    gap = F.greatest(3 * F.col("body"), F.lit(30.0))
+    marks = F.aggregate(F.transform("rows", lambda r: r["top"]), F.array().cast("array<double>"), lambda a, t: _filed(a, t, gap))
+    each = listed.withColumn("marks", marks).select(*PAGE, "mark", "marks", F.explode("rows").alias("r")).select(*PAGE, "mark", "r.*", F.element_at(F.filter("marks", lambda m: m >= F.col("r.top")), -1).alias("head"))
+    first = each.withColumn("first", F.min("line").over(Window.partitionBy(*PAGE, "mark", "head")))
+    return first.groupBy(*PAGE, F.col("first").alias("heading"), "mark").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
 def page_text(lines_: DataFrame) -> DataFrame:
@@ -145,7 +221,7 @@ def placed(items: DataFrame, boxes: DataFrame) -> DataFrame:
 
     A range join within the page: pages bound what meets.
     """
-    i, b = items.distinct().alias("i"), boxes.distinct().alias("b")
+    i, b = items.distinct().alias("i"), once(boxes).alias("b")
     on = (F.col("i.doc_id") == F.col("b.doc_id")) & (F.col("i.page_number") == F.col("b.page_number")) & F.col("i.x").between(F.col("b.x_left"), F.col("b.x_right")) & F.col("i.y").between(F.col("b.y_bottom"), F.col("b.y_top"))
     return i.join(b, on).select("i.doc_id", "i.page_number", "i.item_no", "b.id").distinct()
 
@@ -156,7 +232,7 @@ def nearest(items: DataFrame, boxes: DataFrame) -> DataFrame:
     Boxes above or below the item's place come before others; of equals the first
     in order wins.
     """
-    i, b = items.distinct().alias("i"), boxes.distinct().alias("b")
+    i, b = items.distinct().alias("i"), once(boxes).alias("b")
     on = (F.col("i.doc_id") == F.col("b.doc_id")) & (F.col("i.page_number") == F.col("b.page_number"))
     far = F.round(F.greatest(F.col("b.y_bottom") - F.col("i.y"), F.col("i.y") - F.col("b.y_top"), F.lit(0.0)), 4)
     inside = F.col("i.x").between(F.col("b.x_left"), F.col("b.x_right"))
@@ -164,11 +240,24 @@ def nearest(items: DataFrame, boxes: DataFrame) -> DataFrame:
     return met.groupBy("doc_id", "page_number", "item_no").agg(F.min_by(F.struct("id", "distance"), "rank").alias("best")).select("doc_id", "page_number", "item_no", "best.id", "best.distance")
 
 
-def fill(cells: DataFrame, table: list[str], row: str, column: str, text: str, widest: int = 25, least: float = 0.25) -> DataFrame:
-    """``table, rows, columns, filled, repeated, is_diagram``: how full grids are; drawings have many columns or empty cells."""
-    agg = cells.groupBy(*table).agg(F.count_distinct(row).alias("rows"), F.count_distinct(column).alias("columns"), F.count(F.when(F.trim(text) != "", 1)).alias("full"), F.count_distinct(F.when(F.trim(text) != "", F.col(text))).alias("different"))
+def fill(cells: DataFrame, table: list[str], row: str, column: str, text: str, widest: int = 25) -> DataFrame:
+    """``table, rows, columns, filled, repeated, is_diagram``: how full grids are, and whether they are drawings.
+
+    ``repeated`` is the share of texts over three bytes that repeat, but no more than stand in
+    several columns, where there are over two. Drawings are wider than ``widest`` or
+    emptier than a quarter; sparse and repeating; wide and repeating; or wide and sparse.
+    """
+    trimmed = F.trim(F.col(text))
+    texts = cells.where(trimmed != "").groupBy(*table, trimmed.alias("t")).agg(F.count("*").alias("n"), F.count_distinct(column).alias("columns_"))
+    long = F.octet_length("t") > 3
+    told = texts.groupBy(*table).agg(F.sum("n").alias("full"), F.sum(F.when(long, F.col("n"))).alias("said"), F.sum(F.when(long, F.col("n") - 1)).alias("again"), F.sum(F.when(long & (F.col("columns_") > 1), F.col("n"))).alias("across"))
+    sizes = cells.groupBy(*table).agg(F.count_distinct(row).alias("rows"), F.count_distinct(column).alias("columns"))
+    grid = sizes.join(told, table, "left").na.fill(0, ["full", "said", "again", "across"])
     filled = F.col("full") / (F.col("rows") * F.col("columns"))
-    return agg.withColumn("filled", filled).withColumn("repeated", 1 - F.col("different") / F.greatest("full", F.lit(1))).withColumn("is_diagram", (F.col("columns") > widest) | (filled < least)).drop("full", "different")
+    repeated = F.when(F.col("said") > 2, F.least("again", "across") / F.col("said")).otherwise(0.0)
+    wide = F.col("columns") >= 6
+    drawing = (F.col("columns") > widest) | (F.col("filled") < 0.25) | ((F.col("filled") < 0.5) & (F.col("repeated") > 0.3)) | (wide & ((F.col("repeated") > 0.4) | (F.col("filled") < 0.4)))
+    return grid.withColumn("filled", filled).withColumn("repeated", repeated).withColumn("is_diagram", drawing).drop("full", "said", "again", "across")
 
 
 def markdown_table(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -187,7 +276,7 @@ def sections(rows: DataFrame, keys: list[str], order: list[str], title: Column,
 
 def segments(boxes: DataFrame) -> DataFrame:
     """``doc_id, page_number, seq, x1, y1, x2, y2``: the lower edges of boxes, as ruling lines to work with where a table has none."""
-    return boxes.distinct().select(*PAGE, "seq", F.col("x_left").alias("x1"), F.col("y_bottom").alias("y1"), F.col("x_right").alias("x2"), F.col("y_bottom").alias("y2"))
+    return once(boxes).select(*PAGE, "seq", F.col("x_left").alias("x1"), F.col("y_bottom").alias("y1"), F.col("x_right").alias("x2"), F.col("y_bottom").alias("y2"))
 
 
 def classified(rules: DataFrame, slack: float = 0.8) -> DataFrame:
@@ -229,27 +318,34 @@ def pruned(cells: DataFrame, table: list[str], row: str, column: str, text: str)
     return cells.join(rows, [*table, row]).join(columns, [*table, column]).select(*table, "r", "c", text)
 
 
-def paragraphs(lines_: DataFrame, body: DataFrame) -> DataFrame:
-    """``doc_id, page_number, paragraph, text``: wrapped lines of body text joined.
+#: What ends a sentence, or a bracket, at the end of a line.
+ENDED = r"[.!?…)\]]\s*$"
+
 
-    A line goes on where the one before it is longer than 25 UTF-16 units, does not
-    end a sentence, and lies within two body sizes above; what a paragraph has
-    gathered decides, so each page is read in order by a function.
+def paragraphs(marked: DataFrame, least: int = 25) -> DataFrame:
+    """``doc_id, page_number, paragraph, text``: wrapped lines of body text joined; headings and tabular lines stand alone.
+
+    A line goes on what lies at most two body sizes above it, does not end a
+    sentence, and has more than ``least`` UTF-16 units. What is joined has them, so that a line
+    goes on where, since the last that could not, one before it is so long.
     """
-    import pandas as pd
-
-    from folioforge.formats.layout import SENTENCE_END, joined
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in page.sort_values("line").itertuples():
-            last = out[-1] if out else None
-            if last and not r.mark and not last[2] and 0 < last[1] - r.top <= 2 * r.body and len(last[0].encode("utf-16-le")) // 2 > 25 and not SENTENCE_END.search(last[0]):
-                last[0], last[1] = joined(last[0], r.text), r.bottom
-            else:
-                out.append([r.text, r.bottom, r.mark])
-        first = page.iloc[0]
-        return pd.DataFrame({"doc_id": first.doc_id, "page_number": first.page_number, "paragraph": range(len(out)), "text": [o[2] + o[0] for o in out]})
-
-    marked = headings(lines_, body).join(body, "doc_id")
-    return marked.groupBy(*PAGE).applyInPandas(run, "doc_id string, page_number int, paragraph int, text string")
+    down = Window.partitionBy(*PAGE).orderBy("line")
+    before = lambda c: F.lag(c).over(down)
+    plain = (F.col("mark") == "") & ~F.col("is_tabular")
+    gap = before("top") - F.col("top")
+    rows = marked.withColumn("plain", plain).withColumn("long", utf16_units(F.col("text")) > least).withColumn("end", F.col("text").rlike(ENDED))
+    may = F.col("plain") & before("plain") & ~before("end") & (gap > 0) & (gap <= 2 * F.col("body"))
+    rows = rows.withColumn("may", F.coalesce(may, F.lit(False))).withColumn("was", before("long")).withColumn("run", F.sum((~F.col("may")).cast("int")).over(down))
+    grown = F.max(F.col("was") & F.col("may")).over(Window.partitionBy(*PAGE, "run").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("paragraph", F.sum((~(F.col("may") & F.coalesce(grown, F.lit(False)))).cast("int")).over(down).cast("bigint") - 1)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"])
+    listed = rows.groupBy(*PAGE, "paragraph").agg(parts.alias("parts"), F.min_by("mark", "line").alias("mark"))
+    whole = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.element_at("parts", 1), wrapped)
+    return listed.select(*PAGE, "paragraph", F.concat("mark", whole).alias("text"))
+
+
+def wrapped(done: Column, line: Column) -> Column:
+    """A line joined to a paragraph; a hyphen behind a letter goes where the line begins in lower case, and stays without a space in compounds."""
+    broken = done.rlike(r"[\p{L}\p{Nl}]-$") & line.rlike(r"^\p{Ll}")
+    compound = done.rlike(r"-[^\s]*-$")
+    return F.when(~broken, F.concat(done, F.lit(" "), line)).when(compound, F.concat(done, line)).otherwise(F.concat(F.regexp_replace(done, "-$", ""), line))

@@ -154,27 +154,49 @@ def half_width_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents_out").where("markdown is not null").select("doc_id", "converted_at", F.md5(T.half_width(F.col("markdown"))).alias("digest"))
 
 
-@query("SELECT doc_id, page_number, seq, text, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html, regexp_replace(replace(text, '|', '\\|'), '\\r?\\n', '<br>', 'g') AS cell FROM (SELECT DISTINCT * FROM text_boxes) WHERE NOT regexp_matches(text, '[！-～]')")
+PLAIN_FORM = f"translate(translate(text, '\ue000\ue001\ue002\ue003', ''), '{T.WIDE}', '{T.NARROW.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(
+    f"""SELECT doc_id, page_number, seq, text, replace(replace(replace(replace(replace(plain, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(10), '<br>') AS html, replace(replace(plain, '|', '\\|'), chr(10), '<br>') AS cell
+    FROM (SELECT *, {PLAIN_FORM} AS plain FROM (SELECT DISTINCT * FROM text_boxes))"""
+)
 def table_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Text for cells."""
-    rows = table(spark, folder, "text_boxes").distinct().where(~F.col("text").rlike("[！-～]"))
+    rows = table(spark, folder, "text_boxes").distinct()
     return rows.select("doc_id", "page_number", "seq", "text", T.html_cell(F.col("text")).alias("html"), T.cell(F.col("text")).alias("cell"))
 
 
+@query(
+    r"""WITH p AS (SELECT doc_id, converted_at, string_split(markdown, '-' || chr(10) || chr(10)) AS parts FROM documents_out WHERE markdown IS NOT NULL)
+    SELECT doc_id, converted_at, md5(list_reduce(parts, lambda a, b: CASE WHEN regexp_matches(a, '[\p{L}\p{Nl}]$') AND regexp_matches(b, '^\p{Ll}') THEN a || CASE WHEN regexp_matches(a, '-[^\s\p{Z}]*$') THEN '-' ELSE '' END || b ELSE a || '-' || chr(10) || chr(10) || b END)) AS digest FROM p"""
+)
+def dehyphenated_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Words broken over blocks, compounds with their hyphen."""
+    rows = table(spark, folder, "documents_out").where("markdown is not null")
+    return rows.select("doc_id", "converted_at", F.md5(T.dehyphenated(F.col("markdown"))).alias("digest"))
+
+
 # ---------------------------------------------------------------- pages
 
 BOXES = "b AS (SELECT DISTINCT * REPLACE (trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) AS text) FROM (SELECT DISTINCT * FROM text_boxes)), bx AS (SELECT * FROM b WHERE text <> '')"
+OUTER = "((y_top + y_bottom) / 2 >= page_height - 0.12 * page_height OR (y_top + y_bottom) / 2 <= 0.12 * page_height)"
 HEADS = f"""{BOXES}, g AS (SELECT DISTINCT doc_id, page_number, page_height FROM page_geometry),
-    o AS (SELECT DISTINCT doc_id, text, page_number FROM bx JOIN g USING (doc_id, page_number) WHERE y_bottom > 0.88 * page_height OR y_top < 0.12 * page_height),
+    o AS (SELECT DISTINCT doc_id, text, page_number FROM bx JOIN g USING (doc_id, page_number) WHERE {OUTER}),
     r AS (SELECT doc_id, text, page_number - row_number() OVER (PARTITION BY doc_id, text ORDER BY page_number) AS island FROM o),
     t AS (SELECT doc_id, text, sum(n)::BIGINT AS pages, max(n) AS longest FROM (SELECT doc_id, text, island, count(*) AS n FROM r GROUP BY ALL) GROUP BY doc_id, text),
     s AS (SELECT doc_id, count(DISTINCT page_number) AS n FROM g GROUP BY doc_id),
     heads AS (SELECT doc_id, text, pages, longest FROM t JOIN s USING (doc_id) WHERE n >= 5 AND (pages >= greatest(3, n // 5) OR longest >= 8))"""
-LINES = f"""{BOXES}, d AS (SELECT *, coalesce((lag(y_bottom) OVER w - y_bottom > 3.0)::int, 0) AS step FROM bx WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY y_bottom DESC, x_left, seq)),
-    n AS (SELECT *, (sum(step) OVER (PARTITION BY doc_id, page_number ORDER BY y_bottom DESC, x_left, seq RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS line FROM d),
-    ln AS (SELECT doc_id, page_number, line, string_agg(text, ' ' ORDER BY x_left, seq) AS text, max(y_top) AS top, min(y_bottom) AS bottom, max(font_size) AS font_size, bool_and(is_bold) AS is_bold FROM n GROUP BY ALL)"""
-BODY = "sz AS (SELECT doc_id, page_number, seq, round(font_size, 1) AS size FROM (SELECT DISTINCT * FROM text_boxes)), c AS (SELECT doc_id, size, count(*) AS n, min(page_number * 1000000 + seq) AS first FROM sz WHERE size >= 7 GROUP BY ALL), body AS (SELECT doc_id, size AS body FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) = 1)"
+# Box by box down each page: a line ends where the next middle lies more than 3 below that of its first box.
+LINES = f"""{BOXES}, q AS (SELECT *, (y_top + y_bottom) / 2 AS mid, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY (y_top + y_bottom) / 2 DESC, x_left, seq) AS k FROM bx),
+    w AS (SELECT doc_id, page_number, k, mid AS mark, 0::BIGINT AS line FROM q WHERE k = 1
+      UNION ALL SELECT q.doc_id, q.page_number, q.k, CASE WHEN w.mark - q.mid > 3.0 THEN q.mid ELSE w.mark END, w.line + (w.mark - q.mid > 3.0)::BIGINT FROM w JOIN q ON q.doc_id = w.doc_id AND q.page_number = w.page_number AND q.k = w.k + 1),
+    n AS (SELECT q.*, w.line, x_left - lag(x_right) OVER (PARTITION BY q.doc_id, q.page_number, w.line ORDER BY x_left, seq) AS space FROM q JOIN w USING (doc_id, page_number, k)),
+    ln AS (SELECT doc_id, page_number, line, string_agg(text, ' ' ORDER BY x_left, seq) AS text, arg_min(mid, (x_left, seq)) AS top, max(font_size) AS font_size, bool_or(is_bold) AS is_bold, coalesce(max(space) > 30.0, false) AS is_tabular FROM n GROUP BY ALL)"""
+BODY = """sz AS (SELECT DISTINCT doc_id, page_number, seq, round(font_size, 1) AS size FROM text_boxes), c AS (SELECT doc_id, page_number, size, count(*) AS n, min(seq) AS first FROM sz WHERE size > 0 GROUP BY ALL),
+    body AS (SELECT doc_id, page_number, size AS body FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY size < 7, n DESC, first) = 1)"""
 MARK = "CASE WHEN font_size / body >= 2 THEN '# ' WHEN font_size / body >= 1.4 THEN '## ' WHEN font_size / body >= 1.1 AND is_bold THEN '### ' ELSE '' END"
+MARKED = f"m AS (SELECT *, {MARK} AS mark FROM ln LEFT JOIN body USING (doc_id, page_number))"
 
 
 def _boxes(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,52 +215,55 @@ def running_heads(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {HEADS}, x AS (SELECT bx.* , page_height FROM bx JOIN g USING (doc_id, page_number))
-    SELECT doc_id, page_number, count(*) AS boxes FROM x WHERE NOT ((y_bottom > 0.88 * page_height OR y_top < 0.12 * page_height) AND EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = x.doc_id AND h.text = x.text)) GROUP BY ALL"""
+    SELECT doc_id, page_number, count(*) AS boxes FROM x WHERE NOT ({OUTER} AND EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = x.doc_id AND h.text = x.text)) GROUP BY ALL"""
 )
 def boxes_without_heads(spark: SparkSession, folder: str) -> DataFrame:
     """Boxes left on each page."""
     return layout.without_heads(_boxes(spark, folder), _pages(spark, folder)).groupBy("doc_id", "page_number").agg(F.count("*").alias("boxes"))
 
 
-@query(f"WITH {BODY} SELECT doc_id, body FROM body")
+@query(f"WITH {BODY} SELECT doc_id, page_number, body FROM body")
 def modal_size(spark: SparkSession, folder: str) -> DataFrame:
-    """The commonest type size."""
+    """The commonest type size of each page."""
     return layout.modal_size(_boxes(spark, folder))
 
 
-@query("WITH s AS (SELECT doc_id, font_size, row_number() OVER (PARTITION BY doc_id ORDER BY font_size) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT * FROM text_boxes) WHERE font_size > 0) SELECT doc_id, font_size AS median FROM s WHERE k = n // 2")
+@query("WITH s AS (SELECT doc_id, page_number, font_size, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY font_size) - 1 AS k, count(*) OVER (PARTITION BY doc_id, page_number) AS n FROM (SELECT DISTINCT * FROM text_boxes) WHERE font_size > 0) SELECT doc_id, page_number, font_size AS median FROM s WHERE k = n // 2")
 def median_size(spark: SparkSession, folder: str) -> DataFrame:
-    """The upper median of type sizes."""
+    """The upper median of each page's type sizes."""
     return layout.median_size(_boxes(spark, folder))
 
 
-@query(f"WITH {LINES} SELECT doc_id, page_number, line, text, top, bottom, font_size, is_bold FROM ln")
+@query(f"WITH RECURSIVE {LINES} SELECT doc_id, page_number, line, text, top, font_size, is_bold, is_tabular FROM ln")
 def page_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Boxes as lines."""
-    return layout.lines(_boxes(spark, folder)).drop("gap")
+    return layout.lines(_boxes(spark, folder))
+
+
+def _marked(spark: SparkSession, folder: str) -> DataFrame:
+    boxes = _boxes(spark, folder)
+    return layout.headings(layout.lines(boxes), layout.modal_size(boxes))
 
 
-@query(f"WITH {LINES}, {BODY} SELECT doc_id, page_number, line, text, {MARK} AS mark FROM ln JOIN body USING (doc_id) WHERE {MARK} <> ''")
+@query(f"WITH RECURSIVE {LINES}, {BODY}, {MARKED} SELECT doc_id, page_number, line, text, mark FROM m WHERE mark <> ''")
 def heading_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that are headings."""
-    boxes = _boxes(spark, folder)
-    return layout.headings(layout.lines(boxes), layout.modal_size(boxes)).where("mark <> ''").select("doc_id", "page_number", "line", "text", "mark")
+    return _marked(spark, folder).where("mark <> ''").select("doc_id", "page_number", "line", "text", "mark")
 
 
 @query(
-    f"""WITH {LINES}, {BODY}, m AS (SELECT *, {MARK} AS mark FROM ln JOIN body USING (doc_id)),
-    k AS (SELECT *, CASE WHEN lag(mark) OVER w = mark AND lag(bottom) OVER w - top <= greatest(3 * body, 30.0) THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY line)),
-    h AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id, page_number ORDER BY line))::BIGINT AS heading FROM k)
+    f"""WITH RECURSIVE {LINES}, {BODY}, {MARKED}, e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line) AS j FROM m),
+    h AS (SELECT doc_id, page_number, j, line, mark, text, top AS head_top, line AS heading FROM e WHERE j = 1
+      UNION ALL SELECT e.doc_id, e.page_number, e.j, e.line, e.mark, e.text, CASE WHEN e.mark = h.mark AND h.head_top - e.top <= greatest(3 * e.body, 30.0) THEN h.head_top ELSE e.top END,
+      CASE WHEN e.mark = h.mark AND h.head_top - e.top <= greatest(3 * e.body, 30.0) THEN h.heading ELSE e.line END FROM h JOIN e ON e.doc_id = h.doc_id AND e.page_number = h.page_number AND e.j = h.j + 1)
     SELECT doc_id, page_number, heading, mark, string_agg(text, ' ' ORDER BY line) AS text FROM h WHERE mark <> '' GROUP BY ALL"""
 )
 def merged_headings(spark: SparkSession, folder: str) -> DataFrame:
     """Headings set over several lines."""
-    boxes = _boxes(spark, folder)
-    body = layout.modal_size(boxes)
-    return layout.merged_headings(layout.headings(layout.lines(boxes), body), body)
+    return layout.merged_headings(_marked(spark, folder))
 
 
-@query(f"WITH {LINES} SELECT doc_id, page_number, md5(string_agg(text, chr(10) ORDER BY line)) AS digest, count(*) AS lines FROM ln GROUP BY ALL")
+@query(f"WITH RECURSIVE {LINES} SELECT doc_id, page_number, md5(string_agg(text, chr(10) ORDER BY line)) AS digest, count(*) AS lines FROM ln GROUP BY ALL")
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Pages put together from their lines."""
     rows = layout.lines(_boxes(spark, folder))
@@ -254,12 +279,32 @@ def foot_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return layout.foot_numbers(_boxes(spark, folder)).select("doc_id", "page_number", "seq", "text")
 
 
-@query(f"WITH {BOXES} SELECT doc_id, page_number, seq, text FROM bx WHERE regexp_matches(trim(text), '{'|'.join(f'(?:{p})' for p in T.CHROME).replace(chr(39), chr(39) * 2)}')")
+# What the reference's rules say of a line, written in SQL by itself.
+CHROME_SQL = r"""(p <> '' AND (
+      contains(l, 'http://') OR contains(l, 'https://') OR starts_with(l, 'www.') OR contains(l, ' www.') OR contains(l, 'doi:') OR contains(l, 'doi.org/') OR contains(l, 'dx.doi.org')
+      OR contains(l, 'please cite this article') OR contains(l, 'contents lists available at') OR contains(l, 'available online at') OR contains(l, 'downloaded from')
+      OR contains(p, '©') OR contains(l, 'copyright ') OR contains(l, 'all rights reserved') OR regexp_matches(l, '^page [0-9]') OR regexp_full_match(p, '[0-9]{1,4}')
+      OR (strlen(l) BETWEEN 2 AND 7 AND regexp_full_match(l, 'm{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})'))
+      OR regexp_matches(l, '(^|[^a-z0-9])vol(ume)?[., ].*[0-9]') OR regexp_matches(l, '(^|[^a-z0-9])[vn][.] ?[0-9]')
+      OR (strlen(p) <= 80 AND contains(l, 'et al'))
+      OR (strlen(p) <= 120 AND regexp_matches(l, '(^|[^a-z0-9])(19|20)[0-9][0-9]($|[^a-z0-9])') AND (regexp_matches(p, '[0-9]:[0-9]') OR len(list_filter(regexp_extract_all(p, '[0-9]+ *[-–—] *[0-9]+'), lambda r: NOT regexp_full_match(r, '(19|20)[0-9][0-9] *[-–—] *[0-9]{1,2}'))) > 0))
+      OR (strlen(p) <= 120 AND regexp_matches(p, '[(](19|20)[0-9][0-9][)][.]? *[0-9]+, *[0-9]+'))
+      OR (strlen(p) <= 30 AND (regexp_full_match(p, '[0-9]{1,2}[.]? +\p{L}+[.]? +(19|20)[0-9][0-9][.]?') OR regexp_full_match(p, '\p{L}+ +[0-9]{1,2}, +(19|20)[0-9][0-9][.]?')))))""".replace("\\\\", "\\")
+STRIPPED = "regexp_replace(translate(text, '\ue000\ue001\ue002\ue003', ''), '^[\\s\\p{Z}|•·▪–—_=~*-]+|[\\s\\p{Z}|•·▪–—_=~*-]+$', '', 'g')"
+
+
+@query(f"WITH {BOXES}, s AS (SELECT *, {STRIPPED} AS p, lower({STRIPPED}) AS l FROM bx) SELECT doc_id, page_number, seq, text FROM s WHERE {CHROME_SQL}")
 def chrome_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that look like furniture."""
     return layout.chrome(_boxes(spark, folder)).select("doc_id", "page_number", "seq", "text")
 
 
+@query()
+def page_chrome(spark: SparkSession, folder: str) -> DataFrame:
+    """Furniture of single pages, by place, distance and wording."""
+    return layout.page_chrome(_boxes(spark, folder), _pages(spark, folder))
+
+
 @query(
     """WITH i AS (SELECT DISTINCT * FROM raw_items), r AS (SELECT *, x + coalesce(width, 0.0) AS rgt FROM i),
     s AS (SELECT *, coalesce((lag(y) OVER w - y > 2.0)::int, 0) AS step FROM r WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY y DESC, x, item_no)),
@@ -301,8 +346,10 @@ def nearest_boxes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT doc_id, page_number, seq AS r, floor(x_left / 100) AS col, text FROM text_boxes), a AS (SELECT doc_id, page_number, count(DISTINCT r) AS rows, count(DISTINCT col) AS columns, count(CASE WHEN trim(text) <> '' THEN 1 END) AS f, count(DISTINCT CASE WHEN trim(text) <> '' THEN text END) AS d FROM c GROUP BY ALL)
-    SELECT doc_id, page_number, rows, columns, round(f / (rows * columns), 6) AS filled, round(1 - d / greatest(f, 1), 6) AS repeated, columns > 25 OR f / (rows * columns) < 0.25 AS is_diagram FROM a"""
+    """WITH c AS (SELECT DISTINCT doc_id, page_number, seq AS r, floor(x_left / 100) AS col, trim(text) AS t FROM text_boxes), z AS (SELECT doc_id, page_number, count(DISTINCT r) AS rows, count(DISTINCT col) AS columns, count(*) FILTER (t <> '') AS f FROM c GROUP BY ALL),
+    u AS (SELECT doc_id, page_number, t, count(*) AS n, count(DISTINCT col) > 1 AS across FROM c WHERE strlen(t) > 3 GROUP BY ALL), v AS (SELECT doc_id, page_number, sum(n) AS s, sum(n) - count(*) AS dups, coalesce(sum(n) FILTER (across), 0) AS x FROM u GROUP BY ALL),
+    a AS (SELECT z.*, f / (rows * columns) AS fill, CASE WHEN coalesce(s, 0) > 2 THEN least(dups, x) / s ELSE 0.0 END AS dup FROM z LEFT JOIN v USING (doc_id, page_number))
+    SELECT doc_id, page_number, rows, columns, round(fill, 6) AS filled, round(dup, 6) AS repeated, columns > 25 OR fill < 0.25 OR (fill < 0.5 AND dup > 0.3) OR (dup > 0.4 AND columns >= 6) OR (fill < 0.4 AND columns >= 6) AS is_diagram FROM a"""
 )
 def grid_fill(spark: SparkSession, folder: str) -> DataFrame:
     """G11, AG6: how full grids are."""
@@ -379,11 +426,19 @@ def pruned_grids(spark: SparkSession, folder: str) -> DataFrame:
     return layout.pruned(cells, ["doc_id", "page_number"], "r0", "c0", "text")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LINES}, {BODY}, {MARKED}, e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line) AS j FROM m),
+    h AS (SELECT doc_id, page_number, j, 0::BIGINT AS paragraph, text AS content, mark, is_tabular, top FROM e WHERE j = 1
+      UNION ALL SELECT e.doc_id, e.page_number, e.j, h.paragraph + (NOT c.wraps)::BIGINT,
+      CASE WHEN NOT c.wraps THEN e.text WHEN regexp_matches(h.content, '[\\p{{L}}\\p{{Nl}}]-$') AND regexp_matches(e.text, '^\\p{{Ll}}') THEN CASE WHEN regexp_matches(h.content, '-[^\\s]*-$') THEN h.content ELSE regexp_replace(h.content, '-$', '') END || e.text ELSE h.content || ' ' || e.text END,
+      CASE WHEN c.wraps THEN h.mark ELSE e.mark END, CASE WHEN c.wraps THEN h.is_tabular ELSE e.is_tabular END, e.top
+      FROM h JOIN e ON e.doc_id = h.doc_id AND e.page_number = h.page_number AND e.j = h.j + 1,
+      LATERAL (SELECT coalesce(h.mark = '' AND e.mark = '' AND NOT h.is_tabular AND NOT e.is_tabular AND h.top - e.top > 0 AND h.top - e.top <= 2 * e.body AND length(h.content) > 25 AND NOT regexp_matches(h.content, '[.!?…)\\]]\\s*$'), false) AS wraps) c)
+    SELECT doc_id, page_number, paragraph, arg_max(mark || content, j) AS text FROM h GROUP BY ALL"""
+)
 def page_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """Wrapped lines joined to paragraphs."""
-    boxes = _boxes(spark, folder)
-    return layout.paragraphs(layout.lines(boxes), layout.modal_size(boxes))
+    return layout.paragraphs(_marked(spark, folder))
 
 
 @query(f"SELECT position, name FROM (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in enumerate('pdf docx pptx xlsx epub ipynb iwork github wikipedia rss csv json yaml image audio zip xml html plain-text'.split(), 1))}) AS v(position, name)")
@@ -441,8 +496,8 @@ NORMAL = "trim(regexp_replace(lower(regexp_replace({0}, '[®™]', '', 'g')), '[
 @query(
     f"""WITH o AS (SELECT DISTINCT doc_id, coalesce(converter, 'none') AS tool, markdown AS text FROM documents_out), k AS (SELECT DISTINCT doc_id, title FROM documents_out WHERE title IS NOT NULL),
     c AS (SELECT doc_id, 'contains' AS type, title AS value FROM k UNION ALL SELECT doc_id, 'min_chars', '500' FROM k UNION ALL SELECT doc_id, 'min_table_rows', '3' FROM k UNION ALL SELECT doc_id, 'not_contains', 'lorem ipsum' FROM k UNION ALL SELECT doc_id, 'regex', '^# ' FROM k),
-    m AS (SELECT c.doc_id, tool, coalesce(CASE type WHEN 'contains' THEN contains({NORMAL.format("coalesce(text, '')")}, {NORMAL.format("value")}) WHEN 'not_contains' THEN NOT contains({NORMAL.format("coalesce(text, '')")}, {NORMAL.format("value")})
-      WHEN 'min_chars' THEN length(coalesce(text, '')) >= try_cast(value AS int) WHEN 'min_table_rows' THEN len(regexp_extract_all(coalesce(text, ''), '(?m)^\\|.*\\|[ ]*$')) >= try_cast(value AS int) WHEN 'regex' THEN regexp_matches(coalesce(text, ''), '(?im)^# ') END, false) AS ok FROM c JOIN o USING (doc_id)),
+    l AS (SELECT DISTINCT tool FROM o), m AS (SELECT c.doc_id, l.tool, coalesce(CASE type WHEN 'contains' THEN contains({NORMAL.format("coalesce(text, '')")}, {NORMAL.format("value")}) WHEN 'not_contains' THEN NOT contains({NORMAL.format("coalesce(text, '')")}, {NORMAL.format("value")})
+      WHEN 'min_chars' THEN length(coalesce(text, '')) >= try_cast(value AS int) WHEN 'min_table_rows' THEN len(regexp_extract_all(coalesce(text, ''), '(?m)^\\|.*\\|[ ]*$')) >= try_cast(value AS int) WHEN 'regex' THEN regexp_matches(coalesce(text, ''), '(?im)^# ') END, false) AS ok FROM c CROSS JOIN l LEFT JOIN o ON o.doc_id = c.doc_id AND o.tool = l.tool),
     d AS (SELECT tool, doc_id, count_if(ok) AS passed, count(*) AS total FROM m GROUP BY ALL)
     SELECT tool, sum(passed)::BIGINT AS passed, sum(total)::BIGINT AS total, round(sum(passed) / sum(total), 4) AS score, count_if(passed = total)::BIGINT AS complete, count(*) AS documents FROM d GROUP BY tool"""
 )
@@ -452,11 +507,7 @@ def assertion_scores(spark: SparkSession, folder: str) -> DataFrame:
     titled = table(spark, folder, "documents_out").where("title is not null").select("doc_id", "title").distinct()
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("type"), v.alias("value")) for k, v in (("contains", F.col("title")), ("min_chars", F.lit("500")), ("min_table_rows", F.lit("3")), ("not_contains", F.lit("lorem ipsum")), ("regex", F.lit("^# "))))))
     checks = titled.select("doc_id", kinds.alias("c")).select("doc_id", "c.*")
-    mine = checks.join(outputs, "doc_id").withColumn("ok", F.coalesce(evaluation.passes(F.col("type"), F.col("value"), F.col("text")), F.lit(False)))
-    by_doc = mine.groupBy("tool", "doc_id").agg(F.count_if("ok").alias("passed"), F.count("*").alias("total"))
-    return by_doc.groupBy("tool").agg(
-        F.sum("passed").alias("passed"), F.sum("total").alias("total"), F.round(F.sum("passed") / F.sum("total"), 4).alias("score"), F.count_if(F.col("passed") == F.col("total")).alias("complete"), F.count("*").alias("documents")
-    )
+    return evaluation.scored(checks, outputs)
 
 
 @query(
@@ -515,16 +566,26 @@ def quantile_pages(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.quantile_pages(sizes, "doc_id", "pages")
 
 
+PHRASE = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+(?:[''’][\\p{{L}}\\p{{N}}]+)?')"
+
+
 @query(
-    f"""WITH b AS (SELECT DISTINCT doc_id, page_number, seq, text FROM text_boxes), w AS (SELECT *, {WORDS.format("text")} AS w FROM b),
-    f AS (SELECT *, array_to_string(w[(len(w) - 7) // 2 + 1:(len(w) - 7) // 2 + 7], ' ') AS anchor FROM w WHERE len(w) BETWEEN 7 AND 30 AND len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{L}}+$'))) >= 5),
-    s AS (SELECT anchor, count(DISTINCT doc_id) AS g FROM f GROUP BY anchor)
-    SELECT doc_id, anchor, g = 1 AS "unique" FROM f JOIN s USING (anchor) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY g > 1, abs(len(w) - 12), page_number, seq) = 1"""
+    f"""WITH p AS (SELECT doc_id, max(page_number) AS pages FROM page_geometry GROUP BY doc_id), a AS (SELECT DISTINCT doc_id, greatest(1, least(round_even(pages * share, 0), pages))::int AS page_number FROM p, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]::double[]) AS share)),
+    b AS (SELECT DISTINCT doc_id, page_number, seq, text FROM text_boxes JOIN a USING (doc_id, page_number)), l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY seq) - 1 AS pos, count(*) OVER (PARTITION BY doc_id, page_number) / 2 AS half FROM b),
+    w AS (SELECT *, {PHRASE.format("text")} AS w FROM l WHERE NOT regexp_matches(text, '[a-z][A-Z][A-Za-z]*-|[\\p{{L}}\\p{{N}}_]-\\s+[\\p{{L}}\\p{{N}}_]')
+      AND len(regexp_extract_all(text, '[\\x{{0590}}-\\x{{08ff}}]')) < 0.3 * greatest(len(regexp_extract_all(text, '\\p{{L}}')), 1)),
+    t AS (SELECT doc_id, list_distinct(flatten(list({PHRASE.format("title")}))) AS t FROM documents_out WHERE title IS NOT NULL GROUP BY doc_id),
+    f AS (SELECT *, array_to_string(w[(len(w) - 7) // 2 + 1:(len(w) - 7) // 2 + 7], ' ') AS anchor, len(list_intersect(list_distinct(w), coalesce(t, []))) / greatest(len(coalesce(t, [])), 1) AS overlap FROM w LEFT JOIN t USING (doc_id)
+      WHERE len(w) BETWEEN 7 AND 30 AND len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) >= 5),
+    n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, anchor) AS times FROM f)
+    SELECT doc_id, page_number, anchor FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY CASE WHEN times > 1 THEN 2 WHEN overlap >= 0.6 THEN 1 ELSE 0 END, overlap, abs(len(w) - 12), abs(pos - half), anchor) = 1"""
 )
 def anchors(spark: SparkSession, folder: str) -> DataFrame:
-    """E8, AG8: a phrase that finds each document again."""
-    lines_ = _boxes(spark, folder).select("doc_id", "page_number", "seq", "text").distinct()
-    return evaluation.anchors(lines_, ["doc_id"], [F.col("page_number"), F.col("seq")])
+    """E8, AG8: a phrase that finds each of five pages of a document again."""
+    boxes = _boxes(spark, folder).select("doc_id", "page_number", "seq", "text").distinct()
+    pages = evaluation.quantile_pages(_pages(spark, folder).groupBy("doc_id").agg(F.max("page_number").alias("pages")), "doc_id", "pages").select("doc_id", F.col("page").alias("page_number"))
+    titles = table(spark, folder, "documents_out").where("title is not null").select("doc_id", "title")
+    return evaluation.anchors(boxes, pages, titles)
 
 
 @query("SELECT doc_id, md5(CASE WHEN length(text) > 4000 THEN substring(text, 1, 4000) || chr(10) || '[...]' ELSE text END) AS digest FROM documents")

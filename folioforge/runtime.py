@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -25,26 +26,30 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the shared checkpoint folder.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is
-    set, as in tests on one machine, a folder of this process is used.
+    Only where none is set and everything runs on one machine, as in tests, a folder
+    of this process is used. On a cluster a missing setting is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folioforge-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` through the shared checkpoint folder."""
+    shared_base(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="folioforge-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -193,3 +193,59 @@ def test_without_the_optional_subpackage():
     from folioforge.runtime import ROOT
 
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True).stderr == ""
+
+
+CHROME = (
+    "||WWW.EXAMPLE.COM", "- 8 -", "https://a.example/x", "see doi.org/10.1/x", "Please cite this article as", "© 2019 The Authors", "Page 3 of 9", "xvii", "Vol. 24, 2001", "v. 19, n. 1",
+    "Tao et al.", "Journal of Locks 2003, 112-118", "The Harbour Journal 2015, 811:51 (9pp)", "(1974). 7, 222", "26 mai 1978", "March 8, 2003",
+)
+TEXTS = ("i", "copyright", "volume of trade", "12345", "mix of things", "2019-05-12 report", "In 1999 we met", "The lock was mended.", "", " ", "iiii", "12 3")
+
+
+def test_wording_of_furniture(spark):
+    from folioforge.formats import layout as plain
+    from folioforge.functions import text as T
+
+    rows = spark.createDataFrame([(t,) for t in (*CHROME, *TEXTS)] + [(None,)], "t string")
+    found = {r.t for r in rows.where(T.is_chrome(F.col("t"))).collect()}
+    assert found == set(CHROME) == {t for t in (*CHROME, *TEXTS) if plain.chrome_line(t)}
+
+
+def test_furniture_of_single_pages(spark):
+    """The relation agrees with the walk over each page's boxes, box by box."""
+    import random
+
+    from folioforge.formats import layout as plain
+
+    r, pages, rows = random.Random(6), [], []
+    words = [*CHROME, "Night crew", "The seed library counted the shelves", "7", "iv", "x" * 210]
+    for d in range(8):
+        for n in range(1, 5):
+            height = r.choice([800.0, 800.0, 800.0, 0.0])
+            pages.append((f"d{d}", n, 600.0, height))
+            for seq in range(r.choice([0, 1, 2, 3, 12, 20])):
+                top = r.choice([r.uniform(0, 130), r.uniform(670, 800), r.uniform(0, 800)])
+                rows.append((f"d{d}", n, seq, f"d{d}-{n}-{seq}", r.choice(words), r.uniform(0, 300), 400.0, top, top - r.choice([8.0, 12.0]), r.choice([8.0, 10.0, 0.0]), False))
+    kinds = "doc_id string, page_number int, seq int, id string, text string, x_left double, x_right double, y_top double, y_bottom double, font_size double, is_bold boolean"
+    b = spark.createDataFrame(rows + rows[:5], kinds)
+    g = spark.createDataFrame(pages, "doc_id string, page_number int, page_width double, page_height double")
+    want = set()
+    for d, n, _, height in pages:
+        mine = [x for x in rows if x[:2] == (d, n)]
+        boxes_ = [{"text": x[4], "left": x[5], "top": x[7], "bottom": x[8], "font": x[9]} for x in mine]
+        want |= {(d, n, mine[k][2]) for k in plain.page_furniture(boxes_, height)}
+    assert {(x.doc_id, x.page_number, x.seq) for x in layout.page_chrome(b, g).collect()} == want and len(want) > 10
+    assert layout.page_chrome(b.limit(0), g).count() == 0
+
+
+def test_tiny_type_and_compounds(spark):
+    from folioforge.functions import text as T
+
+    kinds = "doc_id string, page_number int, seq int, id string, text string, x_left double, x_right double, y_top double, y_bottom double, font_size double, is_bold boolean"
+    b = spark.createDataFrame([("t", 1, k, f"t{k}", f"line {k}", 10.0, 90.0, 700.0 - 8 * k, 694.0 - 8 * k, 5.0 if k else 11.0, False) for k in range(6)] + [("u", 1, k, f"u{k}", "line", 10.0, 90.0, 700.0 - 8 * k, 694.0 - 8 * k, 5.5, True) for k in range(3)], kinds)
+    body = {r.doc_id: r.body for r in layout.modal_size(b).collect()}
+    assert body == {"t": 11.0, "u": 5.5}
+    assert layout.headings(layout.lines(b), layout.modal_size(b)).count() == 9
+    texts = {"knowledge-based tech-\n\nniques": "knowledge-based techniques", "state-of-the-\n\nart": "state-of-the-art", "a dash-\n\nNew": "a dash-\n\nNew", "list:\n\n- item": "list:\n\n- item", "Spół-\n\ndzielnia": "Spółdzielnia", "": ""}
+    got = {r.t: r.d for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.dehyphenated(F.col("t")).alias("d")).collect()}
+    assert got == texts
