@@ -62,6 +62,7 @@ DEMAND = re.compile(
     r"(?:enable|turn on|switch on|allow|activate) (?:javascript|scripts?|scripting)|scripts are (?:blocked|disabled|required)|javascript (?:is|must be) |(?:does not|doesn.t) support javascript|allow scripts"
     r"|activez (?:javascript|les scripts)|exige que les scripts|aktivieren sie javascript|ohne skripte|skripte einschalten|active javascript|requiere que los scripts|habilite javascript"
 )
+MARK = re.compile(r"[{%@<\[«_｛％＠＜［＿]")
 CODE_FENCE, INLINE = re.compile(r"^\s*(?:```|~~~)"), re.compile(r"`[^`\n]*`")
 WORDS = re.compile(r"[^\W\d_]{2,}")
 SENTENCES = re.compile(r"(?<=[.!?])\s+")
@@ -91,6 +92,8 @@ def repeated(lines: list[str], host: str | None, often: frozenset[int], model: C
 def outside_code(lines: list[str], gone: set[int]) -> list[str]:
     """``lines`` without those of the numbers ``gone``, without code and blank ones."""
     out, fenced = [], False
+    if not any("```" in x or "~~~" in x for x in lines):
+        return [x for no, x in enumerate(lines) if x and no not in gone and not x.isspace()]
     for no, line in enumerate(lines):
         if CODE_FENCE.match(line):
             fenced = not fenced
@@ -108,7 +111,7 @@ def is_field(inside: str) -> bool:
 
 
 def placeholder(line: str) -> bool:
-    if not any(c in line for c in "{%@<[«_"):
+    if not MARK.search(line):
         return False
     s = INLINE.sub("", folded(line))
     if PLAIN_MARKS.search(s) or ADDRESSED.match(s.strip()):
