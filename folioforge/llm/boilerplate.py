@@ -68,6 +68,8 @@ def slot(feature: str) -> int:
 
 
 SLOTS = Memo(slot)
+#: A site's names, and the parts of names with hyphens that could stand alone.
+OWN_WORDS = Memo(lambda names: frozenset([*names, *(x for n in names for x in n.split("-") if len(n) > 3)]))
 
 
 def step(n: float, edges: tuple) -> int:
@@ -96,17 +98,15 @@ def seen(line: str, names: tuple[str, ...]) -> Line:
     bones = DIGITS.sub("0", skeleton(plain))
     key = line_key(line) if links or s[0] == "#" else key_of(bones)
     words = PIECE.findall(bones)
-    if names:
-        own = {*names, *(x for n in names for x in n.split("-") if len(n) > 3)}
-        if not own.isdisjoint(words):
-            words = ["<site>" if w in own else w for w in words]
+    if names and not (own := OWN_WORDS[names]).isdisjoint(words):
+        words = ["<site>" if w in own else w for w in words]
     n = sum(map(str.isalnum, words)) + words.count("<site>")
-    spaced = len(s.split()) >= 8
+    spaced = s.count(" ") >= 7 and len(s.split()) >= 8
     if s[0] == "|" and TABLE.match(s):
         kind = "table"
     elif s[0] == "#" and HEAD.match(s):
         kind = "head"
-    elif ITEM.match(s):
+    elif (s[0] in "-*+•" or s[0].isdigit()) and ITEM.match(s):
         kind = "item"
     elif links and sum(len(t) for t, _ in links) >= 0.6 * len(plain) - 6:
         kind = "links"
@@ -394,9 +394,11 @@ class Pages:
 
     rows: DataFrame
     model: Classifier
+    #: The texts as they were read, for what needs neither their order nor their sites.
+    texts: DataFrame
 
     def where(self, condition) -> Pages:
-        return Pages(self.rows.where(condition), self.model)
+        return Pages(self.rows.where(condition), self.model, self.texts)
 
 
 def pages(documents: DataFrame, sources: DataFrame) -> Pages:
@@ -417,7 +419,7 @@ def pages(documents: DataFrame, sources: DataFrame) -> Pages:
     single = known.where("host is not null").groupBy("host", "mark").agg(F.min(F.struct("id", "first")).alias("one")).select("host", "mark", "one.*")
     often = recurring(rows.join(single, on).select("host", "markdown", "text"))
     met = rows.join(known.join(often, "host", "left"), on).select("doc_id", "markdown", "host", "web", "recurring")
-    return Pages(met, fitted(rows, single))
+    return Pages(met, fitted(rows, single), rows)
 
 
 def fitted(rows: DataFrame, single: DataFrame) -> Classifier:

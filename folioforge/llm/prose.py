@@ -45,7 +45,8 @@ HAS_LETTER = re.compile(r"[^\W\d_]")
 END = re.compile(r"[.!?…:;][\"'”»’)\]]*$")
 MARK = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
 PAIR = re.compile(r"^[^\s:][^:]{0,40}:\s\S{0,30}(?:\s\S{1,20})?$")
-LOG = re.compile(r"\d\d:\d\d(?::\d\d)?\b.*\w=|\b(?:INFO|WARN|DEBUG|ERROR|TRACE)\b.*\d")
+TIMED, LEVEL = re.compile(r"\d\d:\d\d(?::\d\d)?\b.*\w="), re.compile(r"\b(?:INFO|WARN|DEBUG|ERROR|TRACE)\b.*\d")
+LEVELS = ("INFO", "WARN", "DEBUG", "ERROR", "TRACE")
 ASCII_SIGNS = re.compile(r"[!-/:-@\[-`{-~]+")
 SIGNS = re.compile(r"[{}()\[\]=;<>+*/\\|^~_#]")
 
@@ -98,17 +99,18 @@ def shape(line: str) -> str:
         return "table"
     if "\t" in s and s.count("\t") >= 2:
         return "fields"
-    if LOG.search(s):
+    # What a pattern cannot match without is looked for first.
+    if "=" in s and ":" in s and TIMED.search(s) or any(x in s for x in LEVELS) and LEVEL.search(s):
         return "log"
-    if (marks := len(SIGNS.findall(s))) > 6 and marks > 0.1 * len(s) and not s.startswith(("[", "!")):
+    if signs > 6 and (marks := len(SIGNS.findall(s))) > 6 and marks > 0.1 * len(s) and not s.startswith(("[", "!")):
         return "code" if re.search(r"[(){};=]", s) and "](" not in s else "words" if " / " in s else "run"
     words = s.split()
     if len(s) > 40 and len(s) > 30 * len(words) and s.isascii():
         return "code"
-    if MARK.match(s):
+    if (s[0] in "-*+•" or s[0].isdigit()) and MARK.match(s):
         # An item that is a whole sentence is prose with a dash before it.
         return "run" if len(words) > 8 and END.search(s) else "list"
-    if s.count(", ") >= 1 and len(words) <= 6 and any(c.isdigit() for c in s) and not END.search(s) and all(len(f.split()) <= 2 for f in s.split(", ")) and s.split(", ")[-1].replace(".", "").isdigit():
+    if len(words) <= 6 and ", " in s and any(c.isdigit() for c in s) and not END.search(s) and all(len(f.split()) <= 2 for f in s.split(", ")) and s.split(", ")[-1].replace(".", "").isdigit():
         return "fields"
     if len(words) <= 5 and PAIR.match(s):
         return "pairs"
@@ -218,11 +220,11 @@ class Profiles:
         return self.names[k], float(d[k])
 
 
-def prose_profiles(pages: DataFrame, common: dict[str, frozenset[str]]) -> dict[str, tuple[np.ndarray, float]]:
-    """Character classes and share of function words of each language's running text, over all records: one row a language.
+def prose_profiles(texts: DataFrame, common: dict[str, frozenset[str]]) -> dict[str, tuple[np.ndarray, float]]:
+    """Character classes and share of function words of each language's running text, over all rows of ``texts``: one row a language.
 
-    A record speaks for the language most of its common words are of, with its
-    long lines that end as sentences do.
+    A text speaks for the language most of its common words are of, with its
+    long lines that end as sentences do; a repeated row speaks again.
     """
     names = [*CLASSES, "words", "function"]
 
@@ -243,7 +245,7 @@ def prose_profiles(pages: DataFrame, common: dict[str, frozenset[str]]) -> dict[
         rows = list(total.items())
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), *(pa.array([float(v[i]) for _, v in rows], pa.float64()) for i in range(len(names)))], names=["lang", *names])
 
-    sums = pages.select("markdown").mapInArrow(run, "lang string, " + ", ".join(f"{n} double" for n in names)).groupBy("lang").agg(*(F.sum(n).alias(n) for n in names))
+    sums = texts.select("markdown").mapInArrow(run, "lang string, " + ", ".join(f"{n} double" for n in names)).groupBy("lang").agg(*(F.sum(n).alias(n) for n in names))
     return {r.lang: (np.array([r[n] for n in CLASSES]), r.function / r.words) for r in sums.collect() if r.words}
 
 
@@ -265,7 +267,7 @@ def quality(found_: Pages, common_words: DataFrame) -> DataFrame:
         common.setdefault(r.lang, set()).add(r.word.lower())
     by = {k: frozenset(v) for k, v in common.items()}
     every = frozenset().union(*by.values())
-    profiles = Profiles(prose_profiles(found_.rows, by) if by else {})
+    profiles = Profiles(prose_profiles(found_.texts, by) if by else {})
     sent = found_.rows.sparkSession.sparkContext.broadcast((by, every, profiles, found_.model))
     kinds = "doc_id string, words bigint, mean_word_length double, symbol_ratio double, ended_lines double, common_words double, lang string, profile string, divergence double, evidence string, prose boolean"
     names = [k.split()[0] for k in kinds.split(", ")]
