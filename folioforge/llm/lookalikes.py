@@ -23,18 +23,24 @@ from pyspark.sql import functions as F
 
 from folioforge.runtime import cut
 
-# Letters that most typefaces draw alike, Cyrillic or Greek first, Latin second.
+# Letters that most typefaces draw alike, Cyrillic, Greek, Armenian or Cherokee first, Latin second.
 LETTERS = (
     "аa еe оo рp сc уy хx іi јj ѕs һh ԁd ԛq ԝw ѵv ӏl "
     "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ІI ЈJ ЅS ԜW ԚQ "
-    "οo νv ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ɡg"
+    "οo νv ρp αa ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ɡg кĸ Ьb օo ոn ԛq ᎥI ᎪA ᏟC ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎢT ᏙV ᏃZ"
 ).split()
 # Signs drawn alike.
-SIGNS = (("‐", "-"), ("‑", "-"), ("µ", "μ"), ("ʼ", "’"))
+SIGNS = (("‐", "-"), ("‑", "-"), ("‒", "–"), ("−", "–"), ("µ", "μ"), ("ʼ", "’"), ("ʹ", "'"), ("′", "'"))
+#: Compatibility forms that look like what they stand for: wide, narrow and styled letters and figures, ligatures, roman numerals.
+ALIKE = ("<wide>", "<narrow>", "<font>")
 #: Code points that show nothing, beside all of category Cf.
 UNSEEN = frozenset(map(chr, [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]))
 
 
+#: Slots over which the pairs of a class are spread.
+SPREAD = 8
+
+
 class Classes:
     """Union-find over strings."""
 
@@ -90,7 +96,7 @@ def rewriting(counts: dict[str, int]) -> dict[str, str]:
         else:
             kind = unicodedata.decomposition(c)
             parts = unicodedata.normalize("NFD", c)
-            if kind.startswith(("<wide>", "<narrow>")) or 0xFB00 <= ord(c) <= 0xFB06:
+            if kind.startswith(ALIKE) or 0xFB00 <= ord(c) <= 0xFB06 or 0x2160 <= ord(c) <= 0x217F:
                 parts = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c))
                 classes.join(c, unicodedata.normalize("NFC", parts))
             if parts != c:
@@ -193,6 +199,29 @@ def _prints(df: DataFrame, table: dict[str, str], text: str) -> DataFrame:
     return df.select("scope", "key", F.col(text).alias("text")).where("text is not null").mapInArrow(run, "scope string, key string, form binary, raw bigint")
 
 
+def _mixed(df: DataFrame, table: dict[str, str], key: str, text: str, scope: str | None) -> DataFrame:
+    """``key, raw, g1, g2`` of the distinct rows whose class holds two different texts at least."""
+    rows = df.select((F.col(scope).cast("string") if scope else F.lit("")).alias("scope"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    # Read twice, and far smaller than the texts: written once, so that no text is rewritten again.
+    prints = cut(_prints(rows, table, "text").select("key", "raw", F.xxhash64("scope", "form").alias("g1"), F.xxhash64("form", "scope", F.lit(1)).alias("g2")))
+    mixed = prints.groupBy("g1", "g2").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("g1", "g2")
+    return prints.join(mixed, ["g1", "g2"], "left_semi").where("key is not null").distinct()
+
+
+def classes(df: DataFrame, table: dict[str, str], key: str, text: str, scope: str | None = None) -> DataFrame:
+    """``key, class, texts, links``: the rows of every class with two different texts at least, one row each, however large a class is.
+
+    ``texts`` counts the class's different texts and ``links`` the rows whose text differs
+    from the row's own. Scopes, nulls and repeats are as in :func:`pairs`. Rows are
+    counted by text before any class is brought together.
+    """
+    some = _mixed(df, table, key, text, scope)
+    by_text = some.groupBy("g1", "g2", "raw").agg(F.count("*").alias("n"))
+    by_class = by_text.groupBy("g1", "g2").agg(F.sum("n").alias("all"), F.count("*").alias("texts"))
+    sizes = by_text.join(by_class, ["g1", "g2"]).select("g1", "g2", "raw", "texts", (F.col("all") - F.col("n")).alias("links"))
+    return some.join(sizes, ["g1", "g2", "raw"]).select("key", F.hex("g1").alias("class"), "texts", "links")
+
+
 def pairs(df: DataFrame, table: dict[str, str], key: str, text: str, scope: str | None = None) -> DataFrame:
     """Pairs ``key_a < key_b`` of rows whose texts differ but have one form.
 
@@ -200,13 +229,11 @@ def pairs(df: DataFrame, table: dict[str, str], key: str, text: str, scope: str
     scope share one). Null texts match nothing; the empty text is a text. Repeated
     rows count once. Exact copies are no pairs, and groups without two different
     texts are dropped by an aggregate before any join, so that a large group of
-    copies is never paired with itself.
+    copies is never paired with itself. Each side of a class is spread over
+    SPREAD slots of the other, so that no task holds a whole class; where only
+    membership is wanted, :func:`classes` gives one row for each row.
     """
-    rows = df.select((F.col(scope).cast("string") if scope else F.lit("")).alias("scope"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    # Read twice, and far smaller than the texts: written once, so that no text is rewritten again.
-    prints = cut(_prints(rows, table, "text").select("key", "raw", F.xxhash64("scope", "form").alias("g1"), F.xxhash64("form", "scope", F.lit(1)).alias("g2")))
-    mixed = prints.groupBy("g1", "g2").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("g1", "g2")
-    some = prints.join(mixed, ["g1", "g2"], "left_semi").where("key is not null").distinct()
-    a, b = some.alias("a"), some.alias("b")
-    on = (F.col("a.g1") == F.col("b.g1")) & (F.col("a.g2") == F.col("b.g2")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.key") < F.col("b.key"))
-    return a.join(b, on).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
+    some = _mixed(df, table, key, text, scope)
+    a = some.select("g1", "g2", F.col("raw").alias("raw_a"), F.col("key").alias("key_a"), F.pmod(F.xxhash64("key", "raw"), F.lit(SPREAD)).cast("int").alias("slot"))
+    b = some.select("g1", "g2", F.col("raw").alias("raw_b"), F.col("key").alias("key_b"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("slot"))
+    return a.join(b, ["g1", "g2", "slot"]).where("raw_a <> raw_b and key_a < key_b").select("key_a", "key_b").distinct()

@@ -15,17 +15,29 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.boilerplate_lines(pages.where("web")).distinct()
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of text boxes of one document, and of whole records, that look the same but differ."""
+def _looks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dict]:
     boxes = table(spark, folder, "text_boxes").select("doc_id", "id", "text")
     records = table(spark, folder, "documents_out").select("doc_id", "markdown").where(F.col("markdown").rlike(r"\S"))
     counts = lookalikes.code_points(boxes, ["text"])
     for c, n in lookalikes.code_points(records, ["markdown"]).items():
         counts[c] = counts.get(c, 0) + n
-    rules = lookalikes.rewriting(counts)
+    return boxes, records, lookalikes.rewriting(counts)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of text boxes of one document, and of whole records, that look the same but differ."""
+    boxes, records, rules = _looks(spark, folder)
     return lookalikes.pairs(boxes, rules, "id", "text", "doc_id").unionByName(lookalikes.pairs(records, rules, "doc_id", "markdown"))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same boxes and records, one row each, with their class and how many others look the same but differ."""
+    boxes, records, rules = _looks(spark, folder)
+    kinds = (("text_boxes", lookalikes.classes(boxes, rules, "id", "text", "doc_id")), ("documents_out", lookalikes.classes(records, rules, "doc_id", "markdown")))
+    a, b = (df.withColumn("tbl", F.lit(name)) for name, df in kinds)
+    return a.unionByName(b)
+
+
 def p3_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """What each record without real content holds instead."""
     pages = boilerplate.pages(table(spark, folder, "documents_out"), table(spark, folder, "documents_in"))
@@ -129,7 +141,7 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p9_found": p9_found, "p9_paraphrases": p9_paraphrases, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p9_found": p9_found, "p9_paraphrases": p9_paraphrases, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {

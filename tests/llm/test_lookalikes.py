@@ -35,6 +35,24 @@ def test_pairs(spark):
     assert forms["x2"] == "one two" and forms["x5"] is None
 
 
+def test_pairs_of_other_scripts():
+    alike = "ρp αa Ьb օo ոn ᎥI ⅠI ⅤV ‒– −– ʹ' 𝐩p 𝟗9 Ａa".split()
+    table = lookalikes.rewriting(counts("".join(alike) * 3, "paboniIV–'9A" * 9))
+    rewrite = lookalikes.Rewriter(table)
+    assert [x for x in alike if rewrite(x[0]) != rewrite(x[1])] == ["Ａa"]
+    # What is seen to differ stays apart.
+    assert len({rewrite(x) for x in ("x2", "x²", "½", "1/2", "O", "0", "l", "1", "-", "–", "—")}) == 11
+
+
+def test_classes_count_what_pairs_write_out(spark):
+    rows = [(str(i), "same") for i in range(60)] + [(f"z{i}", "sаme") for i in range(5)] + [("y", "ѕаme"), ("y", "ѕаme"), ("q", "other"), (None, "sаme"), ("n", None)]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "id string, text string, links int")
+    table = lookalikes.rewriting(lookalikes.code_points(df, ["text"]))
+    found = {r.key: (r.texts, r.links) for r in lookalikes.classes(df, table, "id", "text").collect()}
+    assert found == {**{str(i): (3, 6) for i in range(60)}, **{f"z{i}": (3, 61) for i in range(5)}, "y": (3, 65)}
+    assert 2 * lookalikes.pairs(df, table, "id", "text").count() == sum(n for _, n in found.values())
+
+
 def test_copies_are_not_paired(spark):
     df = spark.createDataFrame([(str(i), "same") for i in range(300)] + [("z", "sаme")], "id string, text string")
     table = lookalikes.rewriting(lookalikes.code_points(df, ["text"]))
