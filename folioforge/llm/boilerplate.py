@@ -76,13 +76,22 @@ def step(n: float, edges: tuple) -> int:
     return bisect_right(edges, n)
 
 
+def shaped(form: tuple) -> tuple[str, ...]:
+    """Features of (look, words, last sign, capital, separators)."""
+    look, n, end, capital, sep = form
+    return f"k={look}", f"n={step(n, (1, 2, 3, 4, 6, 8, 12, 18, 26, 40))}", f"kn={look}{step(n, (2, 4, 8, 14, 26))}", f"e={end}{n >= 4}", f"c={capital}", f"sep={sep}"
+
+
+SHAPES = Memo(shaped)
+
+
 @dataclass(slots=True)
 class Line:
     """What one line is by itself."""
 
     kind: str
-    shapes: list[str]
-    words: list[str]
+    shapes: tuple[str, ...]
+    words: frozenset[str]
     #: Whether it links to its own site, and whether it reads as a sentence.
     inside: bool
     sentence: bool
@@ -113,21 +122,22 @@ def seen(line: str, names: tuple[str, ...]) -> Line:
     else:
         kind = "prose" if spaced else "plain"
     look = f"h{min(3, s.index(' '))}" if kind == "head" else "b" if s.startswith("**") else "p" if kind in ("prose", "plain", "links") else kind
-    shapes = [f"k={look}", f"n={step(n, (1, 2, 3, 4, 6, 8, 12, 18, 26, 40))}", f"kn={look}{step(n, (2, 4, 8, 14, 26))}", f"e={'a' if s[-1].isalnum() else s[-1]}{n >= 4}", f"c={s[0].isupper()}"]
+    sep = min(3, bones.count("|") + bones.count("/") + bones.count(">")) if n < 40 else 0
+    shapes = SHAPES[look, n, "a" if s[-1].isalnum() else s[-1], s[0].isupper(), sep]
     inside = False
     if links:
-        shapes.append(f"ld={step(sum(len(t) for t, _ in links) / max(1, len(plain)), (0.3, 0.6, 0.9))}")
+        more = {f"ld={step(sum(len(t) for t, _ in links) / max(1, len(plain)), (0.3, 0.6, 0.9))}": None}
         for _, target in links:
             own_ = target[:1] in ("/", "#") or any(x in target for x in names)
             inside |= own_
-            shapes.append(f"u={'#' if target[:1] == '#' else 'in' if own_ else 'out'}{look}")
+            more[f"u={'#' if target[:1] == '#' else 'in' if own_ else 'out'}{look}"] = None
+        shapes += tuple(more)
     else:
-        shapes.append("nolink")
-    shapes.append(f"sep={min(3, sum(map(words.count, '·|/›»>—')))}" if n < 40 else "sep=0")
+        shapes += ("nolink",)
     told = {*words}
     if len(words) <= PAIRED:
         told.update(f"{a} {b}" for a, b in zip(words, words[1:]))
-    return Line(kind, list(dict.fromkeys(shapes)), list(told), inside, spaced and s[-1] in ENDS and not links and kind == "prose", key)
+    return Line(kind, shapes, frozenset(told), inside, spaced and s[-1] in ENDS and not links and kind == "prose", key)
 
 
 def places(lines: list[str], at: list[int], mine: list[Line]) -> list[tuple[int, int, int]]:
@@ -149,6 +159,7 @@ class Classifier:
 
     def __post_init__(self):
         self.known = Memo(lambda feature: float(self.weights[slot(feature)]))
+        self.shape = Memo(lambda shapes: sum(map(self.known.__getitem__, shapes)))
         self.place = self.weights.tolist()
         self.memo: dict = {}
 
@@ -159,10 +170,10 @@ class Classifier:
         """The line and its log-odds but for its place; kept for the next page that has it."""
         got = self.memo.get((line, names))
         if got is None:
-            x, known = seen(line, names), self.known
-            v = sum([known[f] for f in x.shapes])
+            x = seen(line, names)
+            v = self.shape[x.shapes]
             if x.words:
-                v += WORDS / len(x.words) ** 0.5 * sum([known[w] for w in x.words])
+                v += WORDS / len(x.words) ** 0.5 * sum(map(self.known.__getitem__, x.words))
             if len(self.memo) >= 50_000:
                 self.memo.clear()
             got = self.memo[line, names] = (x, v)
@@ -417,7 +428,8 @@ def pages(documents: DataFrame, sources: DataFrame) -> Pages:
     on = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text") == F.col("mark")) & F.col("converted_at").eqNullSafe(F.col("first"))
     # Of a host's copies of one text, the small rows choose the one that is counted.
     single = known.where("host is not null").groupBy("host", "mark").agg(F.min(F.struct("id", "first")).alias("one")).select("host", "mark", "one.*")
-    often = recurring(rows.join(single, on).select("host", "markdown", "text"))
+    sizes = single.groupBy("host").agg(F.count("*").alias("pages"))
+    often = recurring(rows.join(single, on).select("host", "markdown", "text"), sizes)
     met = rows.join(known.join(often, "host", "left"), on).select("doc_id", "markdown", "host", "web", "recurring")
     return Pages(met, fitted(rows, single), rows)
 

@@ -168,12 +168,12 @@ def worded(text: str) -> tuple[Counter, int]:
     Signs stay at their words. Function words seldom have any.
     """
     sums = Counter(text.lower().split())
-    return sums, sum(n for t, n in sums.items() if t[0].isalpha() or HAS_LETTER.search(t))
+    return sums, sum([n for t, n in sums.items() if t[0].isalpha() or HAS_LETTER.search(t)])
 
 
 def spoken(words: Counter, common: dict[str, frozenset[str]]) -> dict[str, int]:
     """How many of ``words`` are common ones of each language."""
-    return {lang: sum(words[w] for w in known if w in words) for lang, known in common.items()}
+    return {lang: sum([words[w] for w in known if w in words]) for lang, known in common.items()}
 
 
 def counted(lines: list[str], common: dict[str, frozenset[str]], every: frozenset[str]) -> dict:
@@ -189,7 +189,7 @@ def counted(lines: list[str], common: dict[str, frozenset[str]], every: frozense
         "mean_word_length": float(chars[LETTER]) / words if words else 0.0,
         "symbol_ratio": float(chars[SYMBOL] / max(chars.sum(), 1)),
         "ended_lines": sum(bool(END.search(x[-8:].rstrip())) for x in kept) / len(kept) if kept else 0.0,
-        "common_words": sum(sums[w] for w in every if w in sums) / words if words else 0.0,
+        "common_words": sum([sums[w] for w in every if w in sums]) / words if words else 0.0,
         "lang": lang,
         "function": hits[lang] / words if lang and words else 0.0,
         "chars": chars,

@@ -66,12 +66,12 @@ def host(url: str | F.Column):
     return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def recurring(pages: DataFrame, least: int = 3, share: float = 0.1) -> DataFrame:
+def recurring(pages: DataFrame, sizes: DataFrame, least: int = 3, share: float = 0.1) -> DataFrame:
     """``host, recurring``: keys of the lines on at least ``least`` pages and ``share`` of a host's pages.
 
     ``pages`` has ``host``, ``markdown`` and ``text``, a hash of the markdown, one row
     for each distinct text of a host: copies of an article do not make its lines
-    recur. Repeats of a row that lie in one partition count once. The counts are summed
+    recur; ``sizes`` has ``host, pages``, their number. Repeats of a row that lie in one partition count once. The counts are summed
     before the shuffle, and a host's list is bounded by its lines a page over ``share``.
     """
 
@@ -83,7 +83,6 @@ def recurring(pages: DataFrame, least: int = 3, share: float = 0.1) -> DataFrame
                 if (h, mark) in met:
                     continue
                 met.add((h, mark))
-                seen[h, 0] = seen.get((h, 0), 0) + 1
                 for k in {line_key(x) for x in text.split("\n") if x and not x.isspace()}:
                     seen[h, k] = seen.get((h, k), 0) + 1
             hosts, keys = zip(*seen) if seen else ((), ())
@@ -92,5 +91,4 @@ def recurring(pages: DataFrame, least: int = 3, share: float = 0.1) -> DataFrame
     # Lines of one page only, by far the most, end at the having; pages without a host have no furniture.
     lines = pages.where("host is not null and markdown is not null").select("host", "markdown", "text").mapInArrow(run, "host string, line bigint, n bigint")
     counts = lines.groupBy("host", "line").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    size = counts.where("line = 0").select("host", F.col("n").alias("pages"))
-    return counts.where("line <> 0").join(size, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("recurring"))
+    return counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("recurring"))
