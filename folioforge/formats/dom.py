@@ -26,18 +26,21 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     **dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"})),
 }
+PARTS = frozenset("caption col colgroup tbody td tfoot th thead tr".split())
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "noscript", "audio", "video", "canvas", "output"}
 
 
 class Node:
     """An element or, with ``name`` None, a piece of text."""
 
-    __slots__ = ("name", "attrs", "children", "parent", "text")
+    __slots__ = ("name", "attrs", "children", "parent", "text", "place", "filled", "lead", "trail", "edges", "output")
 
     def __init__(self, name: str | None, attrs: dict[str, str] | None = None, text: str = ""):
         self.name, self.attrs, self.text = name, attrs or {}, text
         self.children: list[Node] = []
         self.parent: Node | None = None
+        #: What a renderer keeps at the node.
+        self.output = None
 
     def add(self, child: Node) -> Node:
         child.parent = self
@@ -106,6 +109,9 @@ class Builder(HTMLParser):
             values.setdefault(k, v or "")
         if tag in ("html", "head", "body") and any(n.name == tag for n in self.open):
             return
+        # Parts of tables mean nothing outside of one.
+        if tag in PARTS and not any(n.name == "table" for n in self.open):
+            return
         if tag in CLOSES:
             names, border = CLOSES[tag]
             for k in range(len(self.open) - 1, 0, -1):

@@ -67,139 +67,180 @@ def normalized_tables(html: str) -> str:
 
 
 def html_to_markdown(html: str) -> str:
-    """The Markdown of a document or fragment."""
+    """The Markdown of a document or fragment, in time that grows with its length, however deep it is nested."""
     html = re.sub(r"(?i)<(/?)noscript(\s[^>]*)?>", lambda m: f"<{m.group(1)}div{m.group(2) or ''}>", html)
-    root = parse(html)
+    return tree_to_markdown(parse(html))
+
+
+def tree_to_markdown(root: Node) -> str:
+    """The Markdown of a tree, whose white space is collapsed on the way."""
     collapse(root)
-    return Renderer().children(root).strip(" \t\r\n")
+    measure(root)
+    return Renderer().render(root).strip(" \t\r\n")
 
 
 def is_block(node: Node) -> bool:
     return node.name in BLOCK
 
 
+def passes(root: Node):
+    """(node, whether it is left) of a walk that meets every node before and, where it may have children, after them."""
+    stack = [(root, False)]
+    while stack:
+        node, left = stack.pop()
+        yield node, left
+        if not left and node.name is not None:
+            stack.append((node, True))
+            stack.extend((c, False) for c in reversed(node.children))
+
+
 def collapse(root: Node) -> None:
     """Runs of white space become one space, none at the edges of blocks; preformatted text stays."""
     last: Node | None = None
     keep = False
-    empty: list[Node] = []
+    skip: Node | None = None
+    thin: list[Node] = []
+
+    def trim() -> None:
+        if last is not None and last.text.endswith(" "):
+            last.text = last.text[:-1]
+            if not last.text:
+                thin.append(last)
 
-    def visit(node: Node) -> None:
-        nonlocal last, keep
+    for node, left in passes(root):
+        if skip is not None:
+            if node is skip and left:
+                skip = None
+            continue
         if node.name is None:
             text = SPACES.sub(" ", node.text)
             if (last is None or last.text.endswith(" ")) and not keep and text.startswith(" "):
                 text = text[1:]
             node.text = text
-            if not text:
-                empty.append(node)
+            if text:
+                last, keep = node, False
             else:
-                last = node
-                keep = False
-            return
-        if node.name in SKIPPED:
-            return
-        if node.name == "pre":
-            last, keep = None, True
-            return
-        if is_block(node) or node.name == "br":
-            trim()
-            last, keep = None, False
-        elif node.name in VOID or node.name == "code":
-            # What stands inline keeps the space behind it.
-            if node.name in VOID:
+                thin.append(node)
+        elif node.name in SKIPPED or node.name == "pre":
+            skip = node
+            if node.name == "pre":
                 last, keep = None, True
-        for child in list(node.children):
-            visit(child)
-        if is_block(node):
+        elif left:
+            if is_block(node):
+                trim()
+                last, keep = None, False
+        elif is_block(node) or node.name == "br":
             trim()
             last, keep = None, False
-
-    def trim() -> None:
-        if last is not None and last.text.endswith(" "):
-            last.text = last.text[:-1]
-            if not last.text:
-                empty.append(last)
-
-    visit(root)
+        elif node.name in VOID:
+            # What stands inline keeps the space behind it.
+            last, keep = None, True
     trim()
-    for node in empty:
-        if node.parent is not None and not node.text:
-            node.remove()
-
+    for home in {id(n.parent): n.parent for n in thin if n.parent is not None}.values():
+        home.children = [c for c in home.children if c.name is not None or c.text]
 
-def join(a: str, b: str) -> str:
-    """Two pieces, with as many line feeds between as the longer of their edges has, two at most."""
-    x, y = a.rstrip("\n"), b.lstrip("\n")
-    feeds = max(len(a) - len(x), len(b) - len(y))
-    return x + "\n\n"[: min(feeds, 2)] + y
 
+def measure(root: Node) -> None:
+    """What rendering asks of every node, from the leaves up: its place, whether it shows anything, and the edges of its text."""
+    for node, left in passes(root):
+        if node.name is None:
+            text = node.text
+            bare = text.strip()
+            node.filled = bool(bare)
+            node.lead = text[: len(text) - len(text.lstrip(" \t\r\n"))]
+            node.trail = text[len(text.rstrip(" \t\r\n")) :]
+            # Of text that is only white space both edges are all of it.
+            node.edges = (text[:1], text[-1:], not text.strip(" \t\r\n"), not bare)
+        elif left:
+            for k, c in enumerate(node.children):
+                c.place = k
+            node.filled = node.name in VOID or node.name in FULL_WHEN_EMPTY or any(c.filled for c in node.children)
+            shown = [c for c in node.children if c.edges[0]]
+            node.lead = node.trail = ""
+            for c in shown:
+                node.lead += c.lead
+                if not c.edges[2]:
+                    break
+            for c in reversed(shown):
+                node.trail = c.trail + node.trail
+                if not c.edges[2]:
+                    break
+            node.edges = (shown[0].edges[0], shown[-1].edges[1], all(c.edges[2] for c in shown), all(c.edges[3] for c in shown)) if shown else ("", "", True, True)
+
+
+class Pieces:
+    """Text put together piece by piece, with as many line feeds between two as the longer of their edges has, two at most."""
+
+    __slots__ = ("parts", "feeds")
+
+    def __init__(self):
+        self.parts: list[str] = []
+        self.feeds = 0
+
+    def add(self, piece: str) -> None:
+        body = piece.lstrip("\n")
+        between = min(2, max(self.feeds, len(piece) - len(body)))
+        if not body:
+            self.feeds = between
+            return
+        bare = body.rstrip("\n")
+        self.parts += ("\n" * between, bare)
+        self.feeds = len(body) - len(bare)
 
-def blank(node: Node) -> bool:
-    if node.name in VOID or node.name in FULL_WHEN_EMPTY or node.content().strip():
-        return False
-    return not any(n.name in VOID or n.name in FULL_WHEN_EMPTY for n in node.walk() if n is not node)
+    def whole(self) -> str:
+        return "".join(self.parts) + "\n" * self.feeds
 
 
 class Renderer:
-    """Renders a collapsed tree."""
-
-    def children(self, node: Node) -> str:
-        out = ""
-        for child in node.children:
-            out = join(out, self.one(child, node))
-        return out
-
-    def one(self, node: Node, parent: Node) -> str:
-        if node.name is None:
-            return node.text if self.in_code(node) else escape(node.text)
-        if node.name in SKIPPED:
-            return ""
-        if blank(node):
-            return "\n\n" if is_block(node) else ""
+    """Renders a collapsed and measured tree."""
+
+    def render(self, root: Node) -> str:
+        code, open_, skip = 0, [Pieces()], None
+        for node, left in passes(root):
+            if skip is not None:
+                if node is skip and left:
+                    skip = None
+                continue
+            if node is root:
+                continue
+            if node.name is None:
+                open_[-1].add(node.text if code else escape(node.text))
+                continue
+            if not left:
+                if node.name in SKIPPED or not node.filled:
+                    open_[-1].add("\n\n" if node.name not in SKIPPED and is_block(node) else "")
+                    skip = node
+                    continue
+                code += node.name in ("code", "pre")
+                open_.append(Pieces())
+                continue
+            code -= node.name in ("code", "pre")
+            content = open_.pop().whole()
+            open_[-1].add(self.one(node, content))
+        return open_[0].whole()
+
+    def one(self, node: Node, content: str) -> str:
         if node.name == "pre":
-            return self.pre(node)
+            return self.pre(node, content)
         if node.name == "code":
-            return self.flanked(node, self.inline_code)
-        content = self.children(node)
+            return self.flanked(node, self.inline_code, content)
         rule = getattr(self, "on_" + node.name, None)
         if is_block(node) or node.name == "br":
             return rule(node, content) if rule else f"\n\n{content}\n\n"
         return self.flanked(node, rule or (lambda n, c: c), content)
 
-    @staticmethod
-    def in_code(node: Node) -> bool:
-        up = node.parent
-        while up is not None:
-            if up.name in ("code", "pre"):
-                return True
-            up = up.parent
-        return False
-
-    def flanked(self, node: Node, rule, content: str | None = None) -> str:
+    def flanked(self, node: Node, rule, content: str) -> str:
         """White space at the edges of an inline element moves outside of its marks."""
-        whole = node.content()
-        before = whole[: len(whole) - len(whole.lstrip(" \t\r\n"))]
-        after = whole[len(whole.rstrip(" \t\r\n")) :] if whole.strip() else ""
-        if content is None:
-            content = self.children(node)
+        before, after = node.lead, "" if node.edges[3] else node.trail
         if before or after:
             content = content.strip(" \t\r\n")
-        if before and self.beside(node, -1).endswith(" "):
+        home, k = node.parent.children, node.place
+        if before and k and not is_block(home[k - 1]) and home[k - 1].edges[1] == " ":
             before = ""
-        if after and self.beside(node, 1).startswith(" "):
+        if after and k + 1 < len(home) and not is_block(home[k + 1]) and home[k + 1].edges[0] == " ":
             after = ""
         return before + rule(node, content) + after
 
-    @staticmethod
-    def beside(node: Node, step: int) -> str:
-        home = node.parent
-        k = home.children.index(node) + step
-        if not 0 <= k < len(home.children):
-            return ""
-        near = home.children[k]
-        return near.text if near.name is None else near.content() if not is_block(near) else ""
-
     def inline_code(self, node: Node, content: str) -> str:
         text = re.sub(r"\r?\n|\r", " ", node.content())
         if not text:
@@ -211,10 +252,10 @@ class Renderer:
         extra = " " if re.search(r"^`|^ .*?[^ ].* $|`$", text) else ""
         return mark + extra + text + extra + mark
 
-    def pre(self, node: Node) -> str:
+    def pre(self, node: Node, content: str) -> str:
         first = node.children[0] if node.children else None
         if first is None or first.name != "code":
-            return f"\n\n{self.children(node)}\n\n"
+            return f"\n\n{content}\n\n"
         language = re.search(r"language-(\S+)", first.attrs.get("class", ""))
         code = first.content()
         size = max([2, *(len(m) for m in re.findall(r"(?m)^`{3,}", code))]) + 1
@@ -270,9 +311,8 @@ class Renderer:
         return "\n\n" + "\n".join("> " + x for x in content.strip("\n").split("\n")) + "\n\n"
 
     def listing(self, node, content):
-        home = node.parent
-        last = [c for c in home.children if c.name is not None]
-        if home.name == "li" and last and last[-1] is node:
+        # The last element of an entry needs no blank line.
+        if node.parent.name == "li" and all(c.name is None for c in node.parent.children[node.place + 1 :]):
             return "\n" + content
         return f"\n\n{content}\n\n"
 
@@ -282,19 +322,21 @@ class Renderer:
         home = node.parent
         mark = "- "
         if home.name == "ol":
-            items = [c for c in home.children if c.name is not None]
-            start = home.attrs.get("start", "")
-            mark = f"{(int(start) if re.fullmatch(r'-?[0-9]+', start) else 1) + items.index(node)}. "
+            # Entries are numbered as they come.
+            if home.output is None:
+                start = home.attrs.get("start", "")
+                first = int(start) if re.fullmatch(r"-?[0-9]+", start) else 1
+                home.output = dict(zip((id(c) for c in home.children if c.name is not None), range(first, first + len(home.children))))
+            mark = f"{home.output[id(node)]}. "
         content = re.sub(r"\n+$", "\n", content.lstrip("\n")).replace("\n", "\n  ")
         content = re.sub(r"\n[ ]+$", "\n", content)
-        more = home.children.index(node) + 1 < len(home.children)
+        more = node.place + 1 < len(home.children)
         return mark + content + ("\n" if more and not content.endswith("\n") else "")
 
     # ------------------------------------------------------------ tables
 
     def cell(self, node, content):
-        first = node.parent.children.index(node) == 0
-        return ("| " if first else " ") + SPACES.sub(" ", content.strip()) + " |"
+        return ("| " if node.place == 0 else " ") + SPACES.sub(" ", content.strip()) + " |"
 
     on_td = on_th = cell
 
@@ -319,20 +361,25 @@ class Renderer:
     on_thead = on_tbody = on_tfoot = section
 
     def on_table(self, node, content):
-        rows = [n for n in node.walk() if n.name == "tr"]
-        if not rows or not self.heading_row(rows[0]):
+        row = next((n for n in node.walk() if n.name == "tr"), None)
+        if row is None or not self.heading_row(row):
             return "\n\n" + source(node) + "\n\n"
         return "\n\n" + re.sub(r"\n{2,}", "\n", content).strip("\n") + "\n\n"
 
 
-def source(node: Node) -> str:
+def source(root: Node) -> str:
     """The HTML of a tree."""
-    if node.name is None:
-        return node.text.replace("&", "&amp;").replace("\xa0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;")
-    attrs = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(160), "&nbsp;").replace(chr(34), "&quot;")}"' for k, v in node.attrs.items())
-    if node.name in VOID:
-        return f"<{node.name}{attrs}>"
-    return f"<{node.name}{attrs}>{''.join(map(source, node.children))}</{node.name}>"
+    out: list[str] = []
+    for node, left in passes(root):
+        if node.name is None:
+            out.append(node.text.replace("&", "&amp;").replace("\xa0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;"))
+        elif left:
+            if node.name not in VOID:
+                out.append(f"</{node.name}>")
+        else:
+            attrs = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(160), "&nbsp;").replace(chr(34), "&quot;")}"' for k, v in node.attrs.items())
+            out.append(f"<{node.name}{attrs}>")
+    return "".join(out)
 
 
 def table(rows: list[list[str]]) -> str:

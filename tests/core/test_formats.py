@@ -51,6 +51,18 @@ def test_html(html, markdown):
     assert html_to_markdown(html) == markdown
 
 
+def test_depth_and_length():
+    import time
+
+    assert html_to_markdown("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    assert html_to_markdown("<b>" * 3000 + "x" + "</b>" * 3000).strip("*") == "x"
+    began = time.perf_counter()
+    items = html_to_markdown("<ol>" + "<li>x</li>" * 40_000 + "</ol>").split("\n")
+    assert items[-1] == "40000. x" and len(items) == 40_000 and time.perf_counter() - began < 20
+    # Parts of tables outside of one are no tables.
+    assert html_to_markdown("<tr>a<td>b</td></tr>") == "ab"
+
+
 def test_tables():
     html = "<table><tr><td>a</td><td><p>b</p><p>c</p></td></tr><tr><td>1<td>2</table>"
     assert html_to_markdown(normalized_tables(html)) == "| a | b c |\n| --- | --- |\n| 1 | 2 |"
@@ -102,6 +114,16 @@ def test_feeds():
     assert text.feed(atom, {}) == ("# F\n\ns\n\n## E\nUpdated: u\nm", "F")
 
 
+def test_feeds_with_faults():
+    # An element without an end, an empty one, a namespace, upper case, and a feed without a channel.
+    rss = b"<RSS><CHANNEL><TITLE>T</TITLE><item><title>A<link>http://x</link></item><item/><item><title>B &amp; C</title><content:encoded><![CDATA[<b>x</b>]]></content:encoded><description>no</description></item></CHANNEL></RSS>"
+    body, title = text.feed(rss, {})
+    assert title == "T" and "[Link](http://x)" in body and body.endswith("## B &amp; C\n**x**")
+    assert text.feed(b"<rss><item><title>only</title></item></rss>", {})[0] == "## only" or text.feed(b"<rss><item><title>only</title></item></rss>", {})[1] == "only"
+    with pytest.raises(ValueError):
+        text.feed(b"<html></html>", {})
+
+
 def test_encyclopedia():
     html = '<title>Fence - Wikipedia</title><div id="mw-content-text"><p>A<sup class="reference">[1]</sup> fence.</p></div></div>'
     assert text.wikipedia(html.encode(), {}) == ("# Fence\n\nA fence.", "Fence")
