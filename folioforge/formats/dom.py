@@ -142,6 +142,10 @@ class Builder(HTMLParser):
         if tag not in VOID:
             self.open.append(node)
             if tag in FORMATTING:
+                # Of formatting that is the same, three stay in force.
+                same = [n for n in self.active if n.name == tag and n.attrs == values]
+                if len(same) >= 3:
+                    self.active.remove(same[0])
                 self.active.append(node)
 
     def handle_startendtag(self, tag, attrs):
