@@ -60,6 +60,16 @@ def html_cell(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit("<br>"))
 
 
+def html_title(html: Column) -> Column:
+    """The title of a page, null where it has none or a blank one."""
+    return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+
+
+def without_blocks(html: Column) -> Column:
+    """A page without its scripts and styles."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<script\b.*?</script>", ""), r"(?is)<style\b.*?</style>", "")
+
+
 def dehyphenated(text: Column) -> Column:
     """Words broken over blocks of a text, joined where a letter stands before the hyphen and the next block begins in lower case.
 

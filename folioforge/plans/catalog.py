@@ -11,6 +11,7 @@ from folioforge.formats.registry import PLAIN
 from folioforge.functions import text as T
 from folioforge.functions import urls as U
 from folioforge.operators import convert, evaluation, layout, routing
+from folioforge.plans import documents
 from folioforge.runtime import table
 from folioforge.streaming import ingest
 
@@ -646,8 +647,8 @@ def streamed_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | documents.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | documents.SQL
