@@ -44,6 +44,36 @@ def containment(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return sets.withColumn("a_in_b", share("ta")).withColumn("b_in_a", share("tb")).drop("ta", "tb")
 
 
+def contained_versions(rows: DataFrame, keys: list[str], item: str, text: str) -> DataFrame:
+    """``a, b, a_in_b, b_in_a`` of all items a < b that share a key: shares of each one's trigrams that the other has, null where it has none.
+
+    Trigrams are hashed once for each item, and the pairs meet the small arrays, never the texts.
+    """
+    hashed = F.transform(trigrams(lowered_words(F.col(text))), lambda g: F.xxhash64(g))
+    sets = rows.select(*keys, item, hashed.alias("g")).distinct()
+    a, b = sets.withColumnsRenamed({item: "a", "g": "ga"}), sets.withColumnsRenamed({item: "b", "g": "gb"})
+    both = F.size(F.array_intersect("ga", "gb"))
+    share = lambda n: F.when(F.size(n) > 0, F.round(both / F.size(n), 4))
+    return a.join(b, keys).where("a < b").select("a", "b", share("ga").alias("a_in_b"), share("gb").alias("b_in_a"))
+
+
+def mean_containment(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, documents, a_in_b, b_in_a``: pairs and their mean containments; nulls do not count, and none give null."""
+    return pairs.groupBy(*keys).agg(F.count("*").alias("documents"), F.round(F.avg("a_in_b"), 4).alias("a_in_b"), F.round(F.avg("b_in_a"), 4).alias("b_in_a"))
+
+
+def first_documents(rows: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
+    """The rows of the first ``limit`` documents by key; all where it is 0."""
+    if not limit:
+        return rows
+    return rows.join(rows.select(key).distinct().orderBy(key).limit(limit), key, "left_semi")
+
+
+def recorded(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """What of ``work`` a journal has."""
+    return work.join(done.select(*keys).distinct(), keys, "left_semi")
+
+
 def ordered_pairs(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
     """``keys, a, b`` with a < b: the pairs of items that share a key."""
     a, b = rows.select(*keys, F.col(item).alias("a")).distinct(), rows.select(*keys, F.col(item).alias("b")).distinct()

@@ -10,7 +10,7 @@ from folioforge.formats.markdown import html_to_markdown
 from folioforge.formats.registry import PLAIN
 from folioforge.functions import text as T
 from folioforge.functions import urls as U
-from folioforge.operators import convert, evaluation, layout, routing
+from folioforge.operators import convert, evaluation, layout, routing, tables
 from folioforge.plans import documents
 from folioforge.runtime import table
 from folioforge.streaming import ingest
@@ -405,6 +405,78 @@ def line_positions(spark: SparkSession, folder: str) -> DataFrame:
     return layout.line_positions(flat, "y1")
 
 
+RULES = """b AS (SELECT DISTINCT * FROM text_boxes), lv AS (SELECT doc_id, page_number, y_bottom AS y, x_left AS lx, x_right AS hx FROM b WHERE x_right > x_left), up AS (SELECT doc_id, page_number, x_left AS x, y_bottom AS ly, y_top AS hy FROM b),
+    box AS (SELECT doc_id, page_number, seq, (x_left + x_right) / 2 AS cx, (y_top + y_bottom) / 2 AS cy FROM b)"""
+
+
+def _rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The lower and the left edges of boxes, as rules."""
+    boxes = _boxes(spark, folder)
+    return layout.segments(boxes).where("x2 > x1").unionByName(tables.uprights(boxes))
+
+
+@query(
+    f"""WITH {RULES}, h AS (SELECT doc_id, page_number, seq, bool_or(y >= cy) AS up, bool_or(y <= cy) AS down FROM box JOIN lv USING (doc_id, page_number) WHERE cx BETWEEN lx AND hx GROUP BY ALL),
+    v AS (SELECT doc_id, page_number, seq, bool_or(x <= cx) AS lft, bool_or(x >= cx) AS rgt FROM box JOIN up USING (doc_id, page_number) WHERE cy BETWEEN ly AND hy GROUP BY ALL)
+    SELECT doc_id, page_number, seq, coalesce(up, false) AS up, coalesce(down, false) AS down, coalesce(lft, false) AS "left", coalesce(rgt, false) AS "right" FROM h FULL JOIN v USING (doc_id, page_number, seq)"""
+)
+def box_rays(spark: SparkSession, folder: str) -> DataFrame:
+    """Where rays from boxes meet rules."""
+    return tables.rays(_boxes(spark, folder), _rules(spark, folder))
+
+
+# Chains of upright rules, one rule after the other from the bottom: (place, covered from, covered to).
+BRIDGES = f"""{RULES}, y AS (SELECT DISTINCT doc_id, page_number, y FROM lv), p AS (SELECT * FROM (SELECT doc_id, page_number, lag(y) OVER (PARTITION BY doc_id, page_number ORDER BY y DESC) AS upper, y AS lower FROM y) WHERE upper IS NOT NULL),
+    w AS (SELECT DISTINCT doc_id, page_number, floor(x + 0.5)::bigint AS x, ly, hy FROM up), wk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, x ORDER BY ly, hy) AS j FROM w),
+    ch AS (SELECT doc_id, page_number, x, j, ly AS start, hy AS reach FROM wk WHERE j = 1
+      UNION ALL SELECT wk.doc_id, wk.page_number, wk.x, wk.j, CASE WHEN wk.ly > ch.reach + 1.5 THEN wk.ly ELSE ch.start END, CASE WHEN wk.ly > ch.reach + 1.5 THEN wk.hy ELSE greatest(ch.reach, wk.hy) END FROM ch JOIN wk ON wk.doc_id = ch.doc_id AND wk.page_number = ch.page_number AND wk.x = ch.x AND wk.j = ch.j + 1),
+    e AS (SELECT doc_id, page_number, min(x) AS x0, max(x) AS x9 FROM w GROUP BY ALL),
+    c AS (SELECT doc_id, page_number, upper, lower, count(DISTINCT x) AS columns, bool_and(x - x0 <= 1.5 OR x9 - x <= 1.5) AS outr FROM p JOIN ch USING (doc_id, page_number) JOIN e USING (doc_id, page_number) WHERE start <= lower + 1.5 AND reach >= upper - 1.5 GROUP BY ALL),
+    br AS (SELECT p.*, coalesce(columns, 0) AS columns, coalesce(outr, true) AS outr FROM p LEFT JOIN c USING (doc_id, page_number, upper, lower))"""
+
+
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.segments(_boxes(spark, folder)).where("x2 > x1").select("doc_id", "page_number", F.col("y1").alias("y")).distinct()
+
+
+@query(f"WITH RECURSIVE {BRIDGES} SELECT doc_id, page_number, upper, lower, columns, outr AS \"outer\" FROM br")
+def line_bridges(spark: SparkSession, folder: str) -> DataFrame:
+    """Upright rules that lead from one level line to the next."""
+    return tables.bridges(_levels(spark, folder), tables.uprights(_boxes(spark, folder)))
+
+
+@query(
+    f"""WITH RECURSIVE {BRIDGES}, s AS (SELECT *, CASE WHEN columns = 0 THEN 'gone' WHEN coalesce(lag(columns) OVER o, 0) >= 3 AND columns < 3 AND NOT outr THEN 'shared' END AS parted FROM br WINDOW o AS (PARTITION BY doc_id, page_number ORDER BY lower DESC)),
+    g AS (SELECT *, count(parted) OVER (PARTITION BY doc_id, page_number ORDER BY lower DESC) AS grp FROM s)
+    SELECT doc_id, page_number, 0::bigint AS "group", max(y) AS y FROM y GROUP BY ALL UNION ALL SELECT doc_id, page_number, grp, lower FROM g UNION ALL SELECT doc_id, page_number, grp, upper FROM g WHERE parted = 'shared'"""
+)
+def grid_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Level lines grouped into tables."""
+    return tables.line_groups(_levels(spark, folder), tables.uprights(_boxes(spark, folder)))
+
+
+FRAMES = """b AS (SELECT DISTINCT doc_id, page_number, item_no AS seq, text, x AS x_left, x + coalesce(width, 0) AS x_right, y + font_size AS y_top, y AS y_bottom FROM raw_items), f AS (SELECT doc_id, page_number, floor(seq / 10)::int AS frame, min(x_left) AS x_min, max(x_right) AS x_max, min(y_bottom) AS y_min, max(y_top) AS y_max FROM b GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {FRAMES}, m AS (SELECT f.*, seq, text, x_left, x_right, (x_left + x_right) / 2 AS cx, (y_top + y_bottom) / 2 AS cy FROM f JOIN b USING (doc_id, page_number)),
+    d AS (SELECT *, coalesce(lag(cy) OVER w, y_min) - cy > 30 AS far FROM m WHERE cx BETWEEN x_min AND x_max AND cy < y_min WINDOW w AS (PARTITION BY doc_id, page_number, frame ORDER BY cy DESC, x_left, seq)),
+    e AS (SELECT * EXCLUDE (far, fars) FROM (SELECT *, count_if(far) OVER (PARTITION BY doc_id, page_number, frame ORDER BY cy DESC, x_left, seq) AS fars FROM d) WHERE fars = 0),
+    h AS (SELECT * FROM m WHERE x_left >= x_min - 30 AND x_right <= x_max + 30 AND cy BETWEEN y_min AND y_max UNION ALL SELECT * FROM e),
+    t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, frame ORDER BY cy DESC, x_left, seq) AS j, max(x_left) OVER o - min(x_left) OVER o AS wide FROM h WINDOW o AS (PARTITION BY doc_id, page_number, frame)),
+    k AS (SELECT * FROM t WHERE wide >= 50), r AS (SELECT doc_id, page_number, frame, j, seq, cy AS mark, 0 AS row FROM k WHERE j = 1
+      UNION ALL SELECT k.doc_id, k.page_number, k.frame, k.j, k.seq, CASE WHEN r.mark - k.cy > 8 THEN k.cy ELSE r.mark END, r.row + (r.mark - k.cy > 8)::int FROM r JOIN k ON k.doc_id = r.doc_id AND k.page_number = r.page_number AND k.frame = r.frame AND k.j = r.j + 1),
+    x AS (SELECT *, coalesce((cx - lag(cx) OVER (PARTITION BY doc_id, page_number, frame ORDER BY cx) >= 20)::int, 0) AS new FROM k), z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_number, frame ORDER BY cx RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::int AS col FROM x)
+    SELECT doc_id, page_number, frame, row, col AS "column", string_agg(text, ' ' ORDER BY x_left, z.seq) AS text FROM z JOIN r USING (doc_id, page_number, frame, j) WHERE cx BETWEEN x_min AND x_max GROUP BY ALL"""
+)
+def level_rule_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables between level rules only."""
+    items = table(spark, folder, "raw_items")
+    boxes = items.select("doc_id", "page_number", F.col("item_no").alias("seq"), "text", F.col("x").alias("x_left"), (F.col("x") + F.coalesce("width", F.lit(0.0))).alias("x_right"), (F.col("y") + F.col("font_size")).alias("y_top"), F.col("y").alias("y_bottom"))
+    frames = layout.once(boxes).groupBy("doc_id", "page_number", F.floor(F.col("seq") / 10).cast("int").alias("frame")).agg(F.min("x_left").alias("x_min"), F.max("x_right").alias("x_max"), F.min("y_bottom").alias("y_min"), F.max("y_top").alias("y_max"))
+    return tables.level_tables(frames, boxes)
+
+
 @query(
     """WITH b AS (SELECT DISTINCT * FROM text_boxes), g AS (SELECT doc_id, page_number, floor(seq / 10)::int AS grp, min(x_left) AS l, max(x_right) AS r, min(y_bottom) AS bo, max(y_top) AS t FROM b GROUP BY ALL)
     SELECT DISTINCT b.doc_id, b.page_number, b.seq, g.grp AS "group" FROM b JOIN g ON b.doc_id = g.doc_id AND b.page_number = g.page_number AND greatest(x_left, x_right) >= l - 10 AND least(x_left, x_right) <= r + 10 AND y_bottom >= bo - 10 AND y_bottom <= t + 10"""
@@ -485,10 +557,18 @@ WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
 def trigram_containment(spark: SparkSession, folder: str) -> DataFrame:
     """AG15, AG11, J17: how much of each version of a decision another one holds."""
     docs = table(spark, folder, "documents").where("docket is not null")
-    pairs = evaluation.ordered_pairs(docs, ["docket"], "doc_id")
-    texts = docs.select("doc_id", "text")
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta_"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb_"}), "b")
-    return evaluation.containment(both, "ta_", "tb_").select("a", "b", "a_in_b", "b_in_a")
+    return evaluation.contained_versions(docs, ["docket"], "doc_id", "text")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, docket, source, text, {WORDS.format("text")} AS w FROM documents WHERE docket IS NOT NULL),
+    s AS (SELECT doc_id, docket, source, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d),
+    p AS (SELECT a.source, CASE WHEN len(a.g) > 0 THEN round(len(list_intersect(a.g, b.g)) / len(a.g), 4) END AS ab, CASE WHEN len(b.g) > 0 THEN round(len(list_intersect(a.g, b.g)) / len(b.g), 4) END AS ba FROM s a JOIN s b ON a.docket = b.docket AND a.doc_id < b.doc_id)
+    SELECT source, count(*) AS documents, round(avg(ab), 4) AS a_in_b, round(avg(ba), 4) AS b_in_a FROM p GROUP BY source"""
+)
+def mean_containment(spark: SparkSession, folder: str) -> DataFrame:
+    """AG11: how much of each other versions hold, on average by source of the first."""
+    return evaluation.mean_containment(trigram_containment(spark, folder).join(table(spark, folder, "documents").select(F.col("doc_id").alias("a"), "source"), "a"), ["source"])
 
 
 NORMAL = "trim(regexp_replace(lower(regexp_replace({0}, '[®™]', '', 'g')), '[ \\t\\r\\n]+', ' ', 'g'))"
@@ -609,11 +689,14 @@ def json_fields(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").groupBy("event_type", k).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT doc_id, to_json({'success': markdown IS NOT NULL, 'source': doc_id, 'length': length(markdown)}) AS envelope FROM (SELECT DISTINCT doc_id, markdown FROM documents_out WHERE markdown IS NOT NULL)")
+@query(
+    """WITH r AS (SELECT DISTINCT doc_id, markdown, title FROM documents_out)
+    SELECT doc_id, md5('{"success":' || (markdown IS NOT NULL)::varchar || ',"source":' || to_json(doc_id)::varchar || coalesce(',"title":' || to_json(title)::varchar, '') || coalesce(',"length":' || length(markdown) || ',"markdown":' || to_json(markdown)::varchar, '') || '}') AS digest FROM r"""
+)
 def json_envelopes(spark: SparkSession, folder: str) -> DataFrame:
     """Results as JSON, without the fields that have no value."""
-    rows = table(spark, folder, "documents_out").where("markdown is not null").select("doc_id", "markdown").distinct()
-    return rows.select("doc_id", F.to_json(F.struct(F.col("markdown").isNotNull().alias("success"), F.col("doc_id").alias("source"), F.length("markdown").alias("length"))).alias("envelope"))
+    rows = table(spark, folder, "documents_out").select("doc_id", "markdown", "title").distinct()
+    return rows.select("doc_id", F.md5(evaluation.envelope()).alias("digest"))
 
 
 @query(
@@ -626,6 +709,23 @@ def judge_tasks(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.judge_tasks(outputs.drop("k"))
 
 
+@query(
+    """WITH f AS (SELECT DISTINCT docket FROM documents WHERE docket IS NOT NULL AND version IS NOT NULL ORDER BY docket LIMIT 200),
+    o AS (SELECT DISTINCT docket, version::varchar AS tool, md5(text) AS h FROM documents JOIN f USING (docket) WHERE version IS NOT NULL),
+    t AS (SELECT sha256(to_json({'a': x.tool, 'b': y.tool, 'doc_id': x.docket, 'ha': x.h, 'hb': y.h})::varchar) AS task_id, x.docket AS doc_id, x.tool AS a, y.tool AS b, x.tool < y.tool AS judged FROM o x JOIN o y ON x.docket = y.docket AND x.tool <> y.tool)
+    SELECT judged, count(*) AS tasks, count(DISTINCT doc_id) AS documents FROM t GROUP BY judged"""
+)
+def judge_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """The tasks of the first 200 dockets, those that the journal has and those that are left; the limit is the feature."""
+    rows = table(spark, folder, "documents").where("docket is not null and version is not null")
+    outputs = rows.select(F.col("docket").alias("doc_id"), F.col("version").cast("string").alias("tool"), "text").distinct()
+    tasks = evaluation.judge_tasks(evaluation.first_documents(outputs, 200))
+    journal = tasks.where("a < b").select("task_id", F.lit("A").alias("winner"))
+    done, left = evaluation.recorded(tasks, journal, ["task_id"]), evaluation.remaining(tasks, journal, ["task_id"])
+    both = done.withColumn("judged", F.lit(True)).unionByName(left.withColumn("judged", F.lit(False)))
+    return both.groupBy("judged").agg(F.count("*").alias("tasks"), F.count_distinct("doc_id").alias("documents"))
+
+
 @query("SELECT doc_id, converter, converted_at FROM documents_out QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY converted_at DESC NULLS LAST) = 1")
 def latest_results(spark: SparkSession, folder: str) -> DataFrame:
     """The last result of each document."""

@@ -249,3 +249,37 @@ def test_tiny_type_and_compounds(spark):
     texts = {"knowledge-based tech-\n\nniques": "knowledge-based techniques", "state-of-the-\n\nart": "state-of-the-art", "a dash-\n\nNew": "a dash-\n\nNew", "list:\n\n- item": "list:\n\n- item", "Spół-\n\ndzielnia": "Spółdzielnia", "": ""}
     got = {r.t: r.d for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.dehyphenated(F.col("t")).alias("d")).collect()}
     assert got == texts
+
+
+def test_rules_and_tables(spark):
+    from folioforge.operators import tables
+
+    kinds = "doc_id string, page_number int, seq int, id string, text string, x_left double, x_right double, y_top double, y_bottom double, font_size double, is_bold boolean"
+    cells = [("Name", 80.0, 120.0, 700.0), ("Age", 200.0, 230.0, 700.0), ("Ann", 80.0, 110.0, 680.0), ("31", 200.0, 215.0, 678.0), ("below", 80.0, 118.0, 655.0), ("far", 80.0, 100.0, 500.0)]
+    b = spark.createDataFrame([("t", 1, k, f"t{k}", t, x, r, y, y - 10, 10.0, False) for k, (t, x, r, y) in enumerate(cells)] * 2, kinds)
+    frames = spark.createDataFrame([("t", 1, 7, 70.0, 240.0, 665.0, 710.0)], "doc_id string, page_number int, frame int, x_min double, x_max double, y_min double, y_max double")
+    got = {(r.row, r.column): r.text for r in tables.level_tables(frames, b).collect()}
+    assert got == {(0, 0): "Name", (0, 1): "Age", (1, 0): "Ann", (1, 1): "31", (2, 0): "below"}
+    assert tables.level_tables(frames.limit(0), b).count() == 0
+    lines = [(70.0, y, 240.0, y) for y in (710.0, 690.0, 670.0, 600.0)]
+    walls = [(x, a, x, z) for x in (70.0, 150.0, 200.0, 240.0) for a, z in ((691.0, 710.0), (669.0, 690.0))]
+    rules = spark.createDataFrame([("t", 1, *r) for r in lines + walls[:-1] + walls[:1]], "doc_id string, page_number int, x1 double, y1 double, x2 double, y2 double")
+    levels = rules.where("y1 = y2").select("doc_id", "page_number", F.col("y1").alias("y"))
+    found = {(r.upper, r.lower): (r.columns, r.outer) for r in tables.bridges(levels, rules).collect()}
+    assert found == {(710.0, 690.0): (4, False), (690.0, 670.0): (3, False), (670.0, 600.0): (0, True)}
+    groups = sorted((r.group, r.y) for r in tables.line_groups(levels, rules).collect())
+    assert groups == [(0, 670.0), (0, 690.0), (0, 710.0), (1, 600.0)]
+    # Where only few walls go on inside, the line belongs to both groups.
+    fewer = rules.where("not (y1 = 669 and x1 <> 150)")
+    assert sorted((r.group, r.y) for r in tables.line_groups(levels, fewer).collect()) == [(0, 690.0), (0, 710.0), (1, 670.0), (1, 690.0), (2, 600.0)]
+    rays = {r.seq: (r.up, r.down, r.left, r.right) for r in tables.rays(b, rules).collect()}
+    assert rays[0] == (True, True, True, True) and rays[5] == (True, False, False, False)
+    assert tables.rays(b, rules.limit(0)).count() == 0 and tables.bridges(levels.limit(0), rules).count() == 0
+
+
+def test_versions_and_journals(spark):
+    rows = spark.createDataFrame([(1, "d", "a b c d"), (2, "d", "a b c x"), (3, "d", "a b"), (4, "e", "a b c d"), (5, "d", None), (1, "d", "a b c d")], "k int, docket string, text string")
+    got = {(r.a, r.b): (r.a_in_b, r.b_in_a) for r in evaluation.contained_versions(rows, ["docket"], "k", "text").collect()}
+    assert got[1, 2] == (0.5, 0.5) and got[1, 3] == (0.0, None) and len(got) == 6
+    assert evaluation.first_documents(rows, 0, "k").count() == 6 and {r.k for r in evaluation.first_documents(rows, 2, "k").collect()} == {1, 2}
+    assert {r.k for r in evaluation.recorded(rows, rows.where("k = 3"), ["k"]).collect()} == {3}
