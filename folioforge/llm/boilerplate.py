@@ -91,7 +91,7 @@ class Line:
 
     kind: str
     shapes: tuple[str, ...]
-    words: frozenset[str]
+    words: set[str]
     #: Whether it links to its own site, and whether it reads as a sentence.
     inside: bool
     sentence: bool
@@ -105,7 +105,7 @@ def seen(line: str, names: tuple[str, ...]) -> Line:
     links = LINK.findall(s) if "](" in s else ()
     plain = LINK.sub(r"\1", LINK.sub(r"\1", s)) if links else s
     bones = DIGITS.sub("0", skeleton(plain))
-    key = line_key(line) if links or s[0] == "#" else key_of(bones)
+    key = line_key(line) if links or s[0] == "#" else key_of(bones, True)
     words = PIECE.findall(bones)
     if names and not (own := OWN_WORDS[names]).isdisjoint(words):
         words = ["<site>" if w in own else w for w in words]
@@ -137,7 +137,7 @@ def seen(line: str, names: tuple[str, ...]) -> Line:
     told = {*words}
     if len(words) <= PAIRED:
         told.update(f"{a} {b}" for a, b in zip(words, words[1:]))
-    return Line(kind, shapes, frozenset(told), inside, spaced and s[-1] in ENDS and not links and kind == "prose", key)
+    return Line(kind, shapes, told, inside, spaced and s[-1] in ENDS and not links and kind == "prose", key)
 
 
 def places(lines: list[str], at: list[int], mine: list[Line]) -> list[tuple[int, int, int]]:

@@ -25,6 +25,7 @@ CLASSES = ("letter", "digit", "space", "sentence", "quote", "line", "symbol")
 LETTER, DIGIT, SPACE, SENTENCE, QUOTE, LINE, SYMBOL = range(len(CLASSES))
 #: Shapes of lines, by which the characters of a body are shared out.
 SHAPES = ("sentence", "list", "table", "pairs", "fields", "log", "code", "symbols", "words", "other")
+PLACE = {name: k for k, name in enumerate(SHAPES)}
 #: Distributions of the structural profiles over CLASSES, and the share of function words among their words.
 # What such texts look like, rounded.
 STRUCTURES = {
@@ -46,7 +47,6 @@ END = re.compile(r"[.!?…:;][\"'”»’)\]]*$")
 MARK = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
 PAIR = re.compile(r"^[^\s:][^:]{0,40}:\s\S{0,30}(?:\s\S{1,20})?$")
 TIMED, LEVEL = re.compile(r"\d\d:\d\d(?::\d\d)?\b.*\w="), re.compile(r"\b(?:INFO|WARN|DEBUG|ERROR|TRACE)\b.*\d")
-LEVELS = ("INFO", "WARN", "DEBUG", "ERROR", "TRACE")
 ASCII_SIGNS = re.compile(r"[!-/:-@\[-`{-~]+")
 SIGNS = re.compile(r"[{}()\[\]=;<>+*/\\|^~_#]")
 
@@ -81,56 +81,59 @@ def classes(text: str) -> np.ndarray:
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence of ``p`` from each row of ``q``, in bits: 0 for equal, 1 for disjoint distributions."""
-    p, q = p / max(p.sum(), 1e-12), q / np.maximum(q.sum(axis=-1, keepdims=True), 1e-12)
+    p, q = (x / np.maximum(x.sum(axis=-1, keepdims=True), 1e-12) for x in (p, q))
     m = np.log2(np.maximum((p + q) / 2, 1e-300))
     a = (p * (np.log2(np.maximum(p, 1e-300)) - m)).sum(axis=-1)
     b = (q * (np.log2(np.maximum(q, 1e-300)) - m)).sum(axis=-1)
     return np.maximum(0.0, (a + b) / 2)
 
 
-def shape(line: str) -> str:
-    """The shape of one line by itself; a piece of running text is 'run'."""
-    s = line.strip()
+def shape(s: str) -> tuple[str, int]:
+    """The shape of one stripped line by itself, a piece of running text being 'run', and how many pieces stand between its spaces."""
     tight = s.replace(" ", "")
     signs = sum(map(len, ASCII_SIGNS.findall(tight)))
     if signs > 0.6 * len(tight):
-        return "table" if s.startswith("|") and s.endswith("|") and set(tight) <= set("|-:") else "symbols"
+        return "table" if s.startswith("|") and s.endswith("|") and set(tight) <= set("|-:") else "symbols", 0
     if s.startswith("|") and s.endswith("|") and len(s) > 1:
-        return "table"
+        return "table", 0
     if "\t" in s and s.count("\t") >= 2:
-        return "fields"
+        return "fields", 0
     # What a pattern cannot match without is looked for first.
-    if "=" in s and ":" in s and TIMED.search(s) or any(x in s for x in LEVELS) and LEVEL.search(s):
-        return "log"
+    if "=" in s and ":" in s and TIMED.search(s) or ("INFO" in s or "WARN" in s or "DEBUG" in s or "ERROR" in s or "TRACE" in s) and LEVEL.search(s):
+        return "log", 0
     if signs > 6 and (marks := len(SIGNS.findall(s))) > 6 and marks > 0.1 * len(s) and not s.startswith(("[", "!")):
-        return "code" if re.search(r"[(){};=]", s) and "](" not in s else "words" if " / " in s else "run"
+        return "code" if re.search(r"[(){};=]", s) and "](" not in s else "words" if " / " in s else "run", len(s.split())
     words = s.split()
     if len(s) > 40 and len(s) > 30 * len(words) and s.isascii():
-        return "code"
+        return "code", 0
     if (s[0] in "-*+•" or s[0].isdigit()) and MARK.match(s):
         # An item that is a whole sentence is prose with a dash before it.
-        return "run" if len(words) > 8 and END.search(s) else "list"
+        return "run" if len(words) > 8 and END.search(s) else "list", len(words)
     if len(words) <= 6 and ", " in s and any(c.isdigit() for c in s) and not END.search(s) and all(len(f.split()) <= 2 for f in s.split(", ")) and s.split(", ")[-1].replace(".", "").isdigit():
-        return "fields"
+        return "fields", 0
     if len(words) <= 5 and PAIR.match(s):
-        return "pairs"
-    return "run"
+        return "pairs", 0
+    return "run", len(words)
 
 
 def shapes(lines: list[str], common: frozenset[str]) -> np.ndarray:
     """Characters of ``lines`` by shape. Neighbouring pieces of running text are one paragraph, however they are broken."""
     out = np.zeros(len(SHAPES))
     block: list[str] = []
+    pieces = 0
 
     def close() -> None:
+        nonlocal pieces
         if not block:
             return
         text = " ".join(block)
-        size, words = len(text), text.split()
-        stops = text.count(". ") + text.count("! ") + text.count("? ") + bool(END.search(text[-8:]))
-        if stops and len(words) >= 4 * stops and len(words) >= 6 or END.search(text[-8:]) and len(words) >= 4:
+        size, n, ended = len(text), pieces, bool(END.search(text[-8:]))
+        pieces = 0
+        stops = text.count(". ") + text.count("! ") + text.count("? ") + ended
+        if stops and n >= 4 * stops and n >= 6 or ended and n >= 4:
             out[0] += size
-        elif len(words) >= 6:
+        elif n >= 6:
+            words = text.split()
             known = sum(w.lower().strip(",;:()") in common for w in words)
             out[0 if known >= 0.5 * len(words) or not text.isascii() and known == 0 and stops else 8] += size
         else:
@@ -148,11 +151,15 @@ def shapes(lines: list[str], common: frozenset[str]) -> np.ndarray:
             out[6] += len(line)
         elif line.startswith("#") and re.match(r"#{1,6}\s", line):
             close()
-        elif (kind := shape(line)) == "run":
-            block.append(line.strip())
         else:
-            close()
-            out[SHAPES.index(kind)] += len(line)
+            bare = line.strip()
+            kind, n = shape(bare)
+            if kind == "run":
+                block.append(bare)
+                pieces += n
+            else:
+                close()
+                out[PLACE[kind]] += len(line)
     close()
     return out
 
@@ -210,14 +217,15 @@ class Profiles:
         self.shapes = np.full((len(rows), len(SHAPES)), 0.01)
         self.shapes[np.arange(len(rows)), [SHAPES.index(r[3]) for r in rows]] = 0.9
 
-    def nearest(self, found: dict) -> tuple[str, float]:
-        """The nearest profile and its weighted divergence; 'empty' where there is no text. Ties fall to the first."""
-        if not found["words"] and not found["shapes"].sum():
-            return "empty", 0.0
-        f = np.array([found["function"], 1 - found["function"]])
-        d = WEIGHTS[0] * divergence(found["chars"], self.chars) + WEIGHTS[1] * divergence(f, self.function) + WEIGHTS[2] * divergence(found["shapes"], self.shapes)
-        k = int(d.argmin())
-        return self.names[k], float(d[k])
+    def nearest(self, found: list[dict]) -> list[tuple[str, float]]:
+        """The nearest profile of each body and its weighted divergence; 'empty' where there is no text. Ties fall to the first."""
+        if not found:
+            return []
+        rows = lambda name: np.array([f[name] for f in found], float)[:, None, :]
+        share = np.array([f["function"] for f in found])
+        d = WEIGHTS[0] * divergence(rows("chars"), self.chars) + WEIGHTS[1] * divergence(np.stack([share, 1 - share], axis=1)[:, None, :], self.function) + WEIGHTS[2] * divergence(rows("shapes"), self.shapes)
+        at = d.argmin(axis=1)
+        return [("empty", 0.0) if not f["words"] and not f["shapes"].sum() else (self.names[k], float(d[i, k])) for i, (f, k) in enumerate(zip(found, at.tolist()))]
 
 
 def prose_profiles(texts: DataFrame, common: dict[str, frozenset[str]]) -> dict[str, tuple[np.ndarray, float]]:
@@ -276,17 +284,18 @@ def quality(found_: Pages, common_words: DataFrame) -> DataFrame:
     def run(batches):
         by, every, profiles, model = sent.value
         for batch in batches:
-            rows = []
+            rows, bodies, proofs = [], [], []
             for text, host, web, keys in zip(*(batch.column(c).to_pylist() for c in ("markdown", "host", "web", "recurring"))):
                 lines = text.split("\n")
                 gone = set(furniture(text, host, frozenset(keys or ()), model)) if web else set()
                 found = counted(body(lines, gone), by, every)
-                name, d = profiles.nearest(found)
                 # Problem 3's residual; the counts are its own where there is no code.
                 plain = outside_code(lines, gone)
                 often = frozenset(keys or ())
                 others = outside_code(lines, repeated(lines, host, often, model))
-                proof = evidence(plain, others, found["sums"] if len(plain) == found["lines"] else None)
+                proofs.append(evidence(plain, others, found["sums"] if len(plain) == found["lines"] else None))
+                bodies.append(found)
+            for found, proof, (name, d) in zip(bodies, proofs, profiles.nearest(bodies)):
                 verdict = None if proof or name == "empty" else name.startswith("prose")
                 rows.append((found["words"], found["mean_word_length"], found["symbol_ratio"], found["ended_lines"], found["common_words"], found["lang"], name, d, proof, verdict))
             c = list(zip(*rows)) or [()] * len(types)

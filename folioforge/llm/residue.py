@@ -68,6 +68,8 @@ WORDS = re.compile(r"[^\W\d_]{2,}")
 SENTENCES = re.compile(r"(?<=[.!?])\s+")
 #: A greeting or label of a few words around a bracket.
 ADDRESSED = re.compile(r"^(?:[^\W\d_]+ ){1,3}[\[<«{][^\W\d_]+(?:[ _-][^\W\d_]+){0,3}[\]>»}][,:!]$")
+#: Signs of Markdown around a line, and characters of the longest prompt.
+MARKS, LONGEST = "#*_>- \t", max(map(len, PROMPTS))
 #: Words of real text beside which a message is only a notice.
 REAL = 12
 #: The share of a residual that filler must make up.
@@ -146,7 +148,7 @@ def evidence(lines: list[str], others: list[str] | None = None, words: Counter |
 
 def bone(line: str) -> str:
     """A line's skeleton without the signs of Markdown around it."""
-    return skeleton(line.strip("#*_>- \t"))
+    return skeleton(line.strip(MARKS))
 
 
 def message(lines: list[str]) -> str | None:
@@ -174,7 +176,9 @@ def prompted(lines: list[str]) -> bool:
     """Whether there are prompts and at most REAL words of text beside them; ends as soon as there are more."""
     found, real = False, 0
     for x in lines:
-        if bone(x) in PROMPTS:
+        bare = x.strip(MARKS)
+        # No ASCII text longer than the prompts is one.
+        if not (len(bare) > LONGEST and bare.isascii()) and skeleton(bare) in PROMPTS:
             found = True
         else:
             real += _real(x, x)

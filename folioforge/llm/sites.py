@@ -50,9 +50,9 @@ def skeleton(line: str) -> str:
     return line.lower() if line.isascii() else ODD_WORD.sub(lambda m: BONES[m[0]], line).lower()
 
 
-def key_of(bones: str) -> int:
-    """The key of a line from its skeleton without link targets."""
-    bones = bones if bones.startswith("#") else DIGITS.sub("0", bones)
+def key_of(bones: str, plain: bool = False) -> int:
+    """The key of a line from its skeleton without link targets; ``plain`` says that its figures are folded."""
+    bones = bones if plain or bones.startswith("#") else DIGITS.sub("0", bones)
     return xxhash.xxh3_64_intdigest(bones.strip("#*_+-•>: \t\r")) - (1 << 63)
 
 
