@@ -59,6 +59,10 @@ def token_counts(df: DataFrame, key: str, text: str, path: str | None = None) ->
     return source.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, tokens bigint").withColumnRenamed("key", key)
 
 
+#: Ranges of bins for each size of an item that a plan may need.
+MOST_RANGES = 32
+
+
 def plan(counts: dict[int, int], lengths: tuple[int, ...] = LENGTHS, opening: int = OPENING) -> list[tuple[int, dict[int, int], int]]:
     """Bins for items counted by size: [(how many, {size: items in each}, final length)].
 
@@ -145,8 +149,10 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
             taken[size] += used * each
         base += used
     spark = df.sparkSession
-    # A few rows for each size, whatever the number of documents: safe to send to every task.
-    shelf = F.broadcast(spark.createDataFrame(ranges, "size bigint, low bigint, high bigint, each int, base bigint, bin_length int"))
+    # A few rows for each size, whatever the number of documents: sent to every task where that holds.
+    shelf = spark.createDataFrame(ranges, "size bigint, low bigint, high bigint, each int, base bigint, bin_length int")
+    if len(ranges) <= MOST_RANGES * capacity:
+        shelf = F.broadcast(shelf)
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     # Ranks within a size and slot: a size that a third of all documents have is still spread over all slots.
     ranked = loose.withColumn("at", F.row_number().over(Window.partitionBy("size", "slot").orderBy(F.col(key).asc_nulls_first(), "part")) - 1)

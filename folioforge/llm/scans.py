@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.boosting import Boosted
@@ -444,19 +444,26 @@ def ranking_model(words: list[tuple[str, int]], seed: int = 5) -> Boosted:
     return Boosted().fit(np.array(x or np.zeros((0, 8))), np.array(y))
 
 
+def least_shared(q: Column, length: Column) -> Column:
+    """How many grams a candidate must share with a word."""
+    return F.when((q == 3) | (length > 3), 2).otherwise(1)
+
+
 def corrections(suspects: DataFrame, vocabulary: DataFrame, model: Boosted) -> DataFrame:
     """``word, true, p``: the best replacement of each suspect word and its probability.
 
     ``suspects`` has ``word, n``; ``vocabulary`` has ``word, df``. Candidates come
     from an inverted join on q-grams and lengths, so that only words that share
-    grams and could be as long ever meet.
+    grams and could be as long ever meet. Two words that must share two grams share
+    one besides any: the gram of a word that most of the vocabulary has is not
+    looked up, and neither are those that none has. What is shared is counted when a pair is scored.
     """
 
     def asked(batches):
         for batch in batches:
-            rows = [(w, n, q, g, size) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()) for q in (width(w),) for g in grams(w, q) for size in range(max(1, len(w) - 2), len(w) + 2)]
-            c = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.string()), pa.array(c[4], pa.int32())], names=["word", "n", "q", "gram", "size"])
+            rows = [(w, n, q, g) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()) for q in (width(w),) for g in grams(w, q)]
+            c = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.string())], names=["word", "n", "q", "gram"])
 
     def posted(batches):
         for batch in batches:
@@ -464,16 +471,20 @@ def corrections(suspects: DataFrame, vocabulary: DataFrame, model: Boosted) -> D
             c = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.string()), pa.array(c[4], pa.int32())], names=["true", "df", "q", "gram", "size"])
 
-    left = suspects.mapInArrow(asked, "word string, n bigint, q int, gram string, size int")
     right = vocabulary.where(F.col("df") >= LEAST_DF).select("word", "df").mapInArrow(posted, "true string, df bigint, q int, gram string, size int")
+    often = right.groupBy("q", "gram").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("word", "q").orderBy(F.desc("often"), "gram"))
+    left = suspects.mapInArrow(asked, "word string, n bigint, q int, gram string").join(often, ["q", "gram"]).withColumn("place", place)
+    left = left.where((F.col("place") > 1) | (least_shared(F.col("q"), F.length("word")) < 2)).select("word", "n", "q", "gram", F.explode(F.sequence(F.greatest(F.length("word") - 2, F.lit(1)), F.length("word") + 1)).alias("size"))
     met = left.join(right, ["q", "gram", "size"]).where(F.col("n") <= F.greatest(F.lit(1.0), RARE * F.col("df")))
-    pairs = met.groupBy("word", "n", "true", "df", "q").agg(F.count("*").alias("shared"))
-    pairs = pairs.where(F.col("shared") >= F.when(F.col("q") == 3, 2).otherwise(F.when(F.length("word") <= 3, 1).otherwise(2)))
+    pairs = met.groupBy("word", "n", "true", "df", "q").agg(F.lit(1).alias("met"))
 
     def score(batches):
         for batch in batches:
             rows = []
-            for w, n, t, d in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "true", "df"))):
+            for w, n, t, d, q in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "true", "df", "q"))):
+                if len(grams(w, q) & grams(t, q)) < (2 if q == 3 or len(w) > 3 else 1):
+                    continue
                 f = pair_features(w, t, n, d)
                 if f[0] <= 2:
                     rows.append((w, t, f))
@@ -481,7 +492,7 @@ def corrections(suspects: DataFrame, vocabulary: DataFrame, model: Boosted) -> D
             # The ranking needs the cost as a tie-breaker between equally likely words.
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([float(v) for v in p], pa.float64()), pa.array([r[2][0] for r in rows], pa.float64()), pa.array([r[2][3] for r in rows], pa.float64())], names=["word", "true", "p", "cost", "weight"])
 
-    scored = pairs.select("word", "n", "true", "df").mapInArrow(score, "word string, true string, p double, cost double, weight double")
+    scored = pairs.select("word", "n", "true", "df", "q").mapInArrow(score, "word string, true string, p double, cost double, weight double")
     best = F.max_by(F.struct("true", "p", "cost"), F.struct("p", -F.col("cost"), "weight", "true"))
     return scored.groupBy("word").agg(best.alias("b")).select("word", "b.*")
 

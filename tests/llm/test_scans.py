@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from folioforge.llm import scans
 from folioforge.llm.boosting import Boosted
 
@@ -121,3 +124,35 @@ def test_mended():
     fixes = [fix(1, "misread", "stor@ge", "storage"), fix(1, "hyphen", "mea", "measured"), fix(2, "kept", "first", "first-class"), fix(3, "furniture"), fix(4, "furniture")]
     assert scans.mended(lines, fixes) == "Title\n\nThe storage of measured, and a first-class things.\n\nNext."
     assert scans.mended([], []) == "" and scans.mended(["", " "], []) == ""
+
+
+@pytest.mark.parametrize("size", [60, 400])
+def test_candidates_are_those_of_all_pairs(spark, size):
+    """However many words the vocabulary has, the join finds what comparing all pairs finds."""
+    r = random.Random(size)
+    parts = "an en er st ri lo ma te ung ion ver ge mi no al cl rn".split()
+    vocabulary = sorted({"".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(size)})
+    df = {w: r.choice([5, 40, 400]) for w in vocabulary}
+    spoil = [p.split(":") if ":" in p else (p[0], p[1]) for p in scans.CONFUSIONS]
+    suspects = {}
+    for w in vocabulary[::3]:
+        options = [(a, b) for a, b in spoil if a in w]
+        if options:
+            a, b = r.choice(options)
+            suspects[w.replace(a, b, 1)] = 1
+    suspects |= {w: df[w] for w in vocabulary[1::7]}
+    model = scans.ranking_model(sorted(df.items()))
+    got = {x.word: x.true for x in scans.corrections(spark.createDataFrame(sorted(suspects.items()), "word string, n bigint"), spark.createDataFrame(sorted(df.items()), "word string, df bigint"), model).collect()}
+    want = {}
+    for w, n in suspects.items():
+        q = scans.width(w)
+        for t, d in df.items():
+            if n > max(1, scans.RARE * d) or not max(1, len(w) - 2) <= len(t) <= len(w) + 1 or not (len(t) <= 7 if q == 2 else len(t) >= 4):
+                continue
+            if len(scans.grams(w, q) & scans.grams(t, q)) < (2 if q == 3 or len(w) > 3 else 1):
+                continue
+            f = scans.pair_features(w, t, n, d)
+            if f[0] <= 2:
+                p = float(model.probability(np.array([f]))[0])
+                want[w] = max(want.get(w, ()), (p, -f[0], f[3], t))
+    assert got == {w: x[3] for w, x in want.items()} and len(got) > size / 10
