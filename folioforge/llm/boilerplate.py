@@ -14,6 +14,7 @@ It knows words only from there, so it serves any language and vocabulary.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -29,8 +30,8 @@ from folioforge.runtime import cut
 
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)\)")
 HEAD, ITEM, TABLE = re.compile(r"^#{1,6}\s"), re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+"), re.compile(r"^\s*\|.*\|\s*$")
-#: Words and signs of a skeleton, which is ASCII.
-PIECE = re.compile(r"[a-z0-9]+|[^a-z0-9\s_]")
+#: Signs of a skeleton, which is ASCII, stand between its words; a star stands for letters beyond ASCII.
+BETWEEN = str.maketrans(dict.fromkeys((c for c in string.punctuation if c != "*"), " "))
 ENDS = ".!?…”»\"'"
 
 #: Hashed features of a line: the table of weights has two to the power of this.
@@ -106,10 +107,10 @@ def seen(line: str, names: tuple[str, ...]) -> Line:
     plain = LINK.sub(r"\1", LINK.sub(r"\1", s)) if links else s
     bones = DIGITS.sub("0", skeleton(plain))
     key = line_key(line) if links or s[0] == "#" else key_of(bones, True)
-    words = PIECE.findall(bones)
+    words = bones.translate(BETWEEN).split()
     if names and not (own := OWN_WORDS[names]).isdisjoint(words):
         words = ["<site>" if w in own else w for w in words]
-    n = sum(map(str.isalnum, words)) + words.count("<site>")
+    n = len(words)
     spaced = s.count(" ") >= 7 and len(s.split()) >= 8
     if s[0] == "|" and TABLE.match(s):
         kind = "table"
@@ -167,16 +168,18 @@ class Classifier:
         return Classifier, (self.weights, self.start)
 
     def line(self, line: str, names: tuple[str, ...]) -> tuple[Line, float]:
-        """The line and its log-odds but for its place; kept for the next page that has it."""
+        """The line and its log-odds but for its place; kept for the next page that has it, but for sentences, which few have."""
         got = self.memo.get((line, names))
         if got is None:
             x = seen(line, names)
             v = self.shape[x.shapes]
             if x.words:
                 v += WORDS / len(x.words) ** 0.5 * sum(map(self.known.__getitem__, x.words))
-            if len(self.memo) >= 50_000:
-                self.memo.clear()
-            got = self.memo[line, names] = (x, v)
+            got = x, v
+            if not x.sentence:
+                if len(self.memo) >= 50_000:
+                    self.memo.clear()
+                self.memo[line, names] = got
         return got
 
     def odds(self, shapes: list[int], words: list[int]) -> float:
@@ -305,7 +308,12 @@ def furniture(text: str, host_: str | None = None, often: frozenset[int] = froze
     say. A page has a main body: where the cut leaves nothing but headings, the
     neighbouring lines with the least evidence stay. A blank text has no lines.
     """
-    model, names, lines = model or Classifier(), site_names(host_), text.split("\n")
+    return sorted(parted(text.split("\n"), host_, often, model or Classifier())[0])
+
+
+def parted(lines: list[str], host_: str | None, often: frozenset[int], model: Classifier) -> tuple[set[int], set[int]]:
+    """Numbers of the lines that are furniture, and of those that recur on the host."""
+    names = site_names(host_)
     at = [k for k, x in enumerate(lines) if x and not x.isspace()]
     judged = [model.line(lines[k], names) for k in at]
     found, fenced, weights = [], False, model.place
@@ -317,7 +325,7 @@ def furniture(text: str, host_: str | None = None, often: frozenset[int] = froze
     gone = _cut(lines, found)
     if gone and all(f[1] == "head" for f in found if f[0] not in gone):
         gone -= _body(found, gone)
-    return sorted(gone)
+    return gone, {k for k, (x, _) in zip(at, judged) if x.key in often} if often else set()
 
 
 def _body(found: list[tuple], gone: set[int]) -> set[int]:

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.boilerplate import Pages, furniture
-from folioforge.llm.residue import evidence, outside_code, repeated
+from folioforge.llm.boilerplate import Pages
+from folioforge.llm.residue import evidence, outside_code, removed
 
 #: Character classes.
 CLASSES = ("letter", "digit", "space", "sentence", "quote", "line", "symbol")
@@ -287,12 +287,11 @@ def quality(found_: Pages, common_words: DataFrame) -> DataFrame:
             rows, bodies, proofs = [], [], []
             for text, host, web, keys in zip(*(batch.column(c).to_pylist() for c in ("markdown", "host", "web", "recurring"))):
                 lines = text.split("\n")
-                gone = set(furniture(text, host, frozenset(keys or ()), model)) if web else set()
+                gone, again = removed(lines, host, web, frozenset(keys or ()), model)
                 found = counted(body(lines, gone), by, every)
                 # Problem 3's residual; the counts are its own where there is no code.
                 plain = outside_code(lines, gone)
-                often = frozenset(keys or ())
-                others = outside_code(lines, repeated(lines, host, often, model))
+                others = outside_code(lines, again) if gone or again else plain
                 proofs.append(evidence(plain, others, found["sums"] if len(plain) == found["lines"] else None))
                 bodies.append(found)
             for found, proof, (name, d) in zip(bodies, proofs, profiles.nearest(bodies)):

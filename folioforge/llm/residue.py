@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.boilerplate import Classifier, Pages, furniture, site_names
+from folioforge.llm.boilerplate import Classifier, Pages, parted
 from folioforge.llm.sites import folded, line_key, skeleton
 from folioforge.runtime import cut
 
@@ -80,15 +80,14 @@ SHORT, LEAST_TEXTS, LEAST_HOSTS = 40, 5, 3
 
 def residual(text: str, host: str | None, web: bool, often: frozenset[int] = frozenset(), model: Classifier | None = None) -> tuple[list[str], list[str]]:
     """The lines of ``text`` without its site's furniture and without code, and those that only do not recur on its site."""
-    model, lines = model or Classifier(), text.split("\n")
-    gone = set(furniture(text, host, often, model)) if web else set()
-    return outside_code(lines, gone), outside_code(lines, repeated(lines, host, often, model))
+    lines = text.split("\n")
+    gone, again = removed(lines, host, web, often, model or Classifier())
+    return outside_code(lines, gone), outside_code(lines, again)
 
 
-def repeated(lines: list[str], host: str | None, often: frozenset[int], model: Classifier) -> set[int]:
-    """Numbers of the lines that recur on the host, by the keys that the classifier has just made."""
-    names = site_names(host)
-    return {k for k, x in enumerate(lines) if x and not x.isspace() and model.line(x, names)[0].key in often} if often else set()
+def removed(lines: list[str], host: str | None, web: bool, often: frozenset[int], model: Classifier) -> tuple[set[int], set[int]]:
+    """Numbers of the lines of a record that are its site's furniture, and of those that recur there; none without a URL."""
+    return parted(lines, host, often, model) if web else (set(), set())
 
 
 def outside_code(lines: list[str], gone: set[int]) -> list[str]:
