@@ -253,9 +253,9 @@ def without_running_heads(pages: list[dict]) -> None:
         page["boxes"] = [b for b in page["boxes"] if not (b["text"] in gone and margin(page, b))]
 
 
-def columns(boxes: list[dict], depth: int = 0) -> list[list[dict]]:
-    """Groups in reading order: cut at empty bands across, then at gutters, again and again."""
-    if len(boxes) < 6 or depth > 6:
+def columns(boxes: list[dict]) -> list[list[dict]]:
+    """Groups in reading order: cut at empty bands across, then at gutters, again and again; every cut leaves smaller groups."""
+    if len(boxes) < 6:
         return [boxes]
     spans = sorted((b["left"], b["right"]) for b in boxes)
     right, cuts = spans[0][1], []
@@ -267,18 +267,22 @@ def columns(boxes: list[dict], depth: int = 0) -> list[list[dict]]:
         sides = [b for b in boxes if b["right"] <= cut], [b for b in boxes if b["left"] >= cut]
         # Columns of text hold lines of words on both sides, tables short cells.
         if all(len(s) >= 4 and sum(len(b["text"].split()) >= 3 for b in s) >= 0.6 * len(s) for s in sides):
-            return columns(sides[0], depth + 1) + columns(sides[1], depth + 1)
+            return columns(sides[0]) + columns(sides[1])
     lines = sorted(boxes, key=lambda b: -b["top"])
     height = sorted(b["top"] - b["bottom"] for b in boxes)[len(boxes) // 2]
     low = lines[0]["bottom"]
     for k, b in enumerate(lines[1:], 1):
         if low - b["top"] >= max(2.5 * height, 18.0):
-            upper, lower = columns(lines[:k], depth + 1), columns(lines[k:], depth + 1)
+            upper, lower = columns(lines[:k]), columns(lines[k:])
             return upper + lower if len(upper) + len(lower) > 2 else [boxes]
         low = min(low, b["bottom"])
     return [boxes]
 
 
+#: Least height of a ruled table, and least spread of left edges of one with level rules only.
+LEAST_HEIGHT, LEAST_SPREAD = 24.0, 50.0
+
+
 def ruled_tables(boxes: list[dict], rules: list[tuple]) -> tuple[list[tuple[float, list[list[str]]]], list[dict]]:
     """Tables framed by ruling lines, as (top, rows), and the boxes that no table takes."""
     flat = [r for r in rules if r[3] - r[1] <= 3 and r[2] - r[0] > 8]
@@ -293,29 +297,109 @@ def ruled_tables(boxes: list[dict], rules: list[tuple]) -> tuple[list[tuple[floa
     for left, right in islands:
         ys = merged([(r[1] + r[3]) / 2 for r in flat if left - 1 <= r[0] and r[2] <= right + 1])
         xs = merged([(r[0] + r[2]) / 2 for r in tall if left - 3 <= r[0] <= right + 3])
+        if len(xs) < 2 and len(ys) >= 2 and ys[-1] - ys[0] >= LEAST_HEIGHT:
+            grid, used = level_table(rest, ys, left, right)
+            if grid and not is_prose(grid, len(ys) - 1):
+                found.append((ys[-1], pruned(grid)))
+                rest = [b for b in rest if id(b) not in used]
+            continue
         if len(ys) < 3 or len(xs) < 3 or len(xs) > 26:
             continue
         cells: dict[tuple[int, int], list[dict]] = {}
-        for b in rest:
+        for b, of in split_boxes(rest, xs):
             x, y = (b["left"] + b["right"]) / 2, (b["top"] + b["bottom"]) / 2
             if xs[0] - 2 <= x <= xs[-1] + 2 and ys[0] - 2 <= y <= ys[-1] + 2:
-                cells.setdefault((sum(v > y for v in ys[:-1]), sum(v < x for v in xs[1:])), []).append(b)
+                cells.setdefault((sum(v > y for v in ys[:-1]), sum(v < x for v in xs[1:])), []).append(b | {"of": id(of)})
         rows, width = len(ys) - 1, len(xs) - 1
         if len(cells) < max(2, 0.25 * rows * width):
             continue
-        if is_prose([[" ".join(b["text"] for b in cells.get((r, c), [])) for c in range(width)] for r in range(rows)], len(flat)):
+        grid = [[cell_text(cells.get((r, c), [])) for c in range(width)] for r in range(rows)]
+        if is_prose(grid, len(flat)):
             continue
-        used = {id(b) for c in cells.values() for b in c}
-        grid = [[" ".join(b["text"] for b in sorted(cells.get((r, c), []), key=lambda b: (-b["top"], b["left"]))) for c in range(width)] for r in range(rows)]
+        used = {b["of"] for c in cells.values() for b in c}
         found.append((ys[-1], pruned(grid)))
         rest = [b for b in rest if id(b) not in used]
     return found, rest
 
 
+def apportioned(text: str, widths: list[float]) -> list[str]:
+    """The words of a text over columns, each taking what its share of the width holds, one word at least; the last takes what is left."""
+    words, out, units = text.split(), [], lambda t: len(t.encode("utf-16-le")) // 2
+    for k, width in enumerate(widths):
+        if k == len(widths) - 1:
+            out.append(" ".join(words))
+            break
+        room, n, used = int(width / sum(widths) * units(text) + 0.5), 0, 0
+        while n < len(words) and (n == 0 or used + 1 + units(words[n]) <= room):
+            used += units(words[n]) + (n > 0)
+            n += 1
+        out.append(" ".join(words[:n]))
+        words = words[n:]
+    return out
+
+
+def split_boxes(boxes: list[dict], xs: list[float], margin: float = 5.0) -> list[tuple[dict, dict]]:
+    """Boxes of several words that reach over borders at ``xs`` as one for each column, each with the box it is of."""
+    inside = lambda x: next((c for c, (a, z) in enumerate(zip(xs, xs[1:])) if a <= x <= z), None)
+    out = []
+    for b in boxes:
+        first, last = inside(b["left"] + margin), inside(b["right"] - margin)
+        if first is None or last is None or first >= last or len(b["text"].split()) < 2:
+            out.append((b, b))
+            continue
+        borders = [b["left"], *xs[first + 1 : last + 1], b["right"]]
+        parts = apportioned(b["text"], [z - a for a, z in zip(borders, borders[1:])])
+        out += [({**b, "text": t, "left": a, "right": z}, b) for t, a, z in zip(parts, borders, borders[1:]) if t]
+    return out
+
+
+def cell_text(boxes: list[dict], step: float = 5.0) -> str:
+    """The text of a cell: boxes of one height beside each other, others on lines of their own."""
+    lines: list[list[dict]] = []
+    for b in sorted(boxes, key=lambda b: (-b["top"], b["left"])):
+        if lines and lines[-1][0]["top"] - b["top"] <= step:
+            lines[-1].append(b)
+        else:
+            lines.append([b])
+    return "<br>".join(" ".join(b["text"] for b in sorted(x, key=lambda b: b["left"])) for x in lines)
+
+
+def level_table(boxes: list[dict], ys: list[float], left: float, right: float, near: float = 30.0, gap: float = 20.0, band: float = 8.0) -> tuple[list[list[str]], set[int]]:
+    """The rows of a table that has level rules only, and the boxes it takes (see operators.tables.level_tables)."""
+    at = lambda b: ((b["left"] + b["right"]) / 2, (b["top"] + b["bottom"]) / 2)
+    held = [b for b in boxes if b["left"] >= left - near and b["right"] <= right + near and ys[0] <= at(b)[1] <= ys[-1]]
+    last = ys[0]
+    for b in sorted((b for b in boxes if left <= at(b)[0] <= right and at(b)[1] < ys[0]), key=lambda b: -at(b)[1]):
+        if last - at(b)[1] > near:
+            break
+        held.append(b)
+        last = at(b)[1]
+    if not held or max(b["left"] for b in held) - min(b["left"] for b in held) < LEAST_SPREAD:
+        return [], set()
+    centres = sorted(at(b)[0] for b in held)
+    borders = [(a + z) / 2 for a, z in zip(centres, centres[1:]) if z - a >= gap]
+    rows: list[tuple[float, list[dict]]] = []
+    for b in sorted(held, key=lambda b: (-at(b)[1], b["left"])):
+        if rows and rows[-1][0] - at(b)[1] <= band:
+            rows[-1][1].append(b)
+        else:
+            rows.append((at(b)[1], [b]))
+    grid, used = [], set()
+    for _, row in rows:
+        cells: list[list[dict]] = [[] for _ in range(len(borders) + 1)]
+        for b in row:
+            if left <= at(b)[0] <= right:
+                cells[sum(x < at(b)[0] for x in borders)].append(b)
+                used.add(id(b))
+        grid.append([" ".join(b["text"] for b in sorted(c, key=lambda b: b["left"])) for c in cells])
+    return grid, used
+
+
 def is_prose(rows: list[list[str]], rules: int) -> bool:
-    """Whether a ruled area holds running text: far more rows than rules, and sentences in most."""
+    """Whether a ruled area holds running text: far more rows than rules part, and most of them sentences."""
     texts = [" ".join(c for c in r if c) for r in rows]
-    return len(rows) > 3 * max(rules, 1) and sum(len(t.split()) >= 6 for t in texts) > 0.6 * len(texts)
+    said = sum(len(t.split()) >= 5 and sum(map(str.isalpha, t)) >= 25 for t in texts)
+    return bool(rules) and len(rows) > 3 * rules and said >= 4 and 5 * said >= 3 * len(rows)
 
 
 def pruned(rows: list[list[str]]) -> list[list[str]]:

@@ -264,6 +264,28 @@ def test_pdf_table():
     assert convert(document(rules), {"extension": ".pdf"})["markdown"] == "| Name | Value |\n| --- | --- |\n| fence | 12 |"
 
 
+def test_level_rules_and_wide_boxes():
+    from folioforge.formats import layout
+
+    box = lambda t, x, y, w: {"text": t, "left": x, "right": x + w, "top": y + 5, "bottom": y - 5, "font": 10.0, "bold": False}
+    cells = [box("Name", 80, 600, 40), box("Age", 200, 600, 30), box("Ann", 80, 580, 30), box("31", 200, 578, 15), box("last", 80, 555, 30), box("away", 80, 400, 30)]
+    rules = [(70.0, 610.0, 240.0, 610.0), (70.0, 565.0, 240.0, 565.0)]
+    found, rest = layout.ruled_tables(cells, rules)
+    assert [r for _, r in found] == [[["Name", "Age"], ["Ann", "31"], ["last", ""]]] and [b["text"] for b in rest] == ["away"]
+    # One column of sentences between two rules is no table.
+    prose = [box("The office measured the northern fence again", 80 + 60 * (k % 2), 600 - 12 * k, 300) for k in range(12)]
+    assert layout.ruled_tables(prose, [(70.0, 610.0, 500.0, 610.0), (70.0, 450.0, 500.0, 450.0)])[0] == []
+    assert layout.apportioned("one two three", [10.0, 10.0]) == ["one two", "three"] and layout.apportioned("one two", [1.0, 50.0]) == ["one", "two"]
+    walls = [(x, 560.0, x, 610.0) for x in (70.0, 150.0, 240.0)]
+    framed = [(70.0, y, 240.0, y) for y in (560.0, 585.0, 610.0)]
+    wide = [box("Key Name", 80, 597, 150), box("a", 80, 578, 10), box("b", 80, 567, 10), box("two words", 160, 572, 60)]
+    assert layout.ruled_tables(wide, framed + walls)[0][0][1] == [["Key", "Name"], ["a<br>b", "two words"]]
+    # Columns below many bands are still parted.
+    page = [box("A heading over all of the page's width here", 70, 780 - 60 * k, 460) for k in range(9)] + [box(f"{side} text of three words", x, 200 - 12 * k, 180) for side, x in (("left", 70), ("right", 320)) for k in range(5)]
+    groups = layout.columns(page)
+    assert [g for g in groups if any("left" in b["text"] for b in g)] and not any({"left", "right"} <= {b["text"].split()[0] for b in g} for g in groups)
+
+
 def test_ciphers_and_filters():
     key, start = bytes.fromhex("2b7e151628aed2a6abf7158809cf4f3c"), bytes(range(16))
     plain, secret = bytes.fromhex("6bc1bee22e409f96e93d7e117393172a"), bytes.fromhex("7649abac8119b246cee98e9b12e9197d")
