@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
-from folioforge.formats import registry
+from folioforge.formats import pdf, registry
 from folioforge.sources.fetch import convert_address
 
 OK, ERROR, UNSUPPORTED = 0, 1, 3
 COMMANDS = ("convert", "formats")
+#: Short names of commands.
+ALIASES = {"c": "convert"}
 
 
 def distance(a: str, b: str) -> int:
@@ -25,6 +28,8 @@ def distance(a: str, b: str) -> int:
 
 def main(args: list[str] | None = None) -> int:
     args = list(sys.argv[1:] if args is None else args)
+    if args:
+        args[0] = ALIASES.get(args[0], args[0])
     if args and args[0] not in COMMANDS and not args[0].startswith("-") and "." not in args[0] and "/" not in args[0]:
         near = min(COMMANDS, key=lambda c: distance(args[0], c))
         hint = f"; did you mean {near}?" if distance(args[0], near) <= 2 else ""
@@ -37,6 +42,9 @@ def main(args: list[str] | None = None) -> int:
     one = sub.add_parser("convert", help="a file, an address, or - for standard input")
     one.add_argument("source")
     one.add_argument("-o", "--output")
+    pictures = one.add_mutually_exclusive_group()
+    pictures.add_argument("--image-dir", help="where the pictures of a PDF go; beside the output, if there is one")
+    pictures.add_argument("--no-images", action="store_true", help="write no pictures")
     for p in (one, sub.add_parser("formats", help="what can be converted")):
         p.add_argument("--json", action="store_true")
         p.add_argument("-q", "--quiet", action="store_true")
@@ -48,6 +56,15 @@ def main(args: list[str] | None = None) -> int:
     return _convert(chosen)
 
 
+def _pictures(data: bytes, path: str, folder: str) -> None:
+    """The pictures of a PDF as files; what cannot be read of them is left out."""
+    os.makedirs(folder, exist_ok=True)
+    stem = os.path.splitext(os.path.basename(path))[0]
+    for k, (page, kind, body) in enumerate(pdf.pictures(data)):
+        with open(os.path.join(folder, f"{stem}-p{page}-{k}.{kind}"), "wb") as file:
+            file.write(body)
+
+
 def _convert(chosen: argparse.Namespace) -> int:
     source = chosen.source
     try:
@@ -56,13 +73,15 @@ def _convert(chosen: argparse.Namespace) -> int:
                 print("No input on standard input", file=sys.stderr)
                 return ERROR
             found = registry.convert(sys.stdin.buffer.read(), {})
-        elif source.startswith(("http:", "https:")):
+        elif source.startswith(("http:", "https:", "file:")):
             found = convert_address(source)
         else:
-            path = source.removeprefix("file://")
+            path = source
             with open(path, "rb") as file:
                 data = file.read()
             found = registry.convert(data, {"extension": registry.extension(path), "filename": path.rpartition("/")[2], "local_path": path})
+            if chosen.image_dir and not chosen.no_images and found["converter"] == "pdf":
+                _pictures(data, path, chosen.image_dir)
     except OSError as e:
         found = {"markdown": None, "title": None, "errors": [{"converter": "", "message": str(e)}]}
     markdown = found["markdown"]

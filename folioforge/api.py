@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from folioforge.formats import registry
 from folioforge.formats.registry import Convert, Rule
-from folioforge.operators.convert import convert, convert_with, failure_message, pdf_relations, register
+from folioforge.operators.convert import convert, convert_with, failure_message, pdf_pictures, pdf_relations, register
 from folioforge.operators.routing import accepts, converter_names, formats
-from folioforge.sources.fetch import convert_urls
-from folioforge.sources.files import read_files, zip_markdown
+from folioforge.sources.fetch import convert_address, convert_urls
+from folioforge.sources.files import read_files, write_images, zip_markdown
 
-__all__ = ["accepts", "add_converter", "convert", "convert_file", "convert_files", "convert_urls", "convert_with", "converter_names", "failure_message", "formats", "pdf_relations", "register", "zip_markdown"]
+__all__ = ["accepts", "add_converter", "convert", "convert_address", "convert_file", "convert_files", "convert_urls", "convert_with", "converter_names", "failure_message", "formats", "pdf_pictures", "pdf_relations", "register", "write_images", "zip_markdown"]
 
 
 def convert_files(spark: SparkSession, folder: str, pattern: str = "*", overrides: dict[str, Column] | None = None) -> DataFrame:

@@ -116,6 +116,29 @@ def pdf_relations(documents: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def pdf_pictures(documents: DataFrame) -> DataFrame:
+    """``doc_id, page_number, name, bytes, error`` of the pictures that pages of PDF documents hold.
+
+    A document that cannot be read is one row with its error; null content is one
+    without pictures. Names are ``<doc_id>-p<page>-<k>.<extension>``.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, content in zip(batch.column("doc_id").to_pylist(), batch.column("content")):
+                try:
+                    for k, (page, kind, data) in enumerate(pdf.pictures(content.as_py()) if content.is_valid else []):
+                        rows.append((doc, page, f"{doc}-p{page}-{k}.{kind}", data, None))
+                except Exception as e:  # noqa: BLE001 failures are rows
+                    rows.append((doc, None, None, None, str(e) or type(e).__name__))
+            c = list(zip(*rows)) or [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=["doc_id", "page_number", "name", "bytes", "error"])
+
+    return documents.select("doc_id", "content").mapInArrow(run, "doc_id string, page_number int, name string, bytes binary, error string")
+
+
 def register(spark: SparkSession) -> None:
     """``html_to_markdown(html)`` and ``convert_<name>(content, extension)`` as SQL functions."""
     def markdown(html: pd.Series) -> pd.Series:

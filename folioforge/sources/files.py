@@ -87,13 +87,21 @@ def write_markdown(results: DataFrame, folder: str) -> None:
 
 
 def write_images(images: DataFrame, folder: str) -> None:
-    """``name, bytes`` to files below a folder that all executors share."""
+    """``name, bytes`` to a folder: a table of Parquet files below an address, single files below a path that every executor has mounted.
+
+    Rows without bytes are left out; of rows with one name the last written stays.
+    """
     import os
 
-    def run(rows):
+    rows = images.where("bytes is not null").select("name", "bytes")
+    if "://" in folder:
+        rows.write.mode("overwrite").parquet(folder)
+        return
+
+    def run(found):
         os.makedirs(folder, exist_ok=True)
-        for r in rows:
+        for r in found:
             with open(os.path.join(folder, os.path.basename(r["name"])), "wb") as file:
                 file.write(r["bytes"])
 
-    images.select("name", "bytes").foreachPartition(run)
+    rows.foreachPartition(run)

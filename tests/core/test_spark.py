@@ -283,3 +283,25 @@ def test_versions_and_journals(spark):
     assert got[1, 2] == (0.5, 0.5) and got[1, 3] == (0.0, None) and len(got) == 6
     assert evaluation.first_documents(rows, 0, "k").count() == 6 and {r.k for r in evaluation.first_documents(rows, 2, "k").collect()} == {1, 2}
     assert {r.k for r in evaluation.recorded(rows, rows.where("k = 3"), ["k"]).collect()} == {3}
+
+
+def test_pictures_and_addresses_of_files(spark, tmp_path, capsys):
+    from tests.core.test_formats import PAGE, document
+
+    raw = bytes([255, 0, 0, 0, 255, 0])
+    image = b"<< /Type /XObject /Subtype /Image /Width 2 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceRGB /Length 6 >>\nstream\n" + raw + b"\nendstream"
+    data = document(PAGE).replace(b"/F2 6 0 R >> >> >>", b"/F2 6 0 R >> /XObject << /I 7 0 R >> >> >>") + b"\n7 0 obj\n" + image + b"\nendobj\n"
+    docs = spark.createDataFrame([("a", data, "x"), ("b", b"no pdf", "x"), ("n", None, "x")], "doc_id string, content binary, name string")
+    rows = {r.doc_id: r for r in convert.pdf_pictures(docs).collect()}
+    assert rows["a"].name == "a-p1-0.png" and rows["a"].error is None and rows["b"].error and set(rows) == {"a", "b"}
+    files.write_images(convert.pdf_pictures(docs), str(tmp_path / "pictures"))
+    assert [p.name for p in (tmp_path / "pictures").iterdir()] == ["a-p1-0.png"]
+    files.write_images(convert.pdf_pictures(docs), f"file://{tmp_path}/table")
+    assert spark.read.parquet(f"{tmp_path}/table").count() == 1
+    (tmp_path / "a b.pdf").write_bytes(data)
+    assert cli.main(["c", str(tmp_path / "a b.pdf"), "--image-dir", str(tmp_path / "out")]) == 0 and (tmp_path / "out" / "a b-p1-0.png").exists()
+    (tmp_path / "t.csv").write_text("a,b\n1,2")
+    found = fetch.convert_address(f"file://{tmp_path}/t.csv")
+    assert found["converter"] == "csv" and fetch.convert_address(f"file://{tmp_path}/t.csv", only="plain-text")["markdown"].startswith("```csv")
+    assert fetch.convert_address(f"file://{tmp_path}/a%20b.pdf")["converter"] == "pdf" and fetch.convert_address(f"file://{tmp_path}/none")["errors"]
+    capsys.readouterr()
