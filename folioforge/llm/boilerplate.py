@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.sites import DIGITS, Memo, host, key_of, line_key, recurring, skeleton
+from folioforge.llm.sites import Memo, host, key_of, line_key, recurring, skeleton
 from folioforge.runtime import cut
 
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)\)")
 HEAD, ITEM, TABLE = re.compile(r"^#{1,6}\s"), re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+"), re.compile(r"^\s*\|.*\|\s*$")
-#: Signs of a skeleton, which is ASCII, stand between its words; a star stands for letters beyond ASCII.
-BETWEEN = str.maketrans(dict.fromkeys((c for c in string.punctuation if c != "*"), " "))
+#: Signs of a skeleton, which is ASCII, stand between its words; a star stands for letters beyond ASCII, and any figure for all.
+BETWEEN = bytes(48 if chr(c).isdigit() else 32 if chr(c) in string.punctuation and c != 42 else c for c in range(256))
 ENDS = ".!?…”»\"'"
 
 #: Hashed features of a line: the table of weights has two to the power of this.
@@ -64,13 +64,13 @@ def site_names(host_: str | None) -> tuple[str, ...]:
     return tuple(dict.fromkeys([host_.lower(), parts[-2] if len(parts) > 1 else parts[0]]))
 
 
-def slot(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+def slot(feature: str | bytes) -> int:
+    return zlib.crc32(feature if isinstance(feature, bytes) else feature.encode()) & ((1 << BITS) - 1)
 
 
 SLOTS = Memo(slot)
 #: A site's names, and the parts of names with hyphens that could stand alone.
-OWN_WORDS = Memo(lambda names: frozenset([*names, *(x for n in names for x in n.split("-") if len(n) > 3)]))
+OWN_WORDS = Memo(lambda names: frozenset(w.encode() for w in [*names, *(x for n in names for x in n.split("-") if len(n) > 3)]))
 
 
 def step(n: float, edges: tuple) -> int:
@@ -92,7 +92,7 @@ class Line:
 
     kind: str
     shapes: tuple[str, ...]
-    words: set[str]
+    words: set[bytes]
     #: Whether it links to its own site, and whether it reads as a sentence.
     inside: bool
     sentence: bool
@@ -105,11 +105,11 @@ def seen(line: str, names: tuple[str, ...]) -> Line:
     s = line.strip()
     links = LINK.findall(s) if "](" in s else ()
     plain = LINK.sub(r"\1", LINK.sub(r"\1", s)) if links else s
-    bones = DIGITS.sub("0", skeleton(plain))
-    key = line_key(line) if links or s[0] == "#" else key_of(bones, True)
-    words = bones.translate(BETWEEN).split()
+    bones = skeleton(plain)
+    key = line_key(line) if links else key_of(bones)
+    words = bones.encode().translate(BETWEEN).split()
     if names and not (own := OWN_WORDS[names]).isdisjoint(words):
-        words = ["<site>" if w in own else w for w in words]
+        words = [b"<site>" if w in own else w for w in words]
     n = len(words)
     spaced = s.count(" ") >= 7 and len(s.split()) >= 8
     if s[0] == "|" and TABLE.match(s):
@@ -137,7 +137,7 @@ def seen(line: str, names: tuple[str, ...]) -> Line:
         shapes += ("nolink",)
     told = {*words}
     if len(words) <= PAIRED:
-        told.update(f"{a} {b}" for a, b in zip(words, words[1:]))
+        told.update(a + b" " + b for a, b in zip(words, words[1:]))
     return Line(kind, shapes, told, inside, spaced and s[-1] in ENDS and not links and kind == "prose", key)
 
 

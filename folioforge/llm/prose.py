@@ -9,6 +9,7 @@ kinds of junk; the nearest profile is the verdict.
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections import Counter
 
@@ -47,7 +48,7 @@ END = re.compile(r"[.!?…:;][\"'”»’)\]]*$")
 MARK = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
 PAIR = re.compile(r"^[^\s:][^:]{0,40}:\s\S{0,30}(?:\s\S{1,20})?$")
 TIMED, LEVEL = re.compile(r"\d\d:\d\d(?::\d\d)?\b.*\w="), re.compile(r"\b(?:INFO|WARN|DEBUG|ERROR|TRACE)\b.*\d")
-ASCII_SIGNS = re.compile(r"[!-/:-@\[-`{-~]+")
+ASCII_SIGNS = string.punctuation.encode()
 SIGNS = re.compile(r"[{}()\[\]=;<>+*/\\|^~_#]")
 
 
@@ -90,8 +91,8 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def shape(s: str) -> tuple[str, int]:
     """The shape of one stripped line by itself, a piece of running text being 'run', and how many pieces stand between its spaces."""
-    tight = s.replace(" ", "")
-    signs = sum(map(len, ASCII_SIGNS.findall(tight)))
+    tight, data = s.replace(" ", ""), s.encode("utf-8", "surrogatepass")
+    signs = len(data) - len(data.translate(None, ASCII_SIGNS))
     if signs > 0.6 * len(tight):
         return "table" if s.startswith("|") and s.endswith("|") and set(tight) <= set("|-:") else "symbols", 0
     if s.startswith("|") and s.endswith("|") and len(s) > 1:

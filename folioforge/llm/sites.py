@@ -40,19 +40,18 @@ class Memo(dict):
         return value
 
 
-#: Words with signs beyond ASCII, whole; a fold never reaches over an ASCII space.
-ODD_WORD = re.compile(r"[\x21-\x7e]*[^\x00-\x7f][^\x00-\x20\x7f]*")
-BONES = Memo(lambda word: BEYOND.sub("*", folded(word)))
+#: What words with signs beyond ASCII become; neither folds nor runs of such signs reach over a space.
+BONES = Memo(lambda word: word if word.isascii() else BEYOND.sub("*", folded(word)))
 
 
 def skeleton(line: str) -> str:
     """Lower case, with each run of non-ASCII characters as one star: garbled and clean spellings agree."""
-    return line.lower() if line.isascii() else ODD_WORD.sub(lambda m: BONES[m[0]], line).lower()
+    return line.lower() if line.isascii() else " ".join([w if w.isascii() else BONES[w] for w in line.split(" ")]).lower()
 
 
-def key_of(bones: str, plain: bool = False) -> int:
-    """The key of a line from its skeleton without link targets; ``plain`` says that its figures are folded."""
-    bones = bones if plain or bones.startswith("#") else DIGITS.sub("0", bones)
+def key_of(bones: str) -> int:
+    """The key of a line from its skeleton without link targets."""
+    bones = bones if bones.startswith("#") else DIGITS.sub("0", bones)
     return xxhash.xxh3_64_intdigest(bones.strip("#*_+-•>: \t\r")) - (1 << 63)
 
 
