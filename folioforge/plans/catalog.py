@@ -383,7 +383,21 @@ def sheets(spark: SparkSession, folder: str) -> DataFrame:
     return layout.sections(tables, [], ["r_regionkey"], F.col("r_name"), F.col("markdown"))
 
 
-@query()
+def _escaped(x: str) -> str:
+    """The SQL of a line's text as Markdown shows it, rule by rule."""
+    for kind, what, by in (("replace", "\\", "\\\\"), ("replace", "*", "\\*"), ("first", "^-", "\\\\-"), ("first", "^\\+ ", "\\\\+ "), ("first", "^(=+)", "\\\\\\1"), ("first", "^(#{1,6}) ", "\\\\\\1 "), ("replace", "`", "\\`"), ("first", "^~~~", "\\\\~~~"), ("replace", "[", "\\["), ("replace", "]", "\\]"), ("first", "^>", "\\\\>"), ("replace", "_", "\\_"), ("first", "^([0-9]+)\\. ", "\\1\\\\. ")):
+        x = f"{'replace' if kind == 'replace' else 'regexp_replace'}({x}, '{what}', '{by}')"
+    return x
+
+
+LINE = _escaped("trim(regexp_replace(x, '[ \\r\\n\\t]+', ' ', 'g'), ' ')")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, source, regexp_split_to_array({PLAIN_FORM}, '\\n{{2,}}') AS ps FROM documents),
+    b AS (SELECT doc_id, source, list_transform(ps, lambda p: regexp_replace(array_to_string(list_transform(string_split(p, chr(10)), lambda x: {LINE}), '  ' || chr(10)), '\\n+$', '')) AS bs FROM t)
+    SELECT doc_id, trim('# ' || replace({_escaped("source")}, '\\.', '.') || chr(10) || chr(10) || array_to_string(list_filter(bs, lambda b: b <> ''), chr(10) || chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS markdown FROM b"""
+)
 def html_to_markdown_pages(spark: SparkSession, folder: str) -> DataFrame:
     """M1: court decisions set as HTML and brought back to Markdown."""
     @F.pandas_udf("string")
