@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.sites import Memo, host, key_of, line_key, recurring, skeleton
+from folioforge.llm.sites import Memo, host, key_of, line_key, recurring, skeleton, slices
 from folioforge.runtime import cut
 
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)\)")
@@ -151,6 +151,10 @@ def places(lines: list[str], at: list[int], mine: list[Line]) -> list[tuple[int,
     return [(SLOTS[f"pos={w}"], SLOTS[f"gap={int(k == 0 or blank[k - 1])}{int(k + 1 >= len(lines) or blank[k + 1])}"], SLOTS[f"side={z}{x.kind}"]) for w, k, z, x in zip(where, at, side, mine)]
 
 
+#: Lines whose value a task remembers.
+KEPT, NOTHING = 10_000, frozenset()
+
+
 @dataclass
 class Classifier:
     """Log-odds that a line is furniture, linear in hashed features; without a fit it knows shapes that all sites share."""
@@ -175,9 +179,11 @@ class Classifier:
             v = self.shape[x.shapes]
             if x.words:
                 v += WORDS / len(x.words) ** 0.5 * sum(map(self.known.__getitem__, x.words))
+            # What the value was made of is not kept.
+            x.shapes, x.words = (), NOTHING
             got = x, v
             if not x.sentence:
-                if len(self.memo) >= 50_000:
+                if len(self.memo) >= KEPT:
                     self.memo.clear()
                 self.memo[line, names] = got
         return got
@@ -481,7 +487,7 @@ def boilerplate_lines(found: Pages) -> DataFrame:
 
     def run(batches):
         model = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             at, no = [], []
             for k, (text, host_, keys) in enumerate(zip(batch.column("markdown").to_pylist(), batch.column("host").to_pylist(), batch.column("recurring").to_pylist())):
                 gone = furniture(text, host_, frozenset(keys or ()), model)

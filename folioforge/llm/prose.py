@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.boilerplate import Pages
 from folioforge.llm.residue import evidence, outside_code, removed
+from folioforge.llm.sites import slices
 
 #: Character classes.
 CLASSES = ("letter", "digit", "space", "sentence", "quote", "line", "symbol")
@@ -239,7 +240,7 @@ def prose_profiles(texts: DataFrame, common: dict[str, frozenset[str]]) -> dict[
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("markdown").to_pylist():
                 lines = [x for x in text.split("\n") if len(x) > 80 and x[-1] in ".!?"]
                 if not lines:
@@ -284,7 +285,7 @@ def quality(found_: Pages, common_words: DataFrame) -> DataFrame:
 
     def run(batches):
         by, every, profiles, model = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             rows, bodies, proofs = [], [], []
             for text, host, web, keys in zip(*(batch.column(c).to_pylist() for c in ("markdown", "host", "web", "recurring"))):
                 lines = text.split("\n")

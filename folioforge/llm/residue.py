@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.boilerplate import Classifier, Pages, parted
-from folioforge.llm.sites import folded, line_key, skeleton
+from folioforge.llm.sites import folded, line_key, skeleton, slices
 from folioforge.runtime import cut
 
 # Names that templates give their fields.
@@ -229,7 +229,7 @@ def judged(found: Pages) -> DataFrame:
 
     def run(batches):
         model = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             kinds, left, marks = [], [], []
             for text, host, web, keys in zip(*(batch.column(c).to_pylist() for c in ("markdown", "host", "web", "recurring"))):
                 lines, others = residual(text, host, web, frozenset(keys or ()), model)

@@ -93,7 +93,7 @@ def lexicon(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        form = Memo(vocabulary_form)
+        form = Memo(vocabulary_form, 400_000)
         for batch in batches:
             df: dict[str, int] = {}
             for text in batch.column("text").to_pylist():
@@ -583,7 +583,7 @@ def noise(documents: DataFrame, boxes: DataFrame, corpus: DataFrame) -> DataFram
         return bare if odd(bare, known) else ""
 
     def of_text(batches):
-        unknown = Memo(suspicious)
+        unknown = Memo(suspicious, 400_000)
         for batch in batches:
             rows = []
             for doc, text, mark in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "markdown", "mark"))):
@@ -599,7 +599,7 @@ def noise(documents: DataFrame, boxes: DataFrame, corpus: DataFrame) -> DataFram
             yield _items(rows)
 
     def of_pages(batches):
-        unknown = Memo(suspicious)
+        unknown = Memo(suspicious, 400_000)
         for batch in batches:
             rows = []
             for (numbers, texts, fonts, bolds), doc, page, heads, title, mark in zip(unnested(batch.column("lines")), *(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "heads", "title", "mark"))):

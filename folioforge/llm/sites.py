@@ -26,10 +26,17 @@ def folded(line: str) -> str:
     return line if line.isascii() else unicodedata.normalize("NFC", line.translate(FOLD))
 
 
+def slices(batches, rows: int = 1000):
+    """Batches in slices, so that no more texts than that are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
 class Memo(dict):
     """What a function gave for each argument, forgotten when it grows beyond a bound."""
 
-    def __init__(self, function, bound: int = 200_000):
+    def __init__(self, function, bound: int = 50_000):
         super().__init__()
         self.function, self.bound = function, bound
 
@@ -76,7 +83,7 @@ def recurring(pages: DataFrame, sizes: DataFrame, least: int = 3, share: float =
 
     def run(batches):
         met: set[tuple[str, int]] = set()
-        for batch in batches:
+        for batch in slices(batches):
             seen: dict[tuple[str, int], int] = {}
             for h, text, mark in zip(*(batch.column(c).to_pylist() for c in ("host", "markdown", "text"))):
                 if (h, mark) in met:
