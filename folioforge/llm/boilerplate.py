@@ -496,3 +496,25 @@ def boilerplate_lines(found: Pages) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(no, pa.int32())], names=["doc_id", "line_no"])
 
     return found.rows.select("doc_id", "markdown", "host", "recurring").mapInArrow(run, "doc_id string, line_no int")
+
+
+def bodies(found: Pages) -> DataFrame:
+    """``doc_id, body``: the main body of each page alone, without the blank lines that what is gone leaves at its ends.
+
+    Null and blank texts have no row; a record without a URL is its own body.
+    """
+    sent = found.rows.sparkSession.sparkContext.broadcast(found.model)
+
+    def run(batches):
+        model = sent.value
+        for batch in slices(batches):
+            out = []
+            for text, host_, web, keys in zip(*(batch.column(c).to_pylist() for c in ("markdown", "host", "web", "recurring"))):
+                lines = text.split("\n")
+                gone = parted(lines, host_, frozenset(keys or ()), model)[0] if web else set()
+                # Of blank lines in a row, where furniture stood between them, one stays.
+                kept = [x for k, x in enumerate(lines) if k not in gone]
+                out.append("\n".join(x for k, x in enumerate(kept) if not gone or x.strip() or (k and kept[k - 1].strip())).strip("\n") if gone else text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "body"])
+
+    return found.rows.select("doc_id", "markdown", "host", "web", "recurring").mapInArrow(run, "doc_id string, body string")

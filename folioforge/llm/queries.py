@@ -15,6 +15,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.boilerplate_lines(pages.where("web")).distinct()
 
 
+def p1_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The main body of every web page, alone."""
+    pages = boilerplate.pages(table(spark, folder, "documents_out"), table(spark, folder, "documents_in"))
+    return boilerplate.bodies(pages.where("web"))
+
+
 def _looks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, dict]:
     boxes = table(spark, folder, "text_boxes").select("doc_id", "id", "text")
     records = table(spark, folder, "documents_out").select("doc_id", "markdown").where(F.col("markdown").rlike(r"\S"))
@@ -38,6 +44,16 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The one form of every text box and record, as a digest, and whether its text had to change."""
+    boxes, records, rules = _looks(spark, folder)
+    parts = []
+    for name, df, key, text in (("text_boxes", boxes, "id", "text"), ("documents_out", records, "doc_id", "markdown")):
+        formed = lookalikes.one_form(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", rules)
+        parts.append(formed.select(F.lit(name).alias("tbl"), "key", F.md5("one_form").alias("form"), (F.col("one_form") != F.col("text")).alias("changed")))
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def p3_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """What each record without real content holds instead."""
     pages = boilerplate.pages(table(spark, folder, "documents_out"), table(spark, folder, "documents_in"))
@@ -141,7 +157,7 @@ def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p9_found": p9_found, "p9_paraphrases": p9_paraphrases, "p10_found": p10_found, "p10_coverage": p10_coverage}
+    return {"p1_found": p1_found, "p1_bodies": p1_bodies, "p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p3_found": p3_found, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p6_paragraphs": p6_paragraphs, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_containers": p8_containers, "p9_found": p9_found, "p9_paraphrases": p9_paraphrases, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 
 SQL = {

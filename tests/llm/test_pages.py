@@ -123,6 +123,13 @@ def test_lines_and_empty_tables(spark):
     assert boilerplate.boilerplate_lines(boilerplate.pages(docs.limit(0), urls)).count() == 0
 
 
+def test_bodies(spark):
+    docs, urls = frames(spark, {f"o{k}": f"[Home](/)\n\n# Fence {'abcdef'[k]}\n\n{TEXT} {k} and {'xyz' * (k + 1)}.\n\n\nAll of us\n\n- {'klmnop'[k] * 4} lamps\n\n[Imprint](/imprint)" for k in range(6)} | {"x": "[Home](/)\n\nA text.", "n": None})
+    got = {r.doc_id: r.body for r in boilerplate.bodies(boilerplate.pages(docs, urls)).collect()}
+    assert set(got) == {"x"} | {f"o{k}" for k in range(6)} and got["x"] == "[Home](/)\n\nA text."
+    assert all(b.startswith("# Fence") and "Home" not in b and "Imprint" not in b and TEXT in b for k, b in got.items() if k != "x")
+
+
 def test_copies_do_not_recur(spark):
     own = f"# Northern fence\n\n{TEXT}\n\nstorage shelves here\n\nsignal lamps there\n\n{TEXT}"
     other = lambda k: f"# Fence {k}\n\n{TEXT}\n\nRead me now\n\nentry {'abcdefghij'[k]}{'xyz' * (k + 1)}\n\n{TEXT}"
