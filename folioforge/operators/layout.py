@@ -274,6 +274,13 @@ def sections(rows: DataFrame, keys: list[str], order: list[str], title: Column,
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, part.alias("part")))), lambda r: r["part"]), "\n\n").alias("markdown"))
 
 
+def sized_regions(regions: DataFrame, width: Column, height: Column, order: str, least: int = 5000) -> DataFrame:
+    """``regions`` of at least ``least`` whole square points with ``id``, their number on the page in order; those without a size are none."""
+    size = F.floor(F.coalesce(width, F.lit(0.0))) * F.floor(F.coalesce(height, F.lit(0.0)))
+    k = F.row_number().over(Window.partitionBy(*PAGE).orderBy(order)) - 1
+    return regions.where(size >= least).withColumn("id", F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("-i"), k.cast("string")))
+
+
 def segments(boxes: DataFrame) -> DataFrame:
     """``doc_id, page_number, seq, x1, y1, x2, y2``: the lower edges of boxes, as ruling lines to work with where a table has none."""
     return once(boxes).select(*PAGE, "seq", F.col("x_left").alias("x1"), F.col("y_bottom").alias("y1"), F.col("x_right").alias("x2"), F.col("y_bottom").alias("y2"))

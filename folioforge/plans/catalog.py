@@ -280,7 +280,7 @@ def foot_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return layout.foot_numbers(_boxes(spark, folder)).select("doc_id", "page_number", "seq", "text")
 
 
-# What the reference's rules say of a line, written in SQL by itself.
+# The rules of single lines in SQL, written apart from the Columns of functions.text.
 CHROME_SQL = r"""(p <> '' AND (
       contains(l, 'http://') OR contains(l, 'https://') OR starts_with(l, 'www.') OR contains(l, ' www.') OR contains(l, 'doi:') OR contains(l, 'doi.org/') OR contains(l, 'dx.doi.org')
       OR contains(l, 'please cite this article') OR contains(l, 'contents lists available at') OR contains(l, 'available online at') OR contains(l, 'downloaded from')
@@ -362,9 +362,7 @@ def grid_fill(spark: SparkSession, folder: str) -> DataFrame:
 def sized_regions(spark: SparkSession, folder: str) -> DataFrame:
     """Regions of some size, numbered on their page."""
     rows = table(spark, folder, "raw_items").select("doc_id", "page_number", "item_no", "width", "font_size").distinct()
-    big = rows.where(F.floor(F.coalesce("width", F.lit(0.0))) * F.floor("font_size") >= 500)
-    k = F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("item_no")) - 1
-    return big.select("doc_id", "page_number", "item_no", F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("-i"), k.cast("string")).alias("id"))
+    return layout.sized_regions(rows, F.col("width"), F.col("font_size"), "item_no", 500).select("doc_id", "page_number", "item_no", "id")
 
 
 @query("SELECT n_regionkey, '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey")
@@ -629,13 +627,13 @@ def macro_average(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT doc_id FROM documents_in), b AS (SELECT DISTINCT doc_id FROM documents_out WHERE markdown IS NOT NULL)
-    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL"""
+    """WITH a AS (SELECT doc_id, md5(coalesce(max(substr(extension, 2)), '')) AS d FROM documents_in GROUP BY doc_id), b AS (SELECT doc_id, md5(max(converter)) AS d FROM documents_out WHERE markdown IS NOT NULL GROUP BY doc_id)
+    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'extra' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.d IS DISTINCT FROM b.d"""
 )
 def manifest_difference(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources without a result and results without a source."""
-    expected = table(spark, folder, "documents_in").select("doc_id").distinct().withColumn("digest", F.lit(""))
-    found = table(spark, folder, "documents_out").where("markdown is not null").select("doc_id").distinct().withColumn("digest", F.lit(""))
+    """Sources without a result, results without a source, and results of another kind than the source's name says."""
+    expected = table(spark, folder, "documents_in").groupBy("doc_id").agg(F.md5(F.coalesce(F.max(F.substring("extension", 2, 99)), F.lit(""))).alias("digest"))
+    found = table(spark, folder, "documents_out").where("markdown is not null").groupBy("doc_id").agg(F.md5(F.max("converter")).alias("digest"))
     return evaluation.manifest_difference(expected, found)
 
 

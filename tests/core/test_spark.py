@@ -305,3 +305,10 @@ def test_pictures_and_addresses_of_files(spark, tmp_path, capsys):
     assert found["converter"] == "csv" and fetch.convert_address(f"file://{tmp_path}/t.csv", only="plain-text")["markdown"].startswith("```csv")
     assert fetch.convert_address(f"file://{tmp_path}/a%20b.pdf")["converter"] == "pdf" and fetch.convert_address(f"file://{tmp_path}/none")["errors"]
     capsys.readouterr()
+
+
+def test_regions_of_some_size(spark):
+    rows = spark.createDataFrame([("a", 1, 3, 10.9, 60.0), ("a", 1, 1, 100.0, 5.9), ("a", 1, 2, None, 99.0), ("a", 2, 1, 20.0, 24.9), ("a", 2, 2, 20.0, 25.0)], "doc_id string, page_number int, k int, width double, height double")
+    found = {(r.page_number, r.k): r.id for r in layout.sized_regions(rows, F.col("width"), F.col("height"), "k", 500).collect()}
+    assert found == {(1, 1): "p1-i0", (1, 3): "p1-i1", (2, 2): "p2-i0"}
+    assert layout.sized_regions(rows.limit(0), F.col("width"), F.col("height"), "k").count() == 0
